@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe
+from frameloom.llm import bpe, decontaminate, licenses, near_dup, quality, simple8b, slots, warc
 from frameloom.llm.common import read_table
 
-RANKS = "byte_bpe_multi_50k.tiktoken"
+RANKS, WORD_PIECES, END_ID = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", 1
+SHARDS, CRAWL_DATE = 24, "2024-01-01T00:00:00Z"
 
 
 def bpe_digests(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
@@ -25,8 +26,49 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return simple8b.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_PIECES), END_ID, parts)
+
+
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = slots.shard(read_table(spark, sf_dir, "documents"), SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
+
+
+def op7_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.responses_of_pages(read_table(spark, sf_dir, "pages"), CRAWL_DATE)
+    return warc.derive(responses, ("page_id",))
+
+
+def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_simple8b_tokens": op5_simple8b_tokens,
+    "op6_virtual_slots": op6_virtual_slots,
+    "op7_containment_search": op7_containment_search,
+    "op8_warc_derivatives": op8_warc_derivatives,
+    "op9_license_dice": op9_license_dice,
+    "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.judge_sql(),
+    "op7_containment_search": decontaminate.FIND_SQL,
+}
