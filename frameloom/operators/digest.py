@@ -31,3 +31,17 @@ def duplicate_groups(df: DataFrame, key: str, order: str, size: str = "length")
         .agg(F.count("*").alias("n"), F.max(order).alias("newest"), (F.sum(size) - F.max_by(size, order)).alias("wasted"))
         .filter("n > 1")
     )
+
+
+def append_suffix(files: DataFrame, main: str, sub: str, seed: int, content: str = "content", path: str = "path") -> DataFrame:
+    """Content with a fixed suffix and 8 to 24 bytes that depend on the seed and the path; `added` bytes in all."""
+    salt = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(path)).cast("binary"), 256)
+    n = 8 + F.conv(F.substring(salt, 1, 2), 16, 10).cast("int") % 17
+    fixed = F.encode(F.lit(main + sub), "UTF-8")
+    whole = F.concat(F.col(content), fixed, F.unhex(F.substring(salt, F.lit(1), 2 * n)))
+    return files.withColumns({content: whole, "added": n + len((main + sub).encode())})
+
+
+def payload_digest(content: Column, end: Column) -> Column:
+    """MD5 of the bytes up to `end`, so that what was appended behind does not count."""
+    return F.upper(F.md5(F.substring(content, F.lit(1), end)))
