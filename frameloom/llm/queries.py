@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe, decontaminate, licenses, near_dup, quality, simple8b, slots, warc
+from frameloom.llm import bpe, decontaminate, licenses, near_dup, quality, secrets, simple8b, slots, toxicity, warc
 from frameloom.llm.common import read_table
 
 RANKS, WORD_PIECES, END_ID = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", 1
@@ -30,6 +30,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+def op4_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    seen = read_table(spark, sf_dir, "labels").filter(toxicity.crc_fold() != 0)
+    scored = toxicity.fit(docs, seen).score(docs)
+    return scored.select("doc_id", (toxicity.crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return simple8b.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_PIECES), END_ID, parts)
@@ -60,6 +72,8 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_secret_crf": op3_secret_crf,
+    "op4_toxicity_gbt": op4_toxicity_gbt,
     "op5_simple8b_tokens": op5_simple8b_tokens,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_containment_search": op7_containment_search,
