@@ -36,8 +36,8 @@ FENCES = {
     "word_length": (4, 2500, True),
     "symbol_share": (4, 150, False),
     "upper_share": (4, 600, False),
-    "dup_line_share": (4, 300, False),
-    "repeat_share": (4, 250, False),
+    "dup_line_share": (4, 500, False),
+    "repeat_share": (4, 400, False),
 }
 MIN_ROWS = 200
 

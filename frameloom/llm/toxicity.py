@@ -11,7 +11,7 @@ spelled-out words (runs of single letters), stretched letters, digits, mean word
 
 Model. GBTClassifier fits the features of a sample of labelled rows: SAMPLE rows at most, those of least
 hash, whatever the size of the input. Every fourth of them (by hash) is kept apart from the trees and
-fits the isotonic calibration of their raw scores. Scoring covers every row; the features are made in
+fits the isotonic calibration of their raw scores; with less than FEW rows of label 1 all serve both. Scoring covers every row; the features are made in
 Arrow batches, trees and calibration run in the JVM.
 
 Skew: texts are never shuffled; counts for the lexicon are combined before the shuffle. Defined cases:
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import materialize, need
 
 #: The most labelled rows that a fit reads, the most terms of the lexicon, trees, their depth.
-SAMPLE, LEXICON, TREES, DEPTH = 12_000, 400, 24, 4
+SAMPLE, LEXICON, TREES, DEPTH = 12_000, 400, 16, 3
 #: Insults known before any label, and second-person words of the four languages (fixed word lists).
 SEEDS = ("idiot", "stupid", "moron", "trash", "scum", "loser", "pathetic", "worthless", "disgusting", "clown")
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur tu te toi ton ta tes vous votre vos usted ustedes tú ti tus vosotros du dich dir dein deine deinen ihr euch euer sie".split())
@@ -56,6 +56,8 @@ UNMASK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "
 SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 #: Remembered words, words between a hit and a second-person word, log-odds from which a hit is strong.
 CACHE, NEAR, STRONG = 300_000, 4, 3.0
+#: The log likelihood ratio a term must reach, and the label 1 rows below which nothing is kept apart.
+EVIDENCE, FEW = 18.0, 60
 
 
 def terms(word: str) -> list[str]:
@@ -138,7 +140,10 @@ def mine_lexicon(sample: DataFrame, text: str, label: str, most: int = LEXICON)
     counts = sample.select(text, F.col(label).cast("int")).mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (n - pos + 1))
     least = max(3, pos // 400)
-    best = counts.filter(F.col("a") >= least).withColumn("w", odds).filter("w >= 2").orderBy(F.desc(F.col("w") * F.sqrt("a")), "term").limit(most)
+    # Twice the log likelihood ratio of the term's counts against chance, so that rare words need not be lucky only.
+    plain = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("a") + F.col("b")) * share))).otherwise(0.0)
+    counts = counts.withColumn("g2", 2 * (plain("a", pos / n) + plain("b", (n - pos) / n)))
+    best = counts.filter((F.col("a") >= least) & (F.col("g2") >= EVIDENCE)).withColumn("w", odds).filter("w >= 2").orderBy(F.desc(F.col("w") * F.sqrt("a")), "term").limit(most)
     got = {r["term"]: float(r["w"]) for r in best.collect()}
     return {s: 6.0 for s in SEEDS} | {k: min(v, 8.0) for k, v in got.items()}
 
@@ -176,18 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     # At most `most` small rows, so the join's small side has a proven bound.
     chosen = known.orderBy(ranked, key).limit(most)
     sample = need(docs, key, text).join(F.broadcast(chosen), key).groupBy(key, label).agg(F.min(text).alias(text))
-    sample = sample.withColumn("apart", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(4)) == 0)
     sample = materialize(sample.coalesce(8), "toxicity-sample")
     seen = sample.agg(F.count("*").alias("n"), F.sum(label).alias("pos")).first()
     n, pos = int(seen["n"]), int(seen["pos"] or 0)
+    # With few rows of label 1, all rows serve the trees and the calibration alike.
+    split = pos >= FEW
+    sample = sample.withColumn("apart", (F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(4)) == 0) & F.lit(split))
     lexicon = spark.sparkContext.broadcast(mine_lexicon(sample.filter(~F.col("apart")), text, label) if 0 < pos < n else dict.fromkeys(SEEDS, 6.0))
-    held = sample.filter("apart").agg(F.count("*").alias("n"), F.sum(label).alias("pos")).first()
-    told = 0 < pos - int(held["pos"] or 0) < n - int(held["n"]) and 0 < int(held["pos"] or 0) < int(held["n"])
-    if not told:
+    if not 0 < pos < n:
         return Model(lexicon, constant=pos / n if n else 0.0)
-    vectors = materialize(_featured(sample, lexicon, text, (key, label, "apart")).coalesce(4), "toxicity-features").select(label, "apart", array_to_vector("x").alias("features"))
-    trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=seed, maxMemoryInMB=64, cacheNodeIds=False).fit(vectors.filter(~F.col("apart")))
-    apart = _margin(trees, vectors.filter("apart"), label).withColumn(label, F.col(label).cast("double"))
+    vectors = materialize(_featured(sample, lexicon, text, (key, label, "apart")).coalesce(2), "toxicity-features").select(label, "apart", array_to_vector("x").alias("features"))
+    trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxMemoryInMB=64, cacheNodeIds=False).fit(vectors.filter(~F.col("apart")))
+    apart = _margin(trees, vectors.filter("apart") if split else vectors, label).withColumn(label, F.col(label).cast("double"))
     calibration = IsotonicRegression(labelCol=label, featuresCol="raw").fit(apart)
     return Model(lexicon, trees, calibration)
 
