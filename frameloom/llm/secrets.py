@@ -10,7 +10,8 @@ many digits, whether it looks like code or settings).
 
 Training maximises the conditional likelihood by forward-backward and AdaGrad on generated examples and on
 a sample of SAMPLE documents at most, those of least hash among the documents with long runs of digits and letters; what the base
-patterns match there is the label. Weights are a fixed number of floats, sent to the tasks.
+patterns match there is the label, and segments without a match serve as outside only where a first field,
+trained on generated examples alone, finds nothing either. Weights are a fixed number of floats, sent to the tasks.
 
 Base spans stay as they are; the field adds spans (kind crf) that overlap none of them. Documents are independent:
 no shuffle. Defined cases: null texts are empty and have no spans; a text of any length is scanned whole;
@@ -259,7 +260,12 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = SA
     # Segments of the sample, 40 a document and 8 * most in all, come to the driver as hashed features.
     got = sample.select("h", text).mapInArrow(run, "h long, k int, f array<int>, n int, y array<int>").dropDuplicates(["h", "k"]).orderBy("h", "k").limit(8 * most).toArrow().to_pydict()
     examples = [x for t, parts in generated() for x in examples_of(t, parts)]
-    examples += [(list(np.array(f).reshape(n, -1)), y) for f, n, y in zip(got["f"], got["n"], got["y"], strict=True)]
+    w, trans = train(examples)
+    for f, n, y in zip(got["f"], got["n"], got["y"], strict=True):
+        feats = list(np.array(f).reshape(n, -1))
+        # A base match is sure, but its absence is not: a segment without one serves where a first field finds none either.
+        if set(y) != {O} or set(viterbi(np.array([w[x].sum(axis=0) for x in feats]), trans)) == {O}:
+            examples.append((feats, y))
     return spark.sparkContext.broadcast(train(examples))
 
 
