@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, decontaminate, near_dup, secrets, toxicity
-from frameloom.llm.common import materialize, read_table
+from frameloom.llm.common import materialize, read_table, text_batches
 
 #: The pipeline rejects a document from this calibrated score on.
 REJECT = 0.5
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     return model.score(docs, keys=tuple(c for c in docs.columns if c != "text"), keep_text=True).filter(F.col("score") < REJECT).select(*docs.columns)
 

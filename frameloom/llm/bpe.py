@@ -11,7 +11,8 @@ Decoding. Token-position rows join the vocabulary and an ordered string aggregat
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes. Ids are
 packed as little-endian unsigned 32-bit integers in a binary column. Rows are independent: repeated
 rows give repeated results, an empty table gives an empty table, and columns other than those named
-never reach the Python workers.
+never reach the Python workers. What counts as a letter or a space follows the Unicode tables of the regex
+module; code points that these and tiktoken's tables disagree on (unassigned in Unicode 15) may split otherwise.
 
 Memory of a task is bounded by SLICE characters of text (or one text, if that is longer), WORDS words
 per DuckDB query and CACHE remembered words.
@@ -25,15 +26,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.llm.common import need
 
 #: Characters of text handled at once, words per recursive query, remembered words, decoded tokens per query.
-SLICE, WORDS, CACHE, TOKENS = 1_500_000, 20_000, 500_000, 400_000
+SLICE, WORDS, CACHE, TOKENS = 1_000_000, 20_000, 350_000, 300_000
 #: Words of more bytes than this go through the recursion one by one, as their rounds and rows are many.
 LONG = 400
+#: Punctuation that is one match behind letters: ASCII without the apostrophe of contractions.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 ENCODE_SQL = """
 WITH RECURSIVE step AS (
@@ -48,9 +52,8 @@ WITH RECURSIVE step AS (
            CASE WHEN s.nxt = b.pos THEN b.m ELSE s.r END AS r,
            s.nxt, b.m IS NULL AS done
     FROM step s
-    JOIN (SELECT w, (min(key) // 1048576)::INT AS m, (min(key) % 1048576)::INT AS pos, arg_min(nxt, key) AS nxt
-          FROM (SELECT w, nxt, m::BIGINT * 1048576 + pos AS key FROM step WHERE NOT done)
-          GROUP BY w) b ON s.w = b.w
+    JOIN (SELECT w, (key >> 40)::INT AS m, (key >> 20) & 1048575 AS pos, key & 1048575 AS nxt
+          FROM (SELECT w, min((m::BIGINT << 40) + (pos << 20) + nxt) AS key FROM step WHERE NOT done GROUP BY w)) b ON s.w = b.w
     WHERE NOT s.done AND s.pos IS DISTINCT FROM b.pos) x
   LEFT JOIN merges g ON NOT x.done AND g.l = x.l AND g.r = x.r
 )
@@ -84,7 +87,7 @@ class Codec:
         import regex
 
         self.ranks = read_ranks(raw)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         merges = merge_table(self.ranks)
         self.con.register("m", merges)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -94,7 +97,7 @@ class Codec:
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.pattern, self.odd_space, self.cut = regex.compile(pattern), regex.compile(r" (?=\s)| \Z"), regex.compile(r"(?= \S)")
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str | tuple[str], bytes] = {}
 
     def _symbols(self, words: list[bytes]) -> pa.Table:
         lens = np.fromiter(map(len, words), np.int64, len(words))
@@ -103,7 +106,7 @@ class Codec:
         pos = (np.arange(len(l)) - np.repeat(ends - lens, lens)).astype(np.int32)
         r = np.append(l[1:], np.int32(-1))
         r[ends - 1] = -1
-        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lens), "pos": pos, "l": l, "r": r, "nxt": pos + np.int32(1)})
+        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lens), "pos": pos.astype(np.int64), "l": l, "r": r, "nxt": pos.astype(np.int64) + 1})
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of words by the recursive query."""
@@ -147,13 +150,21 @@ class Codec:
             self.eager = set(self.ranks.values()) - low
         return self.eager
 
-    def learn(self, new: set[str]) -> None:
+    def _pieces(self, chunk: str) -> list[str]:
+        """The matches of the pattern in a chunk; letters, then perhaps ASCII punctuation, need no search."""
+        core = chunk.rstrip(PUNCTUATION)
+        if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+            return [core] if len(core) == len(chunk) else [core, chunk[len(core) :]]
+        return self.pattern.findall(chunk)
+
+    def learn(self, new: set[str | tuple[str]]) -> None:
         """Encode the matches of the pattern in new chunks, and remember the chunks."""
-        split = {c: self.pattern.findall(c) for c in new}
-        todo = sorted({p for ps in split.values() for p in ps if p not in self.words})
+        split = {c: self._pieces(" " + c if isinstance(c, str) else c[0]) for c in new}
+        every = set(chain.from_iterable(split.values()))
+        todo = sorted(every.difference(self.words))
         if len(self.words) + len(todo) > CACHE:
             self.words.clear()
-            todo = sorted({p for ps in split.values() for p in ps})
+            todo = sorted(every)
         raw = [p.encode() for p in todo]
         for i in (i for i, b in enumerate(raw) if len(b) > LONG):
             self.words[todo[i]] = self._contract_long(raw[i])
@@ -161,33 +172,32 @@ class Codec:
         for k in range(0, len(short), WORDS):
             part = short[k : k + WORDS]
             self.words.update(zip((todo[i] for i in part), self._contract([raw[i] for i in part]), strict=True))
-        if len(self.chunks) + len(split) > CACHE:
-            self.chunks.clear()
+        words = self.words
         for c, ps in split.items():
-            self.chunks[c] = b"".join([self.words[p] for p in ps])
+            self.chunks[c] = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
 
-    def split(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str | tuple[str]]:
         """Chunks of a text such that no match of the pattern crosses a cut: a single space before a
-        character that is no space starts a new match, so a cut before it is safe."""
+        character that is no space starts a new match, so a cut before it is safe. A string stands for
+        itself with a space before it, a tuple of one for a chunk as it is."""
         if not text:
             return []
         if self.odd_space.search(text):
-            return self.cut.split(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+            return [c[1:] if k else (c,) for k, c in enumerate(self.cut.split(text)) if c]
+        parts = text.split(" ")
+        parts[:1] = [(parts[0],)] if parts[0] else []
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.split(t) for t in texts]
-        distinct = set(chain.from_iterable(parts))
-        known = self.chunks
-        if len(known) + len(distinct) > CACHE:
-            known.clear()
-        new = {c for c in distinct if c not in known}
+        got = [list(map(self.chunks.get, p)) for p in parts]
+        new = {c for p, g in zip(parts, got, strict=True) if None in g for c, x in zip(p, g, strict=True) if x is None}
         if new:
+            if len(self.chunks) + len(new) > CACHE:
+                self.chunks.clear()
             self.learn(new)
-            if len(known) < len(distinct):  # cleared while learning
-                self.learn({c for c in distinct if c not in known})
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+            got = [[x if x is not None else self.chunks[c] for c, x in zip(p, g, strict=True)] if None in g else g for p, g in zip(parts, got, strict=True)]
+        return [b"".join(g) for g in got]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """Bytes of packed ids; TOKENS token rows go to a query, and a longer text takes several parts."""
@@ -226,30 +236,24 @@ def _slices(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def _mapped(df: DataFrame, column: str, size: Callable, work: Callable, most: int, name: str) -> DataFrame:
+def _mapped(df: DataFrame, column: str, empty: str | bytes, work: Callable, most: int, name: str) -> DataFrame:
     """Replace a column by a binary one, slice by slice."""
     keep = [c for c in df.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [x if x is not None else size.empty for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-            for at in _slices([len(v) for v in values], most):
-                rest = batch.slice(at.start, at.stop - at.start).select(keep)
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(work(values[at]), pa.binary())], [*keep, name])
+            values = batch.column(batch.schema.get_field_index(column))
+            rest = batch.select(keep)
+            for at in _slices(pc.fill_null(pc.binary_length(values), 0).to_pylist(), most):
+                n = at.stop - at.start
+                made = work([x if x is not None else empty for x in values.slice(at.start, n).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*rest.slice(at.start, n).columns, pa.array(made, pa.binary())], [*keep, name])
 
     from pyspark.sql import types as T
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.BinaryType())]))
 
 
-class _Text:
-    empty = ""
-
-
-class _Ids:
-    empty = b""
-
-
 def load_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The rank file's bytes, sent to the executors once (some hundred kB, the size of the vocabulary)."""
     with open(path, "rb") as f:
@@ -258,12 +262,12 @@ def load_vocabulary(spark: SparkSession, path: str) -> Broadcast:
 
 def encode(df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys and ids (binary, little-endian unsigned 32-bit) for every row; null texts count as empty."""
-    return _mapped(need(df, *keys, text), text, _Text, lambda v: _codec(vocabulary, pattern).encode(v), SLICE, "ids")
+    return _mapped(need(df, *keys, text), text, "", lambda v: _codec(vocabulary, pattern).encode(v), SLICE, "ids")
 
 
 def decode(df: DataFrame, vocabulary: Broadcast, pattern: str, ids: str = "ids", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys and decoded (binary) for every row of packed ids; null ids count as none."""
-    return _mapped(need(df, *keys, ids), ids, _Ids, lambda v: _codec(vocabulary, pattern).decode(v), SLICE, "decoded")
+    return _mapped(need(df, *keys, ids), ids, b"", lambda v: _codec(vocabulary, pattern).decode(v), SLICE, "decoded")
 
 
 def tokens(df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -12,8 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from frameloom.jobs.session import importable
 
 
+#: Rows of whole texts that go to a Python worker at once, where the session has Spark's default.
+ARROW_ROWS = "1000"
+
+
+def text_batches(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches of texts small, unless the session was given a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, ARROW_ROWS)
+    return importable(spark)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return text_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:

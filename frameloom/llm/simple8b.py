@@ -20,7 +20,9 @@ are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -39,20 +41,44 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: A value of 60 bits or more: the word ESCAPE, then the value. No encoder packs this word otherwise,
 #: as its body says one id of 60 bits with all bits set.
 ESCAPE = np.uint64(0xFFFFFFFFFFFFFFFF)
-BLOCK_WORDS, CACHE = 65_536, 400_000
+#: Words of a block, and what a worker remembers at most.
+BLOCK_WORDS, CACHE, PIECES = 65_536, 800_000, 200_000
+#: Punctuation that makes one piece when it stands behind letters: ASCII without apostrophe and <, |, > of special tokens.
+PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: The byte-level form: printable bytes stand for themselves, the others for 256, 257, ... in order (fixed rule).
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 BLOCK = "part int, block int, n_ids long, keys array<long>, counts array<int>, offsets array<int>, words binary"
 
 
-def _fits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every place: the best selector, and how many ids it takes."""
+def _fits(ids: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For every place the selector that takes most ids, none beyond the document's end (`left` ids from here).
+
+    What fits a selector fits every one of fewer and wider ids, so each test runs only on the places
+    that passed the one before.
+    """
     n = len(ids)
     best = np.full(n, 15, np.int8)
-    at = np.arange(n, dtype=np.int64)
+    at = None
     for s in range(14, -1, -1):
-        over = ids >= (np.uint64(1) << np.uint64(WIDTHS[s]))
-        stop = np.minimum.accumulate(np.where(over, at, n)[::-1])[::-1]
-        best[stop - at >= COUNTS[s]] = s
-    return best, COUNTS[best]
+        k, limit = int(COUNTS[s]), np.uint64(1) << np.uint64(WIDTHS[s])
+        if at is None:
+            small = np.append(ids < limit, np.zeros(k, bool))
+            good = left >= k
+            for j in range(k):
+                good &= small[j : n + j]
+            passed = np.flatnonzero(good)
+            if 4 * len(passed) < n or s == 9:
+                at = passed
+        else:
+            at = at[left[at] >= k]
+            for j in range(k):
+                at = at[ids[at + j] < limit]
+            passed = at
+        if not len(passed):
+            break
+        best[passed] = s
+    return best
 
 
 def encode(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,15 +86,8 @@ def encode(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, np.uint64)
     ends = np.cumsum(lens)
     left = np.repeat(ends, lens) - np.arange(len(ids))
-    best, count = _fits(ids)
-    # A selector must not reach past its document's end: shorter ones stand in, the last one holding what is left.
-    for s in range(16):
-        short = (count > left) & (best == s)
-        if s < 15 and short.any():
-            best[short] = s + 1
-            count[short] = COUNTS[s + 1]
-    # The wider selector is always wide enough, as WIDTHS grows with s.
-    steps, places, i, n = count.tolist(), [], 0, len(ids)
+    best = _fits(ids, left)
+    steps, places, i, n = COUNTS[best].tolist(), [], 0, len(ids)
     while i < n:
         places.append(i)
         i += steps[i]
@@ -118,32 +137,60 @@ def decode(words: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Ids of texts by a tokenizers file whose pieces never hold white space: each text's words between
-    ASCII white space are encoded once and remembered."""
+    """Ids of texts by a tokenizers file whose pieces never hold white space.
+
+    Each text's words between ASCII white space are encoded once and remembered as packed ids. A new word of
+    letters, with or without ASCII punctuation behind, has its pieces (in the byte-level form that the file's
+    pre-tokeniser gives) encoded by the library's model, each distinct piece once; every other word goes
+    through the library's whole chain. Both give what the library gives for the text, as tests show.
+    """
 
     def __init__(self, raw: bytes) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.known: dict[bytes, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", g.ids).tobytes() for g in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-tokenised piece."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > PIECES:
+                self.pieces.clear()
+            ids = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        return ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        odd: list[bytes] = []
+        for w in new:
+            t = w.decode()
+            core = t.rstrip(PUNCTUATION)
+            low = core.lower()
+            # Letters, then perhaps ASCII punctuation, are one piece each; words of any other form go through the library whole.
+            if core.isalpha() and (core.isascii() or (low.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", t))):
+                ids = self._piece(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS))
+                self.known[w] = ids if len(core) == len(t) else ids + self._piece(t[len(core) :])
+            else:
+                odd.append(w)
+        for k in range(0, len(odd), 4000):
+            some = odd[k : k + 4000]
+            self.known.update(zip(some, self._whole([w.decode() for w in some]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed little-endian unsigned 32-bit ids of each text."""
         parts = [t.encode().split() for t in texts]
-        new = list({w for p in parts for w in p if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list({w for p in parts for w in p})
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            got = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.known.update(zip(some, (g.ids for g in got), strict=True))
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for x in map(self.known.__getitem__, p):
-                ids += x
-            out.append(ids)
-        return out
+        got = [list(map(self.known.get, p)) for p in parts]
+        new = {w for p, g in zip(parts, got, strict=True) if None in g for w, x in zip(p, g, strict=True) if x is None}
+        if new:
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
+            self._learn(list(new))
+            got = [[x if x is not None else self.known[w] for w, x in zip(p, g, strict=True)] if None in g else g for p, g in zip(parts, got, strict=True)]
+        return [b"".join(g) for g in got]
 
 
 _CACHES: dict[int, WordCache] = {}
@@ -164,18 +211,18 @@ def load_tokenizer(spark: SparkSession, path: str) -> Broadcast:
 
 def _blocks(rows: Iterator[pa.RecordBatch], tokenizer: Broadcast, end_id: int) -> Iterator[pa.RecordBatch]:
     """Sorted (part, key, text) rows to blocks of about BLOCK_WORDS words."""
-    block, part = 0, None
+    block, part, total = 0, None, 0
     keys: list[int | None] = []
-    lens: list[int] = []
-    ids: list[int] = []
+    packed: list[bytes] = []
+    end = np.array([end_id], "<u4").tobytes()
 
     def out() -> pa.RecordBatch:
-        counts = np.array(lens, np.int64)
-        words, per = encode(np.array(ids, np.uint64), counts)
+        counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        words, per = encode(np.frombuffer(b"".join(packed), "<u4").astype(np.uint64), counts)
         offsets = np.cumsum(per) - per
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
-             pa.array([lens], pa.list_(pa.int32())), pa.array([offsets.tolist()], pa.list_(pa.int32())), pa.array([words.astype("<u8").tobytes()], pa.binary())],
+            [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([total], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
+             pa.array([counts.tolist()], pa.list_(pa.int32())), pa.array([offsets.tolist()], pa.list_(pa.int32())), pa.array([words.astype("<u8").tobytes()], pa.binary())],
             ["part", "block", "n_ids", "keys", "counts", "offsets", "words"])
 
     for batch in rows:
@@ -184,12 +231,11 @@ def _blocks(rows: Iterator[pa.RecordBatch], tokenizer: Broadcast, end_id: int) -
             part = some.column(0)[0].as_py() if part is None else part
             for key, got in zip(some.column(1).to_pylist(), _cache(tokenizer).encode([t or "" for t in some.column(2).to_pylist()]), strict=True):
                 keys.append(key)
-                lens.append(len(got) + 1)
-                ids += got
-                ids.append(end_id)
-                if len(ids) >= 3 * BLOCK_WORDS:
+                packed.append(got + end)
+                total += len(got) // 4 + 1
+                if total >= 3 * BLOCK_WORDS:
                     yield out()
-                    block, keys, lens, ids = block + 1, [], [], []
+                    block, keys, packed, total = block + 1, [], [], 0
     if keys:
         yield out()
 
