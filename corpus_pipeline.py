@@ -2,8 +2,12 @@
 
 toxicity drops documents that the classifier rejects; near_duplicates keeps the document of least id of
 each class; decontamination drops documents that hold a benchmark item; secrets keeps every document and
-masks the secrets in its text; tokens encodes and decodes. A null doc_id is an id like any other; rows that
-repeat an id stay or go together, but where their texts are near duplicates the first stands.
+masks the secrets in its text; tokens encodes and decodes.
+
+Defined cases: a null text is an empty document and passes every filter but that of near duplicates, where all
+null texts are equal; a document without an id is known by its text; rows that repeat an id are one document,
+and the one of least text stands; extra columns pass through unchanged whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,28 +17,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, decontaminate, near_dup, secrets, toxicity
-from frameloom.llm.common import materialize, read_table, text_batches
+from frameloom.llm.common import materialize, read_table
 
 #: The pipeline rejects a document from this calibrated score on.
 REJECT = 0.5
 
 
+def _by_place(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The rows with columns named by their place, so that no name clashes; the names of id and text."""
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
+    return plain, *(f"_c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+
+
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return model.score(docs, keys=tuple(c for c in docs.columns if c != "text"), keep_text=True).filter(F.col("score") < REJECT).select(*docs.columns)
+    plain, _, text = _by_place(docs)
+    scored = model.score(plain, text, tuple(c for c in plain.columns if c != text), keep_text=True)
+    return scored.filter(F.col("score") < REJECT).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1)))
-    kept = near_dup.classes(keyed, key="_id").filter("_id = class_id").select("_id").distinct()
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("text"))
-    return keyed.join(kept, "_id", "left_semi").withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+    plain, ident, text = _by_place(docs)
+    keyed = plain.withColumn("_id", F.coalesce(F.col(ident), -1 - F.abs(F.xxhash64(text) % (1 << 62))))
+    kept = near_dup.classes(keyed, text, "_id").filter("_id = class_id").select("_id").distinct()
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(text))
+    return keyed.join(kept, "_id", "left_semi").withColumn("_n", first).filter("_n = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialize(found, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    plain, ident, text = _by_place(docs)
+    keyed = plain.withColumn("_key", F.xxhash64(ident, text))
+    found = materialize(decontaminate.find(keyed, read_table(spark, sf_dir, "benchmark"), text=text, keys=("_key",)).select("_key").distinct(), "leaks")
+    return keyed.join(found, "_key", "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
