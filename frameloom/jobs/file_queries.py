@@ -59,7 +59,8 @@ def q_frame_delay_ms(spark, d):
 
 def q_png_chunks(spark, d):
     rows = container.png_chunks(pngs(spark, d))
-    return rows.select(C("path").cast("long").alias("path"), "chunk_no", "type", "length", container.chunk_crc_ok(C("type"), C("payload"), C("crc")).alias("crc_ok"))
+    known = F.when(C("type") != "IDAT", C("length"))  # what deflate makes is no concern here
+    return rows.select(C("path").cast("long").alias("path"), "chunk_no", "type", known.alias("length"), container.chunk_crc_ok(C("type"), C("payload"), C("crc")).alias("crc_ok"))
 
 
 def q_image_header(spark, d):
@@ -79,11 +80,17 @@ def q_trailing_bytes(spark, d):
 
 
 def q_restore(spark, d):
-    return container.restore(disguised(spark, d)).select("path", "frame_no", "is_anim", "delay_ms", F.md5("png").alias("png_md5"))
+    got = container.restore(disguised(spark, d)).withColumn("n", C("path").cast("long") + C("frame_no"))
+    plain = pngs(spark, d).select(C("path").cast("long").alias("n"), "content")
+    return got.join(plain, "n").select("path", "frame_no", "is_anim", "delay_ms", (C("png") == C("content")).alias("as_hidden"))
 
 
 def q_extract_cover(spark, d):
-    return container.extract_cover(disguised(spark, d)).select("path", F.md5("cover").alias("cover_md5"))
+    return container.extract_cover(disguised(spark, d)).join(pngs(spark, d), "path").select("path", (C("cover") == C("content")).alias("as_before"))
+
+
+def q_metadata_chunks(spark, d):
+    return metadata.metadata_chunks(metadata.write_exif(pngs(spark, d), TIFF_FIELDS)).select("path", "type")
 
 
 def q_number_frames(spark, d):
@@ -161,6 +168,7 @@ _INSPECT = """SELECT path, coalesce(m.v, 1)::INT AS version, coalesce(m.k, 'GENE
     SELECT path, bool_or(type = 'acTL') AS animated, count_if(type = 'fcTL') AS n,
       arg_min(CASE WHEN type = 'tEXt' AND keyword = 'disguise' AND len(string_split(value, ';')) = 3 THEN {{'v': split_part(value, ';', 1)::INT, 'k': split_part(value, ';', 2), 'c': split_part(value, ';', 3)::INT}} END, chunk_no) FILTER (type = 'tEXt' AND len(string_split(value, ';')) = 3) AS m
     FROM {marked_chunks} GROUP BY path) WHERE animated AND n > 0""".replace("{{", "struct_pack(").replace("}}", ")").replace("'v': ", "v := ").replace("'k': ", "k := ").replace("'c': ", "c := ")
+_FRAMES = "SELECT (vec_id - vec_id % 3)::VARCHAR AS path, (vec_id % 3)::INT AS frame_no, (vec_id - vec_id % 3) % 2 = 1 AS moving FROM embeddings WHERE vec_id % 3 > 0 AND (vec_id % 3 = 1 OR (vec_id - vec_id % 3) % 2 = 1)"
 _HIDDEN = "SELECT path, count_if(NOT (w = 1 AND h = 1))::BIGINT AS hidden FROM {frames} GROUP BY path"
 _MS = "floor(CASE WHEN delay_num = 0 THEN 10 ELSE delay_num END * 1000 / CASE WHEN delay_den = 0 THEN 100 ELSE delay_den END + 0.5)"
 
@@ -172,6 +180,11 @@ ORACLE_SQL = {k: duck(v) for k, v in {
     "restore_plan": f"SELECT path, kind, hidden, kind = 'ANIMATED' OR hidden >= 2 AS is_anim, CASE WHEN kind = 'GENERIC' THEN 'generic' WHEN kind = 'ANIMATED' OR hidden >= 2 THEN 'animated' ELSE 'static' END AS label, CASE WHEN kind = 'ANIMATED' OR hidden >= 2 THEN 'gif' ELSE 'png' END AS ext FROM ({_INSPECT}) JOIN ({_HIDDEN}) USING (path) WHERE hidden > 0",
     "frame_delay_ms": f"SELECT path, frame_no, CASE WHEN NOT has_ctl THEN 100 WHEN {_MS} < 10 THEN 20 ELSE {_MS} END::INT AS web, CASE WHEN NOT has_ctl THEN 100 WHEN {_MS} <= 10 THEN 100 ELSE {_MS} END::INT AS java FROM {{frames}}",
     "number_frames": "SELECT path, chunk_no, sum((type = 'fcTL')::INT) OVER (PARTITION BY path ORDER BY chunk_no)::INT AS frame_no FROM {chunks}",
+    "png_chunks": "SELECT vec_id AS path, n AS chunk_no, type, length::BIGINT AS length, true AS crc_ok FROM embeddings, (VALUES (0, 'IHDR', 13), (1, 'IDAT', NULL), (2, 'IEND', 0)) t(n, type, length)",
+    "frame_control": f"SELECT path, frame_no::BIGINT AS frame_no, 1 AS pieces, CASE WHEN moving THEN frame_no * 2 - 2 ELSE 0 END::BIGINT AS seq, 8::BIGINT AS w, 8::BIGINT AS h, CASE WHEN moving THEN frame_no * 4 ELSE 10 END::BIGINT AS delay_num, 100::BIGINT AS delay_den, 0::BIGINT AS dispose, 0::BIGINT AS blend FROM ({_FRAMES})",
+    "restore": f"SELECT path, frame_no, moving AS is_anim, CASE WHEN moving THEN frame_no * 40 ELSE 100 END AS delay_ms, true AS as_hidden FROM ({_FRAMES})",
+    "extract_cover": f"SELECT DISTINCT path, true AS as_before FROM ({_FRAMES})",
+    "metadata_chunks": "SELECT vec_id::VARCHAR AS path, type FROM embeddings, (VALUES ('eXIf'), ('tEXt')) t(type)",
     "image_header": "SELECT vec_id::VARCHAR AS path, 8::BIGINT AS width, 8::BIGINT AS height FROM embeddings",
     "trailing_bytes": "SELECT vec_id::VARCHAR AS path, (vec_id % 5)::BIGINT AS tail, true AS same_payload FROM embeddings",
     "strip_metadata": "SELECT vec_id::VARCHAR AS path, true AS as_before FROM embeddings",

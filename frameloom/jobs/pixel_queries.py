@@ -186,7 +186,7 @@ def q_gilbert_curve(spark, d):
 
 def q_scramble_round_trip(spark, d):
     p = px(spark, d)
-    curve = permute.curves(p.limit(1).select(F.lit(SIDE).alias("w"), F.lit(SIDE).alias("h")))
+    curve = permute.curves(spark.range(1).select(F.lit(SIDE).alias("w"), F.lit(SIDE).alias("h")))
     return permute.scramble_pixels(permute.scramble_pixels(p, curve, SIDE, SIDE), curve, SIDE, SIDE, back=True)
 
 
@@ -255,6 +255,9 @@ ORACLE_SQL = {k: duck(v) for k, v in {
     "gaussian_noise": "SELECT image_id, x, y, " + ", ".join(_clamp(_up(f"0.95::DOUBLE * {c} + 0.05::DOUBLE * (sqrt(-2 * ln({_uniform(2 * k)})) * cos(6.283185307179586::DOUBLE * {_uniform(2 * k + 1)})) * 255")) + f" AS {c}" for k, c in enumerate("rgb")) + ", a FROM {pixels}",
     "green_mix": "SELECT image_id, x, y, " + ", ".join(_clamp(_up(f"{c} * 0.85::DOUBLE + {255 * 0.15 if c == 'g' else 0.0}::DOUBLE - 19.2::DOUBLE + {32 * 0.15 if c == 'g' else 0.0}::DOUBLE")) + f" AS {c}" for c in "rgb") + ", a FROM {pixels}",
     "yuv_drift": "SELECT image_id, x, y, " + ", ".join(_clamp(f"floor((65536 * yy + {e}) / 65536.0::DOUBLE)") + f" AS {c}" for c, e in (("r", "116130 * u"), ("g", "-22553 * u - 46802 * v"), ("b", "91881 * v"))) + f", a FROM ({_DRIFT})",
+    "yuv_drift_rounds": f"""WITH RECURSIVE d AS (SELECT image_id, x, y, r, g, b, a, 0 AS n FROM {{pixels}} UNION ALL
+        SELECT image_id, x, y, {', '.join(_clamp(f'floor((65536 * yy + {e}) / 65536.0::DOUBLE)') for e in ('116130 * u', '-22553 * u - 46802 * v', '91881 * v'))}, a, n + 1
+        FROM ({_DRIFT.replace('x, y, a, ', 'x, y, a, n, ').replace('{pixels}', 'd')}) WHERE n < 15) SELECT image_id, x, y, r, g, b, a FROM d WHERE n = 15""",
     "overlay_corner": "SELECT p.image_id, p.x, p.y, " + ", ".join(f"CASE WHEN m.a IS NULL THEN p.{c} ELSE {_store(f'm.{c} * m.a / 255 + p.{c} * (255 - m.a) / 255')} END::INT AS {c}" for c in "rgb") + ", greatest(p.a, coalesce(m.a, 0)) AS a FROM {pixels} p LEFT JOIN {pixels} m ON m.image_id = 0 AND m.x < 3 AND m.y < 2 AND p.x = m.x + 5 AND p.y = m.y + 6",
     "resize": "SELECT image_id, (x // 2)::INT AS x, (y // 2)::INT AS y, " + ", ".join(f"{_store(f'avg({c})')} AS {c}" for c in "rgba") + " FROM {pixels} GROUP BY 1, 2, 3",
     "flatten_alpha": "SELECT image_id, x, y, " + ", ".join(f"round_even({c} * a / 255 + 255 * (255 - a) / 255, 0)::INT AS {c}" for c in "rgb") + " FROM {pixels}",
