@@ -39,9 +39,15 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, ident, text = _by_place(docs)
     keyed = plain.withColumn("_id", F.coalesce(F.col(ident), -1 - F.abs(F.xxhash64(text) % (1 << 62))))
-    kept = near_dup.classes(keyed, text, "_id").filter("_id = class_id").select("_id").distinct()
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(text))
-    return keyed.join(kept, "_id", "left_semi").withColumn("_n", first).filter("_n = 1").select(*plain.columns).toDF(*docs.columns)
+    # What goes, and ids that repeat, are few as a rule: a small table is broadcast by its measured size, and no text shuffled.
+    gone = materialize(near_dup.classes(keyed, text, "_id").filter("_id <> class_id").select("_id").distinct(), "gone")
+    twice = materialize(keyed.groupBy("_id").count().filter("count > 1").select("_id"), "repeated")
+    kept = keyed.join(gone, "_id", "left_anti")
+    if not twice.isEmpty():
+        first = F.row_number().over(Window.partitionBy("_id").orderBy(text))
+        again = kept.join(twice, "_id", "left_semi").withColumn("_n", first).filter("_n = 1").drop("_n")
+        kept = kept.join(twice, "_id", "left_anti").unionByName(again)
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    out = bpe.tokens(docs, vocabulary, public_tokenizers.PATTERN)
+    out = bpe.tokens(docs, vocabulary, public_tokenizers.PATTERN, remember=False)  # leaves the workers' memory to other stages
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 

@@ -236,7 +236,7 @@ def _slices(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def _mapped(df: DataFrame, column: str, empty: str | bytes, work: Callable, most: int, name: str) -> DataFrame:
+def _mapped(df: DataFrame, column: str, empty: str | bytes, work: Callable, most: int, name: str, remember: bool) -> DataFrame:
     """Replace a column by a binary one, slice by slice."""
     keep = [c for c in df.columns if c != column]
 
@@ -248,6 +248,8 @@ def _mapped(df: DataFrame, column: str, empty: str | bytes, work: Callable, most
                 n = at.stop - at.start
                 made = work([x if x is not None else empty for x in values.slice(at.start, n).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*rest.slice(at.start, n).columns, pa.array(made, pa.binary())], [*keep, name])
+        if not remember:
+            _CODECS.clear()
 
     from pyspark.sql import types as T
 
@@ -260,18 +262,18 @@ def load_vocabulary(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), remember: bool = True) -> DataFrame:
     """keys and ids (binary, little-endian unsigned 32-bit) for every row; null texts count as empty."""
-    return _mapped(need(df, *keys, text), text, "", lambda v: _codec(vocabulary, pattern).encode(v), SLICE, "ids")
+    return _mapped(need(df, *keys, text), text, "", lambda v: _codec(vocabulary, pattern).encode(v), SLICE, "ids", remember)
 
 
-def decode(df: DataFrame, vocabulary: Broadcast, pattern: str, ids: str = "ids", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def decode(df: DataFrame, vocabulary: Broadcast, pattern: str, ids: str = "ids", keys: tuple[str, ...] = ("doc_id",), remember: bool = True) -> DataFrame:
     """keys and decoded (binary) for every row of packed ids; null ids count as none."""
-    return _mapped(need(df, *keys, ids), ids, b"", lambda v: _codec(vocabulary, pattern).decode(v), SLICE, "decoded")
+    return _mapped(need(df, *keys, ids), ids, b"", lambda v: _codec(vocabulary, pattern).decode(v), SLICE, "decoded", remember)
 
 
-def tokens(df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Round trip: keys, ids, decoded."""
-    out = encode(df, vocabulary, pattern, text, keys)
+def tokens(df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), remember: bool = True) -> DataFrame:
+    """Round trip: keys, ids, decoded. Workers keep the words they met for later tasks, unless told to forget them at the end of each."""
+    out = encode(df, vocabulary, pattern, text, keys, remember)
     both = out.withColumn("packed", out["ids"])
-    return decode(both, vocabulary, pattern, "packed", (*keys, "ids"))
+    return decode(both, vocabulary, pattern, "packed", (*keys, "ids"), remember)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
 
 #: Lower-cased runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
-SIZE, CACHE = 5, 500_000
+SIZE, CACHE = 5, 250_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,10 +37,10 @@ class WordHashes:
         known, one = self.known, xxhash.xxh64_intdigest
         if len(known) > CACHE:
             known.clear()
-        for w in {w for ws in listed for w in ws} - known.keys():
+        for w in set().union(*listed).difference(known):
             known[w] = one(w)
         lens = np.fromiter(map(len, listed), np.int64, len(listed))
-        return np.fromiter((known[w] for ws in listed for w in ws), np.uint64, int(lens.sum())), lens
+        return np.fromiter(map(known.__getitem__, chain.from_iterable(listed)), np.uint64, int(lens.sum())), lens
 
 
 def shingle_hashes(hashes: np.ndarray, lens: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:

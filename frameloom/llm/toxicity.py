@@ -55,7 +55,7 @@ MARKS, PUNCTUATION = re.compile(r"[!?]"), re.compile(r"[^\w\s]")
 UNMASK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "#": "", "%": "", "&": ""})
 SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 #: Remembered words, words between a hit and a second-person word, log-odds from which a hit is strong.
-CACHE, NEAR, STRONG = 300_000, 4, 3.0
+CACHE, NEAR, STRONG = 150_000, 4, 3.0
 #: The log likelihood ratio a term must reach, and the label 1 rows below which nothing is kept apart.
 EVIDENCE, FEW = 18.0, 60
 
