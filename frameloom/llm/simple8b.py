@@ -42,7 +42,7 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: as its body says one id of 60 bits with all bits set.
 ESCAPE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words of a block, and what a worker remembers at most.
-BLOCK_WORDS, CACHE, PIECES = 65_536, 800_000, 200_000
+BLOCK_WORDS, CACHE, PIECES = 65_536, 1_100_000, 300_000
 #: Punctuation that makes one piece when it stands behind letters: ASCII without apostrophe and <, |, > of special tokens.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: The byte-level form: printable bytes stand for themselves, the others for 256, 257, ... in order (fixed rule).
