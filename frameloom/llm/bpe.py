@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from frameloom.llm.common import need
 
 #: Characters of text handled at once, words per recursive query, remembered words, decoded tokens per query.
-SLICE, WORDS, CACHE, TOKENS = 1_000_000, 20_000, 350_000, 300_000
+SLICE, WORDS, CACHE, TOKENS = 1_500_000, 20_000, 480_000, 300_000
 #: Words of more bytes than this go through the recursion one by one, as their rounds and rows are many.
 LONG = 400
 #: Punctuation that is one match behind letters: ASCII without the apostrophe of contractions.
