@@ -24,7 +24,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ SKETCHES, THRESHOLD, ROUNDS, SALT_ROWS = 16, 0.8, 3, 2000
 SHARED, NEXT = 2, 3
 #: Bits of the map that tells which texts are asked for.
 BITS = 1 << 22
+#: Most counters of shingles: a byte each comes to the driver and goes to the workers, whatever the input.
+COUNTERS = 1 << 22
 #: Edits up to which an alignment follows the diagonals of its band; beyond, it fills the band row by row.
 FEW = 48
 
@@ -210,8 +213,19 @@ def _sequences(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataF
     A bit map lets the other texts go before the shuffle; where ids are too many for it, more pass, and the
     join decides.
     """
+
+    def run(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
+        listed, lens = hashes([words(t) for t in texts])
+        return [pa.array([listed[e - n : e].astype("<u8").tobytes() for e, n in zip(np.cumsum(lens), lens, strict=True)], pa.binary())]
+
+    return _of_wanted(docs, wanted, text, key, run, "seq binary").join(wanted, "id", "left_semi")
+
+
+def _of_wanted(docs: DataFrame, wanted: DataFrame, text: str, key: str, made: Callable[[list[str], WordHashes], list[pa.Array]], schema: str) -> DataFrame:
+    """id and what `made` makes of the text, for the wanted ids and the few others that the bit map lets pass."""
     held = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
     bit = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS))
+    names = ["id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, marks = WordHashes(), held.value
@@ -220,12 +234,10 @@ def _sequences(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataF
             keep = pa.array(np.flatnonzero(marks[bucket, at // 8] >> (at % 8).astype(np.uint8) & 1))
             ids, texts = batch.column(0).take(keep), batch.column(3).take(keep).to_pylist()
             for part in slices(texts):
-                listed, lens = hashes([words(t) for t in texts[part]])
-                ends = np.cumsum(lens)
-                yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), pa.array([listed[e - n : e].astype("<u8").tobytes() for e, n in zip(ends, lens, strict=True)], pa.binary())], ["id", "seq"])
+                yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), *made(texts[part], hashes)], names)
 
     passed = docs.select(F.col(key).cast("long").alias("id"), F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"), text).filter("id IS NOT NULL")
-    return passed.mapInArrow(run, "id long, seq binary").join(wanted, "id", "left_semi")
+    return passed.mapInArrow(run, f"id long, {schema}")
 
 
 def _shared(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -281,6 +293,84 @@ def _centred(members: DataFrame) -> DataFrame:
     return members.join(centre.select("bucket", (-F.col("c.less")).alias("centre")), "bucket").filter("id <> centre").select("id", "centre").distinct()
 
 
+def _distinct_shingles(texts: list[str], hashes: WordHashes) -> list[np.ndarray]:
+    sh, n = shingle_hashes(*hashes([words(t) for t in texts]))
+    return [np.unique(x) for x in np.split(sh, np.cumsum(n)[:-1])]
+
+
+def _shingle_counts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> np.ndarray:
+    """How many texts hold a shingle, by its low bits: never too few, and at most 254. A byte for each of 64 * texts counters, COUNTERS at most."""
+    size = min(COUNTERS, 1 << max(16, (64 * wanted.count()).bit_length()))
+
+    def run(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
+        return [pa.array([(x & np.uint64(size - 1)).astype("<u4").tobytes() for x in _distinct_shingles(texts, hashes)], pa.binary())]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.uint32)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(n, np.frombuffer(x, "<u4"), 1)
+        parts = np.minimum(n, 254).astype(np.uint8).reshape(-1, 65536)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], ["part", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        n = np.zeros(65536, np.uint32)
+        for x in table.column("n").to_pylist():
+            n += np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "n": pa.array([np.minimum(n, 254).astype(np.uint8).tobytes()], pa.binary())})
+
+    counted = _of_wanted(docs, wanted, text, key, run, "low binary").select("low").mapInArrow(count, "part int, n binary")
+    out = np.zeros((size // 65536, 65536), np.uint8)
+    for r in counted.groupBy("part").applyInArrow(add, "part int, n binary").collect():
+        out[r["part"]] = np.frombuffer(r["n"], np.uint8)
+    return out.reshape(-1)
+
+
+def _prefixes(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
+    """id, n (distinct shingles), token, at: the rarest shingles of each text and their places in its order.
+
+    A text that has a Jaccard similarity of THRESHOLD with another shares one of its first n - THRESHOLD n + 1
+    shingles with it, in any order that all texts keep. Shingles that no other text holds are counted, not given.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_shingle_counts(docs, wanted, text, key))
+
+    def run(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
+        counts, n, tokens, at = held.value, [], [], []
+        for x in _distinct_shingles(texts, hashes):
+            often = counts[x & np.uint64(len(counts) - 1)]
+            # np.unique has put the shingles in order, so equal counts stand by hash.
+            first = np.argsort(often, kind="stable")[: len(x) - int(np.ceil(THRESHOLD * len(x) - 1e-6)) + 1]
+            place = np.flatnonzero(often[first] > 1)
+            n.append(len(x))
+            tokens.append(x[first[place]].view(np.int64))
+            at.append(place.astype(np.int32))
+        return [pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))]
+
+    rows = _of_wanted(docs, wanted, text, key, run, "n int, tokens array<long>, at array<int>").dropDuplicates(["id"]).join(wanted, "id")
+    return rows.select("id", "root", "n", F.explode(F.arrays_zip("tokens", "at")).alias("x")).select("id", "root", "n", F.col("x.tokens").alias("token"), F.col("x.at").alias("at"))
+
+
+def _remainder(open_: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, centre, a, b): all pairs of the open texts (id, root) of different roots a < b whose Jaccard similarity may reach the threshold.
+
+    The text of fewer shingles (then of less id) is the small one, and its prefix is the shorter: both must
+    share t / (1 + t) of their shingles together, more than that lies behind a place is not left. Hot tokens are salted.
+    """
+    rows = materialize(_prefixes(docs, open_, text, key), "prefixes")
+    share = THRESHOLD / (1 + THRESHOLD)
+    small = F.col("n") - F.col("at") >= 2 * share * F.col("n") - 1e-6
+    live = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(small).alias("any"), F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).filter("a <> b AND any")
+    rows = materialize(rows.join(live.select("token", "salts"), "token"), "tokens")
+    one = rows.filter(small).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("s")
+    two = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("l")
+    fits = F.least(F.col("s.n") - F.col("s.at"), F.col("l.n") - F.col("l.at")) >= share * (F.col("s.n") + F.col("l.n")) - 1e-6
+    less = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.id") < F.col("l.id")))
+    same = (F.col("s.token") == F.col("l.token")) & (F.col("s.salt") == F.col("l.salt"))
+    found = one.join(two, same & less & fits & (F.col("s.root") != F.col("l.root")))
+    return found.select(F.greatest("s.id", "l.id").alias("id"), F.least("s.id", "l.id").alias("centre"), F.least("s.root", "l.root").alias("a"), F.greatest("s.root", "l.root").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, class_id for every row: the least id among the texts that are equal to or linked with this one."""
     rows = need(docs, key, text).withColumn(key, F.col(key).cast("long"))
@@ -315,6 +405,25 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
             break
         tried, links = tried.unionAll(fresh), links.unionAll(more)
         roots = materialize(components(links), "roots")
+    # What is still split is searched without a centre: one pair for each two components first, then all that they leave.
+    rooted = member.join(roots, "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
+    open_ = materialize(rooted.join(split, "bucket", "left_semi").select("id", "root").distinct(), "open")
+    if not open_.isEmpty():
+        left = materialize(_remainder(open_, rows, text, key).join(tried, ["id", "centre"], "left_anti"), "remainder")
+        for first in (True, False):
+            if left.isEmpty():
+                break
+            asked = left.groupBy("a", "b").agg(F.min(F.struct("id", "centre")).alias("p")).select("p.*") if first else left.select("id", "centre")
+            asked = materialize(asked, "pairs")
+            more = materialize(_verified(asked, rows, text, key), "links")
+            if not more.isEmpty():
+                links = links.unionAll(more)
+                roots = materialize(components(links), "roots")
+            if first:
+                now = roots.select(F.col("id").alias("n"), "root")
+                left = left.join(asked, ["id", "centre"], "left_anti").join(now.toDF("id", "r"), "id", "left").join(now.toDF("centre", "q"), "centre", "left")
+                left = materialize(left.filter(F.coalesce("r", "id") != F.coalesce("q", "centre")).select("id", "centre"), "remainder")
     return copies.join(roots, copies["first"] == roots["id"], "left").select(copies["id"].alias(key), F.coalesce("root", "first").alias("class_id"))
 
 

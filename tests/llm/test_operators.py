@@ -384,6 +384,29 @@ def test_classes_equal_brute_force(spark):
     assert near_dup.classes(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_classes_in_a_family_of_a_shared_passage(spark):
+    rnd = random.Random(12)
+    own = lambda k: [f"w{rnd.randrange(10**9)}" for _ in range(k)]
+    passage, texts = own(62), []
+    for _ in range(100):
+        tail = own(5)
+        texts += [" ".join(passage + tail + own(5)), " ".join(passage + tail + own(5))]
+    texts += [" ".join(passage + own(10)) for _ in range(400)]
+    rnd.shuffle(texts)
+    hashes = near_dup.WordHashes()
+    seqs = [hashes([near_dup.words(t)])[0] for t in texts]
+    sets = [set(near_dup.shingle_hashes(s, np.array([len(s)]))[0].tolist()) for s in seqs]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.79 * len(sets[i] | sets[j]) and near_dup.similar(seqs[i], seqs[j]):
+                root[i] = root[j]
+                break
+    assert sum(root[i] != i for i in root) == 0 and len(set(root)) == 500
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs(spark, texts)).collect()}
+    assert sum(got[i] != root[i] for i in range(len(texts))) == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 120).selectExpr("id", "id - 1 AS centre").unionAll(spark.range(201, 210).selectExpr("id", "200L AS centre"))
     got = {r["id"]: r["root"] for r in near_dup.components(edges).collect()}
