@@ -170,13 +170,20 @@ def q_diffuse_round(spark, d):
 
 
 def q_diffuse_fill(spark, d):
-    decoded = decode.window_decode(windowed(spark, d))
-    known = decoded.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", F.when(C("is_fill"), "00").otherwise("01").alias("k")))), lambda s: s["k"]), "").alias("k"))
-    images = pixels.to_images(decoded).join(known.select("image_id", F.unhex("k").alias("known")), "image_id")
+    images = decode.known_images(decode.window_decode(windowed(spark, d)))
     return decode.diffuse_fill(images, 1).select("image_id", F.lower(F.hex("rgba")).alias("rgba"), "unfilled")
 
 
+def q_diffuse_fill_rounds(spark, d):
+    images = decode.known_images(decode.window_decode(windowed(spark, d)))
+    return decode.diffuse_fill(images).select("image_id", F.lower(F.hex("rgba")).alias("rgba"), "unfilled")
+
+
 def q_decode_pipeline(spark, d):
+    return decode.decode_pipeline(px(spark, d), presets(spark, d), 1)
+
+
+def q_decode_pipeline_rounds(spark, d):
     return decode.decode_pipeline(px(spark, d), presets(spark, d))
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.operators.pixels import clamp, half_up, luma, store
+from frameloom.operators.pixels import clamp, half_up, luma, store, to_images
 
 C = F.col
 #: Weights of the neighbours by squared distance (fixed values).
@@ -55,11 +56,11 @@ def diffuse_round(decoded: DataFrame) -> DataFrame:
     return got.select("image_id", "x", "y", *(F.coalesce(f"m{c}", c).alias(c) for c in "rgba"), (C("is_fill") & C("mr").isNull()).alias("is_fill"))
 
 
-def diffuse_block(rgba: np.ndarray, known: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same on an image block, all rounds, until nothing is left or nothing changes."""
+def diffuse_block(rgba: np.ndarray, known: np.ndarray, rounds: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The same on an image block, `rounds` rounds (None: any number), until nothing is left or nothing changes."""
     h, w = known.shape
     rgba, known = rgba.astype(np.float64), known.copy()
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if known.all():
             break
         weight, total = np.zeros((h, w)), np.zeros((h, w, 4))
@@ -76,25 +77,43 @@ def diffuse_block(rgba: np.ndarray, known: np.ndarray, rounds: int) -> tuple[np.
     return rgba.astype(np.uint8), known
 
 
-def diffuse_fill(images: DataFrame, rounds: int) -> DataFrame:
-    """images(image_id, w, h, rgba, known) with unknown pixels filled; one image is one row, so no shuffle."""
+def known_images(decoded: DataFrame) -> DataFrame:
+    """images(image_id, w, h, rgba, known) of decoded pixels: known has a byte for each pixel, 1 where it is not to be filled."""
+    known = decoded.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", F.when(C("is_fill"), "00").otherwise("01").alias("k")))), lambda s: s["k"]), "").alias("k"))
+    return to_images(decoded).join(known.select("image_id", F.unhex("k").alias("known")), "image_id")
+
+
+def diffuse_fill(images: DataFrame, rounds: int | None = None) -> DataFrame:
+    """images(image_id, w, h, rgba, known) with unknown pixels filled, `rounds` rounds or until nothing changes; one image is one row, so no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 p = np.frombuffer(row["rgba"], np.uint8).reshape(row["h"], row["w"], 4).copy()
                 p, known = diffuse_block(p, np.frombuffer(row["known"], np.uint8).reshape(row["h"], row["w"]) > 0, rounds)
-                out.append((row["image_id"], row["w"], row["h"], p.tobytes(), int((~known).sum())))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()], strict=True)], ["image_id", "w", "h", "rgba", "unfilled"])
+                out.append((row["image_id"], row["w"], row["h"], p.tobytes(), int((~known).sum()), known.astype(np.uint8).tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()], strict=True)], ["image_id", "w", "h", "rgba", "unfilled", "known"])
 
-    return images.select(C("image_id").cast("long").alias("image_id"), C("w").cast("int").alias("w"), C("h").cast("int").alias("h"), "rgba", "known").mapInArrow(run, "image_id long, w int, h int, rgba binary, unfilled int")
+    return images.select(C("image_id").cast("long").alias("image_id"), C("w").cast("int").alias("w"), C("h").cast("int").alias("h"), "rgba", "known").mapInArrow(run, "image_id long, w int, h int, rgba binary, unfilled int, known binary")
 
 
-def decode_pipeline(pixels: DataFrame, presets: DataFrame) -> DataFrame:
-    """Decode with an image's preset (image_id, low, high, contrast), else with the window of its histogram."""
-    window = auto_window(luma_histogram(pixels)).join(presets.select("image_id", C("low").alias("pl"), C("high").alias("ph"), C("contrast").alias("pc")), "image_id", "left")
-    window = window.select("image_id", F.coalesce("pl", "low").alias("low"), F.coalesce("ph", "high").alias("high"), F.coalesce("pc", F.lit(0)).alias("contrast"))
-    return diffuse_round(window_decode(pixels.join(window, "image_id")))
+def _filled_pixels(images: DataFrame) -> DataFrame:
+    """The pixels of filled images, and is_fill for those that no round reached."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                p = np.frombuffer(row["rgba"], np.uint8).reshape(-1, 4).astype(np.int32)
+                at = np.arange(len(p), dtype=np.int32)
+                left = np.frombuffer(row["known"], np.uint8) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), row["image_id"], np.int64)), pa.array(at % row["w"], pa.int32()), pa.array(at // row["w"], pa.int32()), *(pa.array(p[:, k]) for k in range(4)), pa.array(left)], ["image_id", "x", "y", *"rgba", "is_fill"])
+
+    return images.select("image_id", "w", "rgba", "known").mapInArrow(run, "image_id long, x int, y int, r int, g int, b int, a int, is_fill boolean")
 
 
+def decode_pipeline(pixels: DataFrame, presets: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Decode with an image's preset (image_id, low, high, contrast), else with the window of its histogram; then diffuse for `rounds` rounds or until nothing changes."""
+    window = auto_window(luma_histogram(pixels)).join(presets.select("image_id", C("low").alias("pl"), C("high").alias("ph"), C("contrast").alias("pc")), "image_id", "left")
+    window = window.select("image_id", F.coalesce("pl", "low").alias("low"), F.coalesce("ph", "high").alias("high"), F.coalesce("pc", F.lit(0)).alias("contrast"))
+    decoded = window_decode(pixels.join(window, "image_id"))
+    return diffuse_round(decoded) if rounds == 1 else _filled_pixels(diffuse_fill(known_images(decoded), rounds))

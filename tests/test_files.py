@@ -182,6 +182,44 @@ def test_diffusion_stops():
     assert full.all() and (out == 200).all()
 
 
+def brute_diffusion(rgba, known):
+    """All synchronous rounds, pixel by pixel."""
+    h, w = known.shape
+    while True:
+        was, there, changed = rgba.copy(), known.copy(), False
+        for y, x in zip(*np.where(~there), strict=True):
+            near = [(k, was[y + dy, x + dx].astype(float)) for dx, dy, k in decode.OFFSETS if 0 <= x + dx < w and 0 <= y + dy < h and there[y + dy, x + dx]]
+            if near:
+                rgba[y, x] = [round(round(float(sum(k * v[c] for k, v in near)) / sum(k for k, _ in near), 6)) for c in range(4)]
+                known[y, x] = changed = True
+        if not changed:
+            return rgba, known
+
+
+def test_diffusion_of_many_rounds(spark):
+    h, w, rows = 9, 14, []
+    for i in range(3):
+        rng = np.random.default_rng(i)
+        at = np.full((h, w), 250)
+        # Image 0 has two known corners, image 1 one spot, image 2 nothing in its window.
+        for y, x in [[(0, 0), (8, 13), (1, 0)], [(4, 2)], []][i]:
+            at[y, x] = rng.integers(40, 90)
+        rows += [(i, x, y, int(at[y, x]), int(at[y, x]), int(at[y, x]), 255) for y in range(h) for x in range(w)]
+    p = spark.createDataFrame(rows, "image_id long, x int, y int, r int, g int, b int, a int")
+    presets = spark.createDataFrame([(i, 30, 100, 0) for i in range(3)], "image_id long, low int, high int, contrast int")
+    decoded = decode.window_decode(p.join(presets, "image_id"))
+    want = {}
+    for i in range(3):
+        rgba, known = np.zeros((h, w, 4), np.uint8), np.zeros((h, w), bool)
+        for r in decoded.filter(f"image_id = {i}").collect():
+            rgba[r["y"], r["x"]], known[r["y"], r["x"]] = [r[c] for c in "rgba"], not r["is_fill"]
+        rgba, known = brute_diffusion(rgba, known)
+        want |= {(i, x, y): (*map(int, rgba[y, x]), not known[y, x]) for y in range(h) for x in range(w)}
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in decode.decode_pipeline(p, presets).collect()}
+    assert got == want
+    assert {i: sum(v[4] for k, v in got.items() if k[0] == i) for i in range(3)} == {0: 0, 1: 0, 2: h * w}
+
+
 def test_partition_count_does_not_matter(spark):
     f = files(spark, **{f"f{i}": (STATIC, MOVING, PLAIN)[i % 3] for i in range(12)})
     one, many = (sorted(map(tuple, container.restore(f.repartition(n)).collect())) for n in (1, 8))
