@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and a linear-chain conditional random field decoded by Viterbi.
 
 Tokens are runs of letters, digits and + / _ . = -. The field tags each as begin, inside or outside of a
-secret. Only tokens of MIN_CHARS or more characters with a digit may begin or continue one; all others are
-outside by rule, so they cut the chain, and the best path is found segment by segment, each a run of
+secret. Tokens of MIN_CHARS characters, of MIXED characters that mix digits, capitals and small letters,
+and of MIN_BESIDE beside a keyword may begin or continue one, with digits or not; all others are outside by rule, so they cut the chain, and the best path is found segment by segment, each a run of
 tokens that may be secret with nothing but white space and quotes between. Features are hashed: the
 token's shape (lengths, classes of characters, share of digits, entropy, prefix, form of a UUID, date, address or
 number), the words and characters beside it, and those of the file (how many such tokens, how
@@ -28,6 +28,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,12 @@ KINDS = ("assign", "access", "hex", "crf")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
 SAMPLE, MIN_CHARS, BUCKETS, EPOCHS, GENERATED = 1500, 10, 1 << 14, 6, 1200
+#: Least lengths of shorter candidates: those that mix classes of characters, and those beside a keyword. Segments of a sampled document.
+MIXED, MIN_BESIDE, SEGMENTS = 6, 4, 40
 B, I, O = 0, 1, 2
-DIGIT, TOKEN_CHARS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z0-9+/_.=-]+")
+TOKEN, WORDLIKE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}"), re.compile(r"[A-Za-z0-9]")
+#: A digit and a letter, or a capital behind a small letter.
+MIX = re.compile(r"(?=[^a-z]*[a-z])(?=.*[0-9])|(?=.*[A-Z])(?=.*[0-9])|.*[a-z][A-Z]", re.A)
 BEFORE, AFTER = re.compile(r"[^\W_]+"), re.compile(r"\W*([^\W_]+)")
 GAP = re.compile(r"[\s\"'`\\]*")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
@@ -55,6 +60,11 @@ DATE = re.compile(r"\d{4}-\d\d-\d\d|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}")
 NUMBER = re.compile(r"[+-]?[\d.,/-]+")
 VERSION = re.compile(r"v?\d+(?:\.\d+)+[\w-]*")
 KEYWORDS = frozenset("password passwd pwd secret token key apikey api auth authorization bearer credential credentials private access client aws session jwt".split())
+NAMED = re.compile(r"passw|pwd|pass|secret|token|key|auth|bearer|credential|session|jwt", re.I)
+#: The place of the token that follows a keyword, with blanks, quotes and : or = between, and "is" at most.
+BESIDE = re.compile(r"(?:passw(?:or)?d|passphrase|pwd|pass|secret|token|key|auth|authorization|bearer|credentials?|session|jwt)[\"'`]?[ \t]*(?:[:=]+|is\b|[ \t])[ \t]*[\"'`]*(?=([A-Za-z0-9+/_.=-]+))", re.I)
+#: How the keywords of BESIDE begin.
+STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "session", "jwt")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_", "sk-", "pk_", "xox", "eyJ", "AIza", "glpat", "MII")
 
 Span = tuple[str, int, int]
@@ -74,25 +84,49 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _beside(text: str) -> list[tuple[int, int]]:
+    """Places of the tokens that follow a keyword."""
+    low = text.lower()
+    if len(low) != len(text):
+        return [m.span(1) for m in BESIDE.finditer(text)]
+    out = []
+    for stem in STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            m = BESIDE.match(text, at)
+            if m:
+                out.append(m.span(1))
+            at = low.find(stem, at + 1)
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens that may be part of a secret."""
-    out, at = [], 0
-    while (m := DIGIT.search(text, at)) is not None:
-        start = m.start()
-        while start > 0 and start > at and TOKEN_CHARS.match(text[start - 1]):
-            start -= 1
-        end = TOKEN_CHARS.match(text, m.start()).end()
-        at = end
+    """Tokens that may be part of a secret: those of MIN_CHARS characters, of MIXED characters that mix digits, capitals
+    and small letters, and any of MIN_BESIDE beside a keyword. What holds neither digit nor letter is none."""
+    beside = _beside(text)
+    starts = {a for a, _ in beside}
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    # Tokens of fewer than MIXED characters count beside a keyword only.
+    short = {(a, b) for a, b in beside if b - a < MIXED}
+    out = []
+    for first, end in sorted({*spans, *short}) if short else spans:
+        start = first
         while start < end and text[start] in ".=-":
             start += 1
         while end > start and text[end - 1] in ".-":
             end -= 1
         # What stands before = in a token is the name of a setting.
         cut = text.find("=", start, end)
-        if cut > start and text[cut:end].strip("="):
+        named = cut > start and text[cut:end].strip("=") != ""
+        if named:
+            named = NAMED.search(text, start, cut) is not None
             start = cut + 1
-        if end - start >= MIN_CHARS and DIGIT.search(text, start, end):
-            out.append((start, end))
+        n = end - start
+        if n < MIN_BESIDE:
+            continue
+        if n >= MIN_CHARS or named or first in starts or (n >= MIXED and MIX.match(text, start, end)):
+            if WORDLIKE.search(text, start, end):
+                out.append((start, end))
     return out
 
 
@@ -113,24 +147,50 @@ def file_features(text: str, tokens: list[tuple[int, int]]) -> list[str]:
     return [f"f:n{min(6, len(tokens).bit_length())}", f"f:code{min(4, int(code * 200))}", f"f:long{min(5, int(math.log10(len(text) + 1)))}", f"f:lines{min(4, len(text) // max(1, lines) // 40)}"]
 
 
+#: Changes of case inside a token, and runs of consonants as words seldom hold them.
+INNER, DOUBLE, HARD = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]"), re.compile("[A-Z]{2}"), re.compile(r"[bcdfghjklmnpqrstvwxz]{4,}", re.I)
+SETS = ("=", ":", '"', "'")
+CLASSES = [(x, re.compile(p)) for x, p in (("d", r"\d"), ("l", "[a-z]"), ("u", "[A-Z]"), ("s", r"[+/]"), ("e", "="), ("-", "-"), (".", r"\."), ("_", "_"))]
+CAPITAL_HEX = re.compile("[0-9A-F]+")
+
+
+def _rare(t: str) -> int:
+    return min(4, sum(len(x) for x in HARD.findall(t)) * 8 // len(t))
+
+
+def _hash(names: list[str]) -> list[int]:
+    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+
+
+@lru_cache(1 << 14)
+def _own(t: str) -> tuple[str, str, list[int]]:
+    """The form of a token, its classes of characters, and the hashed features that hang on the token alone."""
+    n = len(t)
+    digits = sum(map(str.isdigit, t)) / n
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(t).values())
+    classes = "".join(x for x, p in CLASSES if p.search(t))
+    form = "uuid" if UUID.fullmatch(t) else "date" if DATE.match(t) else "number" if NUMBER.fullmatch(t) else "version" if VERSION.fullmatch(t) else "hex" if HEX.fullmatch(t) else "HEX" if CAPITAL_HEX.fullmatch(t) else "other"
+    names = [
+        "bias", f"len{min(8, n // 6)}", f"short{min(n, 16)}", f"case{min(9, len(INNER.findall(t)))}", f"rare{_rare(t)}", f"ups{int(sum(map(str.isupper, t)) / n * 8)}:{min(4, n // 6)}", f"first{t[:1].isupper()}:{min(3, len(INNER.findall(t)))}:{min(4, len(DOUBLE.findall(t)))}", f"cls{classes}", f"dig{int(digits * 5)}", f"ent{int(entropy * 2)}",
+        f"form:{form}", f"form:{form}:len{min(8, n // 6)}", f"pre:{next((p for p in PREFIXES if t.startswith(p)), '')}", f"vow{int(sum(t.count(v) for v in 'aeiou') / n * 5)}",
+    ]
+    return form, classes, _hash(names)
+
+
 def features(text: str, a: int, b: int, file: list[str]) -> np.ndarray:
     """Hashed features of a token."""
     t = text[a:b]
-    n = b - a
-    digits = sum(map(str.isdigit, t)) / n
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(t).values())
-    classes = "".join(x for x, p in (("d", r"\d"), ("l", "[a-z]"), ("u", "[A-Z]"), ("s", r"[+/]"), ("e", "="), ("-", "-"), (".", r"\."), ("_", "_")) if re.search(p, t))
-    form = "uuid" if UUID.fullmatch(t) else "date" if DATE.match(t) else "number" if NUMBER.fullmatch(t) else "version" if VERSION.fullmatch(t) else "hex" if HEX.fullmatch(t) else "HEX" if re.fullmatch("[0-9A-F]+", t) else "other"
+    form, classes, own = _own(t)
     head, tail = text[max(0, a - 48) : a], text[b : b + 32]
     before = BEFORE.findall(head.rsplit("\n", 1)[-1].lower())[-3:]
     after = AFTER.match(tail)
+    key = any(w in KEYWORDS for w in before)
     names = [
-        "bias", f"len{min(8, n // 6)}", f"cls{classes}", f"dig{int(digits * 5)}", f"ent{int(entropy * 2)}", f"form:{form}", f"form:{form}:len{min(8, n // 6)}",
         f"pc{text[a - 1] if a else '^'}", f"nc{text[b] if b < len(text) else '$'}", f"p1:{before[-1] if before else '^'}", f"p2:{before[-2] if len(before) > 1 else '^'}",
-        f"n1:{after[1].lower() if after else '$'}", f"key{any(w in KEYWORDS for w in before)}", f"key{any(w in KEYWORDS for w in before)}:{form}",
-        f"pre:{next((p for p in PREFIXES if t.startswith(p)), '')}", f"at{'@' in head[-24:] or '@' in tail[:2]}", f"url{'://' in head or '/' in t}", f"vow{int(sum(t.count(v) for v in 'aeiou') / n * 5)}", *file,
+        f"n1:{after[1].lower() if after else '$'}", f"key{key}", f"key{key}:{form}", f"key{key}:cls{classes}", f"end{head[-1:] in SETS}:key{bool(before) and before[-1] in KEYWORDS}",
+        f"at{'@' in head[-24:] or '@' in tail[:2]}", f"url{'://' in head or '/' in t}", *file,
     ]
-    return np.array([zlib.crc32(x.encode()) % BUCKETS for x in names])
+    return np.array(own + _hash(names))
 
 
 #: Scores of transitions that no path may take: I after nothing or after O.
@@ -140,6 +200,8 @@ _NEVER = -1e9
 def viterbi(emit: np.ndarray, trans: np.ndarray) -> list[int]:
     """The best tags of a segment; O stands before it and after it."""
     score = emit[0] + trans[O]
+    if len(emit) == 1:
+        return [int((score + trans[:, O]).argmax())]
     back = []
     for e in emit[1:]:
         table = score[:, None] + trans
@@ -197,7 +259,7 @@ def train(examples: list[tuple[list[np.ndarray], list[int]]], epochs: int = EPOC
     return w.astype(np.float32), (trans + ban).astype(np.float32)
 
 
-def generated(n: int = GENERATED, seed: int = 1) -> list[tuple[str, list[tuple[int, int]]]]:
+def generated(n: int = GENERATED, seed: int = 1, hard: bool = True) -> list[tuple[str, list[tuple[int, int]]]]:
     """Made-up lines with the places of their secrets: keys, tokens and key blocks, and what looks like them."""
     rnd = random.Random(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -216,15 +278,30 @@ def generated(n: int = GENERATED, seed: int = 1) -> list[tuple[str, list[tuple[i
         lambda: pick(dig, 3) + "-" + pick(dig, 3) + "-" + pick(dig, 4), lambda: f"{word()}.{pick(dig, 2)}@mail{pick(dig, 1)}.example.com", lambda: f"https://{word()}.example.com/{word()}/{pick(dig, 6)}", lambda: f"version-{rnd.randint(1, 9)}.{rnd.randint(0, 20)}.{rnd.randint(0, 9)}",
         lambda: pick(dig, rnd.randint(10, 16)), lambda: f"{word()}_{word()}_{rnd.randint(1, 99)}", lambda: f"192.168.{rnd.randint(10, 255)}.{rnd.randint(10, 255)}", lambda: f"{word()}{pick(dig, 2)}-{word()}-{word()}", lambda: f"img_{pick(dig, 8)}.jpeg",
     )
+    # Without digits, short, and what looks like them. They come from a stream of their own.
+    lead = lambda: rnd.choice(("password=", "passwd: ", "pwd = ", "pwd: '", "Password: ", "secret = ", "token = \"", "api_key: ", "client_secret = '", "Authorization: Bearer ", "bearer ", "password is "))
+    bare = (
+        lambda: (lead(), pick(low + up, rnd.randint(12, 40))), lambda: ("", pick(low + up, rnd.randint(12, 40))), lambda: ("", pick(low + up + dig, rnd.randint(12, 30))), lambda: (lead(), pick(low, rnd.randint(20, 40))),
+        lambda: (lead(), pick(low, rnd.randint(4, 8)) + pick(dig, rnd.randint(1, 4)) + pick(low, rnd.randint(0, 2))), lambda: (rnd.choice(("password=", "passwd: ", "pwd = ", "pwd: '", "Password: ")), pick(low + up, rnd.randint(6, 11))),
+        lambda: (lead(), pick(low + up + dig, rnd.randint(6, 11))),
+    )
+    syllable = lambda: rnd.choice("bcdfghklmnprstvw") + rnd.choice("aeiou") + rnd.choice(("", "", "n", "r", "s", "l"))
+    long = lambda: "".join(syllable() for _ in range(rnd.randint(4, 8)))
+    likeness = (
+        long, lambda: pick(low, rnd.randint(10, 24)), lambda: pick(up, 1) + pick(low, rnd.randint(9, 20)), lambda: pick(low, rnd.randint(4, 12)) + "-" + pick(low, rnd.randint(4, 12)), lambda: long() + " " + long() + " " + long(), lambda: long().capitalize(), lambda: f"{syllable()}{syllable()}-{long()}", lambda: f"{syllable()}{syllable()}_{long()}_{syllable()}", lambda: "".join(syllable().capitalize() + syllable() for _ in range(rnd.randint(2, 4))),
+        lambda: f"{long()}.{long()}", lambda: f"https://www.{long()}.example.com/{long()}/{long()}", lambda: f"{rnd.choice(('the', 'a', 'my', 'every', 'this'))} {rnd.choice(('password', 'secret', 'token', 'key', 'session', 'bearer', 'auth'))} {rnd.choice(('is', 'was', 'of', 'for', 'to', 'and', syllable() + syllable()))} {rnd.choice((long(), syllable() + syllable()))}",
+        lambda: f"{pick(dig, rnd.randint(1, 4))}{rnd.choice(('th', 'px', 'kg', 'ml', 'km'))} {syllable()}{syllable()}{pick(dig, rnd.randint(1, 3))}", lambda: long().upper(), lambda: f"{syllable().capitalize()}{syllable()}{pick(dig, rnd.randint(1, 4))}",
+    )
     out = []
-    for _ in range(n):
-        head = prose() + " "
-        if rnd.random() < 0.45:
-            lead, s = rnd.choice(secret)()
-            at = len(head) + len(lead)
-            out.append((head + lead + s + " " + prose(), [(at, at + len(s))]))
-        else:
-            out.append((head + rnd.choice(plain)() + " " + prose(), []))
+    for kind_secret, kind_plain, rows in ((secret, plain, n), (bare, likeness, 2 * n if hard else 0)):
+        for _ in range(rows):
+            head = prose() + " "
+            if rnd.random() < 0.45:
+                before, s = rnd.choice(kind_secret)()
+                at = len(head) + len(before)
+                out.append((head + before + s + " " + prose(), [(at, at + len(s))]))
+            else:
+                out.append((head + rnd.choice(kind_plain)() + " " + prose(), []))
     return out
 
 
@@ -241,10 +318,15 @@ def examples_of(text: str, secret_parts: list[tuple[int, int]]) -> Iterator[tupl
         yield [features(text, a, b, file) for a, b in seg], tags
 
 
+def drawn(examples: list, seed: int) -> list:
+    """At most SEGMENTS of a document's (place, example), by the hash of the place."""
+    return sorted(examples, key=lambda x: zlib.crc32(b"%d:%d" % (seed, x[0])))[:SEGMENTS]
+
+
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = SAMPLE) -> Broadcast:
     """A field trained on generated examples and at most `most` documents of the corpus, sent to the executors."""
     spark = docs.sparkSession
-    rows = need(docs, key, text).filter(F.col(text).rlike("[0-9][A-Za-z0-9]{9}"))
+    rows = need(docs, key, text).filter(F.col(text).rlike("[A-Za-z0-9]{10}"))
     chosen = rows.select(F.xxhash64(key, F.crc32(F.col(text).cast("binary"))).alias("h")).distinct().orderBy("h").limit(most)
     sample = rows.withColumn("h", F.xxhash64(key, F.crc32(F.col(text).cast("binary")))).join(F.broadcast(chosen), "h")
 
@@ -253,7 +335,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = SA
             made = []
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = [p for _, p in base_spans(t)]
-                made += [(h, k, np.concatenate(f).tolist(), len(f), y) for k, (f, y) in enumerate(examples_of(t, parts)) if k < 40]
+                made += [(h, k, np.concatenate(f).tolist(), len(f), y) for k, (f, y) in drawn(list(enumerate(examples_of(t, parts))), h)]
             h, k, f, n, y = zip(*made, strict=True) if made else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int32()), pa.array(f, pa.list_(pa.int32())), pa.array(n, pa.int32()), pa.array(y, pa.list_(pa.int32()))], ["h", "k", "f", "n", "y"])
 

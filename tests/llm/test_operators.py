@@ -141,6 +141,27 @@ def test_field_on_unseen_lines():
     assert hit > 0.95 * (hit + miss) and wrong < 0.05 * hit
 
 
+def test_field_on_secrets_without_digits_and_short_ones():
+    model = secrets.train([x for t, parts in secrets.generated() for x in secrets.examples_of(t, parts)])
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    pick = lambda k: "".join(rnd.choice(letters) for _ in range(k))
+    hit = 0
+    for k in range(200):
+        lead, s = (("see ", pick(20)), ("Authorization: Bearer ", pick(30)), ("pwd = ", f"hunter{k % 10}x"), ("", pick(12)))[k % 4]
+        found = secrets.crf_spans(f"{prose(k, 4)} {lead}{s} {prose(k + 999, 4)}", model)
+        hit += any(a < 10_000 and f"{prose(k, 4)} {lead}{s}"[a:b] == s for _, a, b in found)
+    assert hit >= 190
+    wrong = sum(len(secrets.crf_spans(prose(k, 200) + " the password is known, a key word and internationalisation of well-known things", model)) for k in range(100))
+    assert wrong <= 5
+
+
+def test_sampled_segments_come_from_the_whole_document():
+    drawn = secrets.drawn([(k, None) for k in range(1000)], 3)
+    assert len(drawn) == secrets.SEGMENTS and max(k for k, _ in drawn) > 500
+    assert secrets.drawn([(k, None) for k in range(5)], 3) != [] and len(secrets.drawn([(k, None) for k in range(5)], 3)) == 5
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     from itertools import product
