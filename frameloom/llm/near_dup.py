@@ -13,7 +13,8 @@ whose sketches are shared most widely, as the original of many copies is. Bucket
 then not all in one component are dealt again by pairs of sketches, which unrelated texts that share a
 passage rarely have in common, and compared with a centre again, until a round adds no link (ROUNDS at
 most; with 16 sketches each true pair has some ten buckets in the first round alone). No round emits the
-pairs of a bucket, so work stays in proportion to the texts.
+pairs of a bucket. Texts of buckets that are split even then are joined on their rarest shingles (_remainder),
+which finds every pair among them that may reach the threshold; this join does emit pairs of different components.
 
 Skew: a hot bucket costs a row for each member; its centre's words are salted over as many keys as its
 members need. Words travel only for texts in a pair that shares two sketches. Defined cases: a text without words is
