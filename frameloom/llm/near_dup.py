@@ -3,24 +3,25 @@
 Sketches. A text's five-word shingles are labelled with their occurrence number, and each of SKETCHES
 hash functions keeps the two labelled shingles of least hash, in text order. Texts share such a pair
 with a chance that falls with every edit and with every change of order, which is what edit similarity
-measures. Links. Two texts are linked when a banded alignment of their words shows an edit similarity of 0.8
-or more and, five words being the unit of near duplicates here, their sets of shingles have a
-Jaccard similarity of 0.8 or more. Classes are the connected components of links and equal texts.
+measures. Links. Two texts are linked when a banded alignment of their words shows an edit similarity
+(1 - distance / words of the longer) of THRESHOLD or more; one shared sketch is enough to be aligned, and
+nothing else is asked. Classes are the connected components of links and equal texts.
 
 How pairs are kept few. Equal texts collapse to the least id first and are not compared again. Texts that
 share a sketch form a bucket, and each is compared with the bucket's most central member only: the one
-whose sketches are shared most widely, as the original of many copies is. Buckets whose members are
-then not all in one component are dealt again by pairs of sketches, which unrelated texts that share a
-passage rarely have in common, and compared with a centre again, until a round adds no link (ROUNDS at
-most; with 16 sketches each true pair has some ten buckets in the first round alone). No round emits the
-pairs of a bucket. Texts of buckets that are split even then are joined on their rarest shingles (_remainder),
-which finds every pair among them that may reach the threshold; this join does emit pairs of different components.
-
-Skew: a hot bucket costs a row for each member; its centre's words are salted over as many keys as its
-members need. Words travel only for texts in a pair that shares two sketches. Defined cases: a text without words is
-equal to texts of the same characters and near none; null texts are equal to one another; texts of
-one to four words are one shingle; repeated ids with the same text fall together; an empty table gives an empty result;
-other columns are ignored.
+whose sketches are shared most widely, as the original of many copies is. Texts of buckets whose members are
+not all in one component then are searched without a centre (_remainder): an edit undoes two runs of two words
+at most, so texts within the threshold share six tenths of them, and a join on each text's rarest runs finds every
+such pair among them, whatever the centres were. It emits pairs of different components only; where many texts
+share a passage that makes up six to eight tenths of each, it emits the pairs of these texts.
+
+Skew: keys of more than SALT_ROWS rows are salted on both sides of a join (salted_join), so a hot bucket, a large
+group of copies or of near copies costs a row for each member, dealt over many tasks. Words travel only for texts
+in a pair. Defined cases: a text without words is equal to texts of the same characters and near none; null texts
+are equal to one another; texts of one to four words are one shingle; very long texts are sketched and aligned whole;
+a row without an id is compared with equal texts only and gets their least id, null if none has one; repeated ids
+with the same text fall together, and of an id's different texts one is aligned; of centres of equal weight the least
+id stands; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,48 +31,54 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize, need
+from frameloom.llm.common import keep, materialize, need, scratch_run
 from frameloom.llm.shingles import WordHashes, multipliers, shingle_hashes, slices, words
 
-SKETCHES, THRESHOLD, ROUNDS, SALT_ROWS = 16, 0.8, 3, 2000
-#: Sketches that a pair must share before its words are compared: near duplicates share ten on average, and
-#: fewer than two once in 400,000 at the threshold. And the partners of a sketch when buckets are dealt again.
-SHARED, NEXT = 2, 3
+#: At the threshold a pair shares a sketch with a chance of 0.9 where a fifth of the words is replaced at random, of 0.999 and more at 0.9.
+SKETCHES, THRESHOLD, SALT_ROWS = 60, 0.8, 2000
+#: Words of the runs by which the remainder is searched, and of which one edit undoes as many at most.
+RUN = 2
 #: Bits of the map that tells which texts are asked for.
 BITS = 1 << 22
-#: Most counters of shingles: a byte each comes to the driver and goes to the workers, whatever the input.
+#: Most counters of runs: a byte each comes to the driver and goes to the workers, whatever the input.
 COUNTERS = 1 << 22
-#: Edits up to which an alignment follows the diagonals of its band; beyond, it fills the band row by row.
-FEW = 48
 
 
-def order_min_hash(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sketch keys (texts, SKETCHES) of shingles in a row; texts must have one shingle at least."""
-    ends = np.cumsum(n)
-    begins = ends - n
-    owner = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((np.arange(len(sh)), sh, owner))
-    new = np.append(True, (sh[order][1:] != sh[order][:-1]) | (owner[order][1:] != owner[order][:-1]))
+def labelled(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Shingles of several texts in a row, each mixed with the number of its occurrence in its text."""
+    owner = np.repeat(np.arange(len(n), dtype=np.int64), n)
+    order = np.lexsort((sh, owner))  # stable, so equal shingles stay in text order
+    s, o = sh[order], owner[order]
+    new = np.append(True, (s[1:] != s[:-1]) | (o[1:] != o[:-1])) if len(sh) else np.zeros(0, bool)
     run = np.maximum.accumulate(np.where(new, np.arange(len(sh)), 0))
     label = np.empty(len(sh), np.uint64)
     label[order] = (np.arange(len(sh)) - run).astype(np.uint64)
-    labelled = sh ^ (label * np.uint64(0xD6E8FEB86659FD93))
+    return sh ^ (label * np.uint64(0xD6E8FEB86659FD93))
+
+
+def order_min_hash(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sketch keys (texts, SKETCHES) of shingles in a row; texts must have one shingle at least."""
+    begins = np.cumsum(n) - n
+    known = labelled(sh, n)
+    place = np.arange(len(sh), dtype=np.uint64)
+    # Low bits of a hash, which give way to the shingle's place.
+    low = np.uint64((1 << max(24, len(sh).bit_length())) - 1)
     out = np.empty((len(n), SKETCHES), np.int64)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    h = np.empty(len(sh), np.uint64)
     for j, m in enumerate(multipliers(SKETCHES, 11)):
-        h = labelled * m
-        h ^= h >> np.uint64(32)
-        a = np.minimum.reduceat(h, begins)
-        at_a = np.flatnonzero(h == np.repeat(a, n))
-        at_a = at_a[np.searchsorted(owner[at_a], np.arange(len(n)))]
-        h[at_a] = top
-        b = np.minimum.reduceat(h, begins)
-        at_b = np.flatnonzero(h == np.repeat(b, n))
-        at_b = at_b[np.searchsorted(owner[at_b], np.arange(len(n)))]
-        one, two = labelled[np.minimum(at_a, at_b)], labelled[np.maximum(at_a, at_b)]
+        # The upper bits order the shingles, the lower ones tell which it is.
+        np.multiply(known, m, out=h)
+        np.bitwise_and(h, ~low, out=h)
+        np.bitwise_or(h, place, out=h)
+        a = (np.minimum.reduceat(h, begins) & low).astype(np.int64)
+        h[a] = top
+        least = np.minimum.reduceat(h, begins)
+        b = np.where(least == top, a, (least & low).astype(np.int64))
+        one, two = known[np.minimum(a, b)], known[np.maximum(a, b)]
         out[:, j] = ((one * np.uint64(0x9E3779B97F4A7C15) + (two ^ (one >> np.uint64(29)))) * m + np.uint64(j)).view(np.int64)
     return out
 
@@ -79,7 +86,10 @@ def order_min_hash(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance (insert, delete, substitute) of two word sequences, or most+1 if it is larger.
 
-    Only cells within `most` of the diagonal are filled, a row at a time, after common ends are cut off.
+    Common ends are cut off. Of the alignment's table only the cells within `most` of the diagonal are
+    filled, a column at a time: whether a cell is one more or one less than the cell above it, or than its
+    left one, is a bit, and a column of the band is one whole number (bit-parallel alignment). The
+    distance is followed along the diagonal that ends in the last cell, where it never falls.
     """
     n = min(len(a), len(b))
     same = a[:n] == b[:n]
@@ -89,112 +99,73 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
     k = n if same.all() else int(np.argmin(same))
     a, b = a[: len(a) - k], b[: len(b) - k]
-    if abs(len(a) - len(b)) > most:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
         return most + 1
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
-    few = min(most, FEW)
-    d = _by_diagonals(a, b, few)
-    return d if d <= few or few == most else min(_in_band(a, b, most), most + 1)
-
-
-def _by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Distance up to `most`, else most+1: for each number of edits, how far each diagonal of the band reaches."""
-    _, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    # Words become characters, so that runs are compared by slices.
-    codes = codes + (codes >= 0xD800) * 0x800
-    s, t = "".join(map(chr, codes[: len(a)].tolist())), "".join(map(chr, codes[len(a) :].tolist()))
-    n, m = len(s), len(t)
-    goal = m - n
-
-    def slide(i: int, k: int) -> int:
-        step = 16
-        while s[i : i + step] == t[i + k : i + k + step]:
-            i += step
-            if i >= n or i + k >= m:
-                return min(n, m - k)
-            step *= 4
-        top = min(n, m - k)
-        low, high = i, min(i + step, top)
-        while low < high:
-            mid = (low + high + 1) // 2
-            if s[i:mid] == t[i + k : mid + k]:
-                low = mid
-            else:
-                high = mid - 1
-        return low
-
-    reach = {0: slide(0, 0)}
-    if goal == 0 and reach[0] == n:
-        return 0
-    for d in range(1, most + 1):
-        new = {}
-        for k in range(-min(d, n), min(d, m) + 1):
-            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-            i = min(i, n, m - k)
-            if i >= 0 and i + k >= 0:
-                new[k] = slide(i, k)
-        reach = new
-        if reach.get(goal, -1) >= n:
-            return d
-    return most + 1
-
-
-def _in_band(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Distance by cells with |i - j| <= band only; exact if it is at most band.
-
-    Column k of a row stands for j = i + k - band. Deletions within a row are a running minimum.
-    """
-    width, far = 2 * band + 1, len(a) + len(b) + 1
-    offset = np.arange(width)
-    row = np.where(offset >= band, offset - band, far)
-    row[offset - band > len(b)] = far
-    padded = np.full(len(a) + len(b) + 2 * width, np.iinfo(b.dtype).max, b.dtype)
-    padded[band : band + len(b)] = b
-    for i in range(1, len(a) + 1):
-        differs = padded[i - 1 : i - 1 + width] != a[i - 1]
-        row = np.minimum(row + differs, np.append(row[1:], far) + 1)
-        if i <= band:
-            row[: band - i] = far
-            row[band - i] = i
-        row = np.minimum.accumulate(row - offset) + offset
-        if i - 1 + width - band > len(b):
-            row[len(b) - i + band + 1 :] = far
-    return int(row[len(b) - len(a) + band])
+    if not len(b):
+        return len(a)
+    # Bit i + most of places[w] says that word i of a is w; shifted by the column, bit `most` is the diagonal.
+    places: dict[int, int] = dict.fromkeys(b.tolist(), 0)
+    for i, w in enumerate(a.tolist()):
+        if w in places:
+            places[w] |= 1 << (i + most)
+    full = (1 << (2 * most + 1)) - 1
+    more, less = full >> most << most, 0  # above the first row there is nothing
+    end = 1 << (len(a) - len(b) + most)
+    distance = len(a) - len(b)
+    for j, w in enumerate(b.tolist()):
+        hit = (places[w] >> j) & full
+        free = (((hit & more) + more) ^ more) | hit | less  # the diagonal step into the cell costs nothing
+        right = (less | ~(free | more)) & full  # one more than the left cell
+        left = free & more
+        if not free & end:
+            distance += 1
+            if distance > most:
+                return most + 1
+        ahead = (free & full) >> 1
+        more = (left | ~(ahead | right)) & full
+        less = ahead & right
+    return distance
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     """Whether two sequences of word hashes are near duplicates."""
-    n = max(len(a), len(b))
-    if min(len(a), len(b)) < threshold * n:
-        return False
-    sh, k = shingle_hashes(np.concatenate([a, b]).astype(np.uint64), np.array([len(a), len(b)]))
-    one, two = np.unique(sh[: k[0]]), np.unique(sh[k[0] :])
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    if both < threshold * (len(one) + len(two) - both) - 1e-9:
-        return False
-    most = int((1 - threshold) * n + 1e-9)
+    most = int((1 - threshold) * max(len(a), len(b)) + 1e-9)
     return banded_distance(a, b, most) <= most
 
 
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """id, sketch (array of SKETCHES keys, null for texts without words) of every row."""
+    """id, same (the text's MD5, null for null) and sketch (array of SKETCHES keys, null for texts without words) of every row."""
     rows = need(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for at in slices(texts):
                 sh, n = shingle_hashes(*hashes([words(t) for t in texts[at]]))
-                keys: list[list[int] | None] = [None] * len(n)
                 full = np.flatnonzero(n)
-                if len(full):
-                    for i, s in zip(full.tolist(), order_min_hash(sh, n[full]).tolist(), strict=True):
-                        keys[i] = s
-                yield pa.RecordBatch.from_arrays([ids.slice(at.start, at.stop - at.start), pa.array(keys, pa.list_(pa.int64()))], ["id", "sketch"])
+                made = order_min_hash(sh, n[full]) if len(full) else np.empty((0, SKETCHES), np.int64)
+                ends = np.append(0, np.cumsum(np.where(n > 0, SKETCHES, 0))).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(n == 0, False)), pa.array(made.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at.start, at.stop - at.start) for i in (0, 1)), keys], ["id", "same", "sketch"])
+
+    given = rows.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("same"), text)
+    return given.mapInArrow(run, "id long, same binary, sketch array<long>")
 
-    return rows.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, sketch array<long>")
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str = "id") -> DataFrame:
+    """Inner join of rows with table (key, n, ...), n being the rows of a key. Keys of more than SALT_ROWS rows are dealt over several.
+
+    There are at most rows / SALT_ROWS such keys; they are written first, so Spark knows their size when it chooses how to join them.
+    """
+    hot = materialize(table.filter(F.col("n") > SALT_ROWS).select(key, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("_salts")), "hot")
+    if hot.isEmpty():
+        return rows.join(table.drop("n"), key)
+    left = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    right = table.drop("n").join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
@@ -241,46 +212,35 @@ def _of_wanted(docs: DataFrame, wanted: DataFrame, text: str, key: str, made: Ca
     return passed.mapInArrow(run, f"id long, {schema}")
 
 
-def _shared(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The pairs that share SHARED sketches at least. Hot centres are salted."""
-    many = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    left = pairs.join(sketched, "id").join(many, "centre").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    right = many.join(sketched.select(F.col("id").alias("centre"), F.col("sketch").alias("other")), "centre")
-    right = right.select("centre", "other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    same = F.size(F.filter(F.zip_with("sketch", "other", lambda a, b: a == b), lambda x: x))
-    return left.join(right, ["centre", "salt"]).filter(same >= SHARED).select("id", "centre")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """The pairs (id, centre) that are near duplicates. Words are fetched for the texts in them only; hot centres are salted."""
     wanted = materialize(pairs.select("id").unionAll(pairs.select("centre")).distinct(), "wanted")
     sequences = materialize(_sequences(docs, wanted, text, key).dropDuplicates(["id"]), "words")
-    many = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(many, "centre").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).join(sequences, "id")
-    centres = many.join(sequences.select(F.col("id").alias("centre"), F.col("seq").alias("other")), "centre")
-    centres = centres.select("centre", "other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    centres = pairs.groupBy("centre").agg(F.count("*").alias("n")).join(sequences.select(F.col("id").alias("centre"), F.col("seq").alias("other")), "centre")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [i for i in range(batch.num_rows) if similar(np.frombuffer(batch.column(2)[i].as_py(), "<u8"), np.frombuffer(batch.column(3)[i].as_py(), "<u8"))]
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return salted.join(centres, ["centre", "salt"]).select("id", "centre", "seq", "other").mapInArrow(run, "id long, centre long")
+    both = salted_join(pairs.join(sequences, "id"), centres, "centre")
+    return both.select("id", "centre", "seq", "other").mapInArrow(run, "id long, centre long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each node's connected component, for nodes with an edge.
 
     Alternates two steps until nothing changes: every node's larger neighbours are joined to its least
-    neighbour, then every node itself. Each round writes its edges to the checkpoint folder.
+    neighbour, then every node itself. Each round writes its edges to the checkpoint folder. A hub's rows are salted.
     """
     now = materialize(edges.select(F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = salted_join(both, low, "u", by="v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = materialize(large, "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = salted_join(large, low, "u", by="v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         then = materialize(small, "edges")
         mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark(then) == mark(now):
@@ -291,20 +251,23 @@ def components(edges: DataFrame) -> DataFrame:
 def _centred(members: DataFrame) -> DataFrame:
     """(id, centre) of buckets (id, weight, bucket): everyone with the bucket's weightiest member, least id first."""
     centre = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"))).alias("c"), F.count("*").alias("n")).filter("n > 1")
-    return members.join(centre.select("bucket", (-F.col("c.less")).alias("centre")), "bucket").filter("id <> centre").select("id", "centre").distinct()
+    centre = centre.select("bucket", "n", (-F.col("c.less")).alias("centre"))
+    return salted_join(members, centre, "bucket").filter("id <> centre").select("id", "centre").distinct()
 
 
-def _distinct_shingles(texts: list[str], hashes: WordHashes) -> list[np.ndarray]:
-    sh, n = shingle_hashes(*hashes([words(t) for t in texts]))
-    return [np.unique(x) for x in np.split(sh, np.cumsum(n)[:-1])]
+def _runs(texts: list[str], hashes: WordHashes) -> list[tuple[int, np.ndarray]]:
+    """Words, and labelled runs of RUN words, of each text."""
+    hashed, lens = hashes([words(t) for t in texts])
+    sh, n = shingle_hashes(hashed, lens, RUN)
+    return [(int(k), np.sort(x)) for k, x in zip(lens, np.split(labelled(sh, n), np.cumsum(n)[:-1]), strict=True)]
 
 
-def _shingle_counts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> np.ndarray:
-    """How many texts hold a shingle, by its low bits: never too few, and at most 254. A byte for each of 64 * texts counters, COUNTERS at most."""
+def _run_counts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> np.ndarray:
+    """How many texts hold a run, by its low bits: never too few, and at most 254. A byte for each of 64 * texts counters, COUNTERS at most."""
     size = min(COUNTERS, 1 << max(16, (64 * wanted.count()).bit_length()))
 
     def run(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
-        return [pa.array([(x & np.uint64(size - 1)).astype("<u4").tobytes() for x in _distinct_shingles(texts, hashes)], pa.binary())]
+        return [pa.array([(x & np.uint64(size - 1)).astype("<u4").tobytes() for _, x in _runs(texts, hashes)], pa.binary())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.uint32)
@@ -328,22 +291,33 @@ def _shingle_counts(docs: DataFrame, wanted: DataFrame, text: str, key: str) ->
     return out.reshape(-1)
 
 
+def _edits(n):
+    """The edits that texts of n words, the longer's, may lie apart (a number or an array)."""
+    return np.floor((1 - THRESHOLD) * n + 1e-9)
+
+
+def _least_shared(n: int) -> int:
+    """The runs that a text of n words shares with any near duplicate, at least. The bound falls where n passes a multiple of five."""
+    of = lambda k: max(1, k - RUN + 1) - RUN * int(_edits(k))
+    return max(1, min(of(k) for k in range(n, n + 5)))
+
+
 def _prefixes(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """id, n (distinct shingles), token, at: the rarest shingles of each text and their places in its order.
+    """id, root, n (words), token, at: the rarest labelled runs of each text and their places in its order.
 
-    A text that has a Jaccard similarity of THRESHOLD with another shares one of its first n - THRESHOLD n + 1
-    shingles with it, in any order that all texts keep. Shingles that no other text holds are counted, not given.
+    Of g runs a near duplicate shares s at least, so one of the first g - s + 1, in any order that all texts keep.
+    Runs that no other text holds are counted, not given.
     """
-    held = docs.sparkSession.sparkContext.broadcast(_shingle_counts(docs, wanted, text, key))
+    held = docs.sparkSession.sparkContext.broadcast(_run_counts(docs, wanted, text, key))
 
     def run(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
         counts, n, tokens, at = held.value, [], [], []
-        for x in _distinct_shingles(texts, hashes):
+        for k, x in _runs(texts, hashes):
             often = counts[x & np.uint64(len(counts) - 1)]
-            # np.unique has put the shingles in order, so equal counts stand by hash.
-            first = np.argsort(often, kind="stable")[: len(x) - int(np.ceil(THRESHOLD * len(x) - 1e-6)) + 1]
+            # The runs are in order of their hash, so equal counts stand by hash.
+            first = np.argsort(often, kind="stable")[: len(x) - _least_shared(k) + 1]
             place = np.flatnonzero(often[first] > 1)
-            n.append(len(x))
+            n.append(k)
             tokens.append(x[first[place]].view(np.int64))
             at.append(place.astype(np.int32))
         return [pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))]
@@ -353,63 +327,51 @@ def _prefixes(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFr
 
 
 def _remainder(open_: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, centre, a, b): all pairs of the open texts (id, root) of different roots a < b whose Jaccard similarity may reach the threshold.
+    """(id, centre, a, b): all pairs of the open texts (id, root) of different roots a < b that share enough runs to be near duplicates.
 
-    The text of fewer shingles (then of less id) is the small one, and its prefix is the shorter: both must
-    share t / (1 + t) of their shingles together, more than that lies behind a place is not left. Hot tokens are salted.
+    More runs than lie behind a shared one's place are not left to share. Hot runs are salted.
     """
     rows = materialize(_prefixes(docs, open_, text, key), "prefixes")
-    share = THRESHOLD / (1 + THRESHOLD)
-    small = F.col("n") - F.col("at") >= 2 * share * F.col("n") - 1e-6
-    live = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(small).alias("any"), F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).filter("a <> b AND any")
+    live = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).filter("a <> b")
     rows = materialize(rows.join(live.select("token", "salts"), "token"), "tokens")
-    one = rows.filter(small).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("s")
+    # The text of fewer words (then of less id) goes to every salt.
+    one = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("s")
     two = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("l")
-    fits = F.least(F.col("s.n") - F.col("s.at"), F.col("l.n") - F.col("l.at")) >= share * (F.col("s.n") + F.col("l.n")) - 1e-6
-    less = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.id") < F.col("l.id")))
+    n = F.col("l.n")
+    edits = F.floor((1 - THRESHOLD) * n + 1e-9)
+    runs = lambda x: F.greatest(F.lit(1), x - (RUN - 1))
+    shared = F.least(runs(F.col("s.n")) - F.col("s.at"), runs(n) - F.col("l.at")) >= F.greatest(F.lit(1), runs(n) - RUN * edits)
+    less = (F.col("s.n") < n) | ((F.col("s.n") == n) & (F.col("s.id") < F.col("l.id")))
     same = (F.col("s.token") == F.col("l.token")) & (F.col("s.salt") == F.col("l.salt"))
-    found = one.join(two, same & less & fits & (F.col("s.root") != F.col("l.root")))
+    found = one.join(two, same & less & (n - F.col("s.n") <= edits) & shared & (F.col("s.root") != F.col("l.root")))
     return found.select(F.greatest("s.id", "l.id").alias("id"), F.least("s.id", "l.id").alias("centre"), F.least("s.root", "l.root").alias("a"), F.greatest("s.root", "l.root").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, class_id for every row: the least id among the texts that are equal to or linked with this one."""
     rows = need(docs, key, text).withColumn(key, F.col(key).cast("long"))
-    exact = rows.select(F.col(key).alias("id"), F.when(F.col(text).isNotNull(), F.md5(F.encode(text, "UTF-8"))).alias("same"))
-    least = exact.groupBy("same").agg(F.min("id").alias("first"))
-    copies = materialize(exact.join(least, exact["same"].eqNullSafe(least["same"])).select("id", "first"), "copies")
-    firsts = copies.filter("id = first").select("id").distinct()
-    # Buckets of two or more texts, and how widely each text's sketches are shared.
-    sketched = sketches(rows, text, key).filter("sketch IS NOT NULL").dropDuplicates(["id"]).join(firsts, "id", "left_semi")
-    sketched = materialize(sketched, "sketches")
-    member = sketched.select("id", F.explode("sketch").alias("bucket"))
-    sized = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    member = materialize(member.join(sized, "bucket"), "buckets")
+    with scratch_run(docs.sparkSession, "near-duplicates"):
+        return keep(_classes(rows, text, key), "classes")
+
+
+def _classes(rows: DataFrame, text: str, key: str) -> DataFrame:
+    made = materialize(sketches(rows, text, key).withColumn("same", F.coalesce("same", F.lit(b""))), "sketches")
+    least = made.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    copies = materialize(salted_join(made.select("id", "same"), least, "same").select("id", "first"), "copies")
+    # Of equal texts one sketch goes on; then buckets of two or more texts, and how widely each text's sketches are shared.
+    firsts = made.filter("id IS NOT NULL AND sketch IS NOT NULL").groupBy("same").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"))
+    member = materialize(firsts.select("id", F.explode("sketch").alias("bucket")), "members")
+    sized = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
+    member = materialize(salted_join(member, sized, "bucket"), "buckets")
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
     member = member.join(weight, "id").select("id", "weight", "bucket")
-    tried = materialize(_shared(_centred(member), sketched), "pairs")
+    tried = materialize(_centred(member), "pairs")
     links = materialize(_verified(tried, rows, text, key), "links")
     roots = materialize(components(links), "roots")
-    for _ in range(ROUNDS - 1):
-        # Buckets whose members are in several components are dealt again by pairs of sketches.
-        rooted = member.join(roots, "id", "left").select("id", "weight", "bucket", F.coalesce("root", "id").alias("root"))
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-        again = rooted.join(open_, "bucket", "left_semi").select("id", "weight", "root").distinct()
-        dealt = again.join(sketched, "id").select("id", "weight", "root", F.explode(_pairs_of_sketches()).alias("bucket"))
-        split = dealt.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-        fresh = _centred(dealt.join(split, "bucket", "left_semi").select("id", "weight", "bucket")).join(tried, ["id", "centre"], "left_anti")
-        fresh = materialize(fresh, "pairs")
-        if fresh.isEmpty():
-            break
-        more = materialize(_verified(fresh, rows, text, key), "links")
-        if more.isEmpty():
-            break
-        tried, links = tried.unionAll(fresh), links.unionAll(more)
-        roots = materialize(components(links), "roots")
     # What is still split is searched without a centre: one pair for each two components first, then all that they leave.
-    rooted = member.join(roots, "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-    open_ = materialize(rooted.join(split, "bucket", "left_semi").select("id", "root").distinct(), "open")
+    rooted = materialize(member.select("id", "bucket").join(roots, "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root")), "rooted")
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("bucket", "n")
+    open_ = materialize(salted_join(rooted, split, "bucket").select("id", "root").distinct(), "open")
     if not open_.isEmpty():
         left = materialize(_remainder(open_, rows, text, key).join(tried, ["id", "centre"], "left_anti"), "remainder")
         for first in (True, False):
@@ -425,10 +387,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
                 now = roots.select(F.col("id").alias("n"), "root")
                 left = left.join(asked, ["id", "centre"], "left_anti").join(now.toDF("id", "r"), "id", "left").join(now.toDF("centre", "q"), "centre", "left")
                 left = materialize(left.filter(F.coalesce("r", "id") != F.coalesce("q", "centre")).select("id", "centre"), "remainder")
-    return copies.join(roots, copies["first"] == roots["id"], "left").select(copies["id"].alias(key), F.coalesce("root", "first").alias("class_id"))
-
-
-def _pairs_of_sketches() -> Column:
-    """Keys of sketches taken two at a time, each with the NEXT ones behind it, going round."""
-    at = [(i, (i + k) % SKETCHES) for i in range(SKETCHES) for k in range(1, NEXT + 1)]
-    return F.array(*(F.xxhash64(F.lit(i * SKETCHES + j), F.get("sketch", F.lit(i)), F.get("sketch", F.lit(j))) for i, j in at))
+    members = copies.groupBy("first").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("id", "first"), "first", "left").select("first", "n", F.coalesce("root", "first").alias("class_id"))
+    named = salted_join(copies.filter("first IS NOT NULL"), members, "first")
+    lone = copies.filter("first IS NULL").select("id", F.col("first").alias("class_id"))
+    return named.select("id", "class_id").unionAll(lone).select(F.col("id").alias(key), "class_id")

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, decontaminate, licenses, near_dup, quality, secrets, simple8b, slots, toxicity, warc
-from frameloom.llm.common import read_table
+from frameloom.llm.common import job_session
+from frameloom.llm.common import read_table as plain_table
 
 RANKS, WORD_PIECES, END_ID = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", 1
 SHARDS, CRAWL_DATE = 24, "2024-01-01T00:00:00Z"
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return plain_table(job_session(spark), sf_dir, name)
+
+
 def bpe_digests(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     vocabulary = bpe.load_vocabulary(docs.sparkSession, vocabulary_path)
     return bpe.tokens(docs, vocabulary, pattern).select(

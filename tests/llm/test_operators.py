@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from frameloom.llm import bpe, decontaminate, licenses, near_dup, quality, queries, secrets, simple8b, slots, toxicity, warc
-from frameloom.llm.common import read_table
+from frameloom.llm.common import job_session, read_table
 from frameloom.llm.shingles import SIZE, WordHashes, words
 from oracle import SF, same
 
