@@ -6,15 +6,22 @@ neighbour). A recursive query joins the rows with the merge table, takes for eac
 pair of minimum rank, contracts it, and stops when no word has a pair left. Texts are then the
 concatenation of their words' ids.
 
+A word of any length goes through that query in pieces of PIECE bytes, which would else take as many rounds
+as it has tokens. Where pieces meet, the second half of one and the first half of the next are encoded
+together. A sequence of tokens is the encoding of its bytes exactly if that holds for every two that stand
+side by side (the first merge across a border would also be made if the two stood alone), so it is enough to
+test the seams, each distinct pair once by the same query; what fails is encoded again as one, until all hold.
+
 Decoding. Token-position rows join the vocabulary and an ordered string aggregation yields the bytes.
 
-Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes. Ids are
+Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; a very long text
+or a very long run of letters is encoded whole, in time that grows with its length. Ids are
 packed as little-endian unsigned 32-bit integers in a binary column. Rows are independent: repeated
 rows give repeated results, an empty table gives an empty table, and columns other than those named
 never reach the Python workers. What counts as a letter or a space follows the Unicode tables of the regex
 module; code points that these and tiktoken's tables disagree on (unassigned in Unicode 15) may split otherwise.
 
-Memory of a task is bounded by SLICE characters of text (or one text, if that is longer), WORDS words
+Memory of a task is bounded by SLICE characters of text (or one text, if that is longer), ROWS token rows
 per DuckDB query and CACHE remembered words.
 """
 
@@ -32,10 +39,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.llm.common import need
 
-#: Characters of text handled at once, words per recursive query, remembered words, decoded tokens per query.
-SLICE, WORDS, CACHE, TOKENS = 1_500_000, 20_000, 480_000, 300_000
-#: Words of more bytes than this go through the recursion one by one, as their rounds and rows are many.
-LONG = 400
+#: Characters of text handled at once, token rows per recursive query, remembered words, decoded tokens per query.
+SLICE, ROWS, CACHE, TOKENS = 1_500_000, 150_000, 480_000, 300_000
+#: Bytes of a piece of a word.
+PIECE = 128
 #: Punctuation that is one match behind letters: ASCII without the apostrophe of contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -96,6 +103,9 @@ class Codec:
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.pattern, self.odd_space, self.cut = regex.compile(pattern), regex.compile(r" (?=\s)| \Z"), regex.compile(r"(?= \S)")
+        self.raw = {i: t for t, i in self.ranks.items()}
+        # Whether two tokens side by side are the encoding of their bytes.
+        self.fits: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str | tuple[str], bytes] = {}
 
@@ -108,47 +118,55 @@ class Codec:
         r[ends - 1] = -1
         return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lens), "pos": pos.astype(np.int64), "l": l, "r": r, "nxt": pos.astype(np.int64) + 1})
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of words by the recursive query."""
-        self.con.register("sym", self._symbols(words))
-        out = self.con.sql(ENCODE_SQL).to_arrow_table()
-        self.con.unregister("sym")
-        w, ids = out["w"].to_numpy(), out["l"].to_numpy().astype("<u4")
-        return [x.tobytes() for x in np.split(ids, np.searchsorted(w, np.arange(1, len(words))))]
-
-    def _contract_long(self, word: bytes) -> bytes:
-        """Packed ids of one very long word: a table of its rows, replaced each round.
-
-        All occurrences of the minimum pair go in one round where that changes nothing: no token that
-        contains the new one has a lower rank.
-        """
-        self.con.register("sym", self._symbols([word]))
-        self.con.execute("CREATE OR REPLACE TEMP TABLE cur AS SELECT s.pos, s.l, s.r, s.nxt, g.m FROM sym s LEFT JOIN merges g ON g.l = s.l AND g.r = s.r")
-        self.con.unregister("sym")
-        eager = self._eager()
-        while (m := self.con.execute("SELECT min(m) FROM cur").fetchone()[0]) is not None:
-            at = self.con.execute("SELECT pos, nxt FROM cur WHERE m = ? ORDER BY pos", [m]).fetchnumpy()
-            keep, free = [], -1
-            for p, q in zip(at["pos"].tolist(), at["nxt"].tolist(), strict=True):
-                if p >= free:
-                    keep.append((p, q))
-                    free = q + 1
-                    if m not in eager:
-                        break
-            self.con.register("pick", pa.table({"p": pa.array([p for p, _ in keep], pa.int32()), "q": pa.array([q for _, q in keep], pa.int32())}))
-            self.con.execute(
-                "CREATE OR REPLACE TEMP TABLE cur AS SELECT x.pos, x.l, x.r, x.nxt, g.m FROM ("
-                "SELECT coalesce(a.p, s.pos) AS pos, CASE WHEN a.p IS NULL THEN s.l ELSE $m END AS l, CASE WHEN c.p IS NULL THEN s.r ELSE $m END AS r, s.nxt "
-                "FROM cur s LEFT JOIN pick a ON a.q = s.pos LEFT JOIN pick c ON c.p = s.nxt LEFT JOIN pick d ON d.p = s.pos WHERE d.p IS NULL"
-                ") x LEFT JOIN merges g ON g.l = x.l AND g.r = x.r", {"m": m})
-            self.con.unregister("pick")
-        return self.con.execute("SELECT l FROM cur ORDER BY pos").fetchnumpy()["l"].astype("<u4").tobytes()
-
-    def _eager(self) -> set[int]:
-        if not hasattr(self, "eager"):
-            low = {x for (x,) in self.con.execute("SELECT l FROM merges WHERE m < l UNION SELECT r FROM merges WHERE m < r").fetchall()}
-            self.eager = set(self.ranks.values()) - low
-        return self.eager
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words by the recursive query, ROWS bytes at a time."""
+        out: list[np.ndarray] = []
+        for at in _slices(list(map(len, words)), ROWS):
+            part = words[at]
+            self.con.register("sym", self._symbols(part))
+            got = self.con.sql(ENCODE_SQL).to_arrow_table()
+            self.con.unregister("sym")
+            w, ids = got["w"].to_numpy(), got["l"].to_numpy().astype("<u4")
+            out += np.split(ids, np.searchsorted(w, np.arange(1, len(part))))
+        return out
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.raw[i] for i in ids.tolist()])
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words of any length."""
+        cut = [[w[i : i + PIECE] for i in range(0, len(w), PIECE)] for w in words]
+        got = iter(self._contract([p for c in cut for p in c]))
+        whole = [[next(got) for _ in c] for c in cut]
+        many = [k for k, x in enumerate(whole) if len(x) > 1]
+        if many:
+            for k, x in zip(many, self._sewn([whole[k] for k in many]), strict=True):
+                whole[k] = x
+        return [x[0].tobytes() if len(x) == 1 else np.concatenate(x).tobytes() for x in whole]
+
+    def _sewn(self, words: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        """Ids of the pieces of each word to ids of parts that may stand side by side."""
+        halves = [[(x[: len(x) // 2], x[len(x) // 2 :]) for x in w] for w in words]
+        over = iter(self._contract([self._bytes(np.concatenate([a[1], b[0]])) for w in halves for a, b in zip(w, w[1:], strict=False)]))
+        parts = [[x for x in (w[0][0], *(next(over) for _ in w[1:]), w[-1][1]) if len(x)] for w in halves]
+        while True:
+            seams = [[(int(a[-1]), int(b[0])) for a, b in zip(w, w[1:], strict=False)] for w in parts]
+            new = list({s for w in seams for s in w}.difference(self.fits))
+            for s, got in zip(new, self._contract([self.raw[a] + self.raw[b] for a, b in new]), strict=True):
+                self.fits[s] = got.tolist() == list(s)
+            if all(self.fits[s] for w in seams for s in w):
+                return parts
+            joined: list[list[list[np.ndarray]]] = []
+            for w, ss in zip(parts, seams, strict=True):
+                groups = [[w[0]]]
+                for x, s in zip(w[1:], ss, strict=True):
+                    if self.fits[s]:
+                        groups.append([x])
+                    else:
+                        groups[-1].append(x)
+                joined.append(groups)
+            again = iter(self._contract([self._bytes(np.concatenate(g)) for w in joined for g in w if len(g) > 1]))
+            parts = [[g[0] if len(g) == 1 else next(again) for g in w] for w in joined]
 
     def _pieces(self, chunk: str) -> list[str]:
         """The matches of the pattern in a chunk; letters, then perhaps ASCII punctuation, need no search."""
@@ -162,16 +180,13 @@ class Codec:
         split = {c: self._pieces(" " + c if isinstance(c, str) else c[0]) for c in new}
         every = set(chain.from_iterable(split.values()))
         todo = sorted(every.difference(self.words))
+        if len(self.fits) > CACHE:
+            self.fits.clear()
         if len(self.words) + len(todo) > CACHE:
             self.words.clear()
             todo = sorted(every)
         raw = [p.encode() for p in todo]
-        for i in (i for i, b in enumerate(raw) if len(b) > LONG):
-            self.words[todo[i]] = self._contract_long(raw[i])
-        short = [i for i, b in enumerate(raw) if len(b) <= LONG]
-        for k in range(0, len(short), WORDS):
-            part = short[k : k + WORDS]
-            self.words.update(zip((todo[i] for i in part), self._contract([raw[i] for i in part]), strict=True))
+        self.words.update(zip(todo, self.ids(raw), strict=True))
         words = self.words
         for c, ps in split.items():
             self.chunks[c] = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
@@ -236,24 +251,24 @@ def _slices(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def _mapped(df: DataFrame, column: str, empty: str | bytes, work: Callable, most: int, name: str, remember: bool) -> DataFrame:
-    """Replace a column by a binary one, slice by slice."""
+def _mapped(df: DataFrame, column: str, empty: str | bytes, work: Callable[[list], tuple[list[bytes], ...]], names: tuple[str, ...], remember: bool) -> DataFrame:
+    """Replace a column by binary ones, slice by slice."""
     keep = [c for c in df.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(column))
             rest = batch.select(keep)
-            for at in _slices(pc.fill_null(pc.binary_length(values), 0).to_pylist(), most):
+            for at in _slices(pc.fill_null(pc.binary_length(values), 0).to_pylist(), SLICE):
                 n = at.stop - at.start
                 made = work([x if x is not None else empty for x in values.slice(at.start, n).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*rest.slice(at.start, n).columns, pa.array(made, pa.binary())], [*keep, name])
+                yield pa.RecordBatch.from_arrays([*rest.slice(at.start, n).columns, *(pa.array(x, pa.binary()) for x in made)], [*keep, *names])
         if not remember:
             _CODECS.clear()
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *(T.StructField(x, T.BinaryType()) for x in names)]))
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> Broadcast:
@@ -264,16 +279,20 @@ def load_vocabulary(spark: SparkSession, path: str) -> Broadcast:
 
 def encode(df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), remember: bool = True) -> DataFrame:
     """keys and ids (binary, little-endian unsigned 32-bit) for every row; null texts count as empty."""
-    return _mapped(need(df, *keys, text), text, "", lambda v: _codec(vocabulary, pattern).encode(v), SLICE, "ids", remember)
+    return _mapped(need(df, *keys, text), text, "", lambda v: (_codec(vocabulary, pattern).encode(v),), ("ids",), remember)
 
 
 def decode(df: DataFrame, vocabulary: Broadcast, pattern: str, ids: str = "ids", keys: tuple[str, ...] = ("doc_id",), remember: bool = True) -> DataFrame:
     """keys and decoded (binary) for every row of packed ids; null ids count as none."""
-    return _mapped(need(df, *keys, ids), ids, b"", lambda v: _codec(vocabulary, pattern).decode(v), SLICE, "decoded", remember)
+    return _mapped(need(df, *keys, ids), ids, b"", lambda v: (_codec(vocabulary, pattern).decode(v),), ("decoded",), remember)
 
 
 def tokens(df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), remember: bool = True) -> DataFrame:
-    """Round trip: keys, ids, decoded. Workers keep the words they met for later tasks, unless told to forget them at the end of each."""
-    out = encode(df, vocabulary, pattern, text, keys, remember)
-    both = out.withColumn("packed", out["ids"])
-    return decode(both, vocabulary, pattern, "packed", (*keys, "ids"), remember)
+    """Round trip in one worker: keys, ids, decoded. Workers keep the words they met for later tasks, unless told to forget them at the end of each."""
+
+    def both(texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        codec = _codec(vocabulary, pattern)
+        ids = codec.encode(texts)
+        return ids, codec.decode(ids)
+
+    return _mapped(need(df, *keys, text), text, "", both, ("ids", "decoded"), remember)
