@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, decontaminate, near_dup, secrets, toxicity
-from frameloom.llm.common import materialize, read_table
+from frameloom.llm.common import job_session, materialize, read_table
 
 #: The pipeline rejects a document from this calibrated score on.
 REJECT = 0.5
@@ -30,13 +30,14 @@ def _by_place(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, read_table(job_session(spark), sf_dir, "labels"))
     plain, _, text = _by_place(docs)
-    scored = model.score(plain, text, tuple(c for c in plain.columns if c != text), keep_text=True)
+    scored = model.score(plain, text, tuple(plain.columns))
     return scored.filter(F.col("score") < REJECT).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    job_session(spark)
     plain, ident, text = _by_place(docs)
     keyed = plain.withColumn("_id", F.coalesce(F.col(ident), -1 - F.abs(F.xxhash64(text) % (1 << 62))))
     # What goes, and ids that repeat, are few as a rule: a small table is broadcast by its measured size, and no text shuffled.
@@ -53,16 +54,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, ident, text = _by_place(docs)
     keyed = plain.withColumn("_key", F.xxhash64(ident, text))
-    found = materialize(decontaminate.find(keyed, read_table(spark, sf_dir, "benchmark"), text=text, keys=("_key",)).select("_key").distinct(), "leaks")
+    found = materialize(decontaminate.find(keyed, read_table(job_session(spark), sf_dir, "benchmark"), text=text, keys=("_key",)).select("_key").distinct(), "leaks")
     return keyed.join(found, "_key", "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    job_session(spark)
     out = secrets.redact(docs, secrets.fit(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    job_session(spark)
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     out = bpe.tokens(docs, vocabulary, public_tokenizers.PATTERN, remember=False)  # leaves the workers' memory to other stages
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
@@ -82,7 +85,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each but the last written to the shared folder."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(job_session(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
