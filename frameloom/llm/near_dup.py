@@ -8,12 +8,12 @@ measures. Links. Two texts are linked when a banded alignment of their words sho
 nothing else is asked. Classes are the connected components of links and equal texts.
 
 How pairs are kept few. Equal texts collapse to the least id first and are not compared again. Texts that
-share a sketch form a bucket, and each is compared with the bucket's most central member only: the one
-whose sketches are shared most widely, as the original of many copies is. Texts of buckets whose members are
-not all in one component then are searched without a centre (_remainder): an edit undoes two runs of two words
-at most, so texts within the threshold share six tenths of them, and a join on each text's rarest runs finds every
-such pair among them, whatever the centres were. It emits pairs of different components only; where many texts
-share a passage that makes up six to eight tenths of each, it emits the pairs of these texts.
+share a sketch form a bucket, and each is compared with the bucket's most central member: the one
+whose sketches are shared most widely, as the original of many copies is. Buckets whose members are
+not all in one component then take another centre, the weightiest member of a component that has given them none yet,
+and so on until a round adds no link. A round costs a row for each member, never a bucket's pairs. What decides is
+therefore whether two near duplicates ever meet at a centre: with SKETCHES sketches they share some that no third text
+has, unless nearly all they have in common is common to many. The tests and the README give measured recall.
 
 Skew: keys of more than SALT_ROWS rows are salted on both sides of a join (salted_join), so a hot bucket, a large
 group of copies or of near copies costs a row for each member, dealt over many tasks. Words travel only for texts
@@ -26,7 +26,6 @@ id stands; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,12 +38,8 @@ from frameloom.llm.shingles import WordHashes, multipliers, shingle_hashes, slic
 
 #: At the threshold a pair shares a sketch with a chance of 0.9 where a fifth of the words is replaced at random, of 0.999 and more at 0.9.
 SKETCHES, THRESHOLD, SALT_ROWS = 60, 0.8, 2000
-#: Words of the runs by which the remainder is searched, and of which one edit undoes as many at most.
-RUN = 2
 #: Bits of the map that tells which texts are asked for.
 BITS = 1 << 22
-#: Most counters of runs: a byte each comes to the driver and goes to the workers, whatever the input.
-COUNTERS = 1 << 22
 
 
 def labelled(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -180,7 +175,7 @@ def _marks(ids: DataFrame) -> np.ndarray:
 
 
 def _sequences(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """id, seq (the hashes of all words, eight bytes each) of the wanted ids.
+    """id, seq (the hashes of all words, four bytes each) of the wanted ids.
 
     A bit map lets the other texts go before the shuffle; where ids are too many for it, more pass, and the
     join decides.
@@ -188,7 +183,7 @@ def _sequences(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataF
 
     def run(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
         listed, lens = hashes([words(t) for t in texts])
-        return [pa.array([listed[e - n : e].astype("<u8").tobytes() for e, n in zip(np.cumsum(lens), lens, strict=True)], pa.binary())]
+        return [pa.array([(listed[e - n : e] >> np.uint64(32)).astype("<u4").tobytes() for e, n in zip(np.cumsum(lens), lens, strict=True)], pa.binary())]
 
     return _of_wanted(docs, wanted, text, key, run, "seq binary").join(wanted, "id", "left_semi")
 
@@ -220,7 +215,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [i for i in range(batch.num_rows) if similar(np.frombuffer(batch.column(2)[i].as_py(), "<u8"), np.frombuffer(batch.column(3)[i].as_py(), "<u8"))]
+            keep = [i for i in range(batch.num_rows) if similar(np.frombuffer(batch.column(2)[i].as_py(), "<u4"), np.frombuffer(batch.column(3)[i].as_py(), "<u4"))]
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     both = salted_join(pairs.join(sequences, "id"), centres, "centre")
@@ -249,102 +244,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _centred(members: DataFrame) -> DataFrame:
-    """(id, centre) of buckets (id, weight, bucket): everyone with the bucket's weightiest member, least id first."""
-    centre = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"))).alias("c"), F.count("*").alias("n")).filter("n > 1")
-    centre = centre.select("bucket", "n", (-F.col("c.less")).alias("centre"))
-    return salted_join(members, centre, "bucket").filter("id <> centre").select("id", "centre").distinct()
-
-
-def _runs(texts: list[str], hashes: WordHashes) -> list[tuple[int, np.ndarray]]:
-    """Words, and labelled runs of RUN words, of each text."""
-    hashed, lens = hashes([words(t) for t in texts])
-    sh, n = shingle_hashes(hashed, lens, RUN)
-    return [(int(k), np.sort(x)) for k, x in zip(lens, np.split(labelled(sh, n), np.cumsum(n)[:-1]), strict=True)]
-
-
-def _run_counts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> np.ndarray:
-    """How many texts hold a run, by its low bits: never too few, and at most 254. A byte for each of 64 * texts counters, COUNTERS at most."""
-    size = min(COUNTERS, 1 << max(16, (64 * wanted.count()).bit_length()))
-
-    def run(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
-        return [pa.array([(x & np.uint64(size - 1)).astype("<u4").tobytes() for _, x in _runs(texts, hashes)], pa.binary())]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(size, np.uint32)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                np.add.at(n, np.frombuffer(x, "<u4"), 1)
-        parts = np.minimum(n, 254).astype(np.uint8).reshape(-1, 65536)
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], ["part", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        n = np.zeros(65536, np.uint32)
-        for x in table.column("n").to_pylist():
-            n += np.frombuffer(zlib.decompress(x), np.uint8)
-        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "n": pa.array([np.minimum(n, 254).astype(np.uint8).tobytes()], pa.binary())})
-
-    counted = _of_wanted(docs, wanted, text, key, run, "low binary").select("low").mapInArrow(count, "part int, n binary")
-    out = np.zeros((size // 65536, 65536), np.uint8)
-    for r in counted.groupBy("part").applyInArrow(add, "part int, n binary").collect():
-        out[r["part"]] = np.frombuffer(r["n"], np.uint8)
-    return out.reshape(-1)
-
-
-def _edits(n):
-    """The edits that texts of n words, the longer's, may lie apart (a number or an array)."""
-    return np.floor((1 - THRESHOLD) * n + 1e-9)
-
-
-def _least_shared(n: int) -> int:
-    """The runs that a text of n words shares with any near duplicate, at least. The bound falls where n passes a multiple of five."""
-    of = lambda k: max(1, k - RUN + 1) - RUN * int(_edits(k))
-    return max(1, min(of(k) for k in range(n, n + 5)))
-
-
-def _prefixes(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """id, root, n (words), token, at: the rarest labelled runs of each text and their places in its order.
-
-    Of g runs a near duplicate shares s at least, so one of the first g - s + 1, in any order that all texts keep.
-    Runs that no other text holds are counted, not given.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(_run_counts(docs, wanted, text, key))
-
-    def run(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
-        counts, n, tokens, at = held.value, [], [], []
-        for k, x in _runs(texts, hashes):
-            often = counts[x & np.uint64(len(counts) - 1)]
-            # The runs are in order of their hash, so equal counts stand by hash.
-            first = np.argsort(often, kind="stable")[: len(x) - _least_shared(k) + 1]
-            place = np.flatnonzero(often[first] > 1)
-            n.append(k)
-            tokens.append(x[first[place]].view(np.int64))
-            at.append(place.astype(np.int32))
-        return [pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))]
-
-    rows = _of_wanted(docs, wanted, text, key, run, "n int, tokens array<long>, at array<int>").dropDuplicates(["id"]).join(wanted, "id")
-    return rows.select("id", "root", "n", F.explode(F.arrays_zip("tokens", "at")).alias("x")).select("id", "root", "n", F.col("x.tokens").alias("token"), F.col("x.at").alias("at"))
-
-
-def _remainder(open_: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, centre, a, b): all pairs of the open texts (id, root) of different roots a < b that share enough runs to be near duplicates.
-
-    More runs than lie behind a shared one's place are not left to share. Hot runs are salted.
-    """
-    rows = materialize(_prefixes(docs, open_, text, key), "prefixes")
-    live = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).filter("a <> b")
-    rows = materialize(rows.join(live.select("token", "salts"), "token"), "tokens")
-    # The text of fewer words (then of less id) goes to every salt.
-    one = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("s")
-    two = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("l")
-    n = F.col("l.n")
-    edits = F.floor((1 - THRESHOLD) * n + 1e-9)
-    runs = lambda x: F.greatest(F.lit(1), x - (RUN - 1))
-    shared = F.least(runs(F.col("s.n")) - F.col("s.at"), runs(n) - F.col("l.at")) >= F.greatest(F.lit(1), runs(n) - RUN * edits)
-    less = (F.col("s.n") < n) | ((F.col("s.n") == n) & (F.col("s.id") < F.col("l.id")))
-    same = (F.col("s.token") == F.col("l.token")) & (F.col("s.salt") == F.col("l.salt"))
-    found = one.join(two, same & less & (n - F.col("s.n") <= edits) & shared & (F.col("s.root") != F.col("l.root")))
-    return found.select(F.greatest("s.id", "l.id").alias("id"), F.least("s.id", "l.id").alias("centre"), F.least("s.root", "l.root").alias("a"), F.greatest("s.root", "l.root").alias("b")).distinct()
+    """(bucket, id, centre) of buckets (bucket, id, weight, root, spent): everyone of another component with the bucket's
+    weightiest member that is not of a spent component (least id first), and the centre itself."""
+    best = F.max(F.when(~F.col("spent"), F.struct("weight", (-F.col("id")).alias("less"), "root")))
+    centre = members.groupBy("bucket").agg(best.alias("c"), F.count("*").alias("n")).filter("n > 1 AND c IS NOT NULL")
+    centre = centre.select("bucket", "n", (-F.col("c.less")).alias("centre"), F.col("c.root").alias("_root"))
+    return salted_join(members, centre, "bucket").filter("id = centre OR root <> _root").select("bucket", "id", "centre")
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -364,29 +269,30 @@ def _classes(rows: DataFrame, text: str, key: str) -> DataFrame:
     sized = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
     member = materialize(salted_join(member, sized, "bucket"), "buckets")
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
-    member = member.join(weight, "id").select("id", "weight", "bucket")
-    tried = materialize(_centred(member), "pairs")
-    links = materialize(_verified(tried, rows, text, key), "links")
-    roots = materialize(components(links), "roots")
-    # What is still split is searched without a centre: one pair for each two components first, then all that they leave.
-    rooted = materialize(member.select("id", "bucket").join(roots, "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root")), "rooted")
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("bucket", "n")
-    open_ = materialize(salted_join(rooted, split, "bucket").select("id", "root").distinct(), "open")
-    if not open_.isEmpty():
-        left = materialize(_remainder(open_, rows, text, key).join(tried, ["id", "centre"], "left_anti"), "remainder")
-        for first in (True, False):
-            if left.isEmpty():
-                break
-            asked = left.groupBy("a", "b").agg(F.min(F.struct("id", "centre")).alias("p")).select("p.*") if first else left.select("id", "centre")
-            asked = materialize(asked, "pairs")
-            more = materialize(_verified(asked, rows, text, key), "links")
-            if not more.isEmpty():
-                links = links.unionAll(more)
-                roots = materialize(components(links), "roots")
-            if first:
-                now = roots.select(F.col("id").alias("n"), "root")
-                left = left.join(asked, ["id", "centre"], "left_anti").join(now.toDF("id", "r"), "id", "left").join(now.toDF("centre", "q"), "centre", "left")
-                left = materialize(left.filter(F.coalesce("r", "id") != F.coalesce("q", "centre")).select("id", "centre"), "remainder")
+    member = materialize(member.join(weight, "id").select("id", "weight", "bucket"), "weighed")
+    rooted = member.select("*", F.col("id").alias("root"), F.lit(False).alias("spent"))
+    tried = links = roots = centres = None
+    while True:
+        met = materialize(_centred(rooted), "met")
+        pairs = met.filter("id <> centre").select("id", "centre").distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["id", "centre"], "left_anti"), "pairs")
+        found = materialize(_verified(pairs, rows, text, key), "links")
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else links.unionAll(found)
+        roots = materialize(components(links), "roots")
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        now = met.filter("id = centre").select("bucket", "id")
+        centres = now if centres is None else centres.unionAll(now)
+        # Members with their components; buckets of one component are done, and a component that has given a centre gives no other.
+        known = F.coalesce("root", "id").alias("root")
+        every = materialize(member.join(roots, "id", "left").select("id", "weight", "bucket", known), "rooted")
+        split = every.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("bucket", "n")
+        every = materialize(salted_join(every, split, "bucket"), "split")
+        spent = centres.join(roots, "id", "left").select("bucket", known, F.lit(True).alias("spent")).distinct()
+        rooted = every.join(spent, ["bucket", "root"], "left").withColumn("spent", F.coalesce("spent", F.lit(False)))
+        if rooted.filter("NOT spent").isEmpty():
+            break
     members = copies.groupBy("first").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("id", "first"), "first", "left").select("first", "n", F.coalesce("root", "first").alias("class_id"))
     named = salted_join(copies.filter("first IS NOT NULL"), members, "first")
     lone = copies.filter("first IS NULL").select("id", F.col("first").alias("class_id"))
