@@ -3,17 +3,22 @@
 Base counts come from each whole text. Derived measures (mean word length, symbols and letters per
 word, share of repeated lines and words) are integers in thousandths. A sketch is a log-linear
 histogram in row form: (language, source, measure, bucket) -> count, where a bucket keeps a value's
-seven leading bits, so a quantile is off by less than 1 in 64. Sketches merge by adding counts: those of
-(language, source) give those of a language, and these the one of all rows. A group's thresholds
-are fences around its quartiles; a group of fewer than `min_rows` rows takes its language's, and a
-language that small takes those of all rows. The rows join the thresholds and are judged.
+six leading bits, so a quantile is off by less than 1 in 64. Sketches merge by adding counts: those of
+(language, source) give those of a language, and these the one of all rows.
+
+Thresholds. RULES names for each measure two quantiles and a factor: the fence lies the factor times their
+distance beyond the upper one (and the lower one, for word length), so what a sketch says of a group alone decides;
+nothing is added to it. A group's fence is then drawn towards that of its language, and this towards that of all
+rows, by the weights rows : SHRINK, which leaves groups of many thousand rows as they are and lends small ones what
+they lack, without a size at which the rule changes. A document is judged by its measure with one occurrence
+less, so that a single symbol, capital or repeated line condemns none. The rows join the thresholds.
 
 Skew: a hot source costs one row for each measure, bucket and task, as counts are combined before the
 shuffle. The thresholds have a row for each (language, source), and Spark measures that table when it
 chooses how to join; the rows carry counts but no texts.
 
 Defined cases: a null or empty text has no words and fails the base rule; null language or source is a
-group like any other; repeated rows are judged alike and all returned; an empty table gives an empty
+group like any other; very long texts are counted whole; repeated rows are judged alike and all returned; an empty table gives an empty
 result; columns other than those named are ignored.
 """
 
@@ -31,15 +36,17 @@ SPACE = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: measure -> (distance from the quartile in interquartile ranges, least distance, whether low values fail too).
-FENCES = {
-    "word_length": (4, 2500, True),
-    "symbol_share": (4, 150, False),
-    "upper_share": (4, 600, False),
-    "dup_line_share": (4, 500, False),
-    "repeat_share": (4, 400, False),
+#: measure -> (upper and lower quantile in thousandths, distances that the fence lies beyond, whether low values fail too).
+#: Where most documents have none at all, the quartiles say nothing of how far the rest may go, so repetition takes high quantiles.
+RULES = {
+    "word_length": (750, 250, 5, True),
+    "symbol_share": (750, 250, 5, False),
+    "upper_share": (750, 250, 8, False),
+    "dup_line_share": (980, 500, 2, False),
+    "repeat_share": (980, 500, 2, False),
 }
-MIN_ROWS = 200
+#: Rows of the coarser level that a group's own rows are weighed against.
+SHRINK = 200
 
 
 def _repeated_words(words: Column) -> Column:
@@ -97,13 +104,17 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+#: measure -> (count, by what it is divided, how many occurrences are forgiven when a document is judged).
+SHARES = {
+    "word_length": ("word_chars", "n_words", 0), "symbol_share": ("n_symbols", "n_words", 1), "upper_share": ("n_upper", "word_chars", 1),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1), "repeat_share": ("n_repeat_words", "n_words", 1),
+}
+
+
 def measures() -> dict[str, Column]:
-    """The judged measures, in thousandths."""
-    part = lambda a, b: F.expr(f"{a} * 1000 div greatest({b}, 1)")
-    return {
-        "word_length": part("word_chars", "n_words"), "symbol_share": part("n_symbols", "n_words"), "upper_share": part("n_upper", "word_chars"),
-        "dup_line_share": part("n_dup_lines", "n_lines"), "repeat_share": part("n_repeat_words", "n_words"),
-    }
+    """The measures in thousandths, and as judged (judged_...)."""
+    part = lambda a, b, less: F.expr(f"greatest({a} - {less}, 0) * 1000 div greatest({b}, 1)")
+    return {k: part(a, b, 0) for k, (a, b, _) in SHARES.items()} | {f"judged_{k}": part(*v) for k, v in SHARES.items()}
 
 
 def bucket(value: str) -> Column:
@@ -113,7 +124,7 @@ def bucket(value: str) -> Column:
 
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n) over the rows that pass the base rule."""
-    made = F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in FENCES))
+    made = F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in RULES))
     long = counted.filter(~F.col("base_failed")).select("lang", "source", F.explode(made).alias("x")).select("lang", "source", "x.*")
     return long.groupBy("lang", "source", "measure", bucket("value").alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -124,64 +135,65 @@ def merged(sketch: DataFrame, *level: str) -> DataFrame:
 
 
 def _fences(sketch: DataFrame, *level: str) -> DataFrame:
-    """One row for each group of the level: rows, and low and high for each measure."""
+    """One row for each group of the level: rows, and high (and low) for each measure."""
     w = Window.partitionBy(*level, "measure")
     ranked = sketch.withColumns({"seen": F.sum("n").over(w.orderBy("bucket")), "rows": F.sum("n").over(w)})
-    quartiles = ranked.groupBy(*level, "measure").agg(
-        F.max("rows").alias("rows"), F.min(F.when(4 * F.col("seen") >= F.col("rows"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("seen") >= 3 * F.col("rows"), F.col("bucket"))).alias("q3"))
+    at = sorted({q for rule in RULES.values() for q in rule[:2]})
+    quantiles = ranked.groupBy(*level, "measure").agg(F.max("rows").alias("rows"), *(F.min(F.when(1000 * F.col("seen") >= q * F.col("rows"), F.col("bucket"))).alias(f"q{q}") for q in at))
     of = lambda k, e: F.max(F.when(F.col("measure") == k, F.expr(e)))
     out = [F.max("rows").alias("rows")]
-    for k, (far, least, both) in FENCES.items():
-        wide = f"greatest({far} * (q3 - q1), {least})"
-        out += [of(k, f"q3 + {wide}").alias(f"{k}_high")] + ([of(k, f"q1 - {wide}").alias(f"{k}_low")] if both else [])
-    return quartiles.groupBy(*level).agg(*out)
+    for k, (up, down, far, both) in RULES.items():
+        out += [of(k, f"q{up} + {far} * (q{up} - q{down})").alias(f"{k}_high")] + ([of(k, f"greatest(q{down} - {far} * (q{up} - q{down}), 0)").alias(f"{k}_low")] if both else [])
+    return quantiles.groupBy(*level).agg(*out)
 
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Thresholds for each (lang, source) seen, from the finest level with enough rows."""
+def thresholds(sketch: DataFrame, shrink: int = SHRINK) -> DataFrame:
+    """Thresholds for each (lang, source) seen."""
     lang = merged(sketch, "lang")
-    every = merged(lang)
-    fine, mid, top = _fences(sketch, "lang", "source").alias("f"), _fences(lang, "lang").alias("m"), _fences(every).alias("t")
+    top = _fences(merged(lang))
     names = [c for c in top.columns if c != "rows"]
-    pick = lambda c: F.when(F.col("f.rows") >= min_rows, F.col(f"f.{c}")).when(F.col("m.rows") >= min_rows, F.col(f"m.{c}")).otherwise(F.col(f"t.{c}"))
-    return (
-        fine.join(mid, F.col("f.lang").eqNullSafe(F.col("m.lang"))).join(F.broadcast(top))  # top is a single row
-        .select("f.lang", "f.source", *(pick(c).alias(c) for c in names)))
+    # The one row of all is a struct that every language gets, then every source from its language.
+    drawn = lambda c, own, coarse: F.expr(f"({own}.rows * {own}.{c} + {shrink} * {coarse}.{c}) div ({own}.rows + {shrink})").alias(c)
+    every = top.select(F.lit(1).alias("one"), F.struct(*top.columns).alias("t"))
+    mid = _fences(lang, "lang").withColumn("one", F.lit(1)).alias("m").join(every, "one").select("m.lang", *(drawn(c, "m", "t") for c in names))
+    fine = _fences(sketch, "lang", "source").alias("f").join(mid.alias("m"), F.col("f.lang").eqNullSafe(F.col("m.lang")))
+    return fine.select("f.lang", "f.source", *(drawn(c, "f", "m") for c in names))
 
 
-def judge(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), shrink: int = SHRINK) -> DataFrame:
     """keys, the counts, base_failed and kept."""
     counted = base_counts(docs, text, (*keys, "lang", "source")).withColumn("base_failed", base_failed()).withColumns(measures())
     counted = materialize(counted, "quality")
-    fences = thresholds(sketches(counted), min_rows)
+    fences = thresholds(sketches(counted), shrink)
     joined = counted.alias("d").join(fences.alias("f"), F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
-    inside = [F.col(k) <= F.coalesce(f"{k}_high", k) for k in FENCES] + [F.col(k) >= F.coalesce(f"{k}_low", k) for k, v in FENCES.items() if v[2]]
+    inside = [F.col(f"judged_{k}") <= F.coalesce(f"{k}_high", f"judged_{k}") for k in RULES] + [F.col(f"judged_{k}") >= F.coalesce(f"{k}_low", f"judged_{k}") for k, v in RULES.items() if v[3]]
     kept = reduce(lambda a, b: a & b, inside, ~F.col("base_failed"))
     return joined.select(*(f"d.{c}" for c in (*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), kept.alias("kept"))
 
 
-def judge_sql(min_rows: int = MIN_ROWS) -> str:
+def judge_sql(shrink: int = SHRINK) -> str:
     """The same in DuckDB's SQL, over documents."""
     space = r"[\x20\x09-\x0D]"
-    scaled = {"word_length": "word_chars * 1000 // greatest(n_words, 1)", "symbol_share": "n_symbols * 1000 // greatest(n_words, 1)", "upper_share": "n_upper * 1000 // greatest(word_chars, 1)", "dup_line_share": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeat_share": "n_repeat_words * 1000 // greatest(n_words, 1)"}
-    longs = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM c WHERE NOT base_failed" for k in FENCES)
+    part = lambda a, b, less: f"greatest({a} - {less}, 0) * 1000 // greatest({b}, 1)"
+    scaled = {k: part(a, b, 0) for k, (a, b, _) in SHARES.items()} | {f"judged_{k}": part(*v) for k, v in SHARES.items()}
+    longs = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM c WHERE NOT base_failed" for k in RULES)
+    at = sorted({q for rule in RULES.values() for q in rule[:2]})
 
     def fence(k: str) -> str:
-        far, least, both = FENCES[k]
-        wide = f"greatest({far} * (q3 - q1), {least})"
-        return f"max(CASE WHEN measure = '{k}' THEN q3 + {wide} END) AS {k}_high" + (f", max(CASE WHEN measure = '{k}' THEN q1 - {wide} END) AS {k}_low" if both else "")
+        up, down, far, both = RULES[k]
+        wide = f"{far} * (q{up} - q{down})"
+        return f"max(CASE WHEN measure = '{k}' THEN q{up} + {wide} END) AS {k}_high" + (f", max(CASE WHEN measure = '{k}' THEN greatest(q{down} - {wide}, 0) END) AS {k}_low" if both else "")
 
     def level(name: str, *by: str) -> str:
         g = "".join(f"{b}, " for b in by)
-        return f"""{name}_q AS (SELECT {g}measure, max(total) AS total, min(CASE WHEN 4 * seen >= total THEN bucket END) AS q1, min(CASE WHEN 4 * seen >= 3 * total THEN bucket END) AS q3
+        return f"""{name}_q AS (SELECT {g}measure, max(total) AS total, {', '.join(f'min(CASE WHEN 1000 * seen >= {q} * total THEN bucket END) AS q{q}' for q in at)}
           FROM (SELECT {g}measure, bucket, sum(sum(n)) OVER (PARTITION BY {g}measure ORDER BY bucket) AS seen, sum(sum(n)) OVER (PARTITION BY {g}measure) AS total FROM sk GROUP BY {g}measure, bucket)
           GROUP BY {g}measure),
-        {name} AS (SELECT {g}max(total) AS total, {', '.join(map(fence, FENCES))} FROM {name}_q {'GROUP BY ' + ', '.join(by) if by else ''})"""
+        {name} AS (SELECT {g}max(total) AS total, {', '.join(map(fence, RULES))} FROM {name}_q {'GROUP BY ' + ', '.join(by) if by else ''})"""
 
-    ends = [f"{k}_high" for k in FENCES] + [f"{k}_low" for k, v in FENCES.items() if v[2]]
-    pick = ", ".join(f"CASE WHEN f.total >= {min_rows} THEN f.{c} WHEN m.total >= {min_rows} THEN m.{c} ELSE t.{c} END AS {c}" for c in ends)
-    inside = " AND ".join([f"{k} <= coalesce({k}_high, {k})" for k in FENCES] + [f"{k} >= coalesce({k}_low, {k})" for k, v in FENCES.items() if v[2]])
+    ends = [f"{k}_high" for k in RULES] + [f"{k}_low" for k, v in RULES.items() if v[3]]
+    drawn = lambda own, coarse: ", ".join(f"CAST(trunc(({own}.total * {own}.{c} + {shrink} * {coarse}.{c}) // ({own}.total + {shrink})) AS BIGINT) AS {c}" for c in ends)
+    inside = " AND ".join([f"judged_{k} <= coalesce({k}_high, judged_{k})" for k in RULES] + [f"judged_{k} >= coalesce({k}_low, judged_{k})" for k, v in RULES.items() if v[3]])
     return rf"""
       WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
       w AS (SELECT doc_id, lang, source, text, list_filter(regexp_split_to_array(text, '{space}+'), lambda x: x <> '') AS ws,
@@ -195,6 +207,7 @@ def judge_sql(min_rows: int = MIN_ROWS) -> str:
       c AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {', '.join(f'{v} AS {k}' for k, v in scaled.items())} FROM b),
       sk AS (SELECT lang, source, measure, v - v % (1::BIGINT << greatest(length(bin(v)) - 7, 0)) AS bucket, count(*) AS n FROM ({longs}) GROUP BY ALL),
       {level('fine', 'lang', 'source')}, {level('mid', 'lang')}, {level('top')},
-      th AS (SELECT f.lang, f.source, {pick} FROM fine f JOIN mid m ON f.lang IS NOT DISTINCT FROM m.lang CROSS JOIN top t)
+      near AS (SELECT m.lang, {drawn('m', 't')} FROM mid m, top t),
+      th AS (SELECT f.lang, f.source, {drawn('f', 'm')} FROM fine f JOIN near m ON f.lang IS NOT DISTINCT FROM m.lang)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
       FROM c LEFT JOIN th ON c.lang IS NOT DISTINCT FROM th.lang AND c.source IS NOT DISTINCT FROM th.source"""
