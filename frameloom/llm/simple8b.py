@@ -4,18 +4,20 @@ A 64-bit word holds a selector in its top four bits and as many ids as fit at th
 60 of one bit to one of 60 bits; two selectors stand for runs of 240 or 120 zeros. A value of 60 bits or
 more (less one) is an escape: a word of ones, the next word being the value itself. The encoder
 takes at each place the selector that packs most ids. Documents start at a word of their own, and a
-block carries for each document its key, its number of ids and the offset of its first word, so one
-block, or one document, decodes alone and by whole-array operations.
+block carries for each document its key, its number of ids and the offset of its first word: through the offsets
+a block decodes as one array, and one document alone (document()).
 
-Files: Parquet parts of blocks (part, block, n_ids, keys, counts, offsets, words). Documents are dealt
-to parts by ranges of their key and sorted inside, so the concatenation of the parts is in ascending key
-order. A document's global start is the ids of all earlier parts (one row for each part is summed), plus
-those of earlier documents in its part.
+Files: Parquet parts of blocks (part, block, n_ids, keys, counts, offsets, words). Texts are encoded where they are
+read; only their packed words, a third of the text, are dealt by ranges of the key and sorted inside, so the
+concatenation of the parts is in ascending key order. There are as many parts as the packed words fill at
+PART_BYTES each, whatever the session's settings, and at least the session's shuffle partitions. A document's
+global start is the ids of all earlier parts (one row for each part is summed), plus those of earlier documents in
+its part.
 
 Skew: ranges follow the key, not the source or the text; equal keys stay together, in the order of
 their texts' checksums. Defined cases: null text counts as empty and still gets the end id; null keys
-come first; repeated rows are kept; an empty table gives no blocks and an empty result; other columns
-are ignored.
+come first, and a key that is no whole number counts as null; a very long text is packed whole and makes a block of its
+own size; repeated rows are kept; an empty table gives no blocks and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import need, scratch_path
+from frameloom.llm.common import materialize, need, scratch_path, scratch_run
 
 #: Ids in a word, and bits for each, by selector; selectors 0 and 1 are runs of zeros, 15 is the escape
 #: (fixed values of the format; the escape takes the place of the usual single 60-bit value's overflow).
@@ -43,6 +45,8 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words of a block, and what a worker remembers at most.
 BLOCK_WORDS, CACHE, PIECES = 65_536, 1_100_000, 300_000
+#: Bytes of packed words of a part.
+PART_BYTES = 128 << 20
 #: Punctuation that makes one piece when it stands behind letters: ASCII without apostrophe and <, |, > of special tokens.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: The byte-level form: printable bytes stand for themselves, the others for 256, 257, ... in order (fixed rule).
@@ -110,21 +114,17 @@ def encode(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.bincount(owner, minlength=len(lens))
 
 
-def decode(words: np.ndarray) -> np.ndarray:
-    """All ids of a run of whole words, without a loop over words."""
+def decode(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a run of whole words, and the place of each word's first id (and the end), without a loop over words."""
     words = np.ascontiguousarray(words, np.uint64)
-    raw = np.zeros(len(words), bool)
-    if (words == ESCAPE).any():
-        escapes, k = np.flatnonzero(words == ESCAPE).tolist(), -1
-        for i in escapes:
-            if i > k:
-                raw[i + 1] = True
-                k = i + 1
-    mark = np.zeros(len(words), bool)
-    mark[:-1] = raw[1:]
+    at = np.arange(len(words))
+    ones = words == ESCAPE
+    # In a run of such words every second one is the value of the escape before it, and so is what follows an odd run.
+    begin = np.maximum.accumulate(np.where(ones & ~np.append(False, ones[:-1]), at, 0))
+    mark = ones & ((at - begin) % 2 == 0)
+    raw = np.append(False, mark[:-1])[: len(words)]
     sel = (words >> np.uint64(60)).astype(np.int64)
-    count = np.where(raw, 1, np.where(mark, 0, COUNTS[sel]))
-    ends = np.cumsum(count)
+    ends = np.cumsum(np.where(raw, 1, np.where(mark, 0, COUNTS[sel])))
     out = np.zeros(ends[-1] if len(ends) else 0, np.uint64)
     out[ends[raw] - 1] = words[raw]
     for s in range(2, 16):
@@ -133,7 +133,7 @@ def decode(words: np.ndarray) -> np.ndarray:
             shift = (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(WIDTHS[s]))[None, :]
             place = (ends[mine] - COUNTS[s])[:, None] + np.arange(COUNTS[s])
             out[place] = (words[mine][:, None] >> shift) & np.uint64((1 << int(WIDTHS[s])) - 1)
-    return out
+    return out, np.append(0, ends)
 
 
 class WordCache:
@@ -209,42 +209,65 @@ def load_tokenizer(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def _blocks(rows: Iterator[pa.RecordBatch], tokenizer: Broadcast, end_id: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (part, key, text) rows to blocks of about BLOCK_WORDS words."""
-    block, part, total = 0, None, 0
-    keys: list[int | None] = []
-    packed: list[bytes] = []
+def packed(docs: DataFrame, tokenizer: Broadcast, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, crc (of the text), n (ids with the end id) and words (packed) of every document."""
+    rows = need(docs, key, text)
     end = np.array([end_id], "<u4").tobytes()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                some = batch.slice(start, 200)
+                ids = [x + end for x in _cache(tokenizer).encode([t or "" for t in some.column(2).to_pylist()])]
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                words, per = encode(np.frombuffer(b"".join(ids), "<u4").astype(np.uint64), n)
+                ends = np.append(0, np.cumsum(per) * 8)
+                made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(words.astype("<u8"))])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), made.cast(pa.binary())], ["key", "crc", "n", "words"])
+
+    given = rows.select(F.col(key).try_cast("long").alias("key"), F.crc32(text).alias("crc"), F.col(text).alias("text"))
+    return given.mapInArrow(run, "key long, crc long, n long, words binary")
+
+
+def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (part, key, n, words) rows to blocks of about BLOCK_WORDS words."""
+    block, part = 0, None
+    keys: list[int | None] = []
+    counts: list[int] = []
+    held: list[bytes] = []
+    size = 0
+
     def out() -> pa.RecordBatch:
-        counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        words, per = encode(np.frombuffer(b"".join(packed), "<u4").astype(np.uint64), counts)
-        offsets = np.cumsum(per) - per
+        ends = np.cumsum([len(w) // 8 for w in held])
+        offsets = np.append(0, ends[:-1]).tolist()
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([total], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
-             pa.array([counts.tolist()], pa.list_(pa.int32())), pa.array([offsets.tolist()], pa.list_(pa.int32())), pa.array([words.astype("<u8").tobytes()], pa.binary())],
+            [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([sum(counts)], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
+             pa.array([counts], pa.list_(pa.int32())), pa.array([offsets], pa.list_(pa.int32())), pa.array([b"".join(held)], pa.binary())],
             ["part", "block", "n_ids", "keys", "counts", "offsets", "words"])
 
     for batch in rows:
-        for start in range(0, batch.num_rows, 200):
-            some = batch.slice(start, 200)
-            part = some.column(0)[0].as_py() if part is None else part
-            for key, got in zip(some.column(1).to_pylist(), _cache(tokenizer).encode([t or "" for t in some.column(2).to_pylist()]), strict=True):
-                keys.append(key)
-                packed.append(got + end)
-                total += len(got) // 4 + 1
-                if total >= 3 * BLOCK_WORDS:
-                    yield out()
-                    block, keys, packed, total = block + 1, [], [], 0
+        part = batch.column(0)[0].as_py() if part is None and batch.num_rows else part
+        for key, n, w in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            keys.append(key)
+            counts.append(n)
+            held.append(w)
+            size += len(w)
+            if size >= 8 * BLOCK_WORDS:
+                yield out()
+                block, keys, counts, held, size = block + 1, [], [], [], 0
     if keys:
         yield out()
 
 
-def write(docs: DataFrame, tokenizer: Broadcast, end_id: int, path: str, parts: int, text: str = "text", key: str = "doc_id") -> None:
-    """Encode the texts and write the block files, in ascending key order over `parts` ranges."""
-    rows = need(docs, key, text).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ranged = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", F.crc32("text")).select(F.spark_partition_id().alias("part"), "key", "text")
-    ranged.mapInArrow(lambda it: _blocks(it, tokenizer, end_id), BLOCK).write.option("compression", "zstd").parquet(path)
+def write(docs: DataFrame, tokenizer: Broadcast, end_id: int, path: str, part_bytes: int = PART_BYTES, text: str = "text", key: str = "doc_id") -> None:
+    """Encode the texts and write the block files, in ascending key order over ranges of about `part_bytes`."""
+    spark = docs.sparkSession
+    with scratch_run(spark, "packed"):
+        rows = materialize(packed(docs, tokenizer, end_id, text, key), "packed")  # ranges are sampled from it, so it is made once
+        total = rows.agg(F.sum(F.length("words"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes), 1)
+        ranged = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "crc").select(F.spark_partition_id().alias("part"), "key", "n", "words")
+        ranged.mapInArrow(_blocks, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -259,6 +282,14 @@ def starts(blocks: DataFrame) -> DataFrame:
     return total.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
 
 
+def document(blocks: DataFrame, key: int) -> list[list[int]]:
+    """The ids of one document (of each of its rows), decoded alone from the words at its offset."""
+    found = blocks.filter(F.array_contains("keys", key)).select("part", "block", F.explode(F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.get("keys", i) == key)).alias("i"), "counts", "offsets", "words")
+    begin, end = F.get("offsets", F.col("i")), F.coalesce(F.get("offsets", F.col("i") + 1), (F.length("words") / 8).cast("int"))
+    rows = found.orderBy("part", "block", "i").select(F.substring("words", begin * 8 + 1, (end - begin) * 8).alias("w"), F.get("counts", F.col("i")).alias("n")).collect()
+    return [decode(np.frombuffer(r["w"], "<u8"))[0][: r["n"]].tolist() for r in rows]
+
+
 def documents(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Decode the blocks: key, start, n_tokens, ids_crc32 of every document, in any order."""
     from pyspark.sql import Window
@@ -272,23 +303,24 @@ def documents(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ids = decode(np.frombuffer(row["words"], "<u8")).astype("<u4")
-                # Selectors wider than what was left of a document padded nothing: counts hold the truth.
-                ends = list(accumulate(row["counts"]))
-                begins = [e - n for e, n in zip(ends, row["counts"], strict=True)]
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)]
-                n = len(ends)
+                ids, places = decode(np.frombuffer(row["words"], "<u8"))
+                ids = ids.astype("<u4")
+                # A document's ids begin where its first word's do; the last word of the one before may hold fewer than its selector says.
+                begins, counts = places[row["offsets"]].tolist(), row["counts"]
+                crc = [zlib.crc32(ids[a : a + k].tobytes()) for a, k in zip(begins, counts, strict=True)]
+                n = len(counts)
+                at = list(accumulate(counts, initial=0))[:-1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(row["keys"], pa.int64()), pa.array(begins, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(row["keys"], pa.int64()), pa.array(at, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())],
                     ["part", "block", key, "at", "n_tokens", "ids_crc32"])
 
-    decoded = blocks.select("part", "block", "keys", "counts", "words").mapInArrow(run, shape)
+    decoded = blocks.select("part", "block", "keys", "counts", "offsets", "words").mapInArrow(run, shape)
     return decoded.join(base, ["part", "block"]).select(key, (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, parts: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, part_bytes: int = PART_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Write the files to the shared folder and read every document back from them."""
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
-    write(docs, load_tokenizer(spark, tokenizer_path), end_id, path, parts, text, key)
+    write(docs, load_tokenizer(spark, tokenizer_path), end_id, path, part_bytes, text, key)
     return documents(read(spark, path), key)
