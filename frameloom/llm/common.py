@@ -66,6 +66,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(there)
 
 
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """The paths in a folder, none if it does not exist."""
+    fs, there = _files(spark, path)
+    return [x.getPath().toString() for x in fs.listStatus(there)] if fs.exists(there) else []
+
+
 @contextmanager
 def scratch_run(spark: SparkSession, name: str) -> Iterator[None]:
     """What is materialized inside goes when the run ends. What is to outlast it is materialized by keep()."""

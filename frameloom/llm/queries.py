@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, decontaminate, licenses, near_dup, quality, secrets, simple8b, slots, toxicity, warc
-from frameloom.llm.common import job_session
+from frameloom.llm.common import job_session, scratch_dir
 from frameloom.llm.common import read_table as plain_table
 
 RANKS, WORD_PIECES, END_ID = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", 1
@@ -48,12 +49,13 @@ def op4_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return simple8b.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_PIECES), END_ID, parts)
+    return simple8b.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_PIECES), END_ID)
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = slots.shard(read_table(spark, sf_dir, "documents"), SHARDS)
+    # The map of a data set stays in the shared folder: a later run loads it, and edits it if the data or the shards have changed.
+    folder = f"{scratch_dir(spark).rstrip('/')}/frameloom/slot-map/{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    dealt = slots.shard(read_table(spark, sf_dir, "documents"), SHARDS, folder=folder)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 

@@ -10,9 +10,12 @@ A record's place in its shard needs no global order: a slot's first place is the
 slots before it in the shard, and places inside a slot come from a window over that slot alone. Only
 (id, size, checksum, slot) is shuffled, never a text.
 
+Equal texts of different ids go to different slots: law `bytes` could not hold with a third of all rows in one
+shard. A place in a shard is gapless over all its rows.
+
 Skew: a slot holds 1/SLOTS of the records whatever their source or text, as the id and the checksum of
 the text are hashed together. Defined cases: a null text has no bytes (size 8, the record's frame) and
-checksum 0; a null id is an id like any other; repeated rows take places of their own; an empty table
+checksum 0; a null id is an id like any other; a very long text is one record, its slot being that much larger; repeated rows take places of their own; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize, need, scratch_path
+from frameloom.llm.common import entries, exists, materialize, need, scratch_path
 
 SLOTS, FRAME_BYTES = 8192, 8
 
@@ -56,6 +59,12 @@ def load_map(spark: SparkSession, folder: str, version: int) -> SlotMap:
     return SlotMap(version, int(rows["shard"].max()) + 1 if len(rows) else 0, rows)
 
 
+def latest(spark: SparkSession, folder: str) -> int | None:
+    """The last version that was written whole."""
+    found = [int(x.rpartition("version=")[2]) for x in entries(spark, folder) if "version=" in x and exists(spark, f"{x}/_SUCCESS")]
+    return max(found, default=None)
+
+
 def _placed(stats: pd.DataFrame) -> pd.DataFrame:
     stats = stats.sort_values(["shard", "slot"], ignore_index=True)
     stats["first"] = stats.groupby("shard")["rows"].cumsum() - stats["rows"]
@@ -104,17 +113,33 @@ def rebalance(old: SlotMap, shards: int, stats: pd.DataFrame | None = None) -> S
     return SlotMap(old.version + 1, shards, _placed(rows.assign(shard=rows["slot"].map(shard))))
 
 
-def assign(placed: DataFrame, slot_map: SlotMap, key: str = "doc_id") -> DataFrame:
-    """Every record with its shard and its place in the shard. The map has a fixed number of rows, so it is broadcast."""
-    table = slot_map.frame(placed.sparkSession).select(F.col("slot").alias("vslot"), "shard", "first")
+def assign(placed: DataFrame, slot_map: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every record with its shard and its place in the shard, by a map as it is stored. It has a fixed number of rows, so it is broadcast."""
     inside = F.row_number().over(Window.partitionBy("vslot").orderBy(key, "size", "text_crc32")) - 1
-    return placed.withColumn("inside", inside).join(F.broadcast(table), "vslot").select(
-        key, "size", "text_crc32", "shard", (F.col("first") + F.col("inside")).alias("slot"), "vslot", F.lit(slot_map.version).alias("map_version"))
+    return placed.withColumn("inside", inside).join(F.broadcast(slot_map.withColumnRenamed("slot", "vslot")), "vslot").select(
+        key, "size", "text_crc32", "shard", (F.col("first") + F.col("inside")).alias("slot"), "vslot", "map_version")
+
+
+def current(spark: SparkSession, folder: str, stats: pd.DataFrame, shards: int) -> int:
+    """The version of the stored map that fits these stats and shards: the last one if it does, else an edit of it, else a first one."""
+    last = latest(spark, folder)
+    if last is None:
+        made = build(stats, shards)
+    else:
+        old = load_map(spark, folder, last)
+        same = old.rows.merge(stats, on=["slot", "bytes", "rows"])
+        if old.shards == shards and len(same) == len(stats):
+            return last
+        made = rebalance(old, shards, stats)
+    made.save(spark, folder)
+    return made.version
 
 
 def shard(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id", folder: str | None = None) -> DataFrame:
-    """Deal the documents into shards by a new map, which is saved first."""
+    """Deal the documents into shards by the map in `folder` (a new folder if none is named), edited where it no longer fits."""
+    spark = docs.sparkSession
+    folder = folder or scratch_path(spark, "slot-map")
     placed = materialize(records(docs, text, key), "slot-records")
-    slot_map = build(slot_stats(placed), shards)
-    slot_map.save(docs.sparkSession, folder)
-    return assign(placed, slot_map, key)
+    version = current(spark, folder, slot_stats(placed), shards)
+    table = spark.read.parquet(f"{folder}/version={version}").select("slot", "shard", "first", F.lit(version).alias("map_version"))
+    return assign(placed, table, key)
