@@ -120,3 +120,21 @@ def frames(raw: bytes | None) -> Iterator[Frame]:
             delay, disposal, clear = 100, 0, -1
         else:
             break
+
+
+def encode(frames: list[tuple[int, int, int, int, int, int, bytes]]) -> bytes:
+    """An animated GIF of 256 greys from (delay_ms, x, y, w, h, disposal, a byte for each pixel).
+
+    Codes are 9 bits wide throughout: a clear code comes before the table would grow past that.
+    """
+    wide, high = max(x + w for _, x, _, w, _, _, _ in frames), max(y + h for _, _, y, _, h, _, _ in frames)
+    out = [b"GIF89a", struct.pack("<HHBBB", wide, high, 0xF7, 0, 0), bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))]
+    for delay, x, y, w, h, disposal, grey in frames:
+        codes = np.frombuffer(grey, np.uint8).astype(np.uint32)
+        runs = -(-len(codes) // 250)
+        codes = np.insert(codes, np.arange(runs) * 250, 256)
+        bits = (np.append(codes, 257)[:, None] >> np.arange(9)) & 1
+        raw = np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
+        out += [b"\x21\xf9\x04", struct.pack("<BHB", disposal << 2, delay // 10, 0), b"\0", b"\x2c", struct.pack("<HHHHB", x, y, w, h, 0), b"\x08"]
+        out += [part for k in range(0, len(raw), 255) for part in (bytes([len(raw[k : k + 255])]), raw[k : k + 255])] + [b"\0"]
+    return b"".join([*out, b"\x3b"])

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.jobs.pixel_queries import SIDE, px
-from frameloom.operators import container, metadata, pixels
+from frameloom.jobs.session import shared_folder
+from frameloom.operators import catalog, container, metadata, pixels
+from frameloom.sources import files
 from frameloom.sources.mapped import duck, table
 
 C = F.col
@@ -137,7 +139,7 @@ def q_strip_metadata(spark, d):
 
 
 def q_text_chunks(spark, d):
-    t = table(spark, d, "text_chunks").filter("chunk_no = 0 AND keyword IS NOT NULL")
+    t = table(spark, d, "text_chunks").filter("keyword IS NOT NULL AND value IS NOT NULL")
     meta = t.select(F.regexp_replace("path", "conv/", "").alias("path"), "chunk_no", F.lit("iTXt").alias("type"), F.concat(F.encode("keyword", "ISO-8859-1"), F.unhex(F.lit("0000000000")), F.encode("value", "UTF-8")).alias("payload"))
     files = metadata.append_metadata(pngs(spark, d), meta)
     return metadata.text_chunks(files).select("path", "keyword", F.md5("value").alias("value_md5"), "is_important")
@@ -162,14 +164,118 @@ def q_decode_preset(spark, d):
     return table(spark, d, "presets").select("id", metadata.decode_preset(C("str")).alias("p")).select("id", "p.*")
 
 
+def exported(spark, d) -> str:
+    """A folder of loose PNG files, one for each image."""
+    folder = shared_folder(spark, "pictures")
+    files.export_files(pngs(spark, d).withColumn("name", F.concat("path", F.lit(".png"))), folder)
+    return folder
+
+
+def q_read_files(spark, d):
+    got = files.read_files(spark, exported(spark, d), "*.png")
+    header = container.image_header(container.png_chunks(got, ("IHDR",)))
+    kind = catalog.sniff_type(C("content"))
+    return got.select("path", "name", kind.alias("kind"), (C("length") == F.length("content")).alias("whole")).join(header, "path").select(F.split("name", r"\.")[0].cast("long").alias("image_id"), "kind", "whole", "width", "height")
+
+
+def q_read_pixels(spark, d):
+    got = files.read_pixels(spark, exported(spark, d))
+    return got.select(F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long").alias("image_id"), "w", "h", F.lower(F.hex("rgba")).alias("rgba"))
+
+
+def q_write_files(spark, d):
+    folder = shared_folder(spark, "files")
+    files.write_files(table(spark, d, "files").select("file_id", "name", "content"), folder)
+    return spark.read.parquet(folder).select("file_id", "name", F.md5("content").alias("md5"))
+
+
+def q_restore_generic(spark, d):
+    """Three to five frames without a marker: moving in mode web from two frames, in mode java from five."""
+    n = pngs(spark, d).select(C("path").cast("long").alias("n"), "content")
+    owner = n.select("content", F.floor(C("n") / 6).alias("g"), (C("n") % 6).alias("k"))
+    frames = F.transform(F.array_sort(F.collect_list(F.when(C("k") > 0, F.struct("k", C("content").alias("png"), F.lit(40).alias("delay_ms"))))), lambda s: F.struct(s["png"].alias("png"), s["delay_ms"].alias("delay_ms")))
+    whole = owner.groupBy("g").agg(F.max(F.when(C("k") == 0, C("content"))).alias("cover"), frames.alias("frames")).filter(F.size("frames") == 5)
+    disguised = container.compose(whole.select(C("g").alias("path"), "cover", F.slice("frames", F.lit(1), (3 + C("g") % 3).cast("int")).alias("frames")), "ANIMATED")
+    plain = metadata.strip_metadata(disguised)
+    web, java = (container.restore(plain, m).withColumn("mode", F.lit(m)) for m in ("web", "java"))
+    both = web.unionByName(java).withColumn("n", C("path").cast("long") * 6 + C("frame_no"))
+    return both.join(n.withColumnRenamed("content", "was"), "n").select("path", "mode", "frame_no", "is_anim", "delay_ms", (C("png") == C("was")).alias("as_hidden"))
+
+
+def gifs(spark, d) -> DataFrame:
+    """Two images make a GIF: the first whole, a part of the second over it or in its stead (by the first's disposal)."""
+    p = px(spark, d)
+    grey = lambda rows: rows.groupBy("image_id").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.lpad(F.hex("r"), 2, "0").alias("v")))), lambda s: s["v"]), "")).alias("grey"))
+    first = grey(p.filter("image_id % 2 = 0")).select(C("image_id").alias("path"), F.lit(1).alias("frame_no"), F.lit(0).alias("delay_ms"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(8).alias("w"), F.lit(8).alias("h"), (1 + C("image_id") % 4 / 2).cast("int").alias("disposal"), "grey")
+    part = p.filter("image_id % 2 = 1 AND x BETWEEN 2 AND 5 AND y BETWEEN 3 AND 7")
+    second = grey(part).select((C("image_id") - 1).alias("path"), F.lit(2).alias("frame_no"), (C("image_id") % 9 * 10 + 20).cast("int").alias("delay_ms"), F.lit(2).alias("x"), F.lit(3).alias("y"), F.lit(4).alias("w"), F.lit(5).alias("h"), F.lit(1).alias("disposal"), "grey")
+    return container.gif_of_frames(first.unionByName(second))
+
+
+def q_gif_frames(spark, d):
+    return container.gif_frames(gifs(spark, d)).select("path", "frame_no", "delay_ms", "x", "y", "w", "h", F.lower(F.hex("rgba")).alias("rgba"))
+
+
+def jpegs(spark, d) -> DataFrame:
+    """files(path, content): the start image and comment, scan and end marks of a JPEG around each vector's number."""
+    v = table(spark, d, "embeddings").select(C("vec_id").cast("string").alias("path"))
+    return v.select("path", F.concat(F.unhex(F.lit("FFD8FFFE")), F.unhex(F.lpad(F.hex(F.length("path") + 2), 4, "0")), F.encode("path", "UTF-8"), F.unhex(F.lit("FFDA0002")), F.encode(F.md5(F.encode("path", "UTF-8")), "UTF-8"), F.unhex(F.lit("FFD9"))).alias("content"))
+
+
+def placed(spark, d) -> DataFrame:
+    """fields: every image's own place and maker."""
+    v = table(spark, d, "embeddings").select(C("vec_id").alias("n"))
+    none, text = F.lit(None).cast("array<long>"), F.lit(None).cast("string")
+    angle = lambda deg, k: F.array(deg, F.lit(1), C("n") * k % 60, F.lit(1), C("n") * k * 7 % 6000, F.lit(100)).cast("array<long>")
+    field = lambda ifd, tag, kind, t, nums: F.struct(F.lit(ifd).alias("ifd"), F.lit(tag).alias("tag"), F.lit(kind).alias("type"), t.alias("text"), nums.alias("nums"))
+    own = F.array(
+        field("ifd0", 0x010F, 2, F.concat(F.lit("Maker "), C("n") % 11), none), field("exif", 0x829A, 5, text, F.array(F.lit(1), C("n") % 250 + 1).cast("array<long>")),
+        field("gps", 1, 2, F.when(C("n") % 2 == 0, "N").otherwise("S"), none), field("gps", 2, 5, text, angle(C("n") % 90, 1)),
+        field("gps", 3, 2, F.when(C("n") % 3 == 0, "E").otherwise("W"), none), field("gps", 4, 5, text, angle(C("n") % 179, 3)))
+    return v.select(C("n").cast("string").alias("path"), F.explode(own).alias("f")).select("path", "f.*")
+
+
+def with_places(spark, d) -> DataFrame:
+    """Images as PNG, and JPEGs beside them, with their own fields."""
+    own = placed(spark, d)
+    png_side = metadata.write_exif_rows(pngs(spark, d), own).withColumn("kind", F.lit("PNG"))
+    return png_side.unionByName(metadata.write_exif_rows(jpegs(spark, d), own).withColumn("kind", F.lit("JPEG")))
+
+
+def q_exif_places(spark, d):
+    both = with_places(spark, d).withColumn("path", F.concat_ws("/", catalog.sniff_type(C("content")), "path"))
+    return metadata.gps_decimal(metadata.exif_tags(both))
+
+
+def q_exif_values(spark, d):
+    both = with_places(spark, d).withColumn("path", F.concat_ws("/", "kind", "path"))
+    return metadata.exif_tags(both).filter("ifd <> 'gps'").select("path", "name", "value", F.round(F.get("nums", F.lit(0)), 9).alias("first"))
+
+
+def q_jpeg_strip(spark, d):
+    marked = metadata.write_exif_rows(jpegs(spark, d), placed(spark, d))
+    plain = metadata.strip_metadata(marked)
+    return plain.select("path", F.md5("content").alias("md5"), F.length("content").alias("length"))
+
+
+def q_jpeg_metadata(spark, d):
+    found = metadata.metadata_chunks(metadata.write_exif_rows(jpegs(spark, d), placed(spark, d)))
+    return found.select("path", "type", F.substring("payload", 1, 2).cast("string").alias("order"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
-_INSPECT = """SELECT path, coalesce(m.v, 1)::INT AS version, coalesce(m.k, 'GENERIC') AS kind, coalesce(m.c, n)::BIGINT AS count FROM (
+_INSPECT = """SELECT path, CASE WHEN m IS NULL THEN 1 ELSE m.v END::INT AS version, CASE WHEN m IS NULL THEN 'GENERIC' ELSE m.k END AS kind, CASE WHEN m IS NULL THEN n ELSE m.c END::BIGINT AS count FROM (
     SELECT path, bool_or(type = 'acTL') AS animated, count_if(type = 'fcTL') AS n,
-      arg_min(CASE WHEN type = 'tEXt' AND keyword = 'disguise' AND len(string_split(value, ';')) = 3 THEN {{'v': split_part(value, ';', 1)::INT, 'k': split_part(value, ';', 2), 'c': split_part(value, ';', 3)::INT}} END, chunk_no) FILTER (type = 'tEXt' AND len(string_split(value, ';')) = 3) AS m
+      arg_min(CASE WHEN type = 'tEXt' AND keyword = 'disguise' AND len(string_split(value, ';')) = 3 THEN {{'v': try_cast(regexp_extract(split_part(value, ';', 1), '^\\s*([+-]?[0-9]+)', 1) AS INT), 'k': split_part(value, ';', 2), 'c': try_cast(regexp_extract(split_part(value, ';', 3), '^\\s*([+-]?[0-9]+)', 1) AS INT)}} END, chunk_no) FILTER (type = 'tEXt' AND len(string_split(value, ';')) = 3) AS m
     FROM {marked_chunks} GROUP BY path) WHERE animated AND n > 0""".replace("{{", "struct_pack(").replace("}}", ")").replace("'v': ", "v := ").replace("'k': ", "k := ").replace("'c': ", "c := ")
 _FRAMES = "SELECT (vec_id - vec_id % 3)::VARCHAR AS path, (vec_id % 3)::INT AS frame_no, (vec_id - vec_id % 3) % 2 = 1 AS moving FROM embeddings WHERE vec_id % 3 > 0 AND (vec_id % 3 = 1 OR (vec_id - vec_id % 3) % 2 = 1)"
 _HIDDEN = "SELECT path, count_if(NOT (w = 1 AND h = 1))::BIGINT AS hidden FROM {frames} GROUP BY path"
+_HEX = "string_agg(printf('%02x%02x%02x%02x', r, g, b, a), '' ORDER BY y, x)"
+_OVER = "(SELECT p.image_id, p.x, p.y, q.r AS over, p.r FROM {pixels} p LEFT JOIN {pixels} q ON q.image_id = p.image_id + 1 AND q.x = p.x AND q.y = p.y AND q.x BETWEEN 2 AND 5 AND q.y BETWEEN 3 AND 7 WHERE p.image_id % 2 = 0)"
+#: What is left of a JPEG when EXIF and comments are gone.
+_JPEG = "unhex('FFD8FFDA0002') || encode(md5(p)) || unhex('FFD9')"
+_ANGLE = "({d} + vec_id * {k} % 60 / 60 + vec_id * {k} * 7 % 6000 / 100.0::DOUBLE / 3600)"
 _MS = "floor(CASE WHEN delay_num = 0 THEN 10 ELSE delay_num END * 1000 / CASE WHEN delay_den = 0 THEN 100 ELSE delay_den END + 0.5)"
 
 ORACLE_SQL = {k: duck(v) for k, v in {
@@ -193,9 +299,20 @@ ORACLE_SQL = {k: duck(v) for k, v in {
     "has_hidden_info": "SELECT DISTINCT o_custkey AS path, (o_custkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)) OR o_custkey IN (SELECT path FROM {frames}) AS has_info FROM orders",
     "is_generation_params": "SELECT path, chunk_no, regexp_matches(lower(concat(coalesce(keyword, ''), chr(10), left(coalesce(value, ''), 400))), '" + "|".join(metadata.HINTS) + "') OR length(coalesce(value, '')) > 300 AS is_important FROM {text_chunks}",
     "text_export": "SELECT path, chunk_no, concat(CASE WHEN k = '' THEN 'text' ELSE k END, '.txt') AS file_name, chars FROM (SELECT path, chunk_no, regexp_replace(coalesce(keyword, ''), '[^A-Za-z0-9_.-]', '', 'g') AS k, length(value)::INT AS chars FROM {text_chunks})",
-    "text_chunks": "SELECT conv_id::VARCHAR AS path, keyword, md5(value) AS value_md5, regexp_matches(lower(concat(keyword, chr(10), left(value, 400))), '" + "|".join(metadata.HINTS) + "') OR length(value) > 300 AS is_important FROM (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN concat(role, ' prompt!') ELSE role END AS keyword, text AS value FROM conversations WHERE turn = 0 AND conv_id IN (SELECT vec_id FROM embeddings) AND text IS NOT NULL AND role IS NOT NULL)",
+    "text_chunks": "SELECT conv_id::VARCHAR AS path, keyword, md5(value) AS value_md5, regexp_matches(lower(concat(keyword, chr(10), left(value, 400))), '" + "|".join(metadata.HINTS) + "') OR length(value) > 300 AS is_important FROM (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN concat(role, ' prompt!') ELSE role END AS keyword, text AS value FROM conversations WHERE conv_id IN (SELECT vec_id FROM embeddings) AND text IS NOT NULL AND role IS NOT NULL)",
     "write_exif": "SELECT vec_id AS path, ifd, name, value, f AS first FROM embeddings, (VALUES ('ifd0', 'Make', 'Maker', -1.0::DOUBLE), ('ifd0', 'DateTime', '2024:05:06 07:08:09', -1.0::DOUBLE), ('exif', 'ExposureTime', NULL, 1 / 125.0::DOUBLE), ('gps', 'GPSLatitudeRef', 'S', -1.0::DOUBLE), ('gps', 'GPSLatitude', NULL, 33.0::DOUBLE), ('gps', 'GPSLongitudeRef', 'W', -1.0::DOUBLE), ('gps', 'GPSLongitude', NULL, 70.0::DOUBLE)) t(ifd, name, value, f)",
     "gps_of_files": "SELECT vec_id::VARCHAR AS path, round(-(33 + 51 / 60 + 30.5::DOUBLE / 3600), 6) AS lat, round(-(70 + 40 / 60 + 12.25::DOUBLE / 3600), 6) AS lon FROM embeddings",
+    "read_files": "SELECT vec_id AS image_id, 'PNG' AS kind, true AS whole, 8::BIGINT AS width, 8::BIGINT AS height FROM embeddings",
+    "read_pixels": f"SELECT image_id, 8 AS w, 8 AS h, {_HEX} AS rgba FROM {{pixels}} GROUP BY image_id",
+    "write_files": "SELECT file_id, name, md5(text) AS md5 FROM {files}",
+    "restore_generic": """SELECT g::VARCHAR AS path, mode, k AS frame_no, CASE mode WHEN 'web' THEN true ELSE n >= 5 END AS is_anim, 40 AS delay_ms, true AS as_hidden
+        FROM (SELECT vec_id // 6 AS g, 3 + vec_id // 6 % 3 AS n FROM embeddings GROUP BY 1, 2 HAVING count(*) = 6), (VALUES ('web'), ('java')) m(mode), (VALUES (1), (2), (3), (4), (5)) f(k) WHERE k <= n AND (k = 1 OR mode = 'web' OR n >= 5)""",
+    "gif_frames": f"""SELECT image_id::VARCHAR AS path, 1 AS frame_no, 100 AS delay_ms, 0 AS x, 0 AS y, 8 AS w, 8 AS h, string_agg(printf('%02x%02x%02xff', r, r, r), '' ORDER BY y, x) AS rgba FROM {_OVER} GROUP BY image_id
+        UNION ALL SELECT image_id::VARCHAR, 2, ((image_id + 1) % 9 * 10 + 20)::INT, 2, 3, 4, 5, string_agg(CASE WHEN over IS NOT NULL THEN printf('%02x%02x%02xff', over, over, over) WHEN image_id % 4 = 2 THEN '00000000' ELSE printf('%02x%02x%02xff', r, r, r) END, '' ORDER BY y, x) FROM {_OVER} WHERE image_id + 1 IN (SELECT vec_id FROM embeddings) GROUP BY image_id""",
+    "exif_places": f"SELECT concat(kind, '/', vec_id) AS path, round(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END * {_ANGLE.format(d='vec_id % 90', k=1)}, 6) AS lat, round(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE -1 END * {_ANGLE.format(d='vec_id % 179', k=3)}, 6) AS lon FROM embeddings, (VALUES ('PNG'), ('JPEG')) t(kind)".replace("{", "{{").replace("}", "}}").replace("{{", "{").replace("}}", "}"),
+    "exif_values": "SELECT concat(kind, '/', vec_id) AS path, name, CASE WHEN name = 'Make' THEN concat('Maker ', vec_id % 11) END AS value, CASE WHEN name <> 'Make' THEN round(1 / (vec_id % 250 + 1)::DOUBLE, 9) END AS first FROM embeddings, (VALUES ('PNG'), ('JPEG')) t(kind), (VALUES ('Make'), ('ExposureTime')) n(name)",
+    "jpeg_strip": f"SELECT p AS path, md5({_JPEG}) AS md5, octet_length({_JPEG})::INT AS length FROM (SELECT vec_id::VARCHAR AS p FROM embeddings)",
+    "jpeg_metadata": "SELECT vec_id::VARCHAR AS path, 'eXIf' AS type, 'II' AS \"order\" FROM embeddings",
     "exif_fields": """SELECT id, floor(-log2(t) * 1000 + 0.5) / 1000 AS shutter, floor(2 * log2(f) * 100 + 0.5) / 100 AS aperture, CASE WHEN t < 1 THEN 1 ELSE floor(t * 1000 + 0.5) END::BIGINT AS exposure_num, CASE WHEN t < 1 THEN floor(1 / t + 0.5) ELSE 1000 END::BIGINT AS exposure_den, floor(focal * 1000 + 0.5)::BIGINT AS focal_milli,
         CASE WHEN focal = 6.06::DOUBLE THEN 23 WHEN focal = 2.3::DOUBLE THEN 15 ELSE floor(focal * 3.8::DOUBLE + 0.5) END::BIGINT AS focal_35mm FROM {exposures} WHERE t > 0""",
     "decimal_to_dms": "SELECT id, d::BIGINT AS d, m::BIGINT AS m, floor(((a - d) * 60 - m) * 6000 + 0.5)::BIGINT AS s100, CASE WHEN lat < 0 THEN 'S' ELSE 'N' END AS ref FROM (SELECT *, floor((a - d) * 60) AS m FROM (SELECT *, abs(lat) AS a, floor(abs(lat)) AS d FROM {exposures}))",

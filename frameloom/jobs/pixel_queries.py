@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.operators import blend, decode, permute, pixels
@@ -93,9 +93,56 @@ def q_weather(spark, d):
     return pixels.weather(px(spark, d), "other", noise, green, ratio, SIDE, SIDE)
 
 
+def corner_mark(p: DataFrame) -> DataFrame:
+    return p.filter("image_id = 0 AND x < 3 AND y < 2").select("x", "y", "r", "g", "b", "a")
+
+
+def q_weather_marked(spark, d):
+    p = px(spark, d)
+    noise, green, _ = pixels.PRESETS["high"]
+    return pixels.weather(p, "other", noise, green, 0.75, SIDE, SIDE, 3, corner_mark(p), 3, 2)
+
+
+def q_weather_classic(spark, d):
+    return pixels.weather(px(spark, d), "classic", 0.02, 0.02, 1.5, SIDE, SIDE, 3)
+
+
+def q_resize_three_quarters(spark, d):
+    return pixels.resize(px(spark, d), SIDE, SIDE, 0.75)
+
+
+def q_resize_grow(spark, d):
+    return pixels.resize(px(spark, d), SIDE, SIDE, 1.5)
+
+
+def q_composite_turned(spark, d):
+    turned = canvas_layers(spark, d).withColumns({"rot": (C("z") * 90).cast("double"), "opacity": F.lit(1.0)})
+    return blend.composite_layers(turned, opaque(px(spark, d)), SIDE, SIDE, 16, 12)
+
+
+def q_composite_sheer(spark, d):
+    sheer = canvas_layers(spark, d).withColumn("opacity", F.lit(0.5))
+    return blend.composite_layers(sheer, opaque(px(spark, d)), SIDE, SIDE, 16, 12)
+
+
+def q_fit_stretch(spark, d):
+    t = table(spark, d, "items")
+    return t.select("group_id", "pos", blend.fit_geometry(C("w"), C("h"), 40, 30, "stretch").alias("f")).select("group_id", "pos", "f.*")
+
+
+def q_gilbert_curve_laws(spark, d):
+    """Of the curve of each item size: its cells, different cells, where it starts, and its longest step."""
+    sizes = table(spark, d, "items").select("w", "h")
+    curve = permute.curves(sizes)
+    w = Window.partitionBy("w", "h").orderBy("idx")
+    step = F.greatest(F.abs(C("x") - F.lag("x").over(w)), F.abs(C("y") - F.lag("y").over(w)))
+    laws = curve.withColumn("step", step).groupBy("w", "h").agg(F.count("*").alias("cells"), F.count_distinct(C("x") * 100 + C("y")).alias("places"), F.min_by(C("x") + C("y"), "idx").alias("start"), F.coalesce(F.max("step"), F.lit(0)).alias("step"))
+    return sizes.groupBy("w", "h").agg(F.count("*").alias("items")).join(laws, ["w", "h"])
+
+
 def q_overlay_corner(spark, d):
     p = px(spark, d)
-    mark = p.filter("image_id = 0 AND x < 3 AND y < 2").select("x", "y", "r", "g", "b", "a")
+    mark = corner_mark(p)
     return pixels.overlay_corner(p, mark, 3, 2, SIDE, SIDE)
 
 
@@ -250,10 +297,52 @@ def _uniform(n: int) -> str:
     return f"(({_hashed(str(n))} * 48271 % 2147483647 + 1) / 2147483648.0::DOUBLE)"
 
 
+def _noised(source: str, k: float, seed: int = 3) -> str:
+    normal = lambda n: f"(sqrt(-2 * ln({_uniform(2 * n)})) * cos(6.283185307179586::DOUBLE * {_uniform(2 * n + 1)}))"
+    return "(SELECT image_id, x, y, " + ", ".join(_clamp(_up(f"{1 - k}::DOUBLE * {c} + {k}::DOUBLE * {normal(n)} * 255")) + f" AS {c}" for n, c in enumerate("rgb")) + f", a FROM {source})"
+
+
+def _greened(source: str, k: float) -> str:
+    return "(SELECT image_id, x, y, " + ", ".join(_clamp(_up(f"{c} * {1 - k}::DOUBLE + {255 * k if c == 'g' else 0.0}::DOUBLE - {128 * k}::DOUBLE + {32 * k if c == 'g' else 0.0}::DOUBLE")) + f" AS {c}" for c in "rgb") + f", a FROM {source})"
+
+
+def _drifted(source: str) -> str:
+    return "(SELECT image_id, x, y, " + ", ".join(_clamp(f"floor((65536 * yy + {e}) / 65536.0::DOUBLE)") + f" AS {c}" for c, e in (("r", "116130 * u"), ("g", "-22553 * u - 46802 * v"), ("b", "91881 * v"))) + f", a FROM ({_DRIFT.replace('{pixels}', source)}))"
+
+
+def _resized(source: str, new: int) -> str:
+    part = lambda c: f"(least(({c} + 1) * {new}, (t{c} + 1) * 8) - greatest({c} * {new}, t{c} * 8))"
+    return f"SELECT image_id, tx::INT AS x, ty::INT AS y, " + ", ".join(_store(f"sum({c} * k) / sum(k)") + f" AS {c}" for c in "rgba") + f" FROM (SELECT *, {part('x')} * {part('y')} AS k FROM {source}, range({new}) u(tx), range({new}) v(ty) WHERE {part('x')} > 0 AND {part('y')} > 0) GROUP BY ALL"
+
+
+_MARKED = "(SELECT p.image_id, p.x, p.y, " + ", ".join(f"CASE WHEN m.a IS NULL THEN p.{c} ELSE {_store(f'm.{c} * m.a / 255 + p.{c} * (255 - m.a) / 255')} END::INT AS {c}" for c in "rgb") + ", greatest(p.a, coalesce(m.a, 0)) AS a FROM {pixels} p LEFT JOIN {pixels} m ON m.image_id = 0 AND m.x < 3 AND m.y < 2 AND p.x = m.x + 5 AND p.y = m.y + 6)"
+_LAID = "(SELECT image_id // 4 AS canvas_id, image_id % 4 AS z, CASE image_id % 4 WHEN 0 THEN x WHEN 1 THEN 7 - y WHEN 2 THEN 7 - x ELSE y END + image_id % 4 * 3 AS tx, CASE image_id % 4 WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 7 - y ELSE 7 - x END + image_id % 3 * 2 AS ty, r, g, b FROM {pixels})"
+#: A round reaches two pixels further, so four rounds are the end of any fill of 8 by 8.
+ROUNDS = 4
 _FLOORS = "floor(({0}) / 256.0::DOUBLE)::BIGINT - 1"
 _DRIFT = "SELECT image_id, x, y, a, greatest(0, least(255, " + _FLOORS.format("150 * r + 77 * g + 29 * b") + ")) AS yy, greatest(-128, least(127, " + _FLOORS.format("-85 * r - 43 * g + 128 * b") + ")) AS u, greatest(-128, least(127, " + _FLOORS.format("-107 * r + 128 * g - 21 * b") + ")) AS v FROM {pixels}"
 
+_WINDOW_SQL = f"""(SELECT p.*, CASE WHEN p.image_id % 3 = 0 THEN 60 ELSE 0 END AS low, CASE WHEN p.image_id % 3 = 0 THEN (120 + p.image_id % 50)::INT ELSE w.high END AS high, CASE WHEN p.image_id % 3 = 0 THEN 20 ELSE 0 END AS contrast FROM {{pixels}} p JOIN
+        (SELECT image_id, min(luma) AS high FROM (SELECT image_id, luma, sum(n) OVER (PARTITION BY image_id ORDER BY luma) AS cum, sum(n) OVER (PARTITION BY image_id) AS total FROM (SELECT image_id, {_up(_LUMA)}::INT AS luma, count(*) AS n FROM {{pixels}} GROUP BY 1, 2)) WHERE cum * 2 >= total GROUP BY 1) w USING (image_id))"""
+
+
+def _to_the_end(source: str) -> str:
+    for _ in range(ROUNDS):
+        source = f"({_diffused(source)})"
+    return source
+
+
 ORACLE_SQL = {k: duck(v) for k, v in {
+    "diffuse_fill_rounds": f"SELECT image_id, string_agg(printf('%02x%02x%02x%02x', r, g, b, a), '' ORDER BY y, x) AS rgba, sum(is_fill::INT)::INT AS unfilled FROM {_to_the_end(_decoded(_WINDOWED))} GROUP BY image_id",
+    "decode_pipeline_rounds": f"SELECT * FROM {_to_the_end(_decoded(_WINDOW_SQL))}",
+    "weather_marked": _resized(_greened(_noised(_MARKED, 0.05), 0.15), 6),
+    "weather_classic": _resized(_drifted(_drifted(_noised("{pixels}", 0.02))), 12),
+    "resize_three_quarters": _resized("{pixels}", 6),
+    "resize_grow": _resized("{pixels}", 12),
+    "composite_turned": f"SELECT canvas_id, tx::INT AS x, ty::INT AS y, max_by(r, z) AS r, max_by(g, z) AS g, max_by(b, z) AS b FROM {_LAID} WHERE tx < 16 AND ty < 12 GROUP BY ALL",
+    "composite_sheer": "SELECT canvas_id, x, y, " + ", ".join(_store(f"list_reduce(list_prepend(255.0::DOUBLE, list({c}::DOUBLE ORDER BY z)), lambda s, v : v * 0.5::DOUBLE + s * 0.5::DOUBLE)") + f" AS {c}" for c in "rgb") + " FROM (SELECT image_id // 4 AS canvas_id, image_id % 4 AS z, (x + image_id % 4 * 3)::INT AS x, (y + image_id % 3 * 2)::INT AS y, r, g, b FROM {pixels}) WHERE x < 16 AND y < 12 GROUP BY canvas_id, x, y",
+    "fit_stretch": "SELECT group_id, pos, 0.0::DOUBLE AS sx, 0.0::DOUBLE AS sy, w::DOUBLE AS sw, h::DOUBLE AS sh, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, 40.0::DOUBLE AS dw, 30.0::DOUBLE AS dh FROM {items}",
+    "gilbert_curve_laws": "SELECT w, h, count(*) AS items, (w * h)::BIGINT AS cells, (w * h)::BIGINT AS places, 0 AS start, CASE WHEN w * h > 1 THEN 1 ELSE 0 END AS step FROM {items} GROUP BY w, h",
     "luma": f"SELECT image_id, x, y, {_store(_LUMA)} AS luma, {_up(_LUMA)}::INT AS rounded FROM {{pixels}}",
     "to_images": "SELECT image_id, 8 AS w, 8 AS h, string_agg(printf('%02x%02x%02x%02x', r, g, b, a), '' ORDER BY y, x) AS rgba FROM {pixels} GROUP BY image_id",
     "image_round_trip": "SELECT image_id, x, y, r, g, b, a FROM {pixels}",

@@ -88,8 +88,9 @@ def pad_cover(covers: DataFrame, cw: int, ch: int, w: int, h: int, background: i
     k = min(w / cw, h / ch)
     tw, th = max(1, int(cw * k + 0.5)), max(1, int(ch * k + 0.5))
     dx, dy = (w - tw) // 2, (h - th) // 2
-    grid = covers.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("i"))
-    grid = grid.select("image_id", (C("i") % w).cast("int").alias("x"), F.floor(C("i") / w).cast("int").alias("y"))
+    # Line by line, so that no row holds a whole canvas.
+    grid = covers.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y"))
+    grid = grid.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x"), "y")
     inside = (C("x") >= dx) & (C("x") < dx + tw) & (C("y") >= dy) & (C("y") < dy + th)
     grid = grid.withColumns({"sx": F.when(inside, F.floor((C("x") - dx) * cw / tw).cast("int")), "sy": F.when(inside, F.floor((C("y") - dy) * ch / th).cast("int"))})
     source = covers.select("image_id", C("x").alias("sx"), C("y").alias("sy"), *(C(c).alias(f"s{c}") for c in "rgba"))
@@ -100,13 +101,19 @@ def pad_cover(covers: DataFrame, cw: int, ch: int, w: int, h: int, background: i
 def composite_layers(layers: DataFrame, pixels: DataFrame, sw: int, sh: int, w: int, h: int) -> DataFrame:
     """Paint layers(canvas_id, z, image_id, x, y, w, h, rot, opacity) in order of z on a canvas of w by h.
 
-    Every target place inside a layer's box is mapped back to the source (turned about the box's centre),
-    and the places that meet are folded by alpha in order.
+    Every target place inside the bounds of a layer's turned box is mapped back to the source (turned about the box's
+    centre), line by line, and the places that meet are folded by alpha in order.
     """
-    cells = layers.select("*", F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("i")).withColumns({"tx": C("i") % w, "ty": F.floor(C("i") / w)})
     cx, cy = C("x") + C("w") / 2, C("y") + C("h") / 2
-    dx, dy = C("tx") + 0.5 - cx, C("ty") + 0.5 - cy
     turn = F.radians(C("rot").cast("double"))
+    reach_x, reach_y = (F.abs(F.cos(turn)) * C(a) / 2 + F.abs(F.sin(turn)) * C(b) / 2 for a, b in (("w", "h"), ("h", "w")))
+
+    def span(centre: Column, reach: Column, most: int) -> Column:
+        low, high = F.greatest(F.lit(0), F.floor(centre - reach).cast("int")), F.least(F.lit(most - 1), F.ceil(centre + reach).cast("int"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    cells = layers.select("*", F.explode(span(cy, reach_y, h)).alias("ty")).select("*", F.explode(span(cx, reach_x, w)).alias("tx"))
+    dx, dy = C("tx") + 0.5 - cx, C("ty") + 0.5 - cy
     ux, uy = dx * F.cos(turn) + dy * F.sin(turn) + C("w") / 2, dy * F.cos(turn) - dx * F.sin(turn) + C("h") / 2
     inside = (ux >= 0) & (ux < C("w")) & (uy >= 0) & (uy < C("h"))
     mapped = cells.filter(inside).select("canvas_id", "z", "image_id", "opacity", C("tx").cast("int").alias("tx"), C("ty").cast("int").alias("ty"), F.floor(ux * sw / C("w")).cast("int").alias("x"), F.floor(uy * sh / C("h")).cast("int").alias("y"))

@@ -36,11 +36,26 @@ def output_name(position: Column, name: Column, suffix: str, stamp: Column, ext:
     return F.concat(number, F.lit("_"), F.regexp_replace(name, r"\.[^.]+$", ""), F.lit(f"_{suffix}_"), F.date_format(stamp, "yyyyMMddHHmmss"), F.lit(f".{ext}"))
 
 
+#: Ranges of the order column in which a batch is numbered, and how well they part the rows.
+RANGES, RANGE_ERROR = 256, 0.001
+
+
 def number_batch(files: DataFrame, batch: str, order: str) -> DataFrame:
-    """position in the batch, and badge: the position in batches of two or more."""
-    w = Window.partitionBy(batch)
-    position = F.row_number().over(w.orderBy(order)).cast("int")
-    return files.withColumns({"position": position, "badge": F.when(F.count("*").over(w) > 1, position)})
+    """position in the batch by a numeric order column, and badge: the position in batches of two or more.
+
+    The rows of a null batch are one batch. A batch is numbered in RANGES parts of the order column, cut by
+    quantiles of all rows, each in a task of its own; a part's first number is the count of its batch's rows in earlier
+    parts, summed from one row for each batch and part. So a batch with a third of all rows is no task of its own.
+    """
+    cuts = sorted(set(files.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], RANGE_ERROR)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    rows = files.withColumns({"_batch": F.struct(batch), "_part": part})
+    counts = rows.groupBy("_batch", "_part").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_batch")
+    before = counts.withColumns({"_before": F.sum("_n").over(w.orderBy("_part")) - F.col("_n"), "_all": F.sum("_n").over(w)}).drop("_n")
+    inside = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_batch", "_part").orderBy(order)))
+    position = (F.col("_before") + F.col("_at")).cast("int")
+    return inside.join(before, ["_batch", "_part"]).select(*(F.col(c) for c in files.columns), position.alias("position"), F.when(F.col("_all") > 1, position).alias("badge"))
 
 
 def history_upsert(history: DataFrame, new: DataFrame) -> DataFrame:

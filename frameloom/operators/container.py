@@ -16,7 +16,8 @@ from frameloom.functions import gif, png
 
 C = F.col
 CHUNKS = "path string, chunk_no int, type string, length long, end long, payload binary, crc long"
-#: Arrow rows of files at a time: contents are large.
+#: Arrow rows of files at a time: contents are large. Spark itself bounds what it sends to a worker at once by bytes
+#: (spark.sql.execution.arrow.maxBytesPerBatch).
 FILES_AT_ONCE = 32
 
 
@@ -81,20 +82,24 @@ def marker_text(payload: Column) -> tuple[Column, Column]:
     return F.when(cut > 0, F.substring(s, F.lit(1), cut - 1)), F.when(cut > 0, F.substring(s, cut + 1, F.length(s)))
 
 
-def inspect_disguise(chunks: DataFrame, marker: str = png.MARKER) -> DataFrame:
+def inspect_disguise(chunks: DataFrame, marker: str = png.MARKER, mode: str = "web") -> DataFrame:
     """(path, version, kind, count) of files with acTL and a frame; chunks need type, chunk_no, keyword, value.
 
-    The first marker with three parts names version, kind and count; without one the file is GENERIC.
+    The first marker with three parts names version, kind and count (numbers as far as their leading digits go,
+    null without any); mode java also asks for digits alone as the version. Without a marker the file is GENERIC.
     One conditional aggregation by path.
     """
     parts = F.split("value", ";")
-    version, count = F.expr("try_cast(split(value, ';')[0] AS INT)"), F.expr("try_cast(try_element_at(split(value, ';'), 3) AS INT)")
-    valid = (C("type") == "tEXt") & (C("keyword") == marker) & (F.size(parts) == 3) & version.isNotNull() & count.isNotNull()
+    number = lambda k: F.regexp_extract(F.get(parts, F.lit(k)), r"^\s*([+-]?[0-9]+)", 1).try_cast("int")
+    version, count = number(0), number(2)
+    valid = (C("type") == "tEXt") & (C("keyword") == marker) & (F.size(parts) == 3)
+    if mode == "java":
+        valid &= F.get(parts, F.lit(0)).rlike("^[0-9]+$")
     seen = chunks.groupBy("path").agg(
         F.bool_or(C("type") == "acTL").alias("animated"), F.count_if(C("type") == "fcTL").alias("n"),
         F.min(F.when(valid, F.struct("chunk_no", version.alias("v"), F.get(parts, F.lit(1)).alias("k"), count.alias("c")))).alias("m"))
     return seen.filter(C("animated") & (C("n") > 0)).select(
-        "path", F.coalesce("m.v", F.lit(1)).alias("version"), F.coalesce("m.k", F.lit("GENERIC")).alias("kind"), F.coalesce(C("m.c").cast("long"), "n").alias("count"))
+        "path", *(F.when(C("m").isNull(), other).otherwise(C(f"m.{k}").cast(t)).alias(name) for name, k, other, t in (("version", "v", F.lit(1), "int"), ("kind", "k", F.lit("GENERIC"), "string"), ("count", "c", C("n"), "long"))))
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
@@ -160,8 +165,8 @@ def extract_cover(files: DataFrame) -> DataFrame:
     return _per_file(files, make, "path string, cover binary")
 
 
-def _hidden(content: bytes, mode: str) -> tuple[bytes | None, list[tuple[bytes, list[bytes]]]]:
-    """The first IHDR, and (control, pieces) of each hidden frame."""
+def _hidden(content: bytes, mode: str) -> tuple[bytes | None, list[tuple[bytes, list[bytes]]], int]:
+    """The first IHDR, (control, pieces) of each hidden frame, and the frames with the heartbeat counted in."""
     ihdr, groups, animated = None, [], False
     for _, kind, _, payload, _ in png.chunks(content, strict=mode == "java"):
         if kind == "IHDR" and ihdr is None:
@@ -175,21 +180,25 @@ def _hidden(content: bytes, mode: str) -> tuple[bytes | None, list[tuple[bytes,
         elif kind == "IDAT" and groups:
             groups[-1][1].append(payload)
     if not animated or ihdr is None:
-        return None, []
-    side = 1 if mode == "web" else 2
+        return None, [], 0
+    whole, side = len(groups), 1 if mode == "web" else 2
     if groups and len(groups[-1][0]) >= 12 and max(int.from_bytes(groups[-1][0][4:8], "big"), int.from_bytes(groups[-1][0][8:12], "big")) <= side:
         groups.pop()
-    return ihdr, groups
+    return ihdr, groups, whole
 
 
 def restore(files: DataFrame, mode: str = "web", marker: str = png.MARKER) -> DataFrame:
-    """(path, frame_no, is_anim, delay_ms, png) of every hidden frame, file by file: no shuffle."""
+    """(path, frame_no, is_anim, delay_ms, png) of every hidden frame, file by file: no shuffle.
+
+    A file is animated if its marker says so, or, in mode web, if it hides two frames, in mode java if it holds five
+    with the heartbeat counted in.
+    """
     def make(path, content):
-        ihdr, groups = _hidden(content or b"", mode)
+        ihdr, groups, whole = _hidden(content or b"", mode)
         if not groups:
             return
-        said = next((v for _, k, _, p, _ in png.chunks(content) if k == "tEXt" and p.startswith(marker.encode() + b"\0") and len(v := p.split(b"\0", 1)[1].split(b";")) == 3), None)
-        moving = (said and said[1] == b"ANIMATED") or len(groups) >= (2 if mode == "web" else 4)
+        said = next((v for _, k, _, p, _ in png.chunks(content) if k == "tEXt" and p.startswith(marker.encode() + b"\0") and len(v := p.split(b"\0", 1)[1].split(b";")) == 3 and (mode == "web" or v[0].isdigit())), None)
+        moving = (said and said[1] == b"ANIMATED") or (len(groups) >= 2 if mode == "web" else whole >= 5)
         for n, (control, pieces) in enumerate(groups if moving else groups[:1], 1):
             full = len(control) >= 26
             w, h = (int.from_bytes(control[a : a + 4], "big") for a in (4, 8)) if full else (0, 0)
@@ -223,6 +232,22 @@ def png_of_images(images: DataFrame) -> DataFrame:
     return images.select("image_id", "w", "h", "rgba").mapInArrow(run, "path string, content binary")
 
 
+def gif_of_frames(frames: DataFrame) -> DataFrame:
+    """(path, content) of frames(path, frame_no, delay_ms, x, y, w, h, disposal, grey): animated GIFs of 256 greys.
+
+    grey has a byte for each pixel of the frame's rectangle. A file's frames are gathered in order.
+    """
+    one = F.struct("frame_no", "delay_ms", "x", "y", "w", "h", "disposal", "grey")
+    whole = frames.groupBy("path").agg(F.array_sort(F.collect_list(one)).alias("frames"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [gif.encode([(f["delay_ms"], f["x"], f["y"], f["w"], f["h"], f["disposal"], f["grey"]) for f in fs]) for fs in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    return whole.select(C("path").cast("string").alias("path"), "frames").mapInArrow(run, "path string, content binary")
+
+
 def gif_frames(files: DataFrame) -> DataFrame:
     """Every frame of each GIF as a full picture."""
     def make(path, content):

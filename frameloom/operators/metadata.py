@@ -138,21 +138,46 @@ def append_metadata(files: DataFrame, meta: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "path string, content binary")
 
 
+def _with_exif(content: bytes | None, block: bytes) -> bytes | None:
+    """The file with a TIFF block: PNG gets an eXIf chunk and a hex profile text, JPEG an APP1 segment."""
+    parts = [(k, p) for _, k, _, p, _ in png.chunks(content)]
+    if parts:
+        profile = b"Raw profile type exif\0\nexif\n" + f"{len(block) + 6:8d}\n".encode() + (b"Exif\0\0" + block).hex().encode() + b"\n"
+        return png.assemble([*(x for x in parts if x[0] != "IEND"), ("eXIf", block), ("tEXt", profile), ("IEND", b"")])
+    return tiff.insert_jpeg(content, block) if (content or b"")[:2] == b"\xff\xd8" else content
+
+
 def write_exif(files: DataFrame, fields: list[tuple]) -> DataFrame:
-    """(path, content) with the given TIFF fields: PNG gets an eXIf chunk and a hex profile text, JPEG an APP1 segment."""
+    """(path, content) with the given TIFF fields, the same in all files."""
     block = tiff.pack(fields)
 
     def make(path, content):
-        parts = [(k, p) for _, k, _, p, _ in png.chunks(content)]
-        if parts:
-            profile = b"Raw profile type exif\0\nexif\n" + f"{len(block) + 6:8d}\n".encode() + (b"Exif\0\0" + block).hex().encode() + b"\n"
-            yield path, png.assemble([*(x for x in parts if x[0] != "IEND"), ("eXIf", block), ("tEXt", profile), ("IEND", b"")])
-        else:
-            yield path, tiff.insert_jpeg(content, block) if (content or b"")[:2] == b"\xff\xd8" else content
+        yield path, _with_exif(content, block)
 
     return _per_file(files, make, "path string, content binary")
 
 
+def write_exif_rows(files: DataFrame, fields: DataFrame) -> DataFrame:
+    """(path, content) with each file's own fields(path, ifd, tag, type, text, nums): text for ASCII, whole numbers else, a pair for each rational.
+
+    One join by path; a file has some tens of fields. Files without fields stay as they are.
+    """
+    kept = fields.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ifd", "tag", "type", "text", "nums"))).alias("fields"))
+    both = files.select("path", "content").join(kept, "path", "left")
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                own = [(f["ifd"], f["tag"], f["type"], f["text"] if f["type"] == 2 else list(zip(f["nums"][::2], f["nums"][1::2], strict=True)) if f["type"] in (5, 10) else f["nums"]) for f in row["fields"] or ()]
+                made.append(_with_exif(row["content"], tiff.pack(own)) if own else row["content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    return both.mapInArrow(run, "path string, content binary")
+
+
 def exif_fields(t: Column, f: Column, focal: Column) -> dict[str, Column]:
     """Shutter and aperture in APEX units, exposure, focal length in thousandths, and the 35 mm equivalent."""
     up = lambda c: F.floor(c + 0.5)

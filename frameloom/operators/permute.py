@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from frameloom.functions.gilbert import gilbert_curve, shift
 
 C = F.col
+#: Rows of a curve (16 bytes each) that may be broadcast.
+CURVE_ROWS = 1 << 18
 
 
 def curves(sizes: DataFrame) -> DataFrame:
@@ -26,10 +28,14 @@ def curves(sizes: DataFrame) -> DataFrame:
 
 
 def scramble_pixels(pixels: DataFrame, curve: DataFrame, w: int, h: int, back: bool = False) -> DataFrame:
-    """Relational form: the pixel at curve[i] moves to curve[(i + shift) mod n]; `back` undoes it."""
+    """Relational form: the pixel at curve[i] moves to curve[(i + shift) mod n]; `back` undoes it.
+
+    The curve has w * h rows: up to CURVE_ROWS it is broadcast, a larger one is joined by shuffling both sides.
+    """
     n = w * h
     by = -shift(n) if back else shift(n)
     one = curve.filter((C("w") == w) & (C("h") == h)).select("idx", "x", "y")
+    one = F.broadcast(one) if n <= CURVE_ROWS else one.hint("shuffle_hash")
     moved = pixels.join(one, ["x", "y"]).withColumn("idx", F.pmod(C("idx") + by, F.lit(n))).drop("x", "y")
     return moved.join(one, "idx").select("image_id", "x", "y", "r", "g", "b", "a")
 

@@ -36,13 +36,16 @@ def luma(r: Column, g: Column, b: Column, stored: bool = True) -> Column:
 
 
 def to_images(pixels: DataFrame) -> DataFrame:
-    """images(image_id, w, h, rgba): one row for each image, bytes in row order."""
-    size = pixels.groupBy("image_id").agg(
-        (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"),
-        F.sort_array(F.collect_list(F.struct("y", "x", *(C(c).cast("int").alias(c) for c in "rgba")))).alias("p"))
-    byte = lambda c: F.substring(F.hex(c), -2, 2)
-    hexed = F.transform("p", lambda p: F.concat(*(F.lpad(byte(p[c]), 2, "0") for c in "rgba")))
-    return size.select("image_id", "w", "h", F.unhex(F.array_join(hexed, "")).alias("rgba"))
+    """images(image_id, w, h, rgba): one row for each image, bytes in row order.
+
+    Scan lines are packed first, each in a task of its own, so an image is gathered as a row for each line and not
+    for each pixel.
+    """
+    byte = lambda c: F.lpad(F.substring(F.hex(C(c).cast("int")), -2, 2), 2, "0")
+    lines = pixels.select("image_id", "y", "x", F.concat(*map(byte, "rgba")).alias("p")).groupBy("image_id", "y").agg(
+        (F.max("x") + 1).alias("w"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "p"))), lambda s: s["p"]), "").alias("line"))
+    packed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "line"))), lambda s: s["line"]), "")
+    return lines.groupBy("image_id").agg(F.max("w").alias("w"), (F.max("y") + 1).alias("h"), F.unhex(packed).alias("rgba"))
 
 
 def to_pixels(images: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def green_mix(pixels: DataFrame, k: float) -> DataFrame:
 
 
 def _drift(r, g, b, floor, clip):
-    """One integer pass to brightness and colour differences and back; each step down by one and each shift loses a little.
+    """One integer pass to brightness and colour differences and back (fixed values); each step down by one and each shift loses a little.
 
     Shifts of numbers below zero round down, so they are floors of quotients.
     """
@@ -146,9 +149,23 @@ def overlay_corner(pixels: DataFrame, mark: DataFrame, mark_w: int, mark_h: int,
 
 
 def resize(pixels: DataFrame, w: int, h: int, ratio: float) -> DataFrame:
-    """Area average into max(1, round(side * ratio)) pixels a side."""
+    """Area average into max(1, round(side * ratio)) pixels a side, for any ratio.
+
+    A target pixel is the mean of the source pixels under it, each weighted by the area it covers; growing, that
+    is the source pixel itself or a mix at its borders. Areas are whole numbers (in parts of new_w by new_h), so the sums
+    are exact. Each source pixel gives a row for each target pixel it meets, combined before the shuffle.
+    """
     new_w, new_h = max(1, int(w * ratio + 0.5)), max(1, int(h * ratio + 0.5))
-    return pixels.groupBy("image_id", F.floor(C("x") * new_w / w).cast("int").alias("x"), F.floor(C("y") * new_h / h).cast("int").alias("y")).agg(*(store(F.avg(c)).alias(c) for c in "rgba"))
+
+    def covers(c: str, new: int, old: int) -> Column:
+        # In units of 1 / (old * new) of the side a source pixel spans c * new to (c + 1) * new, a target pixel old of them.
+        first, last = F.floor(C(c) * new / old), F.floor(((C(c) + 1) * new - 1) / old)
+        part = lambda t: (F.least((C(c) + 1) * new, (t + 1) * old) - F.greatest(C(c) * new, t * old))
+        return F.transform(F.sequence(first, last), lambda t: F.struct(t.cast("int").alias("at"), part(t).cast("long").alias("part")))
+
+    met = pixels.select("image_id", *"rgba", "y", F.explode(covers("x", new_w, w)).alias("tx")).select("image_id", *"rgba", "tx", F.explode(covers("y", new_h, h)).alias("ty"))
+    area = C("tx.part") * C("ty.part")
+    return met.groupBy("image_id", C("tx.at").alias("x"), C("ty.at").alias("y")).agg(*(store(F.sum(C(c) * area) / F.sum(area)).alias(c) for c in "rgba"))
 
 
 def flatten_alpha(pixels: DataFrame, background: int) -> DataFrame:
@@ -156,10 +173,15 @@ def flatten_alpha(pixels: DataFrame, background: int) -> DataFrame:
     return pixels.select("image_id", "x", "y", *new)
 
 
-def weather(pixels: DataFrame, mode: str, noise: float, green: float, ratio: float, w: int, h: int, seed: int = 1) -> DataFrame:
-    """The ageing chain: classic goes noise, drift, scale; any other mode goes noise, green mix, scale."""
-    out = gaussian_noise(pixels, noise, seed) if noise > 0 else pixels
-    out = yuv_drift(out, int(green * 100 + 0.5)) if mode == "classic" else green_mix(out, green)
+def weather(pixels: DataFrame, mode: str, noise: float, green: float, ratio: float, w: int, h: int, seed: int = 1, mark: DataFrame | None = None, mark_w: int = 0, mark_h: int = 0) -> DataFrame:
+    """The ageing chain: a mark in the corner (if one is given), noise, then drift (mode classic) or green mix, then scale.
+
+    A stage whose strength is 0 (1 for the scale) is left out. Re-encoding as JPEG, the chain's codec stage, is not part of it.
+    """
+    out = overlay_corner(pixels, mark, mark_w, mark_h, w, h) if mark is not None else pixels
+    out = gaussian_noise(out, noise, seed) if noise > 0 else out
+    if green > 0:
+        out = yuv_drift(out, int(green * 100 + 0.5)) if mode == "classic" else green_mix(out, green)
     return resize(out, w, h, ratio) if ratio != 1 else out
 
 

@@ -43,6 +43,10 @@ def write_files(df: DataFrame, folder: str) -> None:
 
 def export_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
     """Loose files in a folder that every executor mounts; names keep their last part only. A file appears whole or not at all."""
+    folder = folder.removeprefix("file://")
+    if "://" in folder:
+        raise ValueError("loose files need a folder that the executors mount; write_files takes any store")
+
     def save(rows) -> None:
         os.makedirs(folder, exist_ok=True)
         for row in rows:

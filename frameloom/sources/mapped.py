@@ -25,7 +25,7 @@ MAPPED: dict[str, str | tuple[str, str]] = {
     ),
     "marked_chunks": (
         # Some acTL chunks become tEXt with a marker, valid or not.
-        "SELECT path, chunk_no, CASE WHEN type = 'acTL' AND keyword_no = 0 THEN 'tEXt' ELSE type END AS type, length, CASE WHEN type = 'acTL' AND keyword_no = 0 THEN 'disguise' END AS keyword, CASE WHEN type = 'acTL' AND keyword_no = 0 THEN CASE WHEN tag_no % 3 = 0 THEN concat(tag_no, ';STATIC;1') WHEN tag_no % 3 = 1 THEN concat('1;ANIMATED;', length) ELSE 'broken;x' END END AS value FROM {chunks}"
+        "SELECT path, chunk_no, CASE WHEN type = 'acTL' AND keyword_no = 0 THEN 'tEXt' ELSE type END AS type, length, CASE WHEN type = 'acTL' AND keyword_no = 0 THEN 'disguise' END AS keyword, CASE WHEN type = 'acTL' AND keyword_no = 0 THEN CASE WHEN tag_no % 3 = 0 THEN concat(tag_no, ';STATIC;1') WHEN tag_no % 3 = 1 THEN concat('1;ANIMATED;', length) WHEN length % 2 = 0 THEN concat('v', length, ';ANIMATED;many') ELSE 'broken;x' END END AS value FROM {chunks}"
     ),
     "frames": (
         "SELECT path, sum(1) OVER (PARTITION BY path ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS frame_no, CAST(1 + length % 4 AS INT) AS w, CAST(1 + tag_no % 3 AS INT) AS h, CAST(length % 9 AS INT) AS delay_num, CAST(tag_no % 4 * 50 AS INT) AS delay_den, keyword_no > 0 AS has_ctl FROM {chunks} WHERE type = 'fcTL'"

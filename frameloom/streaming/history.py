@@ -19,23 +19,45 @@ def _versions(spark: SparkSession, snapshot: str) -> list[int]:
     return sorted(int(p.getName().removeprefix("version=")) for p in done)
 
 
-def latest(spark: SparkSession, snapshot: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete snapshot, or the newest one older than a version."""
+def _buckets(df: DataFrame, buckets: int) -> DataFrame:
+    """A bucket by type and key; records without a key go by their id."""
+    keyless = F.coalesce("dedupe_key", F.lit("")) == ""
+    return df.withColumn("bucket", F.pmod(F.xxhash64("type", "dedupe_key", F.when(keyless, F.col("id"))), F.lit(buckets)).cast("int"))
+
+
+def current(spark: SparkSession, snapshot: str, before: int | None = None) -> DataFrame | None:
+    """The history: of each bucket the newest complete version (older than `before`)."""
     known = [v for v in _versions(spark, snapshot) if before is None or v < before]
-    return spark.read.parquet(f"{snapshot}/version={known[-1]}") if known else None
+    if not known:
+        return None
+    rows = spark.read.option("basePath", snapshot).parquet(*(f"{snapshot}/version={v}" for v in known))
+    newest = rows.select("bucket", "version").distinct().groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"]).drop("version")  # a row for each bucket
+
+
+def _tidy(spark: SparkSession, snapshot: str, number: int, keep: int = 2) -> None:
+    """Write all buckets as one version now and then, and drop the versions that it replaces but the last `keep`."""
+    for v in [v for v in _versions(spark, snapshot) if v <= number][:-keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{snapshot}/version={v}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def history_stream(spark: SparkSession, source: str, schema: str, snapshot: str, checkpoint: str) -> StreamingQuery:
-    """Read what is new under `source`, and write a snapshot for each batch, named by the batch's number.
+def history_stream(spark: SparkSession, source: str, schema: str, snapshot: str, checkpoint: str, buckets: int = 256, whole_every: int = 20) -> StreamingQuery:
+    """Read what is new under `source`, and write a version for each batch, named by the batch's number.
 
-    A batch that runs again overwrites its own snapshot and starts from the one before, so the result is
-    the same after a failure. Records with a content get its SHA-256.
+    A version holds only the buckets (by type and key) that the batch touches; every `whole_every` batches one holds all of
+    them, and the versions before it go, but for the last two. A batch that runs again overwrites its own version and
+    starts from the ones before, so the result is the same after a failure. Records with a content get its SHA-256.
     """
     def upsert(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("sha256", F.upper(F.sha2("content", 256))).drop("content")
-        old = latest(spark, snapshot, number)
-        out = history_upsert(old if old is not None else new.limit(0), new)
-        out.write.mode("overwrite").parquet(f"{snapshot}/version={number}")
+        new = _buckets(batch.withColumn("sha256", F.upper(F.sha2("content", 256))).drop("content"), buckets)
+        old, whole = current(spark, snapshot, number), number % whole_every == whole_every - 1
+        if old is not None and not whole:
+            old = old.join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # at most `buckets` rows
+        merged = history_upsert(old if old is not None else new.limit(0), new)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{snapshot}/version={number}")
+        if whole:
+            _tidy(spark, snapshot, number)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -235,8 +235,8 @@ def test_history_stream(spark, tmp_path):
     run()
     spark.createDataFrame([(4, "a", "x", b"4"), (5, "b", None, b"5")], schema).write.parquet(source + "/two")
     run()
-    from frameloom.streaming.history import latest
+    from frameloom.streaming.history import current
 
-    assert sorted(r["id"] for r in latest(spark, snapshot).collect()) == [3, 4, 5]
+    assert sorted(r["id"] for r in current(spark, snapshot).collect()) == [3, 4, 5]
 
 
