@@ -1,11 +1,12 @@
 """Licence scans: normalised passages against templates by the Dice coefficient over word bigrams.
 
-Words are runs of ASCII letters and digits, lower-cased. A passage is a run of whole lines. Its Dice
-coefficient with a template is 2 |A and B| / (|A| + |B|) over sets of bigrams. Two bounds prune without
+Words are runs of ASCII letters and digits, lower-cased. A passage is any run of words, wherever lines break, so a
+licence inside a paragraph of prose is found as well. Its Dice coefficient with a template is
+2 |A and B| / (|A| + |B|) over sets of bigrams. Two bounds prune without
 loss: a passage that reaches the threshold t has between t/(2-t) and (2-t)/t times the template's
 bigrams (size), and shares at least t/(2-t) of them (overlap), so a document sharing fewer drops the
-template at once. The best passage starts and ends on lines that share a bigram with the template, as
-cutting others off raises the coefficient; only such runs are tried.
+template at once. The best passage starts and ends with a bigram of the template, as cutting others off raises
+the coefficient; only such runs are tried, and from a start only while enough shared bigrams are left ahead.
 
 Documents are independent: no shuffle, and the templates are a fixed list sent with the task. Defined
 cases: null and empty texts hold no licence; a text of any length is searched whole; repeated rows
@@ -44,6 +45,15 @@ TEMPLATES = {
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
+#: Notices and texts that differ from one above by a name, a number or a clause (fixed values; public licence texts).
+TEMPLATES |= {
+    "AGPL-3.0-notice": TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Affero General"),
+    "LGPL-3.0-notice": TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Lesser General"),
+    "GPL-2.0-notice": TEMPLATES["GPL-3.0-notice"].replace("version 3", "version 2"),
+    "BSD-3-Clause": TEMPLATES["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED", 1),
+    "0BSD": TEMPLATES["ISC"].replace(", provided that the above copyright notice and this permission notice appear in all copies", ""),
+}
+
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -76,39 +86,42 @@ class Templates:
             for k in self.every[x]:
                 hits[k] = hits.get(k, 0) + 1
         names = [k for k, n in hits.items() if n >= self.least[k]]
-        return self._passages(text, names) if names else []
-
-    def _passages(self, text: str, names: list[str]) -> list[tuple[str, float, int, int]]:
-        lines = [WORD.findall(x) for x in text.lower().split("\n")]
-        filled = [i for i, w in enumerate(lines) if w]
-        # A line's bigrams, with the one that joins it to the line before (left) apart.
-        own = {i: bigrams(lines[i]) for i in filled}
-        left = {b: (lines[a][-1], lines[b][0]) for a, b in zip(filled, filled[1:], strict=False)}
-        right = {a: left[b] for a, b in zip(filled, filled[1:], strict=False)}
+        return self._passages(text, words, names) if names else []
+
+    def _passages(self, text: str, words: list[str], names: list[str]) -> list[tuple[str, float, int, int]]:
+        pairs = list(zip(words, words[1:], strict=False))
         out = []
         for k in names:
-            want, best = self.sets[k], None
-            ends = [n for n, i in enumerate(filled) if own[i] & want or left.get(i) in want or right.get(i) in want]
-            marked = set(ends)
-            for n in ends:
+            want, least, most, best = self.sets[k], self.least[k], self.most[k], None
+            at = [p for p, x in enumerate(pairs) if x in want]
+            for n, a in enumerate(at):
+                if len(at) - n < least:
+                    break
                 have: set[tuple[str, str]] = set()
-                for m in range(n, len(filled)):
-                    if m > n:
-                        have.add(left[filled[m]])
-                    have |= own[filled[m]]
-                    if len(have) > self.most[k]:
+                both, p = 0, a
+                for m in range(n, len(at)):
+                    b = at[m]
+                    for x in pairs[p : b + 1]:
+                        if x not in have:
+                            have.add(x)
+                            both += x in want
+                    p = b + 1
+                    if len(have) > most:
                         break
-                    if m in marked and len(have) >= self.least[k]:
-                        dice = 2 * len(have & want) / (len(have) + len(want))
-                        if dice >= self.t and (best is None or dice > best[0]):
-                            best = (dice, filled[n], filled[m])
+                    dice = 2 * both / (len(have) + len(want))
+                    if dice >= self.t and (best is None or dice > best[0]):
+                        best = (dice, a, b + 1)
             if best:
                 out.append((k, *best))
-        return sorted(out)
+        if not out:
+            return []
+        starts = [m.start() for m in WORD.finditer(text.lower())]
+        line = lambda w: text.lower().count("\n", 0, starts[w])
+        return sorted((k, d, line(a), line(b)) for k, d, a, b in out)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, license_id, dice, first_line, last_line (0-based): the best passage of each licence in each document."""
+    """keys, license_id, dice, first_line, last_line (0-based, where its first and last word stand): the best passage of each licence in each document."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and up to 1")
     rows = need(docs, *keys, text)
