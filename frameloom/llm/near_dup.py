@@ -9,11 +9,12 @@ nothing else is asked. Classes are the connected components of links and equal t
 
 How pairs are kept few. Equal texts collapse to the least id first and are not compared again. Texts that
 share a sketch form a bucket, and each is compared with the bucket's most central member: the one
-whose sketches are shared most widely, as the original of many copies is. Buckets whose members are
-not all in one component then take another centre, the weightiest member of a component that has given them none yet,
-and so on until a round adds no link. A round costs a row for each member, never a bucket's pairs. What decides is
-therefore whether two near duplicates ever meet at a centre: with SKETCHES sketches they share some that no third text
-has, unless nearly all they have in common is common to many. The tests and the README give measured recall.
+whose sketches are shared most widely, as the original of many copies is. Texts of buckets whose members are
+not all in one component then are dealt again by pairs of sketches, which texts that only share a passage seldom have in
+common, and compared with those buckets' centres. A deal costs a row for each member, never a bucket's pairs.
+What decides is therefore whether two near duplicates, or texts linked to them, ever meet at a centre: with SKETCHES
+sketches they share some that no third text has, unless nearly all they have in common is common to many. The tests
+and the README give measured recall.
 
 Skew: keys of more than SALT_ROWS rows are salted on both sides of a join (salted_join), so a hot bucket, a large
 group of copies or of near copies costs a row for each member, dealt over many tasks. Words travel only for texts
@@ -38,6 +39,8 @@ from frameloom.llm.shingles import WordHashes, multipliers, shingle_hashes, slic
 
 #: At the threshold a pair shares a sketch with a chance of 0.9 where a fifth of the words is replaced at random, of 0.999 and more at 0.9.
 SKETCHES, THRESHOLD, SALT_ROWS = 60, 0.8, 2000
+#: The partners of a sketch when texts are dealt again by pairs.
+NEXT = 3
 #: Bits of the map that tells which texts are asked for.
 BITS = 1 << 22
 
@@ -244,12 +247,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _centred(members: DataFrame) -> DataFrame:
-    """(bucket, id, centre) of buckets (bucket, id, weight, root, spent): everyone of another component with the bucket's
-    weightiest member that is not of a spent component (least id first), and the centre itself."""
-    best = F.max(F.when(~F.col("spent"), F.struct("weight", (-F.col("id")).alias("less"), "root")))
-    centre = members.groupBy("bucket").agg(best.alias("c"), F.count("*").alias("n")).filter("n > 1 AND c IS NOT NULL")
-    centre = centre.select("bucket", "n", (-F.col("c.less")).alias("centre"), F.col("c.root").alias("_root"))
-    return salted_join(members, centre, "bucket").filter("id = centre OR root <> _root").select("bucket", "id", "centre")
+    """(id, centre) of buckets (id, weight, bucket): everyone with the bucket's weightiest member, least id first."""
+    centre = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"))).alias("c"), F.count("*").alias("n")).filter("n > 1")
+    centre = centre.select("bucket", "n", (-F.col("c.less")).alias("centre"))
+    return salted_join(members, centre, "bucket").filter("id <> centre").select("id", "centre").distinct()
+
+
+def _split(rooted: DataFrame) -> DataFrame:
+    """The rows (id, weight, bucket, root) of buckets whose members are in several components."""
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("bucket", "n")
+    return salted_join(rooted, split, "bucket")
+
+
+def _by_pairs(member: DataFrame, ids: DataFrame) -> DataFrame:
+    """The members (id, weight, at, bucket) of these ids, dealt by two buckets each: one and the NEXT ones behind it, going round."""
+    held = member.join(ids, "id", "left_semi").groupBy("id", "weight").agg(F.map_from_entries(F.collect_list(F.struct("at", "bucket"))).alias("b"))
+    of = lambda at: F.try_element_at("b", at)
+    places = F.array(*(F.struct(F.lit(i).alias("i"), F.lit((i + k) % SKETCHES).alias("j")) for i in range(SKETCHES) for k in range(1, NEXT + 1)))
+    dealt = held.select("id", "weight", "b", F.explode(places).alias("p")).select("id", "weight", of(F.col("p.i")).alias("x"), of(F.col("p.j")).alias("y"))
+    return dealt.filter("x IS NOT NULL AND y IS NOT NULL").select("id", "weight", F.xxhash64("x", "y").alias("bucket"))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -265,34 +281,21 @@ def _classes(rows: DataFrame, text: str, key: str) -> DataFrame:
     copies = materialize(salted_join(made.select("id", "same"), least, "same").select("id", "first"), "copies")
     # Of equal texts one sketch goes on; then buckets of two or more texts, and how widely each text's sketches are shared.
     firsts = made.filter("id IS NOT NULL AND sketch IS NOT NULL").groupBy("same").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"))
-    member = materialize(firsts.select("id", F.explode("sketch").alias("bucket")), "members")
+    member = materialize(firsts.select("id", F.posexplode("sketch").alias("at", "bucket")), "members")
     sized = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
     member = materialize(salted_join(member, sized, "bucket"), "buckets")
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
-    member = materialize(member.join(weight, "id").select("id", "weight", "bucket"), "weighed")
-    rooted = member.select("*", F.col("id").alias("root"), F.lit(False).alias("spent"))
-    tried = links = roots = centres = None
-    while True:
-        met = materialize(_centred(rooted), "met")
-        pairs = met.filter("id <> centre").select("id", "centre").distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["id", "centre"], "left_anti"), "pairs")
-        found = materialize(_verified(pairs, rows, text, key), "links")
-        if links is not None and found.isEmpty():
-            break
-        links = found if links is None else links.unionAll(found)
+    member = materialize(member.join(weight, "id").select("id", "weight", "at", "bucket"), "weighed")
+    pairs = materialize(_centred(member), "pairs")
+    links = materialize(_verified(pairs, rows, text, key), "links")
+    roots = materialize(components(links), "roots")
+    root = F.coalesce("root", "id").alias("root")
+    open_ = materialize(_split(member.join(roots, "id", "left").select("id", "bucket", root)).select("id").distinct(), "open")
+    if not open_.isEmpty():
+        dealt = _by_pairs(member, open_).join(roots, "id", "left").select("id", "weight", "bucket", root)
+        more = materialize(_centred(_split(materialize(dealt, "dealt")).drop("root")).join(pairs, ["id", "centre"], "left_anti"), "pairs")
+        links = links.unionAll(materialize(_verified(more, rows, text, key), "links"))
         roots = materialize(components(links), "roots")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        now = met.filter("id = centre").select("bucket", "id")
-        centres = now if centres is None else centres.unionAll(now)
-        # Members with their components; buckets of one component are done, and a component that has given a centre gives no other.
-        known = F.coalesce("root", "id").alias("root")
-        every = materialize(member.join(roots, "id", "left").select("id", "weight", "bucket", known), "rooted")
-        split = every.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("bucket", "n")
-        every = materialize(salted_join(every, split, "bucket"), "split")
-        spent = centres.join(roots, "id", "left").select("bucket", known, F.lit(True).alias("spent")).distinct()
-        rooted = every.join(spent, ["bucket", "root"], "left").withColumn("spent", F.coalesce("spent", F.lit(False)))
-        if rooted.filter("NOT spent").isEmpty():
-            break
     members = copies.groupBy("first").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("id", "first"), "first", "left").select("first", "n", F.coalesce("root", "first").alias("class_id"))
     named = salted_join(copies.filter("first IS NOT NULL"), members, "first")
     lone = copies.filter("first IS NULL").select("id", F.col("first").alias("class_id"))
