@@ -9,13 +9,14 @@ of two blocks of the class below, so their MinHash values are minima of those al
 shares a band with an item makes the pair a candidate, and the pair is verified by the exact containment
 of the item's shingles, as words, in the whole document.
 
-Items are a query set: their signatures go to the tasks in blocks of at most BLOCK items (some 25 MB),
-one pass over the documents for each block. Documents are never shuffled and pairs that share no
+Items are a query set: their signatures go to the tasks in blocks of about BLOCK items (some 25 MB) and
+BLOCK_BYTES of text, dealt by hash, one pass over the documents for each block. Documents are never shuffled and pairs that share no
 band are never made, so hot passages cost a row for each document that holds them.
 
 Defined cases: items of one to four words are one shingle of all their words, so they match only
 documents with the same few words; items and documents without words match nothing; null texts are
-empty; repeated rows give repeated results; empty tables give an empty result; other columns are ignored.
+empty; very long documents and items are searched whole; keys may not bear the name of a result (an error says so);
+repeated rows give repeated results; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from frameloom.llm.common import need
 from frameloom.llm.shingles import SIZE, WordHashes, multipliers, shingle_hashes, slices, words
 
 HASHES, RECALL, BLOCK, THRESHOLD = 64, 0.99999, 20_000, 0.8
+#: Bytes of item texts in a block, about; an item longer than that makes its block longer.
+BLOCK_BYTES = 32 << 20
 LEAST_CLASS = 3
 
 
@@ -147,10 +150,14 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text:
 
         return rows.mapInArrow(run, schema)
 
-    n = queries.count()
+    clash = {*keys} & {*names, "containment"}
+    if clash:
+        raise ValueError(f"keys named as results: {', '.join(sorted(clash))}")
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block), -(-size["bytes"] // BLOCK_BYTES))
     out = None
-    for k in range(max(1, -(-n // block))):
-        part = queries if n <= block else queries.filter(F.pmod(F.xxhash64(item, item_text), F.lit(-(-n // block))) == k)
+    for k in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == k)
         got = part.toArrow()  # one block of the stated query set
         held = spark.sparkContext.broadcast((got.column(0).to_pylist(), got.column(1).to_pylist()))
         out = passed(held) if out is None else out.unionAll(passed(held))

@@ -8,7 +8,8 @@ the kind of record, so a run again yields the same ones.
 
 Responses are independent: no shuffle, and a task holds one Arrow batch of pages. Defined cases: a null
 or empty payload gives a metadata record with size 0 and an empty conversion record; an unclosed
-comment, script or style runs to the end; null urls stay null; repeated responses give repeated records; an
+comment, script or style runs to the end; a very long page is converted whole; keys may not bear the name of a
+record's field (an error says so); null urls stay null; repeated responses give repeated records; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -67,6 +68,9 @@ def derived_id(source: str | None, kind: str) -> str:
 def derive(responses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """responses(RESPONSE columns and keys) to records: keys and the RECORD columns."""
     names = [x.strip().split(" ")[0] for x in RESPONSE.split(",")]
+    clash = {*keys} & {x.strip().split(" ")[0] for x in RECORD.split(",")}
+    if clash:
+        raise ValueError(f"keys named as fields of a record: {', '.join(sorted(clash))}")
     rows = need(responses, *keys, *names)
     out_names = [x.strip().split(" ")[0] for x in RECORD.split(",")]
 

@@ -405,7 +405,7 @@ def test_rebalancing_moves_little(spark, tmp_path):
 
 # 7 -- decontamination
 
-def test_containment_finds_what_brute_force_finds(spark):
+def test_containment_finds_what_brute_force_finds(spark, monkeypatch):
     rnd = random.Random(5)
     items = [prose(1000 + k, rnd.choice((4, 6, 14, 30, 59, 200))) for k in range(40)] + [None, "", "two words"]
     texts = list(ODD)
@@ -420,13 +420,23 @@ def test_containment_finds_what_brute_force_finds(spark):
     sets = [shingles(t) for t in items]
     want = {(d, i, len(s & have), len(s)) for d, t in enumerate(texts) for have in [shingles(t)] for i, s in enumerate(sets) if s and len(s & have) >= 0.8 * len(s) - 1e-9}
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for block in (20_000, 7):
+    for block, size in ((20_000, 32 << 20), (7, 32 << 20), (20_000, 500)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
         got = decontaminate.find(docs(spark, texts), bench, block=block).collect()
         assert {tuple(r)[:4] for r in got} == want
     assert decontaminate.find(docs(spark, texts), bench.limit(0)).count() == 0
     assert decontaminate.find(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_clashing_keys_are_refused(spark):
+    df = docs(spark, ["a b"]).withColumn("shared", F.lit(1)).withColumn("block", F.lit("x"))
+    with pytest.raises(ValueError, match="shared"):
+        decontaminate.find(df, df, keys=("doc_id", "shared"), item="doc_id")
+    pages = spark.createDataFrame([(1, "u", "h", "b")], "page_id long, url string, html string, block string")
+    with pytest.raises(ValueError, match="block"):
+        warc.derive(warc.responses_of_pages(pages, "d", ("page_id", "block")), ("block",))
+
+
 def test_decontamination_sql(spark):
     same(spark, queries.QUERIES["op7_containment_search"], queries.ORACLE_SQL["op7_containment_search"])
 
