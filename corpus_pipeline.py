@@ -5,15 +5,15 @@ each class; decontamination drops documents that hold a benchmark item; secrets
 masks the secrets in its text; tokens encodes and decodes.
 
 Defined cases: a null text is an empty document and passes every filter but that of near duplicates, where all
-null texts are equal; a document without an id is known by its text; rows that repeat an id are one document,
-and the one of least text stands; extra columns pass through unchanged whatever their names; an empty table
+null texts are equal; a document without an id is known by its text; rows that repeat an id and its text are one
+document, and different texts under one id are several; extra columns pass through unchanged whatever their names; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, decontaminate, near_dup, secrets, toxicity
@@ -39,15 +39,20 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     job_session(spark)
     plain, ident, text = _by_place(docs)
-    keyed = plain.withColumn("_id", F.coalesce(F.col(ident), -1 - F.abs(F.xxhash64(text) % (1 << 62))))
-    # What goes, and ids that repeat, are few as a rule: a small table is broadcast by its measured size, and no text shuffled.
-    gone = materialize(near_dup.classes(keyed, text, "_id").filter("_id <> class_id").select("_id").distinct(), "gone")
-    twice = materialize(keyed.groupBy("_id").count().filter("count > 1").select("_id"), "repeated")
-    kept = keyed.join(gone, "_id", "left_anti")
+    # A document is an id with its text, so different texts under one id are documents of their own.
+    keyed = plain.withColumn("_key", F.xxhash64(ident, F.md5(F.encode(text, "UTF-8"))))
+    classes = near_dup.classes(keyed, text, "_key").distinct()
+    ids = materialize(keyed.groupBy("_key").agg(F.min(ident).alias("id"), F.count("*").alias("n")), "documents")
+    # The document of least id stands for its class, one without an id only where none has one.
+    named = materialize(classes.join(ids, "_key"), "named")
+    least = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "_key"))["_key"].alias("stays"))
+    gone = materialize(named.join(least, named["_key"] == least["stays"], "left_anti").select("_key"), "gone")
+    twice = materialize(named.filter("n > 1").select("_key").join(gone, "_key", "left_anti"), "repeated")
+    # What goes, and documents that repeat, are few as a rule: a small table is broadcast by its measured size, and no text shuffled.
+    kept = keyed.join(gone, "_key", "left_anti")
     if not twice.isEmpty():
-        first = F.row_number().over(Window.partitionBy("_id").orderBy(text))
-        again = kept.join(twice, "_id", "left_semi").withColumn("_n", first).filter("_n = 1").drop("_n")
-        kept = kept.join(twice, "_id", "left_anti").unionByName(again)
+        again = kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(twice, "_key", "left_anti").unionByName(again)
     return kept.select(*plain.columns).toDF(*docs.columns)
 
 
