@@ -153,16 +153,19 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return given.mapInArrow(run, "id long, same binary, sketch array<long>")
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str = "id") -> DataFrame:
-    """Inner join of rows with table (key, n, ...), n being the rows of a key. Keys of more than SALT_ROWS rows are dealt over several.
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str = "id", value: DataFrame | None = None) -> DataFrame:
+    """Inner join of rows with table (key, n, ...), n being the rows of a key; or with value (key, ...) for the keys of table.
 
-    There are at most rows / SALT_ROWS such keys; they are written first, so Spark knows their size when it chooses how to join them.
+    Keys of more than SALT_ROWS rows are dealt over several. The table is written first and the hot keys are read from it
+    (rows / SALT_ROWS of them at most), so it is made once, and Spark knows sizes when it chooses how to join.
     """
+    table = materialize(table, "keys")
     hot = materialize(table.filter(F.col("n") > SALT_ROWS).select(key, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("_salts")), "hot")
+    right = table.drop("n") if value is None else value
     if hot.isEmpty():
-        return rows.join(table.drop("n"), key)
+        return rows.join(right, key)
     left = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
-    right = table.drop("n").join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    right = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
@@ -214,14 +217,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFra
     """The pairs (id, centre) that are near duplicates. Words are fetched for the texts in them only; hot centres are salted."""
     wanted = materialize(pairs.select("id").unionAll(pairs.select("centre")).distinct(), "wanted")
     sequences = materialize(_sequences(docs, wanted, text, key).dropDuplicates(["id"]), "words")
-    centres = pairs.groupBy("centre").agg(F.count("*").alias("n")).join(sequences.select(F.col("id").alias("centre"), F.col("seq").alias("other")), "centre")
+    centres = pairs.groupBy("centre").agg(F.count("*").alias("n"))
+    held = centres.select("centre").join(sequences.select(F.col("id").alias("centre"), F.col("seq").alias("other")), "centre")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [i for i in range(batch.num_rows) if similar(np.frombuffer(batch.column(2)[i].as_py(), "<u4"), np.frombuffer(batch.column(3)[i].as_py(), "<u4"))]
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    both = salted_join(pairs.join(sequences, "id"), centres, "centre")
+    both = salted_join(pairs.join(sequences, "id"), centres, "centre", value=held)
     return both.select("id", "centre", "seq", "other").mapInArrow(run, "id long, centre long")
 
 
