@@ -13,7 +13,8 @@ def _sign(v: int) -> int:
 
 
 def gilbert_curve(w: int, h: int) -> np.ndarray:
-    """(w*h, 2) cells in curve order, from (0, 0). A stack of sub-rectangles stands in for recursion.
+    """(w*h, 2) cells in curve order, from (0, 0), by the public generalised Hilbert rule for rectangles (fixed: the order
+    of cells must be this one). A stack of sub-rectangles stands in for recursion.
 
     Each rectangle is given by its corner, its main axis and its side axis. A long one is halved along
     the main axis; any other is cut in three, so that the path enters and leaves at the right corners.
