@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.functions.fnv import sampled_fingerprint
+from frameloom.jobs.session import job
 from frameloom.operators import catalog, digest
 from frameloom.sources.mapped import duck, table
 
@@ -97,7 +98,7 @@ def q_tile_order(spark: SparkSession, d: str) -> DataFrame:
     return catalog.tile_order(table(spark, d, "files").select("file_id", "name")).select("file_id", "tile_no")
 
 
-QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
+QUERIES = {k[2:]: job(v) for k, v in list(globals().items()) if k.startswith("q_")}
 
 ORACLE_SQL = {k: duck(v) for k, v in {
     "file_digests": "SELECT file_id, upper(md5(text)) AS md5, upper(sha1(text)) AS sha1, upper(sha256(text)) AS sha256 FROM {files}",

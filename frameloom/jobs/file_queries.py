@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.jobs.pixel_queries import SIDE, px
-from frameloom.jobs.session import shared_folder
+from frameloom.jobs.session import job, shared_folder
 from frameloom.operators import catalog, container, metadata, pixels
 from frameloom.sources import files
 from frameloom.sources.mapped import duck, table
@@ -263,7 +263,7 @@ def q_jpeg_metadata(spark, d):
     return found.select("path", "type", F.substring("payload", 1, 2).cast("string").alias("order"))
 
 
-QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
+QUERIES = {k[2:]: job(v) for k, v in list(globals().items()) if k.startswith("q_")}
 
 _INSPECT = """SELECT path, CASE WHEN m IS NULL THEN 1 ELSE m.v END::INT AS version, CASE WHEN m IS NULL THEN 'GENERIC' ELSE m.k END AS kind, CASE WHEN m IS NULL THEN n ELSE m.c END::BIGINT AS count FROM (
     SELECT path, bool_or(type = 'acTL') AS animated, count_if(type = 'fcTL') AS n,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frameloom.jobs.session import job
 from frameloom.operators import layout
 from frameloom.sources.mapped import duck, table
 
@@ -87,7 +88,7 @@ def q_layer_size(spark, d):
     return layout.layer_size(asked.withColumns({"new_w": F.when(C("w") % 5 != 0, C("new_w")), "new_h": F.when(C("w") % 5 != 0, C("new_h"))}))
 
 
-QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
+QUERIES = {k[2:]: job(v) for k, v in list(globals().items()) if k.startswith("q_")}
 
 _BOXES_DUCK = "(VALUES " + ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {e!r}::DOUBLE)" for k, a, b, c, e in BOXES) + ") b(region, x0, y0, x1, y1)"
 _REGIONS = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frameloom.jobs.session import job
 from frameloom.operators import blend, decode, permute, pixels
 from frameloom.sources.mapped import duck, table
 
@@ -249,7 +250,7 @@ def q_scramble_block(spark, d):
     return pixels.to_pixels(permute.scramble(once, 3, back=True))
 
 
-QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
+QUERIES = {k[2:]: job(v) for k, v in list(globals().items()) if k.startswith("q_")}
 
 _STORE = "greatest(0, least(255, round_even({0}, 0)))::INT"
 _LUMA = "r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE"
