@@ -49,6 +49,8 @@ from frameloom.llm.shingles import slices
 #: The base patterns (fixed values of the contract), in their order, and what a match must have.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+#: What every match of ASSIGN holds, in small letters.
+NAMES = ("passw", "secret", "token", "apikey", "api_key")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "crf")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
@@ -56,7 +58,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 #: Documents of the sample, passages of each and the characters to either side, hashed names, passes, made lines.
 SAMPLE, PASSAGES, AROUND, BUCKETS, EPOCHS, GENERATED = 1500, 2, 70, 1 << 15, 8, 2500
 #: Tokens and gaps whose scores a task remembers, nodes of a training sequence at most.
-CACHE, LONGEST = 150_000, 48
+CACHE, LONGEST = 400_000, 48
 B, I, O = 0, 1, 2
 #: The nodes of the chain. Splitting by it gives gaps and tokens in turn.
 TOKEN = re.compile(r"([\w+/.\-]+(?:={1,2}(?![\w+/.\-=]))?)")
@@ -66,7 +68,7 @@ NUMBER = re.compile(r"[+-]?[\d.,/-]+")
 VERSION = re.compile(r"v?\d+(?:\.\d+)+[\w-]*")
 HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,4}(?:/.*)?")
 WORDS = re.compile(r"[A-Z]?[a-z]{1,24}(?:[-_/.][A-Z]?[a-z]{0,24})*[.\-]*")
-VOWELS = str.maketrans("", "", "aeiouyáéíóúàèìòùâêîôûäëïöüåæøœ")
+VOWELS = "aeiouyáéíóúàèìòùâêîôûäëïöüåæø".encode("latin-1")
 KEYWORDS = frozenset("password passwd passphrase pass pwd secret token key apikey api_key access_key secret_key client_secret api auth authorization bearer basic credential credentials private access client aws session jwt login is".split())
 NAMED = re.compile(r"passw|pwd|passphrase|secret|token|api_?key|_key\b|\bkey\b|auth|bearer|credential|session|jwt")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_", "sk-", "pk_", "xox", "eyJ", "AIza", "glpat", "MII")
@@ -76,7 +78,8 @@ Span = tuple[str, int, int]
 
 def base_spans(text: str) -> list[tuple[Span, tuple[int, int]]]:
     """(span, secret part) of every base match that holds, by start, then kind."""
-    out = [(("assign", m.start(), m.end()), m.span(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
+    low = text.lower()
+    out = [(("assign", m.start(), m.end()), m.span(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN] if any(x in low for x in NAMES) else []
     if "AKIA" in text:
         out += [(("access", m.start(), m.end()), m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     # A run of 16 or more is a whole run of [0-9a-f]+, as both are maximal.
@@ -99,6 +102,11 @@ def _hash(names: list[str]) -> list[int]:
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 
+def consonants(t: str) -> int:
+    """Characters that are no vowels."""
+    return len(t.lower().encode("latin-1", "replace").translate(None, VOWELS))
+
+
 def plain(t: str) -> bool:
     """Whether a token (without . and - at its ends) is a word of small letters, perhaps with a capital first."""
     return t.isalpha() and (t.islower() or t[1:].islower() or len(t) == 1)
@@ -111,7 +119,7 @@ def own_names(token: str) -> tuple[list[str], list[str]]:
     size = f"len{min(10, n // 4)}"
     rare = min(4, sum(len(x) for x in HARD.findall(t)) * 8 // n)
     if plain(t):
-        vowels = int((n - len(t.lower().translate(VOWELS))) / n * 5)
+        vowels = int(max(0, n - consonants(t)) / n * 5)
         own = ["bias", size, "plain", f"plain{min(n, 40)}", f"plain:first{t[0].isupper()}:{size}", f"plain:rare{rare}:{size}", f"plain:vow{vowels}:{size}", f"rare{rare}:{size}"]
         return own, [f"key:{x}" for x in ("bias", "plain", f"plain:{size}", f"plain:rare{rare}:{size}", f"plain:vow{vowels}")]
     digits = sum(map(str.isdigit, t)) / n
@@ -184,7 +192,7 @@ class Scores:
             beside = neighbour(t)
             bare = t.strip(".-")
             if plain(bare):
-                look = (len(bare), bare[0].isupper(), len(bare.lower().translate(VOWELS)), sum(map(len, HARD.findall(bare))), beside)
+                look = (len(bare), bare[0].isupper(), consonants(bare), sum(map(len, HARD.findall(bare))), beside)
                 known = self.looks.get(look)
                 if known is not None:
                     self.tokens[t] = known
