@@ -30,6 +30,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words of a block, and what a worker remembers at most.
 BLOCK_WORDS, CACHE, PIECES = 65_536, 1_100_000, 300_000
-#: Bytes of packed words of a part.
-PART_BYTES = 128 << 20
+#: Bytes of text encoded at once. Bytes of packed words of a part.
+SLICE, PART_BYTES = 8_000_000, 128 << 20
 #: Punctuation that makes one piece when it stands behind letters: ASCII without apostrophe and <, |, > of special tokens.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: The byte-level form: printable bytes stand for themselves, the others for 256, 257, ... in order (fixed rule).
@@ -139,7 +140,8 @@ def decode(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class WordCache:
     """Ids of texts by a tokenizers file whose pieces never hold white space.
 
-    Each text's words between ASCII white space are encoded once and remembered as packed ids. A new word of
+    Texts are cut at ASCII white space, and a slice's distinct words found, by Arrow; only those meet Python, are
+    encoded once and remembered as packed ids, and Arrow sets them in for every word. A new word of
     letters, with or without ASCII punctuation behind, has its pieces (in the byte-level form that the file's
     pre-tokeniser gives) encoded by the library's model, each distinct piece once; every other word goes
     through the library's whole chain. Both give what the library gives for the text, as tests show.
@@ -149,7 +151,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, words: list[str]) -> list[bytes]:
@@ -164,33 +166,39 @@ class WordCache:
             ids = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
         return ids
 
-    def _learn(self, new: list[bytes]) -> None:
-        odd: list[bytes] = []
-        for w in new:
-            t = w.decode()
+    def _learn(self, new: list[str]) -> None:
+        odd: list[str] = []
+        for t in new:
             core = t.rstrip(PUNCTUATION)
             low = core.lower()
             # Letters, then perhaps ASCII punctuation, are one piece each; words of any other form go through the library whole.
             if core.isalpha() and (core.isascii() or (low.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", t))):
                 ids = self._piece(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS))
-                self.known[w] = ids if len(core) == len(t) else ids + self._piece(t[len(core) :])
+                self.known[t] = ids if len(core) == len(t) else ids + self._piece(t[len(core) :])
             else:
-                odd.append(w)
+                odd.append(t)
         for k in range(0, len(odd), 4000):
             some = odd[k : k + 4000]
-            self.known.update(zip(some, self._whole([w.decode() for w in some]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
-        parts = [t.encode().split() for t in texts]
-        got = [list(map(self.known.get, p)) for p in parts]
-        new = {w for p, g in zip(parts, got, strict=True) if None in g for w, x in zip(p, g, strict=True) if x is None}
+            self.known.update(zip(some, self._whole(some), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (null: none), and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices
+        new = [w for w in words if w not in self.known]
         if new:
             if len(self.known) + len(new) > CACHE:
                 self.known.clear()
-            self._learn(list(new))
-            got = [[x if x is not None else self.known[w] for w, x in zip(p, g, strict=True)] if None in g else g for p, g in zip(parts, got, strict=True)]
-        return [b"".join(g) for g in got]
+                new = words
+            self._learn(new)
+        ids = [self.known[w] for w in words]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        flat = table.take(at).flatten().to_numpy()
+        upto = np.append(0, np.cumsum(lens[at.to_numpy()]))
+        ends = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))
+        return flat, upto[ends[1:]] - upto[ends[:-1]]
 
 
 _CACHES: dict[int, WordCache] = {}
@@ -209,18 +217,32 @@ def load_tokenizer(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their column holds about `most` bytes: the more words at once, the fewer are distinct."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def packed(docs: DataFrame, tokenizer: Broadcast, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, crc (of the text), n (ids with the end id) and words (packed) of every document."""
     rows = need(docs, key, text)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                some = batch.slice(start, 200)
-                ids = [x + end for x in _cache(tokenizer).encode([t or "" for t in some.column(2).to_pylist()])]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                words, per = encode(np.frombuffer(b"".join(ids), "<u4").astype(np.uint64), n)
+        for batch in _gathered(batches, 2, SLICE):
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
+            # About SLICE bytes at a time, or one text.
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE)) + 1):
+                some = batch.slice(part[0], len(part)) if len(part) else batch.slice(0, 0)
+                ids, n = _cache(tokenizer).encode(some.column(2))
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                words, per = encode(ids.astype(np.uint64), n)
                 ends = np.append(0, np.cumsum(per) * 8)
                 made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(words.astype("<u8"))])
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), made.cast(pa.binary())], ["key", "crc", "n", "words"])
