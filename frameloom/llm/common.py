@@ -88,9 +88,10 @@ def scratch_run(spark: SparkSession, name: str) -> Iterator[None]:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 
-    A lost executor then costs its running tasks only, and later passes read the written rows.
+    A lost executor then costs its running tasks only, and later passes read the written rows. Inside a run they go
+    with it, else when the application ends.
     """
-    return _written(df, scratch_path(df.sparkSession, name))
+    return _written(df, scratch_path(df.sparkSession, name)) if _RUNS else keep(df, name)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
