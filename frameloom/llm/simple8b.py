@@ -8,8 +8,9 @@ block carries for each document its key, its number of ids and the offset of its
 a block decodes as one array, and one document alone (document()).
 
 Files: Parquet parts of blocks (part, block, n_ids, keys, counts, offsets, words). Texts are encoded where they are
-read; only their packed words, a third of the text, are dealt by ranges of the key and sorted inside, so the
-concatenation of the parts is in ascending key order. There are as many parts as the packed words fill at
+read; only their packed words, two thirds of the text, are dealt by ranges of the key and sorted inside, so the
+concatenation of the parts is in ascending key order. Quantiles of the keys cut the ranges before anything is
+encoded. There are as many parts as the texts fill at
 PART_BYTES each, whatever the session's settings, and at least the session's shuffle partitions. A document's
 global start is the ids of all earlier parts (one row for each part is summed), plus those of earlier documents in
 its part.
@@ -35,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize, need, scratch_path, scratch_run
+from frameloom.llm.common import need, scratch_path
 
 #: Ids in a word, and bits for each, by selector; selectors 0 and 1 are runs of zeros, 15 is the escape
 #: (fixed values of the format; the escape takes the place of the usual single 60-bit value's overflow).
@@ -46,7 +47,7 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words of a block, and what a worker remembers at most.
 BLOCK_WORDS, CACHE, PIECES = 65_536, 1_100_000, 300_000
-#: Bytes of text encoded at once. Bytes of packed words of a part.
+#: Bytes of text encoded at once. Bytes of text of a part.
 SLICE, PART_BYTES = 8_000_000, 128 << 20
 #: Punctuation that makes one piece when it stands behind letters: ASCII without apostrophe and <, |, > of special tokens.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -230,8 +231,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iter
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def packed(docs: DataFrame, tokenizer: Broadcast, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, crc (of the text), n (ids with the end id) and words (packed) of every document."""
+def packed(docs: DataFrame, tokenizer: Broadcast, end_id: int, cuts: Broadcast, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """part (by the cuts between keys), key, crc (of the text), n (ids with the end id) and words (packed) of every document."""
     rows = need(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +246,15 @@ def packed(docs: DataFrame, tokenizer: Broadcast, end_id: int, text: str = "text
                 words, per = encode(ids.astype(np.uint64), n)
                 ends = np.append(0, np.cumsum(per) * 8)
                 made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(words.astype("<u8"))])
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), made.cast(pa.binary())], ["key", "crc", "n", "words"])
+                place = np.searchsorted(cuts.value, pc.fill_null(some.column(0), np.iinfo(np.int64).min).to_numpy(), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), some.column(0), some.column(1), pa.array(n, pa.int64()), made.cast(pa.binary())], ["part", "key", "crc", "n", "words"])
 
     given = rows.select(F.col(key).try_cast("long").alias("key"), F.crc32(text).alias("crc"), F.col(text).alias("text"))
-    return given.mapInArrow(run, "key long, crc long, n long, words binary")
+    return given.mapInArrow(run, "part int, key long, crc long, n long, words binary")
 
 
 def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (part, key, n, words) rows to blocks of about BLOCK_WORDS words."""
+    """Rows (part, key, n, words), sorted, to blocks of about BLOCK_WORDS words of one part."""
     block, part = 0, None
     keys: list[int | None] = []
     counts: list[int] = []
@@ -268,8 +270,11 @@ def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["part", "block", "n_ids", "keys", "counts", "offsets", "words"])
 
     for batch in rows:
-        part = batch.column(0)[0].as_py() if part is None and batch.num_rows else part
-        for key, n, w in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        for mine, key, n, w in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if mine != part:
+                if keys:
+                    yield out()
+                part, block, keys, counts, held, size = mine, 0, [], [], [], 0
             keys.append(key)
             counts.append(n)
             held.append(w)
@@ -284,12 +289,13 @@ def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, tokenizer: Broadcast, end_id: int, path: str, part_bytes: int = PART_BYTES, text: str = "text", key: str = "doc_id") -> None:
     """Encode the texts and write the block files, in ascending key order over ranges of about `part_bytes`."""
     spark = docs.sparkSession
-    with scratch_run(spark, "packed"):
-        rows = materialize(packed(docs, tokenizer, end_id, text, key), "packed")  # ranges are sampled from it, so it is made once
-        total = rows.agg(F.sum(F.length("words"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes), 1)
-        ranged = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "crc").select(F.spark_partition_id().alias("part"), "key", "n", "words")
-        ranged.mapInArrow(_blocks, BLOCK).write.option("compression", "zstd").parquet(path)
+    keys = docs.select(F.col(key).try_cast("long").alias("key"), F.octet_length(text).alias("bytes"))
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes), 1)
+    cuts = keys.approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    held = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.float64)))  # a number for each part
+    rows = packed(docs, tokenizer, end_id, held, text, key).repartition(parts, "part").sortWithinPartitions("part", "key", "crc")
+    rows.select("part", "key", "n", "words").mapInArrow(_blocks, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
