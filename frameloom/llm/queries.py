@@ -9,11 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe, decontaminate, licenses, near_dup, quality, secrets, simple8b, slots, toxicity, warc
+from frameloom.llm import bpe, decontaminate, fim, licenses, near_dup, pieces, quality, secrets, simple8b, slots, toxicity, warc, whiten
 from frameloom.llm.common import job_session, scratch_dir
 from frameloom.llm.common import read_table as plain_table
 
-RANKS, WORD_PIECES, END_ID = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", 1
+RANKS, WORD_PIECES, PIECES, END_ID = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model", 1
 SHARDS, CRAWL_DATE = 24, "2024-01-01T00:00:00Z"
 
 
@@ -76,6 +76,30 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(read_table(spark, sf_dir, "documents"))
 
 
+def fim_digests(docs: DataFrame) -> DataFrame:
+    done = fim.fill_in_middle(docs)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(read_table(spark, sf_dir, "documents"))
+
+
+def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
+    made = pieces.tokens(docs, pieces.load_model(docs.sparkSession, model_path))
+    return made.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -87,9 +111,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_license_dice": op9_license_dice,
     "op10_order_minhash": op10_order_minhash,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.judge_sql(),
     "op7_containment_search": decontaminate.FIND_SQL,
+    "op11_fill_in_middle": fim.DIGESTS_SQL,
 }
