@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.jobs.pixel_queries import SIDE, px
-from frameloom.jobs.session import job, shared_folder
+from frameloom.jobs.session import job
 from frameloom.operators import catalog, container, metadata, pixels
 from frameloom.sources import files
 from frameloom.sources.mapped import duck, table
+from frameloom.sources.scratch import scratch_path
 
 C = F.col
 TIFF_FIELDS = [("ifd0", 0x010F, 2, "Maker"), ("ifd0", 0x0132, 2, "2024:05:06 07:08:09"), ("exif", 0x829A, 5, [(1, 125)]), ("gps", 0x0001, 2, "S"), ("gps", 0x0002, 5, [(33, 1), (51, 1), (3050, 100)]), ("gps", 0x0003, 2, "W"), ("gps", 0x0004, 5, [(70, 1), (40, 1), (1225, 100)])]
@@ -166,7 +167,7 @@ def q_decode_preset(spark, d):
 
 def exported(spark, d) -> str:
     """A folder of loose PNG files, one for each image."""
-    folder = shared_folder(spark, "pictures")
+    folder = scratch_path(spark, "pictures")
     files.export_files(pngs(spark, d).withColumn("name", F.concat("path", F.lit(".png"))), folder)
     return folder
 
@@ -184,7 +185,7 @@ def q_read_pixels(spark, d):
 
 
 def q_write_files(spark, d):
-    folder = shared_folder(spark, "files")
+    folder = scratch_path(spark, "files")
     files.write_files(table(spark, d, "files").select("file_id", "name", "content"), folder)
     return spark.read.parquet(folder).select("file_id", "name", F.md5("content").alias("md5"))
 

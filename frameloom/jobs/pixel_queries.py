@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.jobs.session import job
-from frameloom.operators import blend, decode, permute, pixels
+from frameloom.operators import blend, decode, permute, pixels, similar
 from frameloom.sources.mapped import duck, table
 
 C = F.col
@@ -250,6 +250,16 @@ def q_scramble_block(spark, d):
     return pixels.to_pixels(permute.scramble(once, 3, back=True))
 
 
+def with_jittered(spark: SparkSession, d: str) -> DataFrame:
+    """Every image under twice its number, and beside each one a jittered copy."""
+    p = px(spark, d)
+    return p.withColumn("image_id", C("image_id") * 2).unionByName(pixels.channel_jitter(p, 3).withColumn("image_id", C("image_id") * 2 + 1))
+
+
+def q_jitter_duplicates(spark, d):
+    return similar.similar_pictures(similar.perceptual_hashes(pixels.to_images(with_jittered(spark, d))))
+
+
 QUERIES = {k[2:]: job(v) for k, v in list(globals().items()) if k.startswith("q_")}
 
 _STORE = "greatest(0, least(255, round_even({0}, 0)))::INT"
@@ -333,7 +343,20 @@ def _to_the_end(source: str) -> str:
     return source
 
 
+_JITTERED = "SELECT image_id, x, y, " + ", ".join(_clamp(_clamp(f"{c} + {_hashed(str(k))} * 48271 % 2147483647 % 5 - 2") + f" + ((image_id * 7919 + {k} * 15485863 + 3 * 49979687) % 2147483647) * 48271 % 2147483647 % 3 - 1") + f" AS {c}" for k, c in enumerate("rgb")) + ", a FROM {pixels}"
+#: Hashes from their definition, then all pairs of different hashes.
+_SIMILAR = f"""WITH RECURSIVE p AS (SELECT image_id * 2 AS image_id, x, y, r, g, b FROM {{pixels}} UNION ALL SELECT image_id * 2 + 1, x, y, r, g, b FROM ({_JITTERED})),
+    s AS (SELECT u, v, x, y, CASE WHEN (bit_count(u & x) + bit_count(v & y)) % 2 = 0 THEN 1 ELSE -1 END AS s FROM (SELECT range AS u FROM range(8)), (SELECT range AS v FROM range(8)), (SELECT range AS x FROM range(8)), (SELECT range AS y FROM range(8))),
+    t AS (SELECT image_id, u, v, sum(r * s) AS r, sum(g * s) AS g, sum(b * s) AS b FROM p JOIN s ON p.x = s.x AND p.y = s.y GROUP BY ALL),
+    n AS (SELECT image_id, c * 4 + (v * 8 + u) // 16 AS band, sum(CASE WHEN value > 0 THEN 1 << ((v * 8 + u) % 16)::INT ELSE 0 END)::BIGINT AS bits FROM (SELECT image_id, u, v, unnest([0, 1, 2]) AS c, unnest([r, g, b]) AS value FROM t) GROUP BY ALL),
+    h AS (SELECT image_id, string_agg(printf('%04x', bits), '' ORDER BY band) AS hash, list(bits ORDER BY band) AS bands FROM n GROUP BY image_id),
+    g AS (SELECT hash, min(image_id) AS id, count(*) AS n, any_value(bands) AS bands FROM h GROUP BY hash),
+    e AS (SELECT a.id AS a, b.id AS b, b.n FROM g a JOIN g b ON a.id <> b.id AND list_sum(list_transform(list_zip(a.bands, b.bands), lambda z : bit_count(xor(z[1], z[2])))) <= 10),
+    reach AS (SELECT id AS a, id AS b FROM g UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+    SELECT image_id, h.hash, class_id, (g.n - 1 + coalesce(near, 0))::BIGINT AS links FROM h JOIN g USING (hash) JOIN (SELECT a AS id, min(b) AS class_id FROM reach GROUP BY a) USING (id) LEFT JOIN (SELECT a AS id, sum(n) AS near FROM e GROUP BY a) USING (id)"""
+
 ORACLE_SQL = {k: duck(v) for k, v in {
+    "jitter_duplicates": _SIMILAR,
     "diffuse_fill_rounds": f"SELECT image_id, string_agg(printf('%02x%02x%02x%02x', r, g, b, a), '' ORDER BY y, x) AS rgba, sum(is_fill::INT)::INT AS unfilled FROM {_to_the_end(_decoded(_WINDOWED))} GROUP BY image_id",
     "decode_pipeline_rounds": f"SELECT * FROM {_to_the_end(_decoded(_WINDOW_SQL))}",
     "weather_marked": _resized(_greened(_noised(_MARKED, 0.05), 0.15), 6),

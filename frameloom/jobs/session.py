@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
@@ -29,19 +25,6 @@ def local_session(name: str = "frameloom", cpus: str = "8", shuffle: int = 8) ->
     )
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; under a temporary one where all tasks run in this process."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if there is None:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        there = tempfile.mkdtemp(prefix="frameloom-")
-        atexit.register(shutil.rmtree, there, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(there)
-    return f"{there.rstrip('/')}/frameloom/{name}-{uuid.uuid4().hex}"
-
-
 def importable(spark: SparkSession) -> SparkSession:
     """Put the repository on the path of Python workers that Spark starts from now on."""
     env = spark.sparkContext.environment
