@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, decontaminate, near_dup, secrets, toxicity
-from frameloom.llm.common import job_session, materialize, read_table
+from frameloom.llm.common import job_session, materialize, read_table, remove, scratch_path, stored
 
 #: The pipeline rejects a document from this calibrated score on.
 REJECT = 0.5
@@ -89,8 +89,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder."""
-    docs = read_table(job_session(spark), sf_dir, "documents")
+    """All stages over documents, each but the last written to the shared folder. A stage's rows go when the next one's
+    are written, the last ones when the application ends."""
+    docs, before = read_table(job_session(spark), sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,17 +1,11 @@
-"""What the operators share: tables, the shared scratch folder, word splitting."""
+"""What the operators share: sessions, tables, columns, and the shared scratch folder."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.jobs.session import importable
+from frameloom.sources.scratch import entries, exists, keep, materialize, remove, scratch_path, scratch_run, shared_root, stored  # noqa: F401
 
 #: Rows of whole texts that go to a Python worker at once, where the session has Spark's default.
 ARROW_ROWS = "1000"
@@ -30,83 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset and all tasks run in this process, as in tests, a temporary folder is made and removed at exit.
-    On a cluster executors would write to their own disks, so there it must be set.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if there is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        there = tempfile.mkdtemp(prefix="frameloom-")
-        atexit.register(shutil.rmtree, there, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(there)
-    return there
-
-
-#: Folders of the runs that are open, the innermost last.
-_RUNS: list[str] = []
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of the innermost run, or outside of any."""
-    return f"{_RUNS[-1] if _RUNS else scratch_dir(spark).rstrip('/') + '/frameloom'}/{name}-{uuid.uuid4().hex}"
-
-
-def _files(spark: SparkSession, path: str) -> tuple:
-    """The file system of a path, and the path, as Spark's Hadoop client knows them."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, there = _files(spark, path)
-    return fs.exists(there)
-
-
-def entries(spark: SparkSession, path: str) -> list[str]:
-    """The paths in a folder, none if it does not exist."""
-    fs, there = _files(spark, path)
-    return [x.getPath().toString() for x in fs.listStatus(there)] if fs.exists(there) else []
-
-
-@contextmanager
-def scratch_run(spark: SparkSession, name: str) -> Iterator[None]:
-    """What is materialized inside goes when the run ends. What is to outlast it is materialized by keep()."""
-    path = scratch_path(spark, name)
-    _RUNS.append(path)
-    try:
-        yield
-    finally:
-        _RUNS.remove(path)
-        fs, there = _files(spark, path)
-        fs.delete(there, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back.
-
-    A lost executor then costs its running tasks only, and later passes read the written rows. Inside a run they go
-    with it, else when the application ends.
-    """
-    return _written(df, scratch_path(df.sparkSession, name)) if _RUNS else keep(df, name)
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Materialize outside of any run; the rows go when the application ends."""
-    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/frameloom/{name}-{uuid.uuid4().hex}"
-    fs, there = _files(df.sparkSession, path)
-    fs.deleteOnExit(there)
-    return _written(df, path)
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash with derived ones."""
     missing = [c for c in columns if c not in df.columns]

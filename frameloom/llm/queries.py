@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, decontaminate, fim, licenses, near_dup, pieces, quality, secrets, simple8b, slots, toxicity, warc, whiten
-from frameloom.llm.common import job_session, scratch_dir
+from frameloom.llm.common import job_session, shared_root
 from frameloom.llm.common import read_table as plain_table
 
 RANKS, WORD_PIECES, PIECES, END_ID = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model", 1
@@ -54,7 +54,7 @@ def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The map of a data set stays in the shared folder: a later run loads it, and edits it if the data or the shards have changed.
-    folder = f"{scratch_dir(spark).rstrip('/')}/frameloom/slot-map/{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    folder = f"{shared_root(spark)}/frameloom/slot-map/{hashlib.md5(sf_dir.encode()).hexdigest()}"
     dealt = slots.shard(read_table(spark, sf_dir, "documents"), SHARDS, folder=folder)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
