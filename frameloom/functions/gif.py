@@ -122,13 +122,33 @@ def frames(raw: bytes | None) -> Iterator[Frame]:
             break
 
 
-def encode(frames: list[tuple[int, int, int, int, int, int, bytes]]) -> bytes:
-    """An animated GIF of 256 greys from (delay_ms, x, y, w, h, disposal, a byte for each pixel).
+def loops(raw: bytes | None) -> int:
+    """How often the animation plays by its NETSCAPE extension, the last one of several; 0 for ever, or where none says."""
+    if not raw or raw[:6] not in (b"GIF87a", b"GIF89a") or len(raw) < 13:
+        return 0
+    table = lambda bits: 3 * (2 << (bits & 7)) if bits & 0x80 else 0
+    at, found = 13 + table(raw[10]), 0
+    while at + 1 < len(raw):
+        if raw[at] == 0x21:
+            if raw[at + 1] == 0xFF and raw[at + 3 : at + 14] == b"NETSCAPE2.0" and raw[at + 14 : at + 16] == b"\x03\x01" and at + 18 <= len(raw):
+                found = struct.unpack_from("<H", raw, at + 16)[0]
+            _, at = _blocks(raw, at + 2)
+        elif raw[at] == 0x2C and at + 10 <= len(raw):
+            _, at = _blocks(raw, at + 11 + table(raw[at + 9]))
+        else:
+            break
+    return found
+
+
+def encode(frames: list[tuple[int, int, int, int, int, int, bytes]], loops: int | None = None) -> bytes:
+    """An animated GIF of 256 greys from (delay_ms, x, y, w, h, disposal, a byte for each pixel), which says how often it plays.
 
     Codes are 9 bits wide throughout: a clear code comes before the table would grow past that.
     """
     wide, high = max(x + w for _, x, _, w, _, _, _ in frames), max(y + h for _, _, y, _, h, _, _ in frames)
     out = [b"GIF89a", struct.pack("<HHBBB", wide, high, 0xF7, 0, 0), bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))]
+    if loops is not None:
+        out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01" + struct.pack("<H", loops) + b"\0")
     for delay, x, y, w, h, disposal, grey in frames:
         codes = np.frombuffer(grey, np.uint8).astype(np.uint32)
         runs = -(-len(codes) // 250)

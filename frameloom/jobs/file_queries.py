@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.jobs import catalog_queries
 from frameloom.jobs.pixel_queries import SIDE, px
 from frameloom.jobs.session import job
-from frameloom.operators import catalog, container, metadata, pixels
-from frameloom.sources import files
+from frameloom.operators import catalog, container, digest, metadata, pixels
+from frameloom.sources import files, loose, table_functions
 from frameloom.sources.mapped import duck, table
 from frameloom.sources.scratch import scratch_path
 
@@ -168,7 +169,7 @@ def q_decode_preset(spark, d):
 def exported(spark, d) -> str:
     """A folder of loose PNG files, one for each image."""
     folder = scratch_path(spark, "pictures")
-    files.export_files(pngs(spark, d).withColumn("name", F.concat("path", F.lit(".png"))), folder)
+    loose.write_loose(pngs(spark, d).withColumn("name", F.concat("path", F.lit(".png"))), folder)
     return folder
 
 
@@ -190,6 +191,29 @@ def q_write_files(spark, d):
     return spark.read.parquet(folder).select("file_id", "name", F.md5("content").alias("md5"))
 
 
+def q_loose_files(spark, d):
+    """Texts written as loose files and read back through the data source."""
+    folder = scratch_path(spark, "texts")
+    loose.write_loose(table(spark, d, "files"), folder, "path")
+    return loose.read_loose(spark, folder, "*.txt").select(F.regexp_extract("name", r"^([0-9]+)\.", 1).cast("long").alias("file_id"), "length", F.md5("content").alias("md5"))
+
+
+def q_loose_fingerprints(spark, d):
+    folder = scratch_path(spark, "texts")
+    loose.write_loose(table(spark, d, "files"), folder, "path")
+    return loose.read_loose(spark, folder, holds="fingerprint").select(F.regexp_extract("name", r"^([0-9]+)\.", 1).cast("long").alias("file_id"), "fingerprint")
+
+
+def q_confirmed_duplicates(spark, d):
+    return digest.confirmed_duplicates(table(spark, d, "files"), "file_id")
+
+
+def q_confirmed_loose_duplicates(spark, d):
+    folder = scratch_path(spark, "texts")
+    loose.write_loose(table(spark, d, "files"), folder, "path")
+    return digest.confirmed_loose_duplicates(spark, folder).select("sha256", "n", "wasted")
+
+
 def q_restore_generic(spark, d):
     """Three to five frames without a marker: moving in mode web from two frames, in mode java from five."""
     n = pngs(spark, d).select(C("path").cast("long").alias("n"), "content")
@@ -210,11 +234,11 @@ def gifs(spark, d) -> DataFrame:
     first = grey(p.filter("image_id % 2 = 0")).select(C("image_id").alias("path"), F.lit(1).alias("frame_no"), F.lit(0).alias("delay_ms"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(8).alias("w"), F.lit(8).alias("h"), (1 + C("image_id") % 4 / 2).cast("int").alias("disposal"), "grey")
     part = p.filter("image_id % 2 = 1 AND x BETWEEN 2 AND 5 AND y BETWEEN 3 AND 7")
     second = grey(part).select((C("image_id") - 1).alias("path"), F.lit(2).alias("frame_no"), (C("image_id") % 9 * 10 + 20).cast("int").alias("delay_ms"), F.lit(2).alias("x"), F.lit(3).alias("y"), F.lit(4).alias("w"), F.lit(5).alias("h"), F.lit(1).alias("disposal"), "grey")
-    return container.gif_of_frames(first.unionByName(second))
+    return container.gif_of_frames(first.unionByName(second), F.when(C("path").cast("long") % 3 > 0, C("path").cast("long") % 5))
 
 
 def q_gif_frames(spark, d):
-    return container.gif_frames(gifs(spark, d)).select("path", "frame_no", "delay_ms", "x", "y", "w", "h", F.lower(F.hex("rgba")).alias("rgba"))
+    return container.gif_frames(gifs(spark, d)).select("path", "frame_no", "delay_ms", "x", "y", "w", "h", "screen_w", "screen_h", "loops", F.lower(F.hex("rgba")).alias("rgba"))
 
 
 def jpegs(spark, d) -> DataFrame:
@@ -259,6 +283,36 @@ def q_jpeg_strip(spark, d):
     return plain.select("path", F.md5("content").alias("md5"), F.length("content").alias("length"))
 
 
+def q_jpeg_segments(spark, d):
+    marked = metadata.write_exif_rows(jpegs(spark, d), placed(spark, d))
+    return metadata.jpeg_segments(marked).select("path", "segment_no", "marker", F.substring("payload", 1, 4).cast("string").alias("head"))
+
+
+def in_sql(spark, d, files: DataFrame, name: str, columns: str) -> DataFrame:
+    """A parser called by LATERAL on files(path, content)."""
+    table_functions.register_table_functions(spark, "parse_")
+    return spark.sql(f"SELECT f.path, {columns} FROM {{files}} f, LATERAL parse_{name}(f.content) r", files=files)
+
+
+def q_lateral_png_chunks(spark, d):
+    rows = in_sql(spark, d, pngs(spark, d), "png_chunks", "r.chunk_no, r.type, r.length, r.payload, r.crc")
+    return rows.select(C("path").cast("long").alias("path"), "chunk_no", "type", F.when(C("type") != "IDAT", C("length")).alias("length"), container.chunk_crc_ok(C("type"), C("payload"), C("crc")).alias("crc_ok"))
+
+
+def q_lateral_jpeg_segments(spark, d):
+    marked = metadata.write_exif_rows(jpegs(spark, d), placed(spark, d))
+    return in_sql(spark, d, marked, "jpeg_segments", "r.segment_no, r.marker, CAST(substring(r.payload, 1, 4) AS STRING) AS head")
+
+
+def q_lateral_exif_tags(spark, d):
+    both = with_places(spark, d).withColumn("path", F.concat_ws("/", "kind", "path"))
+    return in_sql(spark, d, both, "exif_tags", "r.name, r.value, round(get(r.nums, 0), 9) AS first, r.ifd").filter("ifd <> 'gps'").drop("ifd")
+
+
+def q_lateral_gif_frames(spark, d):
+    return in_sql(spark, d, gifs(spark, d), "gif_frames", "r.frame_no, r.delay_ms, r.x, r.y, r.w, r.h, r.screen_w, r.screen_h, r.loops, lower(hex(r.rgba)) AS rgba")
+
+
 def q_jpeg_metadata(spark, d):
     found = metadata.metadata_chunks(metadata.write_exif_rows(jpegs(spark, d), placed(spark, d)))
     return found.select("path", "type", F.substring("payload", 1, 2).cast("string").alias("order"))
@@ -308,11 +362,12 @@ ORACLE_SQL = {k: duck(v) for k, v in {
     "write_files": "SELECT file_id, name, md5(text) AS md5 FROM {files}",
     "restore_generic": """SELECT g::VARCHAR AS path, mode, k AS frame_no, CASE mode WHEN 'web' THEN true ELSE n >= 5 END AS is_anim, 40 AS delay_ms, true AS as_hidden
         FROM (SELECT vec_id // 6 AS g, 3 + vec_id // 6 % 3 AS n FROM embeddings GROUP BY 1, 2 HAVING count(*) = 6), (VALUES ('web'), ('java')) m(mode), (VALUES (1), (2), (3), (4), (5)) f(k) WHERE k <= n AND (k = 1 OR mode = 'web' OR n >= 5)""",
-    "gif_frames": f"""SELECT image_id::VARCHAR AS path, 1 AS frame_no, 100 AS delay_ms, 0 AS x, 0 AS y, 8 AS w, 8 AS h, string_agg(printf('%02x%02x%02xff', r, r, r), '' ORDER BY y, x) AS rgba FROM {_OVER} GROUP BY image_id
-        UNION ALL SELECT image_id::VARCHAR, 2, ((image_id + 1) % 9 * 10 + 20)::INT, 2, 3, 4, 5, string_agg(CASE WHEN over IS NOT NULL THEN printf('%02x%02x%02xff', over, over, over) WHEN image_id % 4 = 2 THEN '00000000' ELSE printf('%02x%02x%02xff', r, r, r) END, '' ORDER BY y, x) FROM {_OVER} WHERE image_id + 1 IN (SELECT vec_id FROM embeddings) GROUP BY image_id""",
+    "gif_frames": f"""SELECT *, 8 AS screen_w, 8 AS screen_h, CASE WHEN path::BIGINT % 3 > 0 THEN path::BIGINT % 5 ELSE 0 END::INT AS loops FROM (SELECT image_id::VARCHAR AS path, 1 AS frame_no, 100 AS delay_ms, 0 AS x, 0 AS y, 8 AS w, 8 AS h, string_agg(printf('%02x%02x%02xff', r, r, r), '' ORDER BY y, x) AS rgba FROM {_OVER} GROUP BY image_id
+        UNION ALL SELECT image_id::VARCHAR, 2, ((image_id + 1) % 9 * 10 + 20)::INT, 2, 3, 4, 5, string_agg(CASE WHEN over IS NOT NULL THEN printf('%02x%02x%02xff', over, over, over) WHEN image_id % 4 = 2 THEN '00000000' ELSE printf('%02x%02x%02xff', r, r, r) END, '' ORDER BY y, x) FROM {_OVER} WHERE image_id + 1 IN (SELECT vec_id FROM embeddings) GROUP BY image_id)""",
     "exif_places": f"SELECT concat(kind, '/', vec_id) AS path, round(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END * {_ANGLE.format(d='vec_id % 90', k=1)}, 6) AS lat, round(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE -1 END * {_ANGLE.format(d='vec_id % 179', k=3)}, 6) AS lon FROM embeddings, (VALUES ('PNG'), ('JPEG')) t(kind)".replace("{", "{{").replace("}", "}}").replace("{{", "{").replace("}}", "}"),
     "exif_values": "SELECT concat(kind, '/', vec_id) AS path, name, CASE WHEN name = 'Make' THEN concat('Maker ', vec_id % 11) END AS value, CASE WHEN name <> 'Make' THEN round(1 / (vec_id % 250 + 1)::DOUBLE, 9) END AS first FROM embeddings, (VALUES ('PNG'), ('JPEG')) t(kind), (VALUES ('Make'), ('ExposureTime')) n(name)",
     "jpeg_strip": f"SELECT p AS path, md5({_JPEG}) AS md5, octet_length({_JPEG})::INT AS length FROM (SELECT vec_id::VARCHAR AS p FROM embeddings)",
+    "jpeg_segments": "SELECT vec_id::VARCHAR AS path, n AS segment_no, marker, coalesce(head, left(vec_id::VARCHAR, 4)) AS head FROM embeddings, (VALUES (0, 225, 'Exif'), (1, 254, NULL)) t(n, marker, head)",
     "jpeg_metadata": "SELECT vec_id::VARCHAR AS path, 'eXIf' AS type, 'II' AS \"order\" FROM embeddings",
     "exif_fields": """SELECT id, floor(-log2(t) * 1000 + 0.5) / 1000 AS shutter, floor(2 * log2(f) * 100 + 0.5) / 100 AS aperture, CASE WHEN t < 1 THEN 1 ELSE floor(t * 1000 + 0.5) END::BIGINT AS exposure_num, CASE WHEN t < 1 THEN floor(1 / t + 0.5) ELSE 1000 END::BIGINT AS exposure_den, floor(focal * 1000 + 0.5)::BIGINT AS focal_milli,
         CASE WHEN focal = 6.06::DOUBLE THEN 23 WHEN focal = 2.3::DOUBLE THEN 15 ELSE floor(focal * 3.8::DOUBLE + 0.5) END::BIGINT AS focal_35mm FROM {exposures} WHERE t > 0""",
@@ -321,3 +376,10 @@ ORACLE_SQL = {k: duck(v) for k, v in {
     "decode_preset": """SELECT id, CASE WHEN ok THEN back END AS reversed, CASE WHEN ok THEN CASE WHEN back THEN 255 - tone ELSE 0 END END::INT AS low, CASE WHEN ok THEN CASE WHEN back THEN 255 ELSE tone END END::INT AS high, CASE WHEN ok AND c <= 100 THEN CASE WHEN floor((100 - c) * 255 / 50 - 255 + 0.5) = 0 THEN 0 ELSE 100 - c END END::INT AS contrast
         FROM (SELECT id, str, regexp_matches(str, '^.[0-9a-fA-F]{2}') AS ok, left(str, 1) = '1' AS back, try_cast('0x' || substr(str, 2, 2) AS INT) AS tone, CASE WHEN regexp_matches(str, '^.{3}[0-9a-fA-F]{2}') THEN try_cast('0x' || substr(str, 4, 2) AS INT) END AS c FROM {presets})""",
 }.items()}
+ORACLE_SQL |= {f"lateral_{k}": ORACLE_SQL[v] for k, v in (("png_chunks", "png_chunks"), ("jpeg_segments", "jpeg_segments"), ("exif_tags", "exif_values"), ("gif_frames", "gif_frames"))}
+ORACLE_SQL |= {
+    "loose_files": duck("SELECT file_id, length::BIGINT AS length, md5(text) AS md5 FROM {files}"),
+    "loose_fingerprints": catalog_queries.ORACLE_SQL["sampled_fingerprint"],
+    "confirmed_duplicates": catalog_queries.ORACLE_SQL["duplicate_groups"],
+    "confirmed_loose_duplicates": f"SELECT sha256, n, wasted FROM ({catalog_queries.ORACLE_SQL['duplicate_groups']})",
+}

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from frameloom.functions import gif, png
 
 C = F.col
-CHUNKS = "path string, chunk_no int, type string, length long, end long, payload binary, crc long"
+#: Columns of a chunk, and of a GIF's frame, behind the path.
+CHUNK = "chunk_no int, type string, length long, end long, payload binary, crc long"
+GIF_FRAME = "frame_no int, delay_ms int, x int, y int, w int, h int, disposal int, interlace boolean, trans_index int, screen_w int, screen_h int, loops int, rgba binary"
 #: Arrow rows of files at a time: contents are large. Spark itself bounds what it sends to a worker at once by bytes
 #: (spark.sql.execution.arrow.maxBytesPerBatch).
 FILES_AT_ONCE = 32
@@ -41,13 +43,15 @@ def _per_file(files: DataFrame, make, schema: str, content: str = "content", pat
     return files.select(C(path).cast("string"), content).mapInArrow(run, shape)
 
 
+def chunk_rows(content: bytes | None, only: tuple[str, ...] = (), strict: bool = False) -> Iterator[tuple]:
+    """CHUNK of one file."""
+    for n, kind, end, payload, crc in png.chunks(content, strict):
+        yield n, kind, len(payload), end, payload if not only or kind in only else None, crc
+
+
 def png_chunks(files: DataFrame, only: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """chunks(path, chunk_no, type, length, end, payload, crc); `only` drops the payloads of other types at once."""
-    def make(path, content):
-        for n, kind, end, payload, crc in png.chunks(content, strict):
-            yield path, n, kind, len(payload), end, payload if not only or kind in only else None, crc
-
-    return _per_file(files, make, CHUNKS)
+    return _per_file(files, lambda path, content: ((path, *r) for r in chunk_rows(content, only, strict)), "path string, " + CHUNK)
 
 
 def chunk_crc_ok(kind: Column, payload: Column, crc: Column) -> Column:
@@ -232,26 +236,30 @@ def png_of_images(images: DataFrame) -> DataFrame:
     return images.select("image_id", "w", "h", "rgba").mapInArrow(run, "path string, content binary")
 
 
-def gif_of_frames(frames: DataFrame) -> DataFrame:
+def gif_of_frames(frames: DataFrame, loops: Column | None = None) -> DataFrame:
     """(path, content) of frames(path, frame_no, delay_ms, x, y, w, h, disposal, grey): animated GIFs of 256 greys.
 
-    grey has a byte for each pixel of the frame's rectangle. A file's frames are gathered in order.
+    grey has a byte for each pixel of the frame's rectangle. A file's frames are gathered in order. `loops` (of the path,
+    or null) is how often a file plays.
     """
     one = F.struct("frame_no", "delay_ms", "x", "y", "w", "h", "disposal", "grey")
     whole = frames.groupBy("path").agg(F.array_sort(F.collect_list(one)).alias("frames"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [gif.encode([(f["delay_ms"], f["x"], f["y"], f["w"], f["h"], f["disposal"], f["grey"]) for f in fs]) for fs in batch.column(1).to_pylist()]
+            made = [gif.encode([(f["delay_ms"], f["x"], f["y"], f["w"], f["h"], f["disposal"], f["grey"]) for f in fs], n) for fs, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
 
-    return whole.select(C("path").cast("string").alias("path"), "frames").mapInArrow(run, "path string, content binary")
+    return whole.select(C("path").cast("string").alias("path"), "frames", (F.lit(None) if loops is None else loops).cast("int").alias("loops")).mapInArrow(run, "path string, content binary")
 
 
-def gif_frames(files: DataFrame) -> DataFrame:
-    """Every frame of each GIF as a full picture."""
-    def make(path, content):
-        for n, f in enumerate(gif.frames(content), 1):
-            yield path, n, f.delay_ms, f.x, f.y, f.w, f.h, f.disposal, f.interlace, f.transparent, f.rgba.tobytes()
+def gif_rows(content: bytes | None) -> Iterator[tuple]:
+    """GIF_FRAME of one file."""
+    loops = gif.loops(content)
+    for n, f in enumerate(gif.frames(content), 1):
+        yield n, f.delay_ms, f.x, f.y, f.w, f.h, f.disposal, f.interlace, f.transparent, f.rgba.shape[1], f.rgba.shape[0], loops, f.rgba.tobytes()
 
-    return _per_file(files, make, "path string, frame_no int, delay_ms int, x int, y int, w int, h int, disposal int, interlace boolean, trans_index int, rgba binary")
+
+def gif_frames(files: DataFrame) -> DataFrame:
+    """Every frame of each GIF as a full picture, with the screen's size and how often the file plays (0: for ever, or not said)."""
+    return _per_file(files, lambda path, content: ((path, *r) for r in gif_rows(content)), "path string, " + GIF_FRAME)

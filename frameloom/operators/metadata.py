@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,36 @@ HINTS = ("parameters", "prompt", "negative", "steps", "sampler", "seed", "novela
 HEAD, LONG = 400, 300
 
 
+#: Columns of a JPEG's segment, a tag and a text, behind the path.
+SEGMENT = "segment_no int, marker int, offset long, length int, payload binary"
+TAG = "ifd string, ord int, tag int, name string, type int, n int, value string, nums array<double>"
+TEXT = "chunk_no int, type string, keyword string, value string"
+
+
+def segment_rows(content: bytes | None) -> Iterator[tuple]:
+    """SEGMENT of one file."""
+    for n, marker, at, payload in tiff.jpeg_segments(content):
+        yield n, marker, at, len(payload), payload
+
+
+def tag_rows(content: bytes | None) -> Iterator[tuple]:
+    """TAG of one file."""
+    yield from tiff.tags(tiff.exif_block(content, [(k, p) for _, k, _, p, _ in png.chunks(content)]))
+
+
+def text_rows(content: bytes | None) -> Iterator[tuple]:
+    """TEXT of one file."""
+    for n, kind, _, payload, _ in png.chunks(content):
+        if kind in ("tEXt", "iTXt", "zTXt") and (got := text_of(kind, payload)):
+            yield n, kind, *got
+
+
+def jpeg_segments(files: DataFrame) -> DataFrame:
+    """segments(path, segment_no, marker, offset, length, payload) of JPEG files, up to the picture data; a segment that
+    runs past the file's end is cut there."""
+    return _per_file(files, lambda path, content: ((path, *r) for r in segment_rows(content)), "path string, " + SEGMENT)
+
+
 def metadata_chunks(files: DataFrame) -> DataFrame:
     """(path, chunk_no, type, payload): text and EXIF chunks of PNG, the EXIF block of JPEG as eXIf without its prefix."""
     def make(path, content):
@@ -34,12 +65,7 @@ def metadata_chunks(files: DataFrame) -> DataFrame:
 
 def exif_tags(files: DataFrame) -> DataFrame:
     """tags(path, ifd, ord, tag, name, type, n, value, nums) of PNG and JPEG files."""
-    def make(path, content):
-        block = tiff.exif_block(content, [(k, p) for _, k, _, p, _ in png.chunks(content)])
-        for row in tiff.tags(block):
-            yield path, *row
-
-    return _per_file(files, make, "path string, ifd string, ord int, tag int, name string, type int, n int, value string, nums array<double>")
+    return _per_file(files, lambda path, content: ((path, *r) for r in tag_rows(content)), "path string, " + TAG)
 
 
 def gps_decimal(tags: DataFrame) -> DataFrame:
@@ -88,12 +114,7 @@ def is_generation_params(keyword: Column, value: Column) -> Column:
 
 def text_chunks(files: DataFrame) -> DataFrame:
     """text_chunks(path, chunk_no, type, keyword, value, is_important)."""
-    def make(path, content):
-        for n, kind, _, payload, _ in png.chunks(content):
-            if kind in ("tEXt", "iTXt", "zTXt") and (got := text_of(kind, payload)):
-                yield path, n, kind, *got
-
-    rows = _per_file(files, make, "path string, chunk_no int, type string, keyword string, value string")
+    rows = _per_file(files, lambda path, content: ((path, *r) for r in text_rows(content)), "path string, " + TEXT)
     return rows.withColumn("is_important", is_generation_params(C("keyword"), C("value")))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,21 +37,3 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 def write_files(df: DataFrame, folder: str) -> None:
     """Results as Parquet with their contents, the form for clusters."""
     df.write.mode("overwrite").parquet(folder)
-
-
-def export_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """Loose files in a folder that every executor mounts; names keep their last part only. A file appears whole or not at all."""
-    folder = folder.removeprefix("file://")
-    if "://" in folder:
-        raise ValueError("loose files need a folder that the executors mount; write_files takes any store")
-
-    def save(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            target = os.path.join(folder, os.path.basename(row[name]))
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(row[content])
-            os.replace(part, target)
-
-    df.select(name, content).foreachPartition(save)
