@@ -14,7 +14,7 @@ from frameloom.jobs.session import job
 from frameloom.operators import catalog, container, digest, metadata, pixels
 from frameloom.sources import files, loose, table_functions
 from frameloom.sources.mapped import duck, table
-from frameloom.sources.scratch import scratch_path
+from frameloom.sources.scratch import materialize, scratch_path
 
 C = F.col
 TIFF_FIELDS = [("ifd0", 0x010F, 2, "Maker"), ("ifd0", 0x0132, 2, "2024:05:06 07:08:09"), ("exif", 0x829A, 5, [(1, 125)]), ("gps", 0x0001, 2, "S"), ("gps", 0x0002, 5, [(33, 1), (51, 1), (3050, 100)]), ("gps", 0x0003, 2, "W"), ("gps", 0x0004, 5, [(70, 1), (40, 1), (1225, 100)])]
@@ -89,6 +89,13 @@ def q_restore(spark, d):
     return got.join(plain, "n").select("path", "frame_no", "is_anim", "delay_ms", (C("png") == C("content")).alias("as_hidden"))
 
 
+def q_restore_chunks(spark, d):
+    chunks = materialize(container.png_chunks(disguised(spark, d)), "chunks")
+    got = container.restore_chunks(chunks).withColumn("n", C("path").cast("long") + C("frame_no"))
+    plain = pngs(spark, d).select(C("path").cast("long").alias("n"), "content")
+    return got.join(plain, "n").select("path", "frame_no", "is_anim", "delay_ms", (C("png") == C("content")).alias("as_hidden"))
+
+
 def q_extract_cover(spark, d):
     return container.extract_cover(disguised(spark, d)).join(pngs(spark, d), "path").select("path", (C("cover") == C("content")).alias("as_before"))
 
@@ -378,6 +385,7 @@ ORACLE_SQL = {k: duck(v) for k, v in {
 }.items()}
 ORACLE_SQL |= {f"lateral_{k}": ORACLE_SQL[v] for k, v in (("png_chunks", "png_chunks"), ("jpeg_segments", "jpeg_segments"), ("exif_tags", "exif_values"), ("gif_frames", "gif_frames"))}
 ORACLE_SQL |= {
+    "restore_chunks": ORACLE_SQL["restore"],
     "loose_files": duck("SELECT file_id, length::BIGINT AS length, md5(text) AS md5 FROM {files}"),
     "loose_fingerprints": catalog_queries.ORACLE_SQL["sampled_fingerprint"],
     "confirmed_duplicates": catalog_queries.ORACLE_SQL["duplicate_groups"],

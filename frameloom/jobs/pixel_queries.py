@@ -218,15 +218,27 @@ def q_diffuse_round(spark, d):
 
 
 def q_diffuse_fill(spark, d):
-    images = decode.known_images(decode.window_decode(windowed(spark, d)))
+    images = pixels.to_known_images(decode.window_decode(windowed(spark, d)))
     return decode.diffuse_fill(images, 1).select("image_id", F.lower(F.hex("rgba")).alias("rgba"), "unfilled")
 
 
 def q_diffuse_fill_rounds(spark, d):
-    images = decode.known_images(decode.window_decode(windowed(spark, d)))
+    images = pixels.to_known_images(decode.window_decode(windowed(spark, d)))
     return decode.diffuse_fill(images).select("image_id", F.lower(F.hex("rgba")).alias("rgba"), "unfilled")
 
 
+def q_diffuse_pixels(spark, d):
+    return decode.diffuse_pixels(decode.window_decode(windowed(spark, d)))
+
+
+def q_resize_images(spark, d):
+    return pixels.to_pixels(pixels.resize_images(pixels.to_images(px(spark, d)), 0.75))
+
+
+def q_gaussian_noise_images(spark, d):
+    return pixels.to_pixels(pixels.gaussian_noise_images(pixels.to_images(px(spark, d)), 0.05, 3))
+
+
 def q_decode_pipeline(spark, d):
     return decode.decode_pipeline(px(spark, d), presets(spark, d), 1)
 
@@ -407,3 +419,8 @@ ORACLE_SQL = {k: duck(v) for k, v in {
     "scramble_block": "SELECT image_id, x, y, r, g, b, a FROM {pixels}",
     "weather": "SELECT image_id, x, y, " + ", ".join(_clamp(_up(f"{c} * 0.95::DOUBLE + {255 * 0.05 if c == 'g' else 0.0}::DOUBLE - 6.4::DOUBLE + {32 * 0.05 if c == 'g' else 0.0}::DOUBLE")) + f" AS {c}" for c in "rgb") + ", a FROM {pixels}",
 }.items()}
+ORACLE_SQL |= {
+    "diffuse_pixels": duck(f"SELECT * FROM {_to_the_end(_decoded(_WINDOWED))}"),
+    "resize_images": ORACLE_SQL["resize_three_quarters"],
+    "gaussian_noise_images": ORACLE_SQL["gaussian_noise"],
+}

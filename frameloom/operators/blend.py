@@ -6,16 +6,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.operators.pixels import clamp, store
+from frameloom.operators.pixels import clamp, store, with_pixels
 
 C = F.col
 
 
 def paired(pixels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pixels of pairs(pair_id, inner_id, cover_id): r, g, b, a of the inner image, cr, cg, cb, ca of the cover."""
-    inner = pairs.join(pixels, C("inner_id") == C("image_id")).select("pair_id", "x", "y", "r", "g", "b", "a")
-    cover = pairs.join(pixels, C("cover_id") == C("image_id")).select("pair_id", "x", "y", *(C(c).alias(f"c{c}") for c in "rgba"))
-    return inner.join(cover, ["pair_id", "x", "y"])
+    """Pixels of pairs(pair_id, inner_id, cover_id): r, g, b, a of the inner image, cr, cg, cb, ca of the cover.
+
+    Both images meet their pairs in one join, dealt by lines, and each other in one aggregate by place; pair_ids are distinct.
+    """
+    roles = pairs.select("pair_id", F.explode(F.array(F.struct(C("inner_id").alias("image_id"), F.lit(True).alias("inner")), F.struct(C("cover_id").alias("image_id"), F.lit(False).alias("inner")))).alias("p")).select("pair_id", "p.*")
+    met = with_pixels(roles, pixels.select("image_id", "x", "y", *"rgba"))
+    sides = [F.max(F.when(C("inner") == inner, C(c))).alias(f"{'' if inner else 'c'}{c}") for inner in (True, False) for c in "rgba"]
+    both = met.groupBy("pair_id", "x", "y").agg(F.bool_or("inner").alias("has_inner"), F.bool_or(~C("inner")).alias("has_cover"), *sides)
+    return both.filter("has_inner AND has_cover").drop("has_inner", "has_cover")
 
 
 def dual_blend(both: DataFrame, inner: Column, cover: Column, inner_share: float, cover_share: float) -> DataFrame:
@@ -59,7 +64,7 @@ def weighted_interleave(layers: DataFrame, pixels: DataFrame) -> DataFrame:
     w = Window.partitionBy("set_id")
     upto = F.sum("weight").over(w.orderBy("n"))
     ranges = layers.withColumns({"c1": upto, "c0": upto - C("weight"), "total": F.sum("weight").over(w)})
-    shown = ranges.join(pixels, "image_id")
+    shown = with_pixels(ranges, pixels)
     offset = (C("x") + C("y")) % C("total")
 
     def tone(c: str) -> Column:

@@ -214,6 +214,52 @@ def restore(files: DataFrame, mode: str = "web", marker: str = png.MARKER) -> Da
     return _per_file(files, make, "path string, frame_no int, is_anim boolean, delay_ms int, png binary")
 
 
+def _be(number: Column, n: int = 4) -> Column:
+    """A whole number as n big-endian bytes."""
+    return F.unhex(F.right(F.lpad(F.hex(number.cast("long")), 2 * n, "0"), F.lit(2 * n)))
+
+
+def chunk_bytes(kind: str, payload: Column) -> Column:
+    """A chunk as it stands in a file: length, type, payload, CRC."""
+    named = F.concat(F.encode(F.lit(kind), "ISO-8859-1"), payload)
+    return F.concat(_be(F.length(payload)), named, _be(F.crc32(named)))
+
+
+def restore_chunks(chunks: DataFrame, mode: str = "web", marker: str = png.MARKER) -> DataFrame:
+    """restore() over a chunk table (path, chunk_no, type, length, payload), by column expressions alone.
+
+    The pieces of a frame become chunks row by row, and are laid end to end in order by an ordered aggregate, so a frame of
+    many pieces is copied once and only its own bytes meet in a task. In mode java the table must come from a strict parse.
+    """
+    keyword, value = marker_text(C("payload"))
+    parts = F.split(value, ";")
+    says = (C("type") == "tEXt") & (keyword == marker) & (F.size(parts) == 3)
+    if mode == "java":
+        says &= F.get(parts, F.lit(0)).rlike("^[0-9]+$")
+    info = chunks.filter(C("type").isin("IHDR", "acTL", "tEXt")).groupBy("path").agg(
+        F.min_by(F.when(C("type") == "IHDR", C("payload")), F.when(C("type") == "IHDR", C("chunk_no"))).alias("ihdr"),
+        F.bool_or(C("type") == "acTL").alias("animated"),
+        F.min_by(F.when(says, F.get(parts, F.lit(1))), F.when(says, C("chunk_no"))).alias("said")).filter("animated AND ihdr IS NOT NULL")
+
+    data = numbered(chunks.filter(C("type").isin("fcTL", "fdAT", "IDAT"))).filter("frame_no > 0")
+    piece = F.when(C("type") == "IDAT", C("payload")).when((C("type") == "fdAT") & (F.length("payload") >= 4), F.substring("payload", F.lit(5), F.length("payload")))
+    packed = data.select("path", "frame_no", "chunk_no", F.when(C("type") == "fcTL", C("payload")).alias("control"), piece.alias("piece")).withColumn("packed", chunk_bytes("IDAT", C("piece")))
+    frames = packed.groupBy("path", "frame_no").agg(F.max("control").alias("control"), F.expr("listagg(packed) WITHIN GROUP (ORDER BY chunk_no)").alias("data"))
+    frames = frames.withColumn("whole", F.max("frame_no").over(Window.partitionBy("path")))
+    side = 1 if mode == "web" else 2
+    beat = (C("frame_no") == C("whole")) & (F.length("control") >= 12) & (F.greatest(uint("control", 4, 4), uint("control", 8, 4)) <= side)
+    hidden = frames.filter(~F.coalesce(beat, F.lit(False))).withColumn("hidden", F.max("frame_no").over(Window.partitionBy("path")))
+
+    moving = F.coalesce(C("said") == "ANIMATED", F.lit(False)) | (C("hidden") >= 2 if mode == "web" else C("whole") >= 5)
+    full = F.length("control") >= 26
+    sized = full & (uint("control", 4, 4) > 0) & (uint("control", 8, 4) > 0)
+    head = F.when(sized, F.concat(F.substring("control", 5, 8), F.substring("ihdr", 9, 5))).otherwise(C("ihdr"))
+    ms = frame_delay_ms(uint("control", 20, 2), uint("control", 22, 2), full, mode)
+    out = hidden.join(info, "path").withColumn("is_anim", moving).filter(C("is_anim") | (C("frame_no") == 1))
+    whole = F.concat(F.lit(png.SIGNATURE), chunk_bytes("IHDR", head), F.coalesce("data", F.lit(b"")), chunk_bytes("IEND", F.lit(b"")))
+    return out.select("path", C("frame_no").cast("int").alias("frame_no"), "is_anim", ms.alias("delay_ms"), whole.alias("png"))
+
+
 def compose(pairs: DataFrame, kind: str, marker: str = png.MARKER) -> DataFrame:
     """(path, content) of pairs(path, cover, frames array<struct<png, delay_ms>>): STATIC or ANIMATED disguises."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

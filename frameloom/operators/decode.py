@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -10,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.operators.pixels import clamp, half_up, luma, store, to_images
+from frameloom.operators.pixels import clamp, half_up, luma, store, to_known_images, with_pixels
+from frameloom.sources.scratch import keep, materialize, scratch_run
 
 C = F.col
 #: Weights of the neighbours by squared distance (fixed values).
@@ -77,10 +79,42 @@ def diffuse_block(rgba: np.ndarray, known: np.ndarray, rounds: int | None) -> tu
     return rgba.astype(np.uint8), known
 
 
-def known_images(decoded: DataFrame) -> DataFrame:
-    """images(image_id, w, h, rgba, known) of decoded pixels: known has a byte for each pixel, 1 where it is not to be filled."""
-    known = decoded.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", F.when(C("is_fill"), "00").otherwise("01").alias("k")))), lambda s: s["k"]), "").alias("k"))
-    return to_images(decoded).join(known.select("image_id", F.unhex("k").alias("known")), "image_id")
+def _nearer(open_: DataFrame, known: DataFrame) -> DataFrame:
+    """(image_id, x, y, r, g, b, a) of the open pixels near known ones: their weighted means. The smaller side is spread over its neighbours."""
+    near = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(k).alias("k")) for dx, dy, k in OFFSETS))
+    if open_.count() <= known.count():
+        asked = open_.select("image_id", C("x").alias("tx"), C("y").alias("ty"), F.explode(near).alias("o"))
+        asked = asked.select("image_id", "tx", "ty", (C("tx") + C("o.dx")).alias("x"), (C("ty") + C("o.dy")).alias("y"), C("o.k").alias("k"))
+        met = asked.join(known, ["image_id", "x", "y"])
+    else:
+        told = known.select("image_id", *"rgba", (C("x")).alias("kx"), C("y").alias("ky"), F.explode(near).alias("o"))
+        told = told.select("image_id", *"rgba", (C("kx") + C("o.dx")).alias("tx"), (C("ky") + C("o.dy")).alias("ty"), C("o.k").alias("k"))
+        met = told.join(open_.select("image_id", C("x").alias("tx"), C("y").alias("ty")), ["image_id", "tx", "ty"])
+    return met.groupBy("image_id", C("tx").alias("x"), C("ty").alias("y")).agg(*(store(F.round(F.sum(C(c) * C("k")) / F.sum("k"), 6)).alias(c) for c in "rgba"))
+
+
+def diffuse_pixels(decoded: DataFrame, rounds: int | None = None) -> DataFrame:
+    """diffuse_fill() on pixels, `rounds` rounds or until nothing changes: no task holds an image.
+
+    A pixel is filled in the round after the first one near it, so only what the last round filled is known to the next:
+    each round joins that frontier with the pixels still open. Both are written between rounds, which are as many as a
+    hole is wide, by four pixels; the block form is for wide holes in small images.
+    """
+    spark = decoded.sparkSession
+    with scratch_run(spark, "diffusion"):
+        now = materialize(decoded.select("image_id", "x", "y", *(C(c).cast("int").alias(c) for c in "rgba"), "is_fill"), "decoded")
+        front, left = now.filter("NOT is_fill").drop("is_fill"), now.filter("is_fill").drop("is_fill")
+        done = [front]
+        for _ in count() if rounds is None else range(rounds):
+            front = materialize(_nearer(left, front), "filled")
+            if front.isEmpty():
+                break
+            done.append(front)
+            left = materialize(left.join(front, ["image_id", "x", "y"], "left_anti"), "open")
+            if left.isEmpty():
+                break
+        flagged = [f.select("image_id", "x", "y", *"rgba", F.lit(False).alias("is_fill")) for f in done]
+        return keep(reduce(DataFrame.unionByName, [*flagged, left.select("image_id", "x", "y", *"rgba", F.lit(True).alias("is_fill"))]), "diffused")
 
 
 def diffuse_fill(images: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -115,5 +149,5 @@ def decode_pipeline(pixels: DataFrame, presets: DataFrame, rounds: int | None =
     """Decode with an image's preset (image_id, low, high, contrast), else with the window of its histogram; then diffuse for `rounds` rounds or until nothing changes."""
     window = auto_window(luma_histogram(pixels)).join(presets.select("image_id", C("low").alias("pl"), C("high").alias("ph"), C("contrast").alias("pc")), "image_id", "left")
     window = window.select("image_id", F.coalesce("pl", "low").alias("low"), F.coalesce("ph", "high").alias("high"), F.coalesce("pc", F.lit(0)).alias("contrast"))
-    decoded = window_decode(pixels.join(window, "image_id"))
-    return diffuse_round(decoded) if rounds == 1 else _filled_pixels(diffuse_fill(known_images(decoded), rounds))
+    decoded = window_decode(with_pixels(window, pixels))
+    return diffuse_round(decoded) if rounds == 1 else _filled_pixels(diffuse_fill(to_known_images(decoded), rounds))

@@ -35,17 +35,49 @@ def luma(r: Column, g: Column, b: Column, stored: bool = True) -> Column:
     return store(v) if stored else half_up(v)
 
 
-def to_images(pixels: DataFrame) -> DataFrame:
-    """images(image_id, w, h, rgba): one row for each image, bytes in row order.
+#: Keys that the lines of one image are dealt over where images are joined with rows about them.
+LINES = 32
+
+
+def with_pixels(rows: DataFrame, pixels: DataFrame) -> DataFrame:
+    """rows(image_id, ...) beside each pixel of their images, in no order.
+
+    Lines are dealt over LINES keys on both sides, so an image of any size is no single task; what is repeated is the row about
+    an image, not its pixels. Spark broadcasts the rows where they are small.
+    """
+    dealt = rows.withColumn("_line", F.explode(F.sequence(F.lit(0), F.lit(LINES - 1))))
+    return dealt.join(pixels.withColumn("_line", F.pmod(C("y"), F.lit(LINES)).cast("int")), ["image_id", "_line"]).drop("_line")
+
+
+def _packed(pixels: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """images(image_id, w, h, ...): one row for each image, every part's bytes (given as hex for a pixel) in row order.
 
     Scan lines are packed first, each in a task of its own, so an image is gathered as a row for each line and not
     for each pixel.
     """
+    def joined(rows: Column, part: str) -> Column:
+        return F.array_join(F.transform(rows, lambda s: s[part]), "").alias(part)
+
+    held = pixels.select("image_id", "y", F.struct("x", *(v.alias(k) for k, v in parts.items())).alias("p"))
+    lines = held.groupBy("image_id", "y").agg((F.max("p.x") + 1).alias("w"), F.sort_array(F.collect_list("p")).alias("p"))
+    lines = lines.select("image_id", "w", F.struct("y", *(joined(C("p"), k) for k in parts)).alias("l"))
+    whole = lines.groupBy("image_id").agg(F.max("w").alias("w"), (F.max("l.y") + 1).alias("h"), F.sort_array(F.collect_list("l")).alias("l"))
+    return whole.select("image_id", "w", "h", *(F.unhex(joined(C("l"), k)).alias(k) for k in parts))
+
+
+def _rgba_hex() -> Column:
     byte = lambda c: F.lpad(F.substring(F.hex(C(c).cast("int")), -2, 2), 2, "0")
-    lines = pixels.select("image_id", "y", "x", F.concat(*map(byte, "rgba")).alias("p")).groupBy("image_id", "y").agg(
-        (F.max("x") + 1).alias("w"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "p"))), lambda s: s["p"]), "").alias("line"))
-    packed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "line"))), lambda s: s["line"]), "")
-    return lines.groupBy("image_id").agg(F.max("w").alias("w"), (F.max("y") + 1).alias("h"), F.unhex(packed).alias("rgba"))
+    return F.concat(*map(byte, "rgba"))
+
+
+def to_images(pixels: DataFrame) -> DataFrame:
+    """images(image_id, w, h, rgba): one row for each image, bytes in row order."""
+    return _packed(pixels, {"rgba": _rgba_hex()})
+
+
+def to_known_images(decoded: DataFrame) -> DataFrame:
+    """images(image_id, w, h, rgba, known) of decoded pixels, in one pass: known has a byte for each pixel, 1 where it is not to be filled."""
+    return _packed(decoded, {"rgba": _rgba_hex(), "known": F.when(C("is_fill"), "00").otherwise("01")})
 
 
 def to_pixels(images: DataFrame) -> DataFrame:
@@ -168,6 +200,54 @@ def resize(pixels: DataFrame, w: int, h: int, ratio: float) -> DataFrame:
     return met.groupBy("image_id", C("tx.at").alias("x"), C("ty.at").alias("y")).agg(*(store(F.sum(C(c) * area) / F.sum(area)).alias(c) for c in "rgba"))
 
 
+def _image_blocks(images: DataFrame, change) -> DataFrame:
+    """images(image_id, w, h, rgba) with change(image_id, picture of (h, w, 4)) in place of each picture; no shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = change(row["image_id"], np.frombuffer(row["rgba"], np.uint8).reshape(row["h"], row["w"], 4))
+                yield pa.RecordBatch.from_arrays([pa.array([row["image_id"]], pa.int64()), pa.array([out.shape[1]], pa.int32()), pa.array([out.shape[0]], pa.int32()), pa.array([out.astype(np.uint8).tobytes()], pa.binary())], ["image_id", "w", "h", "rgba"])
+
+    whole = images.filter(C("rgba").isNotNull() & (C("w") > 0) & (C("h") > 0))
+    return whole.select(C("image_id").cast("long").alias("image_id"), C("w").cast("int").alias("w"), C("h").cast("int").alias("h"), "rgba").mapInArrow(run, "image_id long, w int, h int, rgba binary")
+
+
+def area_weights(old: int, new: int) -> np.ndarray:
+    """How much of each of `old` pixels a line of `new` covers, in whole parts of old * new: (new, old)."""
+    begins, targets = np.arange(old) * new, np.arange(new) * old
+    return np.clip(np.minimum(begins + new, targets[:, None] + old) - np.maximum(begins, targets[:, None]), 0, None)
+
+
+def resize_images(images: DataFrame, ratio: float) -> DataFrame:
+    """resize() on image blocks of any size: the area average is a product with weights of rows and one with weights of columns."""
+    def change(_, p: np.ndarray) -> np.ndarray:
+        h, w = p.shape[:2]
+        new_w, new_h = max(1, int(w * ratio + 0.5)), max(1, int(h * ratio + 0.5))
+        rows, columns = area_weights(h, new_h).astype(np.float64), area_weights(w, new_w).astype(np.float64)
+        # Whole numbers below 2^53, so the sums are exact as those of the relational form are.
+        sums = np.einsum("yj,jic->yic", rows, np.einsum("xi,jic->jxc", columns, p.astype(np.float64), optimize=True), optimize=True)
+        return np.clip(np.rint(sums / (rows.sum(axis=1)[:, None] * columns.sum(axis=1))[..., None]), 0, 255)
+
+    return _image_blocks(images, change)
+
+
+def gaussian_noise_images(images: DataFrame, k: float, seed: int) -> DataFrame:
+    """gaussian_noise() on image blocks: the same hashed uniforms for every place, all places of a picture at once."""
+    m = 2147483647
+
+    def change(image_id: int, p: np.ndarray) -> np.ndarray:
+        h, w = p.shape[:2]
+        place = (image_id * 7919 + np.arange(w, dtype=np.int64)[None, :] * 104729 + np.arange(h, dtype=np.int64)[:, None] * 1299709 + seed * 49979687) % m
+        uniform = lambda n: ((place + n * 15485863) % m * 48271 % m + 1) / 2147483648.0
+        out = p.astype(np.float64)
+        for c in range(3):
+            normal = np.sqrt(-2 * np.log(uniform(2 * c))) * np.cos(2 * np.pi * uniform(2 * c + 1))
+            out[..., c] = np.clip(np.floor((1 - k) * out[..., c] + k * normal * 255 + 0.5), 0, 255)
+        return out
+
+    return _image_blocks(images, change)
+
+
 def flatten_alpha(pixels: DataFrame, background: int) -> DataFrame:
     new = [F.bround(C(c) * C("a") / 255 + background * (255 - C("a")) / 255, 0).cast("int").alias(c) for c in RGB]
     return pixels.select("image_id", "x", "y", *new)
