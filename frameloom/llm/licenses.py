@@ -6,7 +6,8 @@ licence inside a paragraph of prose is found as well. Its Dice coefficient with
 loss: a passage that reaches the threshold t has between t/(2-t) and (2-t)/t times the template's
 bigrams (size), and shares at least t/(2-t) of them (overlap), so a document sharing fewer drops the
 template at once. The best passage starts and ends with a bigram of the template, as cutting others off raises
-the coefficient; only such runs are tried, and from a start only while enough shared bigrams are left ahead.
+the coefficient; only such runs are tried, and from a start only the first places of different bigrams, no more than the
+size bound allows. Time grows in proportion to the text, repeated notices included.
 
 Documents are independent: no shuffle, and the templates are a fixed list sent with the task. Defined
 cases: null and empty texts hold no licence; a text of any length is searched whole; repeated rows
@@ -17,6 +18,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,35 +92,48 @@ class Templates:
 
     def _passages(self, text: str, words: list[str], names: list[str]) -> list[tuple[str, float, int, int]]:
         pairs = list(zip(words, words[1:], strict=False))
-        out = []
-        for k in names:
-            want, least, most, best = self.sets[k], self.least[k], self.most[k], None
-            at = [p for p, x in enumerate(pairs) if x in want]
-            for n, a in enumerate(at):
-                if len(at) - n < least:
-                    break
-                have: set[tuple[str, str]] = set()
-                both, p = 0, a
-                for m in range(n, len(at)):
-                    b = at[m]
-                    for x in pairs[p : b + 1]:
-                        if x not in have:
-                            have.add(x)
-                            both += x in want
-                    p = b + 1
-                    if len(have) > most:
-                        break
-                    dice = 2 * both / (len(have) + len(want))
-                    if dice >= self.t and (best is None or dice > best[0]):
-                        best = (dice, a, b + 1)
-            if best:
-                out.append((k, *best))
+        out = [(k, *best) for k in names if (best := self._best(pairs, k))]
         if not out:
             return []
-        starts = [m.start() for m in WORD.finditer(text.lower())]
-        line = lambda w: text.lower().count("\n", 0, starts[w])
+        low = text.lower()
+        starts = [m.start() for m in WORD.finditer(low)]
+        line = lambda w: low.count("\n", 0, starts[w])
         return sorted((k, d, line(a), line(b)) for k, d, a, b in out)
 
+    def _best(self, pairs: list[tuple[str, str]], name: str) -> tuple[float, int, int] | None:
+        """(coefficient, first word, last word) of the best passage for a template.
+
+        Starts are tried from the last to the first. Behind a start only the first place of each different bigram matters, as
+        others change nothing, and these places in order are a list in which each bigram met moves to the front. At most `most` of them
+        are looked at, so time grows with the text and the template, however often the text repeats.
+        """
+        want, most, n = self.sets[name], self.most[name], len(self.sets[name])
+        best: tuple[float, int, int] | None = None
+        ahead: OrderedDict[tuple[str, str], int] = OrderedDict()  # the nearest bigram last
+        for a in range(len(pairs) - 1, -1, -1):
+            ahead[pairs[a]] = a
+            ahead.move_to_end(pairs[a])
+            if pairs[a] not in want:
+                continue
+            goal = max(self.t, best[0] if best else 0.0)
+            have = both = 0
+            mine: tuple[float, int, int] | None = None
+            for x in reversed(ahead):
+                have += 1
+                if have > most:
+                    break
+                if x in want:
+                    both += 1
+                    dice = 2 * both / (have + n)
+                    if dice >= self.t and (mine is None or dice > mine[0]):
+                        mine = (dice, a, ahead[x] + 1)
+                elif 2 * n / (have + n - both + n) < goal - 1e-12:
+                    break  # not even with all that is missing
+            # Of passages that tie the first stays, and it is tried last.
+            if mine and (best is None or mine[0] >= best[0]):
+                best = mine
+        return best
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, license_id, dice, first_line, last_line (0-based, where its first and last word stand): the best passage of each licence in each document."""

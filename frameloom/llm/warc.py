@@ -8,7 +8,8 @@ the kind of record, so a run again yields the same ones.
 
 Responses are independent: no shuffle, and a task holds one Arrow batch of pages. Defined cases: a null
 or empty payload gives a metadata record with size 0 and an empty conversion record; an unclosed
-comment, script or style runs to the end; a very long page is converted whole; keys may not bear the name of a
+comment, script or style runs to the end, and a tag that nothing closes is text; a very long page is converted whole, in time
+that grows in proportion to it, whether it is well formed or not; keys may not bear the name of a
 record's field (an error says so); null urls stay null; repeated responses give repeated records; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -31,29 +32,85 @@ from frameloom.llm.common import need
 RESPONSE = "record_id string, target_uri string, date string, headers string, payload string"
 RECORD = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_digest string, source_headers string, block string"
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+OPENS = re.compile(r"<!--|<(script|style|noscript|template|head)\b", re.I)
+CLOSES = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "head", "title")}
 BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
-SPACES, LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+BLANKS, SPACES, LINES = re.compile(r"\s+"), re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
+TITLE, HTML, ANCHOR = (re.compile(rf"<{k}\b", re.I) for k in ("title", "html", "a"))
+LANG, LANG_VALUE = re.compile(r"\blang\s*=\s*", re.I), re.compile(r"[\"']?([A-Za-z-]+)")
+HREF, HREF_VALUE = re.compile(r"\bhref\s*=\s*", re.I), re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
+
+
+def without_hidden(page: str) -> str:
+    """The page without comments, scripts, styles and the like; what is not closed runs to the end."""
+    out, at, look, tags = [], 0, 0, True
+    while m := OPENS.search(page, look):
+        if m[1] is None:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        else:
+            gt = page.find(">", m.end()) if tags else -1
+            if gt < 0:  # no tag ends behind here
+                tags, look = False, m.end()
+                continue
+            close = CLOSES[m[1].lower()].search(page, gt + 1)
+            end = close.end() if close else len(page)
+        out.append(page[at : m.start()])
+        at = look = end
+    return "".join([*out, page[at:]])
+
+
+def _replaced(pattern: re.Pattern, by: str, s: str) -> str:
+    """Tags replaced, looked for only where one can still end: each then ends at the next bracket, so none is read twice."""
+    cut = s.rfind(">") + 1
+    return pattern.sub(by, s[:cut]) + s[cut:]
+
+
+def attributes(page: str, tag: re.Pattern, key: re.Pattern, value: re.Pattern) -> Iterator[re.Match]:
+    """The value of the first such attribute in each such tag, tags and values in one pass over the page."""
+    places = [(m.start(), m.end()) for m in key.finditer(page)]
+    k = gt = done = 0
+    for m in tag.finditer(page):
+        if m.start() < done:
+            continue
+        if gt < m.end():
+            gt = page.find(">", m.end())
+            gt = len(page) if gt < 0 else gt
+        while k < len(places) and places[k][0] < m.end():
+            k += 1
+        at = k
+        while at < len(places) and places[at][0] <= gt:
+            if found := value.match(page, places[at][1]):
+                done = found.end()
+                yield found
+                break
+            at += 1
 
 
 def plain_text(page: str) -> str:
     """Visible text: a line for each block, blanks folded, entities decoded."""
-    s = TAG.sub("", BLOCK.sub("\n", HIDDEN.sub("", page)))
+    s = _replaced(TAG, "", _replaced(BLOCK, "\n", without_hidden(page)))
     return LINES.sub("\n", SPACES.sub(" ", entities.unescape(s))).strip()
 
 
+def title_of(page: str) -> str | None:
+    """What stands in the first title that is closed."""
+    if m := TITLE.search(page):
+        gt = page.find(">", m.end())
+        close = CLOSES["title"].search(page, gt + 1) if gt >= 0 else None
+        return page[gt + 1 : close.start()] if close else None
+    return None
+
+
 def metadata_block(page: str, headers: str) -> str:
     """The application/warc-fields lines of a response."""
-    one = lambda s: SPACES.sub(" ", LINES.sub(" ", entities.unescape(s))).strip()
+    one = lambda s: BLANKS.sub(" ", entities.unescape(s)).strip()
     rows = [("http-header", one(h)) for h in headers.split("\r\n") if h.strip()]
-    rows += [("title", one(m[1]))] if (m := TITLE.search(page)) else []
-    rows += [("language", m[1])] if (m := LANG.search(page)) else []
+    rows += [("title", one(t))] if (t := title_of(page)) is not None else []
+    rows += [("language", m[1])] if (m := next(attributes(page, HTML, LANG, LANG_VALUE), None)) else []
     rows.append(("source-length", str(len(page.encode()))))
-    rows += [("outlink", one(a or b or c)) for a, b, c in LINK.findall(page)]
+    rows += [("outlink", one(m[1] or m[2] or m[3] or "")) for m in attributes(page, ANCHOR, HREF, HREF_VALUE)]
     return "".join(f"{k}: {v}\r\n" for k, v in rows)
 
 

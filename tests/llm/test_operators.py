@@ -477,6 +477,43 @@ def test_warc_laws_over_all_pages(spark):
         assert sorted(x["record_type"] for x in r) == ["conversion", "metadata"] and len({x["refers_to"] for x in r}) == 1
 
 
+#: What the two blocks say as regular expressions over the whole page, whose time grows with the square of a broken page.
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def slow_blocks(page):
+    import html
+
+    one = lambda s: " ".join(html.unescape(s).split())
+    text = warc.TAG.sub("", warc.BLOCK.sub("\n", HIDDEN.sub("", page)))
+    text = re.sub(r"\s*\n\s*", "\n", re.sub(r"[^\S\n]+", " ", html.unescape(text))).strip()
+    title, lang = TITLE.search(page), LANG.search(page)
+    rows = ([f"title: {one(title[1])}"] if title else []) + ([f"language: {lang[1]}"] if lang else []) + [f"source-length: {len(page.encode())}"]
+    return "".join(r + "\r\n" for r in rows + [f"outlink: {one(a or b or c)}" for a, b, c in LINK.findall(page)]), text
+
+
+def test_warc_blocks_equal_whole_page_patterns():
+    rnd = random.Random(8)
+    bits = ["<a ", "<a", "</a>", ">", "<", "href=", "HREF = ", '"', "'", "x", " ", "\n", "<script", "<script>", "</script >", "</script", "<!--", "-->", "<style>", "</style>", "<title>", "</title>", "<title", "<html ", "lang=", "en", "lang='de'", "<p>", "<br/>", "<head>", "</head>", "&amp;", "&#x20;", "=", "word", "<abbr href=q>", "<b>"]
+    for n in range(6000):
+        page = "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 25)))
+        assert (warc.metadata_block(page, ""), warc.plain_text(page)) == slow_blocks(page), page
+
+
+def test_broken_pages_take_little_time():
+    import time
+
+    began = time.time()
+    for bit in ("<a", "<script ", "<!-- <script ", "<title>", "<html lang", "<a href=", '<a href="', "</script ", "<p ", " ", "<a href='x'", "<head><", "&"):
+        page = bit * (1_000_000 // len(bit))
+        warc.metadata_block(page, "")
+        warc.plain_text(page)
+    assert time.time() - began < 60
+
+
 def test_warc_files(spark):
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + PAGE.encode()
     record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
@@ -519,6 +556,21 @@ def test_licences(spark):
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_repeated_licences_take_little_time():
+    import time
+
+    known, rnd = licenses.Templates(licenses.TEMPLATES, 0.8), random.Random(9)
+    notice, mit = "Released under the MIT License. ", licenses.TEMPLATES["MIT"]
+    half = " ".join(w for w in mit.split() if rnd.random() < 0.9) + "\n"
+    for text in (notice * 300, half * 3 + mit, notice * 20 + prose(3) + notice):
+        assert {k: d for k, d, *_ in known.scan(text)} == brute_licences(text)
+    began = time.time()
+    for part in (notice, half, "// " + mit[:300] + "\n", half + prose(4)):
+        known.scan(part * (1_000_000 // len(part)))
+    assert time.time() - began < 120
+    assert known.scan("İ\nİİ\n" + notice)[0][2] == 2
+
+
 # 10 -- near duplicates
 
 def edited(text, n, seed):
