@@ -3,12 +3,13 @@
 Base counts come from each whole text. Derived measures (mean word length, symbols and letters per
 word, share of repeated lines and words) are integers in thousandths. A sketch is a log-linear
 histogram in row form: (language, source, measure, bucket) -> count, where a bucket keeps a value's
-six leading bits, so a quantile is off by less than 1 in 64. Sketches merge by adding counts: those of
+seven leading bits, so a quantile is off by less than 1 in 64. Sketches merge by adding counts: those of
 (language, source) give those of a language, and these the one of all rows.
 
 Thresholds. RULES names for each measure two quantiles and a factor: the fence lies the factor times their
 distance beyond the upper one (and the lower one, for word length), so what a sketch says of a group alone decides;
-nothing is added to it. A group's fence is then drawn towards that of its language, and this towards that of all
+nothing is added to it. Of symbols most sound documents have none, so their quantiles are taken among the documents that
+have any (SPARSE). A group's fence is then drawn towards that of its language, and this towards that of all
 rows, by the weights rows : SHRINK, which leaves groups of many thousand rows as they are and lends small ones what
 they lack, without a size at which the rule changes. A document is judged by its measure with one occurrence
 less, so that a single symbol, capital or repeated line condemns none. The rows join the thresholds.
@@ -45,6 +46,11 @@ RULES = {
     "dup_line_share": (980, 500, 2, False),
     "repeat_share": (980, 500, 2, False),
 }
+#: Measures that most sound documents have none of. Where the upper quantile is 0 it says nothing of how much is too much, so the
+#: documents that have any are looked at alone (STEPS are quantiles of these, in thousandths). From what a single occurrence makes
+#: in the shortest document judged, the widest gap between two steps parts a little from a lot, if one is GAP times
+#: the other or more (in thousandths), and the fence lies in its midst; else it lies as far beyond the upper quartile as that is from the lower one, by ratio.
+SPARSE, STEPS, GAP, LEAST = ("symbol_share",), tuple(range(50, 1000, 50)), 3000, 1000 // MIN_WORDS
 #: Rows of the coarser level that a group's own rows are weighed against.
 SHRINK = 200
 
@@ -134,16 +140,43 @@ def merged(sketch: DataFrame, *level: str) -> DataFrame:
     return sketch.groupBy(*level, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _beyond(k: str) -> str:
+    """The upper fence of a measure from its quantiles, in SQL."""
+    up, down, far, _ = RULES[k]
+    wide = f"q{up} + {far} * (q{up} - q{down})"
+    if k not in SPARSE:
+        return wide
+    return f"CASE WHEN q{up} > 0 THEN {wide} WHEN held750 IS NULL THEN NULL WHEN gap.r < {GAP} THEN held750 * held750 div held250 ELSE CAST(floor(sqrt(gap.a * gap.b)) AS BIGINT) END"
+
+
+def _beyond_duck(k: str) -> str:
+    """The same for DuckDB, which is given no column of gaps."""
+    up, down, far, _ = RULES[k]
+    wide = f"q{up} + {far} * (q{up} - q{down})"
+    if k not in SPARSE:
+        return wide
+    steps = [str(LEAST), *(f"greatest(held{q}, {LEAST})" for q in STEPS)]
+    ratios = [f"({b} * 1000 // {a})" for a, b in zip(steps, steps[1:], strict=False)]
+    widest = f"greatest({', '.join(ratios)})"
+    midst = " ".join(f"WHEN {r} = {widest} THEN CAST(floor(sqrt({a} * {b})) AS BIGINT)" for r, a, b in zip(ratios, steps, steps[1:], strict=False))
+    return f"CASE WHEN q{up} > 0 THEN {wide} WHEN held750 IS NULL OR {widest} < {GAP} THEN held750 * held750 // held250 {midst} END"
+
+
 def _fences(sketch: DataFrame, *level: str) -> DataFrame:
     """One row for each group of the level: rows, and high (and low) for each measure."""
     w = Window.partitionBy(*level, "measure")
-    ranked = sketch.withColumns({"seen": F.sum("n").over(w.orderBy("bucket")), "rows": F.sum("n").over(w)})
+    some = F.when(F.col("bucket") > 0, F.col("n")).otherwise(0)
+    ranked = sketch.withColumns({"seen": F.sum("n").over(w.orderBy("bucket")), "rows": F.sum("n").over(w), "seen_held": F.sum(some).over(w.orderBy("bucket")), "held": F.sum(some).over(w)})
     at = sorted({q for rule in RULES.values() for q in rule[:2]})
-    quantiles = ranked.groupBy(*level, "measure").agg(F.max("rows").alias("rows"), *(F.min(F.when(1000 * F.col("seen") >= q * F.col("rows"), F.col("bucket"))).alias(f"q{q}") for q in at))
+    quantiles = ranked.groupBy(*level, "measure").agg(F.max("rows").alias("rows"), *(F.min(F.when(1000 * F.col("seen") >= q * F.col("rows"), F.col("bucket"))).alias(f"q{q}") for q in at),
+        *(F.min(F.when((F.col("bucket") > 0) & (1000 * F.col("seen_held") >= q * F.col("held")), F.col("bucket"))).alias(f"held{q}") for q in STEPS))
+    if SPARSE:
+        quantiles = quantiles.withColumn("steps", F.array(F.lit(LEAST).cast("long"), *(F.greatest(f"held{q}", F.lit(LEAST).cast("long")) for q in STEPS)))
+        quantiles = quantiles.withColumn("gap", F.expr(f"array_max(transform(sequence(0, {len(STEPS) - 1}), i -> struct(steps[i + 1] * 1000 div steps[i] AS r, -i AS i, steps[i] AS a, steps[i + 1] AS b)))"))
     of = lambda k, e: F.max(F.when(F.col("measure") == k, F.expr(e)))
     out = [F.max("rows").alias("rows")]
     for k, (up, down, far, both) in RULES.items():
-        out += [of(k, f"q{up} + {far} * (q{up} - q{down})").alias(f"{k}_high")] + ([of(k, f"greatest(q{down} - {far} * (q{up} - q{down}), 0)").alias(f"{k}_low")] if both else [])
+        out += [of(k, _beyond(k)).alias(f"{k}_high")] + ([of(k, f"greatest(q{down} - {far} * (q{up} - q{down}), 0)").alias(f"{k}_low")] if both else [])
     return quantiles.groupBy(*level).agg(*out)
 
 
@@ -153,7 +186,7 @@ def thresholds(sketch: DataFrame, shrink: int = SHRINK) -> DataFrame:
     top = _fences(merged(lang))
     names = [c for c in top.columns if c != "rows"]
     # The one row of all is a struct that every language gets, then every source from its language.
-    drawn = lambda c, own, coarse: F.expr(f"({own}.rows * {own}.{c} + {shrink} * {coarse}.{c}) div ({own}.rows + {shrink})").alias(c)
+    drawn = lambda c, own, coarse: F.expr(f"coalesce(({own}.rows * {own}.{c} + {shrink} * {coarse}.{c}) div ({own}.rows + {shrink}), {coarse}.{c})").alias(c)
     every = top.select(F.lit(1).alias("one"), F.struct(*top.columns).alias("t"))
     mid = _fences(lang, "lang").withColumn("one", F.lit(1)).alias("m").join(every, "one").select("m.lang", *(drawn(c, "m", "t") for c in names))
     fine = _fences(sketch, "lang", "source").alias("f").join(mid.alias("m"), F.col("f.lang").eqNullSafe(F.col("m.lang")))
@@ -182,17 +215,18 @@ def judge_sql(shrink: int = SHRINK) -> str:
     def fence(k: str) -> str:
         up, down, far, both = RULES[k]
         wide = f"{far} * (q{up} - q{down})"
-        return f"max(CASE WHEN measure = '{k}' THEN q{up} + {wide} END) AS {k}_high" + (f", max(CASE WHEN measure = '{k}' THEN greatest(q{down} - {wide}, 0) END) AS {k}_low" if both else "")
+        return f"max(CASE WHEN measure = '{k}' THEN {_beyond_duck(k)} END) AS {k}_high" + (f", max(CASE WHEN measure = '{k}' THEN greatest(q{down} - {wide}, 0) END) AS {k}_low" if both else "")
 
     def level(name: str, *by: str) -> str:
         g = "".join(f"{b}, " for b in by)
-        return f"""{name}_q AS (SELECT {g}measure, max(total) AS total, {', '.join(f'min(CASE WHEN 1000 * seen >= {q} * total THEN bucket END) AS q{q}' for q in at)}
-          FROM (SELECT {g}measure, bucket, sum(sum(n)) OVER (PARTITION BY {g}measure ORDER BY bucket) AS seen, sum(sum(n)) OVER (PARTITION BY {g}measure) AS total FROM sk GROUP BY {g}measure, bucket)
+        return f"""{name}_q AS (SELECT {g}measure, max(total) AS total, {', '.join(f'min(CASE WHEN 1000 * seen >= {q} * total THEN bucket END) AS q{q}' for q in at)}, {', '.join(f'min(CASE WHEN bucket > 0 AND 1000 * seen_held >= {q} * held THEN bucket END) AS held{q}' for q in STEPS)}
+          FROM (SELECT {g}measure, bucket, sum(sum(n)) OVER (PARTITION BY {g}measure ORDER BY bucket) AS seen, sum(sum(n)) OVER (PARTITION BY {g}measure) AS total,
+            sum(sum(CASE WHEN bucket > 0 THEN n ELSE 0 END)) OVER (PARTITION BY {g}measure ORDER BY bucket) AS seen_held, sum(sum(CASE WHEN bucket > 0 THEN n ELSE 0 END)) OVER (PARTITION BY {g}measure) AS held FROM sk GROUP BY {g}measure, bucket)
           GROUP BY {g}measure),
         {name} AS (SELECT {g}max(total) AS total, {', '.join(map(fence, RULES))} FROM {name}_q {'GROUP BY ' + ', '.join(by) if by else ''})"""
 
     ends = [f"{k}_high" for k in RULES] + [f"{k}_low" for k, v in RULES.items() if v[3]]
-    drawn = lambda own, coarse: ", ".join(f"CAST(trunc(({own}.total * {own}.{c} + {shrink} * {coarse}.{c}) // ({own}.total + {shrink})) AS BIGINT) AS {c}" for c in ends)
+    drawn = lambda own, coarse: ", ".join(f"CAST(coalesce(trunc(({own}.total * {own}.{c} + {shrink} * {coarse}.{c}) // ({own}.total + {shrink})), {coarse}.{c}) AS BIGINT) AS {c}" for c in ends)
     inside = " AND ".join([f"judged_{k} <= coalesce({k}_high, judged_{k})" for k in RULES] + [f"judged_{k} >= coalesce({k}_low, judged_{k})" for k, v in RULES.items() if v[3]])
     return rf"""
       WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),

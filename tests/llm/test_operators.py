@@ -107,6 +107,16 @@ def test_quality_adapts(spark):
     assert all(got[i] for i in range(len(good))) and not any(got[len(good) + i] for i in range(len(bad)))
 
 
+def test_prices_condemn_no_document(spark):
+    """A few symbols in prose stay where symbols otherwise mark junk, of two kinds as in the tables."""
+    rnd = random.Random(7)
+    sound = [prose(k, rnd.randrange(60, 140)) for k in range(400)]
+    priced = [prose(500 + k, 90) + " it cost $5 then and fell 20% later. r&d spent $300 & more." for k in range(20)]
+    junk = [" ".join(w + "***" for w in prose(700 + k, 100).split()) for k in range(20)] + [" | ".join(prose(800 + k, 80).split()) for k in range(20)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs(spark, sound + priced + junk, ["en"])).collect()}
+    assert all(got[i] for i in range(420)) and not any(got[i] for i in range(420, 460))
+
+
 def test_quality_thresholds_differ_by_source(spark):
     """Two sources of 400 rows whose word lengths and symbols differ have fences of their own; a source of 3 rows has nearly its language's."""
     rows = [("en", s, False, *(v + k % 40 for v in values)) for s, n, values in (("a", 400, (4000, 0, 10, 0, 0)), ("b", 400, (7000, 300, 10, 0, 50)), ("c", 3, (9000, 0, 10, 0, 0))) for k in range(n)]
