@@ -9,8 +9,10 @@ from frameloom.functions.fnv import sampled_fingerprint
 from frameloom.jobs.session import job
 from frameloom.operators import catalog, digest
 from frameloom.sources.mapped import duck, table
+from frameloom.sources.scratch import scratch_path
+from frameloom.streaming.history import keyed_history, keyed_history_stream
 
-FRACTION, TARGET, NEWEST = 20, 20_000, 50
+FRACTION, TARGET, NEWEST, STREAM_FILES = 20, 20_000, 50, 4
 ADDED = ("-main", "-sub", 7)
 
 
@@ -57,6 +59,17 @@ def q_number_batch(spark: SparkSession, d: str) -> DataFrame:
     return catalog.number_batch(table(spark, d, "history"), "dedupe_key", "id").select("id", "position", "badge")
 
 
+def q_history_keyed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The history table as files of an input folder, streamed in several batches."""
+    here = scratch_path(spark, "history-stream")
+    rows = table(spark, d, "history").select("id", "type", "dedupe_key", "size")
+    schema = "id long, type string, dedupe_key string, size long"
+    rows.repartition(STREAM_FILES).write.parquet(f"{here}/in")
+    for query in keyed_history_stream(spark, f"{here}/in", schema, f"{here}/out", f"{here}/state", STREAM_FILES // 2):
+        query.awaitTermination()
+    return keyed_history(spark, schema, f"{here}/out")
+
+
 def q_history_upsert(spark: SparkSession, d: str) -> DataFrame:
     history = table(spark, d, "history")
     old = F.col("id") % FRACTION != 0
@@ -116,6 +129,7 @@ ORACLE_SQL = {k: duck(v) for k, v in {
     "list_catalog_files": "SELECT file_id, name, 'main' AS folder FROM {files} WHERE source = 'src0' UNION ALL SELECT file_id, name, 'other' FROM {files} WHERE source <> 'src0' AND (lower(name) LIKE '%.png' OR lower(name) LIKE '%.gif') AND name LIKE '%tag%'",
     "output_name": "SELECT id, concat(CASE WHEN p < 1000 THEN lpad(p::VARCHAR, 3, '0') ELSE p::VARCHAR END, '_', regexp_replace(filename, '\\.[^.]+$', ''), '_hidden_', strftime(time, '%Y%m%d%H%M%S'), '.png') AS name FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY id) AS p FROM {history})",
     "number_batch": "SELECT id, p::INT AS position, CASE WHEN n > 1 THEN p::INT END AS badge FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY id) AS p, count(*) OVER (PARTITION BY dedupe_key) AS n FROM {history})",
+    "history_keyed_stream": "SELECT id, type, dedupe_key, size FROM (SELECT *, row_number() OVER (PARTITION BY type, dedupe_key ORDER BY id DESC) AS rn FROM {history}) WHERE rn = 1 OR coalesce(dedupe_key, '') = ''",
     "history_upsert": "SELECT id, type, dedupe_key, size FROM (SELECT *, row_number() OVER (PARTITION BY type, dedupe_key ORDER BY id DESC) AS rn FROM {history}) WHERE rn = 1 OR coalesce(dedupe_key, '') = ''",
     "history_delete": "SELECT id, type, size FROM {history} WHERE size >= 2000",
     "history_list": f"SELECT id, filename, CASE type WHEN 'click' THEN 'restored' WHEN 'view' THEN 'hidden' ELSE 'other' END AS label, printf('%.1f KB', floor(size / 1024 * 10 + 0.5) / 10) AS kb FROM {{history}} ORDER BY id DESC LIMIT {NEWEST}",

@@ -47,6 +47,10 @@ def q_grid_dims(spark, d):
     return t.select("group_id", "pos", "g.cols", "g.rows")
 
 
+def q_spread_regions(spark, d):
+    return layout.spread_regions(segments(spark, d), 3, 2)
+
+
 def q_grid_regions(spark, d):
     return regions(spark, d)
 
@@ -114,6 +118,7 @@ ORACLE_SQL = {k: duck(v) for k, v in {
     "stitch_layout_row": """SELECT group_id, pos, (5 + coalesce(sum(w + 3) OVER (PARTITION BY group_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS x, (5 + floor((max(h) OVER g - h) / 2))::BIGINT AS y, w::BIGINT AS w, h::BIGINT AS h, (sum(w) OVER g + 3 * (count(*) OVER g - 1) + 10)::BIGINT AS canvas_w, (max(h) OVER g + 10)::BIGINT AS canvas_h FROM {items} WINDOW g AS (PARTITION BY group_id)""",
     "grid_dims": """SELECT group_id, pos, CASE WHEN pos % 2 = 0 THEN s ELSE l END AS cols, CASE WHEN pos % 2 = 0 THEN l ELSE s END AS rows FROM (SELECT group_id, pos, CASE w % 17 WHEN 2 THEN 2 WHEN 4 THEN 2 WHEN 8 THEN 4 WHEN 9 THEN 3 WHEN 16 THEN 4 ELSE 3 END AS l, CASE w % 17 WHEN 2 THEN 1 WHEN 4 THEN 2 WHEN 8 THEN 2 WHEN 9 THEN 3 WHEN 16 THEN 4 ELSE 2 END AS s FROM {items})""",
     "grid_regions": _REGIONS + "SELECT * FROM out",
+    "spread_regions": _REGIONS + "SELECT * FROM out",
     "split_region": _REGIONS + "SELECT layout_id, 'v' AS kind, round(x0 + (x1 - x0) * k / 3, 6) AS pos, y0 AS lo, y1 AS hi FROM out, range(1, 3) t(k)",
     "remove_segment": f"""WITH s AS ({SEGMENTS_DUCK}), p AS (SELECT layout_id, kind, pos, lo + 0.25 AS lo, lo + 0.5 AS hi FROM s WHERE kind = 'v')
         SELECT s.layout_id, s.kind, s.pos, unnest(CASE WHEN p.pos IS NULL THEN [s.lo] ELSE [s.lo, p.hi] END) AS lo, unnest(CASE WHEN p.pos IS NULL THEN [s.hi] ELSE [p.lo, s.hi] END) AS hi FROM s LEFT JOIN p USING (layout_id, kind, pos)""",

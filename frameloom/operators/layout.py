@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.operators.components import connected_components
+from frameloom.sources.scratch import keep, materialize, scratch_run
+
 C = F.col
 
 
@@ -99,6 +101,67 @@ def grid_regions(segments: DataFrame, cols: float, rows: float) -> DataFrame:
     return segments.groupBy("layout_id").applyInPandas(run, "layout_id long, region int, x0 double, y0 double, x1 double, y1 double, cells int")
 
 
+#: Bands of a sheet's side in which positions are ranked.
+BANDS = 256
+#: Positions nearer than this are one.
+NEAR = 1e-6
+
+
+def _ranked(cuts: DataFrame, asked: DataFrame, far: Column) -> DataFrame:
+    """asked(layout_id, kind, value, ...) with `upto`, the cuts (layout_id, kind, pos) at or below the value.
+
+    Positions fall into bands of the side. Counts of whole bands are summed over a layout's BANDS rows, and only inside a band are
+    positions sorted, so a layout of very many segments is ranked by as many tasks.
+    """
+    band = lambda v: F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), F.floor(v * BANDS / far))).cast("int")
+    whole = cuts.groupBy("layout_id", "kind", band(C("pos")).alias("band")).agg(F.count("*").alias("n"))
+    before = whole.select("layout_id", "kind", C("band").alias("b"), "n", F.explode(F.sequence(C("band") + 1, F.lit(BANDS))).alias("band")).groupBy("layout_id", "kind", "band").agg(F.sum("n").alias("before"))
+    names = asked.columns
+    probes = asked.select(F.struct(*names).alias("row"), "layout_id", "kind", band(C("value")).alias("band"), "value", F.lit(1).alias("is_probe"))
+    marks = cuts.select(F.lit(None).cast(probes.schema["row"].dataType).alias("row"), "layout_id", "kind", band(C("pos")).alias("band"), C("pos").alias("value"), F.lit(0).alias("is_probe"))
+    inside = F.sum(1 - C("is_probe")).over(Window.partitionBy("layout_id", "kind", "band").orderBy("value", "is_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = probes.unionByName(marks).withColumn("inside", inside).filter("is_probe = 1")
+    return seen.join(before, ["layout_id", "kind", "band"], "left").select("row.*", (C("inside") + F.coalesce("before", F.lit(0))).cast("int").alias("upto"))
+
+
+def spread_regions(segments: DataFrame, cols: float, rows: float) -> DataFrame:
+    """grid_regions() with no task that holds a layout: cells and their borders are rows, regions are connected components.
+
+    Positions are whole millionths here, so those that grid_regions() takes as one because they differ by a millionth stay two.
+    """
+    far = F.when(C("kind") == "v", float(cols)).otherwise(float(rows))
+    with scratch_run(segments.sparkSession, "regions"):
+        drawn = materialize(segments.filter(C("kind").isin("v", "h")).select("layout_id", "kind", F.round("pos", 6).alias("pos"), "lo", "hi").distinct(), "drawn")
+        sides = segments.select("layout_id").distinct().select("layout_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(float(p)).alias("pos")) for k, p in (("v", 0), ("v", cols), ("h", 0), ("h", rows))))).alias("s")).select("layout_id", "s.*")
+        cuts = materialize(drawn.select("layout_id", "kind", "pos").unionByName(sides).distinct(), "cuts")
+        # Every cut with its number, and where the next one lies.
+        numbered = materialize(_ranked(cuts, cuts.withColumn("value", C("pos")), far).select("layout_id", "kind", "pos", (C("upto") - 1).alias("k")), "numbered")
+        sizes = materialize(numbered.groupBy("layout_id").agg((F.max(F.when(C("kind") == "v", C("k")))).alias("nx"), (F.max(F.when(C("kind") == "h", C("k")))).alias("ny")), "sizes")
+
+        # Which cells a segment stands beside: ranks of its ends among the cuts of the other kind.
+        other = F.when(C("kind") == "v", "h").otherwise("v")
+        ends = drawn.select("layout_id", other.alias("kind"), "kind", "pos", F.explode(F.array(F.struct(F.lit(True).alias("first"), (C("lo") + 1.5 * NEAR).alias("value")), F.struct(F.lit(False).alias("first"), (C("hi") - 1.5 * NEAR).alias("value")))).alias("e"), "lo", "hi")
+        ends = ends.toDF("layout_id", "across", "own", "pos", "e", "lo", "hi").select("layout_id", C("across").alias("kind"), "own", "pos", "lo", "hi", "e.first", "e.value")
+        spans = _ranked(cuts, ends, far).groupBy("layout_id", C("own").alias("kind"), "pos", "lo", "hi").agg(F.max(F.when(C("first"), C("upto"))).alias("a"), F.max(F.when(~C("first"), C("upto"))).alias("b"))
+        borders = spans.join(numbered, ["layout_id", "kind", "pos"]).select("layout_id", "kind", "k", F.greatest(C("a") - 1, F.lit(0)).alias("a"), (C("b") - 1).alias("b")).filter("a <= b")
+        borders = materialize(borders.select("layout_id", "kind", "k", F.explode(F.sequence("a", "b")).alias("at")).distinct(), "borders")
+
+        lines = numbered.filter("kind = 'h'").join(sizes, "layout_id").filter("k < ny").select("layout_id", C("k").alias("j"), "nx", "ny")
+        cells = lines.select("layout_id", "j", "nx", "ny", F.explode(F.sequence(F.lit(0), C("nx") - 1)).alias("i"))
+        cell = lambda i, j: F.struct(C("layout_id"), (j * C("nx") + i).cast("long").alias("cell"))
+        right = cells.filter("i + 1 < nx").select("layout_id", F.lit("v").alias("kind"), (C("i") + 1).alias("k"), C("j").alias("at"), cell(C("i"), C("j")).alias("a"), cell(C("i") + 1, C("j")).alias("b"))
+        below = cells.filter("j + 1 < ny").select("layout_id", F.lit("h").alias("kind"), (C("j") + 1).alias("k"), C("i").alias("at"), cell(C("i"), C("j")).alias("a"), cell(C("i"), C("j") + 1).alias("b"))
+        near = right.unionByName(below).join(borders, ["layout_id", "kind", "k", "at"], "left_anti").select("a", "b")
+        members = connected_components(near).select(C("node").alias("c"), C("component.cell").alias("root"))
+        owned = cells.withColumn("c", cell(C("i"), C("j"))).join(members, "c", "left").select("layout_id", "i", "j", F.coalesce("root", "c.cell").alias("root"))
+
+        boxes = owned.groupBy("layout_id", "root").agg(F.min("i").alias("i0"), F.min("j").alias("j0"), (F.max("i") + 1).alias("i1"), (F.max("j") + 1).alias("j1"), F.count("*").cast("int").alias("cells"))
+        for name, kind, at in (("x0", "v", "i0"), ("y0", "h", "j0"), ("x1", "v", "i1"), ("y1", "h", "j1")):
+            boxes = boxes.join(numbered.filter(C("kind") == kind).select("layout_id", C("k").alias(at), C("pos").alias(name)), ["layout_id", at])
+        number = F.row_number().over(Window.partitionBy("layout_id").orderBy("root")) - 1
+        return keep(boxes.select(C("layout_id").cast("long").alias("layout_id"), number.alias("region"), "x0", "y0", "x1", "y1", "cells"), "regions")
+
+
 def split_region(regions: DataFrame, vertical: bool, n: int) -> DataFrame:
     """The n-1 segments that cut each region's box into n equal parts."""
     k = regions.select("layout_id", "x0", "y0", "x1", "y1", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("k")) if n > 1 else regions.select("layout_id", "x0", "y0", "x1", "y1", F.lit(0).alias("k")).filter("false")

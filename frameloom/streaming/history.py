@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from frameloom.operators.catalog import history_upsert
+from frameloom.sources.scratch import exists
 
 
 def _versions(spark: SparkSession, snapshot: str) -> list[int]:
@@ -61,3 +62,40 @@ def history_stream(spark: SparkSession, source: str, schema: str, snapshot: str,
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keyed_history_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, files_a_batch: int = 1000) -> list[StreamingQuery]:
+    """The same history with its state in the stream: the newest record of every (type, key) by id, in Spark's state store.
+
+    A batch reads and writes nothing but its own records and the state of their keys, however long the history is. It writes the
+    keys it touched as they stand now, under its own number, so a batch that runs again after a failure replaces
+    what it wrote. A late record of a lower id changes nothing. Records without a key need no state and go by a query of their own.
+    """
+    def read() -> DataFrame:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+        return stream.withColumn("sha256", F.upper(F.sha2("content", 256))).drop("content") if "content" in stream.columns else stream
+
+    keyed = F.coalesce("dedupe_key", F.lit("")) != ""
+    rows = read().filter(keyed)
+    names = rows.columns
+    newest = rows.groupBy("type", "dedupe_key").agg(F.max_by(F.struct(*(c for c in names if c not in ("type", "dedupe_key"))), "id").alias("r")).select("type", "dedupe_key", "r.*").select(*names)
+
+    def changes(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/keyed/batch={number}")
+
+    once = {"availableNow": True}
+    return [
+        newest.writeStream.outputMode("update").foreachBatch(changes).option("checkpointLocation", f"{checkpoint}/keyed").trigger(**once).start(),
+        read().filter(~keyed).writeStream.format("parquet").option("path", f"{sink}/loose").option("checkpointLocation", f"{checkpoint}/loose").trigger(**once).start(),
+    ]
+
+
+def keyed_history(spark: SparkSession, schema: str, sink: str) -> DataFrame:
+    """The history as it stands: of every key the row of greatest id that a batch wrote, and all records without a key."""
+    plain = spark.createDataFrame([], schema)
+    names = [c for c in plain.columns if c != "content"] + ["sha256"] * ("content" in plain.columns)
+    kinds = plain.withColumn("sha256", F.lit("")).select(*names).schema if "content" in plain.columns else plain.schema
+    keyed = spark.read.schema(kinds).parquet(f"{sink}/keyed/batch=*") if exists(spark, f"{sink}/keyed") else spark.createDataFrame([], kinds)
+    loose = spark.read.schema(kinds).parquet(f"{sink}/loose") if exists(spark, f"{sink}/loose") else spark.createDataFrame([], kinds)
+    newest = keyed.groupBy("type", "dedupe_key").agg(F.max_by(F.struct(*(c for c in names if c not in ("type", "dedupe_key"))), "id").alias("r")).select("type", "dedupe_key", "r.*")
+    return newest.select(*names).unionByName(loose.select(*names))
