@@ -55,8 +55,10 @@ LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "crf")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
-#: Documents of the sample, passages of each and the characters to either side, hashed names, passes, made lines.
-SAMPLE, PASSAGES, AROUND, BUCKETS, EPOCHS, GENERATED = 1500, 2, 70, 1 << 15, 8, 2500
+#: Documents of the sample, passages of each and the characters to either side, hashed names, passes, made lines, made pieces of code.
+SAMPLE, PASSAGES, AROUND, BUCKETS, EPOCHS, GENERATED, CODE = 1500, 2, 70, 1 << 15, 8, 2500, 1000
+#: Nouns that programs use as names, names of secrets among them.
+NOUNS = "password secret token key api_key auth session user name value data index list path file buffer size node event request response config option access bearer client login".split()
 #: Tokens and gaps whose scores a task remembers, nodes of a training sequence at most.
 CACHE, LONGEST = 400_000, 48
 B, I, O = 0, 1, 2
@@ -68,6 +70,8 @@ NUMBER = re.compile(r"[+-]?[\d.,/-]+")
 VERSION = re.compile(r"v?\d+(?:\.\d+)+[\w-]*")
 HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,4}(?:/.*)?")
 WORDS = re.compile(r"[A-Z]?[a-z]{1,24}(?:[-_/.][A-Z]?[a-z]{0,24})*[.\-]*")
+#: Parts of an identifier: words, runs of capitals, of digits.
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 VOWELS = "aeiouyáéíóúàèìòùâêîôûäëïöüåæø".encode("latin-1")
 KEYWORDS = frozenset("password passwd passphrase pass pwd secret token key apikey api_key access_key secret_key client_secret api auth authorization bearer basic credential credentials private access client aws session jwt login is".split())
 NAMED = re.compile(r"passw|pwd|passphrase|secret|token|api_?key|_key\b|\bkey\b|auth|bearer|credential|session|jwt")
@@ -125,14 +129,18 @@ def own_names(token: str) -> tuple[list[str], list[str]]:
     digits = sum(map(str.isdigit, t)) / n
     form = "uuid" if UUID.fullmatch(t) else "date" if DATE.match(t) else "number" if NUMBER.fullmatch(t) else "version" if VERSION.fullmatch(t) else "hex" if HEX.fullmatch(t) else "HEX" if CAPITAL_HEX.fullmatch(t) else "host" if HOST.fullmatch(t) else "word" if WORDS.fullmatch(t) else "other"
     classes = "".join(x for x, p in CLASSES if p.search(t))
+    # Identifiers are made of parts that can be spoken; random characters break into parts of one or two.
+    parts = PARTS.findall(t)
+    mean, spoken = min(7, 2 * n // max(1, len(parts)) // 2), min(4, int((n - consonants(t)) / n * 10))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(t).values())
     inner, switch = min(9, len(INNER.findall(t))), min(9, len(SWITCH.findall(t)))
     own = [
         "bias", size, f"short{min(n, 16)}", f"case{inner}:{size}", f"rare{rare}:{form}", f"switch{min(switch, 4)}:{size}", f"ups{int(sum(map(str.isupper, t)) / n * 8)}:{min(4, n // 6)}", f"first{t[:1].isupper()}:{min(3, inner)}:{min(4, len(DOUBLE.findall(t)))}",
         f"cls{classes}", f"cls{classes}:{size}", f"dig{int(digits * 5)}:{min(4, n // 6)}", f"ent{int(entropy * 2)}:{classes}", f"form:{form}", f"form:{form}:{size}",
         f"pre:{next((p for p in PREFIXES if t.startswith(p)), '')}", f"rare{rare}:{size}",
+        f"part{mean}:{size}", f"part{mean}:{classes}", f"part{mean}:vow{spoken}", f"part{mean}:rare{rare}",
     ]
-    return own, [f"key:{x}" for x in ("bias", f"form:{form}", f"cls{classes}", size, f"switch{min(switch, 4)}", f"case{min(inner, 4)}", f"rare{rare}", f"dig{int(digits * 5)}")]
+    return own, [f"key:{x}" for x in ("bias", f"form:{form}", f"cls{classes}", size, f"switch{min(switch, 4)}", f"case{min(inner, 4)}", f"rare{rare}", f"dig{int(digits * 5)}", f"part{mean}")]
 
 
 def neighbour(token: str) -> str:
@@ -458,11 +466,37 @@ class Made:
         ))()
 
 
+    def name(self) -> str:
+        """An identifier as source code has them."""
+        word, rnd = self.word, self.rnd
+        some = [rnd.choice((word(1, 2), word(1, 2), word(2, 3), rnd.choice(NOUNS))) for _ in range(rnd.choice((1, 1, 2, 2, 3, 4)))]
+        return rnd.choice((
+            lambda: "_".join(some), lambda: "_".join(some).upper(), lambda: some[0] + "".join(x.capitalize() for x in some[1:]), lambda: "".join(x.capitalize() for x in some), lambda: "_" * rnd.randint(1, 2) + "_".join(some),
+            lambda: "".join(some) + str(rnd.randint(0, 99)), lambda: some[0].upper() + "_" + "_".join(some), lambda: "".join(x[: rnd.randint(1, 4)] for x in some), lambda: "-".join(some), lambda: f"{word(1, 1)}{rnd.randint(0, 9)}", lambda: f"{word(1, 1).capitalize()}{rnd.randint(2, 64)}{word().capitalize()}", lambda: self.pick(UP, 2, 6) + word(1, 3).capitalize(), lambda: word().capitalize() + self.pick(UP, 2, 5), lambda: rnd.choice("abcdefghijklmnxyz") + rnd.choice(("", "1", "2", "_")),
+        ))()
+
+    def code(self, depth: int = 2) -> str:
+        """A piece of source code without a secret, in which names of secrets are names like others."""
+        name, rnd, pick = self.name, self.rnd, self.pick
+        inner = (lambda: self.code(depth - 1)) if depth else name
+        return rnd.choice((
+            lambda: f"{name()} = {inner()}", lambda: f"{name()}.{name()}.{name()}({inner()})", lambda: f"{name()}({inner()}, {name()}={inner()})", lambda: f"def {name()}(self, {name()}=None, *{name()}):\n    {inner()}", lambda: f"function {name()}({name()}, {name()}) {{ {inner()}; }}",
+            lambda: f"self.{name()} = {name()}[{inner()}]", lambda: f"if ({name()} == {inner()} && !{name()}.{name()}) {{", lambda: f"return {inner()} + {name()}.{name()}", lambda: f"import {name()}.{name()}", lambda: f"from {name()} import {name()}, {name()}", lambda: f"class {name()}({name()}):",
+            lambda: f"var {name()} = '{self.prose(1, 4)}';", lambda: f'{name()}: "{name()}.{name()}",', lambda: f"0x{pick('0123456789abcdef', 2, 8)}", lambda: f"0x{pick('0123456789ABCDEF', 2, 8)} << {rnd.randint(1, 31)}", lambda: f"{rnd.randint(0, 99999)}.{rnd.randint(0, 999)}", lambda: f"#{pick('0123456789abcdef', 6)}",
+            lambda: f"'/{name()}/{name()}/{name()}.{rnd.choice(('py', 'js', 'png', 'txt', 'h'))}'", lambda: f"{name()}/{name()}.{rnd.choice(('py', 'js', 'css'))}", lambda: f"https://{self.word()}.{rnd.choice(('com', 'org', 'io'))}/{name()}/{name()}#{name()}", lambda: f"# {self.prose(2, 8)}", lambda: f"// {name()}: {self.prose(1, 5)}", lambda: f"{name()}->{name()} {inner()}",
+            lambda: f"'{'%' + rnd.choice('sdr')} {self.word()} {{{name()}!r}}' % {inner()}", lambda: f"\\x{pick('0123456789abcdef', 2)}\\x{pick('0123456789abcdef', 2)}", lambda: f"{name().upper()}|{name().upper()}|{name().upper()}", lambda: f"{rnd.choice(NOUNS)} = {rnd.choice(NOUNS)}", lambda: f"{rnd.choice(NOUNS)}={rnd.choice(('None', 'null', 'true', '0', name(), name() + '()'))}",
+            lambda: ", ".join(f"{k}{i}" for k in [self.word(1, 1)] for i in range(1, rnd.randint(3, 5))), lambda: f"[{', '.join('0x' + pick('0123456789abcdef', 2) for _ in range(rnd.randint(3, 12)))}]", lambda: f"'{self.word(1, 1)}{rnd.randint(1, 512)}', '{self.word(1, 1)}{rnd.randint(1, 512)}', '{name()}'", lambda: "/".join(name() for _ in range(rnd.randint(2, 4))), lambda: pick(DIGITS, 9, 40), lambda: f"[{', '.join(str(rnd.randint(0, 4000)) for _ in range(rnd.randint(2, 9)))}]", lambda: f"{{{', '.join(f'{name()}: {name()}' for _ in range(rnd.randint(1, 4)))}}}",
+        ))()
+
+
 def generated(n: int = GENERATED, seed: int = 1) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Made-up lines with the places of their secrets; four in ten hold one."""
+    """Made-up lines with the places of their secrets, of which four in ten hold one, and CODE pieces of made-up source code, a few with one."""
     made, out = Made(seed), []
     for _ in range(n):
         out.append(planted(made.prose(), made.prose(), made) if made.rnd.random() < 0.4 else (f"{made.prose()} {made.likeness()} {made.prose()}", []))
+    for _ in range(CODE):
+        lines = ["\n".join(made.code() for _ in range(made.rnd.randint(1, 2))) for _ in range(2)]
+        out.append(planted(*lines, made) if made.rnd.random() < 0.15 else ("\n".join(lines), []))
     return out
 
 
