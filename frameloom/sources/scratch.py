@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,10 +87,21 @@ def scratch_run(spark: SparkSession, name: str) -> Iterator[None]:
         remove(spark, path)
 
 
+#: Where tables that were written here stand.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """The rows written to a path and read back."""
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote, before its run ends: for large tables that nothing written later reads."""
+    remove(df.sparkSession, _WRITTEN.pop(df))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
