@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.jobs.session import importable
-from frameloom.sources.scratch import entries, exists, keep, materialize, remove, scratch_path, scratch_run, shared_root, stored  # noqa: F401
+from frameloom.sources.scratch import discard, entries, exists, keep, materialize, remove, scratch_path, scratch_run, shared_root, stored  # noqa: F401
 
 #: Rows of whole texts that go to a Python worker at once, where the session has Spark's default.
 ARROW_ROWS = "1000"

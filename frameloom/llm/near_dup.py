@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import keep, materialize, need, scratch_run
+from frameloom.llm.common import discard, keep, materialize, need, scratch_run
 from frameloom.llm.shingles import WordHashes, multipliers, shingle_hashes, slices, words
 
 #: At the threshold a pair shares a sketch with a chance of 0.9 where a fifth of the words is replaced at random, of 0.999 and more at 0.9.
@@ -214,7 +214,7 @@ def _of_wanted(docs: DataFrame, wanted: DataFrame, text: str, key: str, made: Ca
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs (id, centre) that are near duplicates. Words are fetched for the texts in them only; hot centres are salted."""
+    """The pairs (id, centre) that are near duplicates, written. Words are fetched for the texts in them only; hot centres are salted."""
     wanted = materialize(pairs.select("id").unionAll(pairs.select("centre")).distinct(), "wanted")
     sequences = materialize(_sequences(docs, wanted, text, key).dropDuplicates(["id"]), "words")
     centres = pairs.groupBy("centre").agg(F.count("*").alias("n"))
@@ -226,7 +226,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFra
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     both = salted_join(pairs.join(sequences, "id"), centres, "centre", value=held)
-    return both.select("id", "centre", "seq", "other").mapInArrow(run, "id long, centre long")
+    links = materialize(both.select("id", "centre", "seq", "other").mapInArrow(run, "id long, centre long"), "links")
+    discard(sequences)
+    discard(wanted)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,20 +288,25 @@ def _classes(rows: DataFrame, text: str, key: str) -> DataFrame:
     copies = materialize(salted_join(made.select("id", "same"), least, "same").select("id", "first"), "copies")
     # Of equal texts one sketch goes on; then buckets of two or more texts, and how widely each text's sketches are shared.
     firsts = made.filter("id IS NOT NULL AND sketch IS NOT NULL").groupBy("same").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"))
-    member = materialize(firsts.select("id", F.posexplode("sketch").alias("at", "bucket")), "members")
-    sized = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
-    member = materialize(salted_join(member, sized, "bucket"), "buckets")
-    weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
-    member = materialize(member.join(weight, "id").select("id", "weight", "at", "bucket"), "weighed")
+    every = materialize(firsts.select("id", F.posexplode("sketch").alias("at", "bucket")), "members")
+    discard(made)
+    sized = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
+    shared = materialize(salted_join(every, sized, "bucket"), "buckets")
+    discard(every)
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    member = materialize(shared.join(weight, "id").select("id", "weight", "at", "bucket"), "weighed")
+    discard(shared)
     pairs = materialize(_centred(member), "pairs")
-    links = materialize(_verified(pairs, rows, text, key), "links")
+    links = _verified(pairs, rows, text, key)
     roots = materialize(components(links), "roots")
     root = F.coalesce("root", "id").alias("root")
     open_ = materialize(_split(member.join(roots, "id", "left").select("id", "bucket", root)).select("id").distinct(), "open")
     if not open_.isEmpty():
         dealt = _by_pairs(member, open_).join(roots, "id", "left").select("id", "weight", "bucket", root)
-        more = materialize(_centred(_split(materialize(dealt, "dealt")).drop("root")).join(pairs, ["id", "centre"], "left_anti"), "pairs")
-        links = links.unionAll(materialize(_verified(more, rows, text, key), "links"))
+        dealt = materialize(dealt, "dealt")
+        more = materialize(_centred(_split(dealt).drop("root")).join(pairs, ["id", "centre"], "left_anti"), "pairs")
+        discard(dealt)
+        links = links.unionAll(_verified(more, rows, text, key))
         roots = materialize(components(links), "roots")
     members = copies.groupBy("first").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("id", "first"), "first", "left").select("first", "n", F.coalesce("root", "first").alias("class_id"))
     named = salted_join(copies.filter("first IS NOT NULL"), members, "first")
