@@ -9,8 +9,8 @@ a block decodes as one array, and one document alone (document()).
 
 Files: Parquet parts of blocks (part, block, n_ids, keys, counts, offsets, words). Texts are encoded where they are
 read; only their packed words, two thirds of the text, are dealt by ranges of the key and sorted inside, so the
-concatenation of the parts is in ascending key order. Quantiles of the keys cut the ranges before anything is
-encoded. There are as many parts as the texts fill at
+concatenation of the parts is in ascending key order. A bounded number of quantiles of the keys, with even cuts between them,
+parts the ranges before anything is encoded, and every part is a task's own. There are as many parts as the texts fill at
 PART_BYTES each, whatever the session's settings, and at least the session's shuffle partitions. A document's
 global start is the ids of all earlier parts (one row for each part is summed), plus those of earlier documents in
 its part.
@@ -49,6 +49,8 @@ ESCAPE = np.uint64(0xFFFFFFFFFFFFFFFF)
 BLOCK_WORDS, CACHE, PIECES = 65_536, 1_100_000, 300_000
 #: Bytes of text encoded at once. Bytes of text of a part.
 SLICE, PART_BYTES = 8_000_000, 128 << 20
+#: Quantiles of the keys that are asked for at most.
+RANGES = 1024
 #: Punctuation that makes one piece when it stands behind letters: ASCII without apostrophe and <, |, > of special tokens.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: The byte-level form: printable bytes stand for themselves, the others for 256, 257, ... in order (fixed rule).
@@ -290,14 +292,25 @@ def write(docs: DataFrame, tokenizer: Broadcast, end_id: int, path: str, part_by
     """Encode the texts and write the block files, in ascending key order over ranges of about `part_bytes`."""
     spark = docs.sparkSession
     keys = docs.select(F.col(key).try_cast("long").alias("key"), F.octet_length(text).alias("bytes"))
-    total = keys.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes), 1)
-    cuts = keys.approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    held = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.float64)))  # a number for each part
-    rows = packed(docs, tokenizer, end_id, held, text, key).repartition(parts, "part").sortWithinPartitions("part", "key", "crc")
+    total, low, high = keys.agg(F.sum("bytes"), F.min("key"), F.max("key")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // part_bytes), 1)
+    held = spark.sparkContext.broadcast(_cuts(keys.select("key"), parts, low, high))  # a number for each part
+    rows = packed(docs, tokenizer, end_id, held, text, key).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "crc")
     rows.select("part", "key", "n", "words").mapInArrow(_blocks, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
+def _cuts(keys: DataFrame, parts: int, low: int | None, high: int | None) -> np.ndarray:
+    """Where the keys are cut into parts: at RANGES quantiles at most, read from the keys alone, and evenly between two of them.
+
+    A quantile sketch grows with the number of quantiles, so these are bounded whatever the number of parts.
+    """
+    if parts < 2 or low is None:
+        return np.zeros(0)
+    ranges = min(parts, RANGES)
+    ends = [low, *keys.approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.2 / ranges), high]
+    return np.unique(np.interp(np.linspace(0, ranges, parts + 1)[1:-1], np.arange(len(ends)), np.array(ends, np.float64)))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCK).parquet(path)
 
