@@ -16,13 +16,14 @@ shard. A place in a shard is gapless over all its rows.
 Skew: a slot holds 1/SLOTS of the records whatever their source or text, as the id and the checksum of
 the text are hashed together. Defined cases: a null text has no bytes (size 8, the record's frame) and
 checksum 0; a null id is an id like any other; a very long text is one record, its slot being that much larger; repeated rows take places of their own; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result, and a map that deals the slots out evenly; asked for fewer shards than the stored map has, the slots are dealt anew
+as a further version; other columns are ignored. Runs over one map folder follow one another.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,7 +49,8 @@ class SlotMap:
         return folder
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "slot int, shard int, bytes long, rows long, first long")
+        rows = self.rows.assign(shards=self.shards)
+        return spark.createDataFrame(rows, "slot int, shard int, bytes long, rows long, first long, shards int")
 
     def loads(self) -> pd.Series:
         return self.rows.groupby("shard")["bytes"].sum().reindex(range(self.shards), fill_value=0)
@@ -56,7 +58,9 @@ class SlotMap:
 
 def load_map(spark: SparkSession, folder: str, version: int) -> SlotMap:
     rows = spark.read.parquet(f"{folder}/version={version}").orderBy("slot").toPandas()
-    return SlotMap(version, int(rows["shard"].max()) + 1 if len(rows) else 0, rows)
+    # Maps of earlier versions of this module do not say how many shards they have.
+    shards = int(rows["shards"].max() if "shards" in rows else rows["shard"].max() + 1) if len(rows) else 0
+    return SlotMap(version, shards, rows[["slot", "shard", "bytes", "rows", "first"]])
 
 
 def latest(spark: SparkSession, folder: str) -> int | None:
@@ -86,13 +90,13 @@ def slot_stats(placed: DataFrame, slots: int = SLOTS) -> pd.DataFrame:
 
 
 def build(stats: pd.DataFrame, shards: int) -> SlotMap:
-    """Version 1: largest slots first, each to the shard with the fewest bytes (then rows) so far."""
-    heap = [(0, 0, s) for s in range(shards)]
+    """Version 1: largest slots first, each to the shard with the fewest bytes (then rows, then slots) so far."""
+    heap = [(0, 0, 0, s) for s in range(shards)]
     shard = {}
     for slot, size, n in stats.sort_values(["bytes", "slot"], ascending=[False, True])[["slot", "bytes", "rows"]].itertuples(index=False):
-        b, r, s = heapq.heappop(heap)
+        b, r, k, s = heapq.heappop(heap)
         shard[slot] = s
-        heapq.heappush(heap, (b + size, r + n, s))
+        heapq.heappush(heap, (b + size, r + n, k + 1, s))
     return SlotMap(1, shards, _placed(stats.assign(shard=stats["slot"].map(shard))))
 
 
@@ -121,7 +125,8 @@ def assign(placed: DataFrame, slot_map: DataFrame, key: str = "doc_id") -> DataF
 
 
 def current(spark: SparkSession, folder: str, stats: pd.DataFrame, shards: int) -> int:
-    """The version of the stored map that fits these stats and shards: the last one if it does, else an edit of it, else a first one."""
+    """The version of the stored map that fits these stats and shards: the last one if it does, else an edit of it; for fewer shards, which no edit
+    makes, and for none stored a map dealt anew."""
     last = latest(spark, folder)
     if last is None:
         made = build(stats, shards)
@@ -130,7 +135,7 @@ def current(spark: SparkSession, folder: str, stats: pd.DataFrame, shards: int)
         same = old.rows.merge(stats, on=["slot", "bytes", "rows"])
         if old.shards == shards and len(same) == len(stats):
             return last
-        made = rebalance(old, shards, stats)
+        made = rebalance(old, shards, stats) if shards >= old.shards else replace(build(stats, shards), version=last + 1)
     made.save(spark, folder)
     return made.version
 

@@ -400,6 +400,27 @@ def test_stored_map_is_loaded_and_edited(spark, tmp_path):
         assert (r["shard"] != first[k]["shard"]) == (r["vslot"] in moved) and (r["vslot"] not in moved or r["shard"] == 24)
 
 
+def test_fewer_shards_and_empty_tables(spark, tmp_path):
+    df, folder = docs(spark, [prose(k, 20 + k % 40) for k in range(300)]), str(tmp_path / "map")
+    for n in (24, 16, 16, 20):
+        got = slots.shard(df, n, folder=folder).collect()
+        assert {r["shard"] for r in got} == set(range(n)) and len(got) == 300
+        assert slots.load_map(spark, folder, slots.latest(spark, folder)).shards == n
+    assert slots.latest(spark, folder) == 3
+    none = str(tmp_path / "none")
+    assert [slots.shard(df.limit(0), 24, folder=none).count() for _ in range(2)] == [0, 0]
+    assert slots.latest(spark, none) == 1 and set(slots.load_map(spark, none, 1).rows["shard"]) == set(range(24))
+
+
+def test_cuts_of_many_parts(spark):
+    """More parts than quantiles: the cuts between are even, and parts hold like numbers of keys."""
+    keys = spark.range(100_000).selectExpr("id * id AS key")
+    cuts = simple8b._cuts(keys, 5000, 0, 99_999**2)
+    n = np.bincount(np.searchsorted(cuts, np.arange(100_000, dtype=np.float64) ** 2, side="right"), minlength=5000)
+    assert len(cuts) == 4999 and n.max() < 100 and (np.diff(cuts) > 0).all()
+    assert len(simple8b._cuts(keys, 8, 0, 99_999**2)) == 7 and not len(simple8b._cuts(keys.limit(0), 8, None, None))
+
+
 def test_first_map_by_brute_force(spark):
     stats = slots.slot_stats(slots.records(docs(spark, [prose(k, 30 + k % 90) for k in range(800)])))
     load, want = [0] * 7, {}
