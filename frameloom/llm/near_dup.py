@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import discard, keep, materialize, need, scratch_run
 from frameloom.llm.shingles import WordHashes, multipliers, shingle_hashes, slices, words
 
-#: At the threshold a pair shares a sketch with a chance of 0.9 where a fifth of the words is replaced at random, of 0.999 and more at 0.9.
-SKETCHES, THRESHOLD, SALT_ROWS = 60, 0.8, 2000
+#: At the threshold, where a fifth of the words is replaced at random, a pair shares a sketch with a chance of 0.91 (texts of 60 words) to
+#: 0.98 (300 words), at 0.9 with one of 0.999 and more.
+SKETCHES, THRESHOLD, SALT_ROWS = 96, 0.8, 2000
 #: The partners of a sketch when texts are dealt again by pairs.
 NEXT = 3
 #: Bits of the map that tells which texts are asked for.
