@@ -149,7 +149,9 @@ def q_strip_metadata(spark, d):
 
 def q_text_chunks(spark, d):
     t = table(spark, d, "text_chunks").filter("keyword IS NOT NULL AND value IS NOT NULL")
-    meta = t.select(F.regexp_replace("path", "conv/", "").alias("path"), "chunk_no", F.lit("iTXt").alias("type"), F.concat(F.encode("keyword", "ISO-8859-1"), F.unhex(F.lit("0000000000")), F.encode("value", "UTF-8")).alias("payload"))
+    # Conversations are dealt over the images, whose numbers run from 0, so that none is without a file.
+    image = F.regexp_replace("path", "conv/", "").cast("long") % table(spark, d, "embeddings").count()
+    meta = t.select(image.cast("string").alias("path"), "chunk_no", F.lit("iTXt").alias("type"), F.concat(F.encode("keyword", "ISO-8859-1"), F.unhex(F.lit("0000000000")), F.encode("value", "UTF-8")).alias("payload"))
     files = metadata.append_metadata(pngs(spark, d), meta)
     return metadata.text_chunks(files).select("path", "keyword", F.md5("value").alias("value_md5"), "is_important")
 
@@ -226,7 +228,7 @@ def q_restore_generic(spark, d):
     n = pngs(spark, d).select(C("path").cast("long").alias("n"), "content")
     owner = n.select("content", F.floor(C("n") / 6).alias("g"), (C("n") % 6).alias("k"))
     frames = F.transform(F.array_sort(F.collect_list(F.when(C("k") > 0, F.struct("k", C("content").alias("png"), F.lit(40).alias("delay_ms"))))), lambda s: F.struct(s["png"].alias("png"), s["delay_ms"].alias("delay_ms")))
-    whole = owner.groupBy("g").agg(F.max(F.when(C("k") == 0, C("content"))).alias("cover"), frames.alias("frames")).filter(F.size("frames") == 5)
+    whole = owner.groupBy("g").agg(F.max(F.when(C("k") == 0, C("content"))).alias("cover"), frames.alias("frames")).filter(F.size("frames") > 0)
     disguised = container.compose(whole.select(C("g").alias("path"), "cover", F.slice("frames", F.lit(1), (3 + C("g") % 3).cast("int")).alias("frames")), "ANIMATED")
     plain = metadata.strip_metadata(disguised)
     web, java = (container.restore(plain, m).withColumn("mode", F.lit(m)) for m in ("web", "java"))
@@ -361,14 +363,14 @@ ORACLE_SQL = {k: duck(v) for k, v in {
     "has_hidden_info": "SELECT DISTINCT o_custkey AS path, (o_custkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)) OR o_custkey IN (SELECT path FROM {frames}) AS has_info FROM orders",
     "is_generation_params": "SELECT path, chunk_no, regexp_matches(lower(concat(coalesce(keyword, ''), chr(10), left(coalesce(value, ''), 400))), '" + "|".join(metadata.HINTS) + "') OR length(coalesce(value, '')) > 300 AS is_important FROM {text_chunks}",
     "text_export": "SELECT path, chunk_no, concat(CASE WHEN k = '' THEN 'text' ELSE k END, '.txt') AS file_name, chars FROM (SELECT path, chunk_no, regexp_replace(coalesce(keyword, ''), '[^A-Za-z0-9_.-]', '', 'g') AS k, length(value)::INT AS chars FROM {text_chunks})",
-    "text_chunks": "SELECT conv_id::VARCHAR AS path, keyword, md5(value) AS value_md5, regexp_matches(lower(concat(keyword, chr(10), left(value, 400))), '" + "|".join(metadata.HINTS) + "') OR length(value) > 300 AS is_important FROM (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN concat(role, ' prompt!') ELSE role END AS keyword, text AS value FROM conversations WHERE conv_id IN (SELECT vec_id FROM embeddings) AND text IS NOT NULL AND role IS NOT NULL)",
+    "text_chunks": "SELECT conv_id::VARCHAR AS path, keyword, md5(value) AS value_md5, regexp_matches(lower(concat(keyword, chr(10), left(value, 400))), '" + "|".join(metadata.HINTS) + "') OR length(value) > 300 AS is_important FROM (SELECT conv_id % (SELECT count(*) FROM embeddings) AS conv_id, CASE WHEN conv_id % 5 = 0 THEN concat(role, ' prompt!') ELSE role END AS keyword, text AS value FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)",
     "write_exif": "SELECT vec_id AS path, ifd, name, value, f AS first FROM embeddings, (VALUES ('ifd0', 'Make', 'Maker', -1.0::DOUBLE), ('ifd0', 'DateTime', '2024:05:06 07:08:09', -1.0::DOUBLE), ('exif', 'ExposureTime', NULL, 1 / 125.0::DOUBLE), ('gps', 'GPSLatitudeRef', 'S', -1.0::DOUBLE), ('gps', 'GPSLatitude', NULL, 33.0::DOUBLE), ('gps', 'GPSLongitudeRef', 'W', -1.0::DOUBLE), ('gps', 'GPSLongitude', NULL, 70.0::DOUBLE)) t(ifd, name, value, f)",
     "gps_of_files": "SELECT vec_id::VARCHAR AS path, round(-(33 + 51 / 60 + 30.5::DOUBLE / 3600), 6) AS lat, round(-(70 + 40 / 60 + 12.25::DOUBLE / 3600), 6) AS lon FROM embeddings",
     "read_files": "SELECT vec_id AS image_id, 'PNG' AS kind, true AS whole, 8::BIGINT AS width, 8::BIGINT AS height FROM embeddings",
     "read_pixels": f"SELECT image_id, 8 AS w, 8 AS h, {_HEX} AS rgba FROM {{pixels}} GROUP BY image_id",
     "write_files": "SELECT file_id, name, md5(text) AS md5 FROM {files}",
-    "restore_generic": """SELECT g::VARCHAR AS path, mode, k AS frame_no, CASE mode WHEN 'web' THEN true ELSE n >= 5 END AS is_anim, 40 AS delay_ms, true AS as_hidden
-        FROM (SELECT vec_id // 6 AS g, 3 + vec_id // 6 % 3 AS n FROM embeddings GROUP BY 1, 2 HAVING count(*) = 6), (VALUES ('web'), ('java')) m(mode), (VALUES (1), (2), (3), (4), (5)) f(k) WHERE k <= n AND (k = 1 OR mode = 'web' OR n >= 5)""",
+    "restore_generic": """SELECT g::VARCHAR AS path, mode, k AS frame_no, n >= CASE mode WHEN 'web' THEN 2 ELSE 5 END AS is_anim, 40 AS delay_ms, true AS as_hidden
+        FROM (SELECT vec_id // 6 AS g, least(3 + vec_id // 6 % 3, count(*) - 1) AS n FROM embeddings GROUP BY vec_id // 6), (VALUES ('web'), ('java')) m(mode), (VALUES (1), (2), (3), (4), (5)) f(k) WHERE k <= n AND (k = 1 OR n >= CASE mode WHEN 'web' THEN 2 ELSE 5 END)""",
     "gif_frames": f"""SELECT *, 8 AS screen_w, 8 AS screen_h, CASE WHEN path::BIGINT % 3 > 0 THEN path::BIGINT % 5 ELSE 0 END::INT AS loops FROM (SELECT image_id::VARCHAR AS path, 1 AS frame_no, 100 AS delay_ms, 0 AS x, 0 AS y, 8 AS w, 8 AS h, string_agg(printf('%02x%02x%02xff', r, r, r), '' ORDER BY y, x) AS rgba FROM {_OVER} GROUP BY image_id
         UNION ALL SELECT image_id::VARCHAR, 2, ((image_id + 1) % 9 * 10 + 20)::INT, 2, 3, 4, 5, string_agg(CASE WHEN over IS NOT NULL THEN printf('%02x%02x%02xff', over, over, over) WHEN image_id % 4 = 2 THEN '00000000' ELSE printf('%02x%02x%02xff', r, r, r) END, '' ORDER BY y, x) FROM {_OVER} WHERE image_id + 1 IN (SELECT vec_id FROM embeddings) GROUP BY image_id)""",
     "exif_places": f"SELECT concat(kind, '/', vec_id) AS path, round(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END * {_ANGLE.format(d='vec_id % 90', k=1)}, 6) AS lat, round(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE -1 END * {_ANGLE.format(d='vec_id % 179', k=3)}, 6) AS lon FROM embeddings, (VALUES ('PNG'), ('JPEG')) t(kind)".replace("{", "{{").replace("}", "}}").replace("{{", "{").replace("}}", "}"),
