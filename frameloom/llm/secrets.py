@@ -537,6 +537,11 @@ def _unnamed(text: str, parts: list[tuple[int, int]], made: Made) -> tuple[str,
     return out + text[at:], places
 
 
+#: Fields that a driver keeps, of a megabyte at most each, by the passages that they were trained on.
+FIELDS = 4
+_FIELDS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = SAMPLE) -> Broadcast:
     """A field trained on generated examples and passages of at most `most` documents of the corpus, sent to the executors."""
     rows = need(docs, key, text).filter(F.length(text) > 0)
@@ -555,7 +560,12 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = SA
     # PASSAGES pieces of some hundred characters of each sampled document come to the driver.
     got = sample.select("h", text).mapInArrow(run, "h long, k int, t string, p array<int>").dropDuplicates(["h", "k"]).orderBy("h", "k").limit(PASSAGES * most).toArrow().to_pydict()
     found = [(t, list(zip(p[::2], p[1::2], strict=True))) for t, p in zip(got["t"], got["p"], strict=True)]
-    return docs.sparkSession.sparkContext.broadcast(field(found))
+    mark = hashlib.md5(repr(found).encode("utf-8", "replace")).hexdigest()
+    if mark not in _FIELDS:
+        if len(_FIELDS) >= FIELDS:
+            _FIELDS.clear()
+        _FIELDS[mark] = field(found)
+    return docs.sparkSession.sparkContext.broadcast(_FIELDS[mark])
 
 
 def field(found: list[tuple[str, list[tuple[int, int]]]]) -> tuple[np.ndarray, np.ndarray]:
