@@ -87,11 +87,11 @@ def hamming_pairs(hashes: DataFrame, within: int, agree: int = AGREE) -> DataFra
             key = F.shiftleft(key, BAND_BITS).bitwiseOR(C("bands")[k].cast("long"))
         return key
 
-    keyed = hashes.select("id", "bands", F.posexplode(F.array(*map(packed, picks))).alias("pick", "key"))
-    # How many hashes a key has needs only the keys; most occur once and go before hashes are moved.
+    keyed = hashes.select("id", F.posexplode(F.array(*map(packed, picks))).alias("pick", "key"))
+    # Keys that occur once go first, and only what is left of an id's keys is given its bands.
     often = materialize(keyed.groupBy("pick", "key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
     salts = F.least(F.lit(SALTS), F.ceil(C("n") / SALT_ROWS)).cast("int")
-    met = keyed.join(often, ["pick", "key"]).withColumn("salts", salts)
+    met = keyed.join(often, ["pick", "key"]).select("id", "pick", "key", salts.alias("salts")).join(hashes.select("id", "bands"), "id")
     left = met.select("pick", "key", F.pmod(F.xxhash64("id"), C("salts")).cast("int").alias("salt"), C("id").alias("a"), C("bands").alias("p"))
     right = met.select("pick", "key", F.explode(F.sequence(F.lit(0), C("salts") - 1)).alias("salt"), C("id").alias("b"), C("bands").alias("q"))
     pairs = left.join(right, ["pick", "key", "salt"]).filter("a < b").withColumn("distance", _distance(C("p"), C("q"))).filter(C("distance") <= within)
