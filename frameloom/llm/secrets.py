@@ -13,8 +13,8 @@ step inside gains, a secret around a node gains the largest sum of v + c over a
 where this stays below what entering and leaving costs are outside on every best path. Viterbi runs over what
 is left, between nodes that are outside: the result is that of one Viterbi pass over all nodes.
 
-Training maximises the conditional likelihood by forward-backward and AdaGrad on generated secrets, in made lines and
-set into passages of the corpus, and on passages as they are: PASSAGES of each of SAMPLE documents at most, those of least
+Training maximises the conditional likelihood by forward-backward and AdaGrad on generated secrets, in made lines, in made
+source code (most of which holds none) and set into passages of the corpus, and on passages as they are: PASSAGES of each of SAMPLE documents at most, those of least
 hash, around base matches and at places drawn by hash. What the base patterns match is the label, once as it is and once with
 its keyword replaced; passages without a match serve as outside where a first field, trained on generated secrets alone,
 finds nothing either. Weights are a fixed number of floats, sent to the tasks.
