@@ -56,7 +56,7 @@ KINDS = ("assign", "access", "hex", "crf")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
 #: Documents of the sample, passages of each and the characters to either side, hashed names, passes, made lines, made pieces of code.
-SAMPLE, PASSAGES, AROUND, BUCKETS, EPOCHS, GENERATED, CODE = 1500, 2, 70, 1 << 15, 8, 2500, 1000
+SAMPLE, PASSAGES, AROUND, BUCKETS, EPOCHS, GENERATED, CODE = 1500, 2, 70, 1 << 15, 8, 3000, 1000
 #: Nouns that programs use as names, names of secrets among them.
 NOUNS = "password secret token key api_key auth session user name value data index list path file buffer size node event request response config option access bearer client login".split()
 #: Tokens and gaps whose scores a task remembers, nodes of a training sequence at most.
@@ -144,7 +144,7 @@ def own_names(token: str) -> tuple[list[str], list[str]]:
 
 
 def neighbour(token: str) -> str:
-    """A word as those beside it see it: a keyword by its name, any other by its shape."""
+    """A word as those beside it see it: a keyword by its name, what opens an address as such, any other by its shape."""
     low = token.lower().strip("=.-_")
     if low in KEYWORDS:
         return low
@@ -152,6 +152,8 @@ def neighbour(token: str) -> str:
         return "named"
     if token.isalpha() and len(token) < 20:
         return "word"
+    if token.startswith("//"):
+        return "slashes"  # what stands behind a scheme: a user or a host
     return "num" if NUMBER.fullmatch(token) else f"long{min(4, len(token) // 12)}"
 
 
@@ -425,7 +427,7 @@ class Made:
         """What stands before a secret, and the secret, which may be of several words."""
         pick, mixed = self.pick, LOW + UP + DIGITS
         lead = self.rnd.choice(LEADS)
-        kind = self.rnd.randrange(16)
+        kind = self.rnd.randrange(19)
         if kind == 0:
             return "", self.rnd.choice(("AKIA", "ASIA")) + pick(UP + DIGITS, 16)
         if kind == 1:
@@ -435,7 +437,7 @@ class Made:
         if kind == 4:
             return self.rnd.choice((lead, "")), pick("0123456789abcdef", self.rnd.choice((32, 40, 64)))
         if kind == 5:
-            return "", self.rnd.choice(("ghp_", "gho_", "sk_live_", "pk_test_", "xoxb-", "AIza", "glpat-")) + pick(mixed, 20, 40)
+            return "", self.rnd.choice(("ghp_", "gho_", "sk_live_", "pk_test_", "xoxb-", "AIza", "glpat-")) + self.rnd.choice((pick(mixed, 20, 40), pick(mixed, 20, 40), pick(DIGITS, 9, 14) + "-" + pick(mixed, 16, 30), "-".join(pick(LOW + DIGITS, 6, 20) for _ in range(self.rnd.randint(2, 3)))))
         if kind == 6:
             return self.rnd.choice((lead, "")), pick(mixed + "/+", 30, 60) + self.rnd.choice(("", "=", "=="))
         if kind == 7:
@@ -451,7 +453,19 @@ class Made:
             return lead, self.rnd.choice((self.word(2, 3), pick(LOW, 4, 8), self.word(1, 3).capitalize())) + pick(DIGITS, 1, 4) + pick(LOW, 0, 2)
         if kind == 14:
             return lead, pick(mixed, 6, 12) + self.rnd.choice(DIGITS + UP)
-        return lead, " ".join(pick(LOW + DIGITS, 4) for _ in range(self.rnd.choice((4, 6, 8))))
+        if kind == 15:
+            return lead, " ".join(pick(LOW + DIGITS, 4) for _ in range(self.rnd.choice((4, 6, 8))))
+        user = self.rnd.choice((self.word(), self.name(), ""))
+        return f"{self.scheme()}://{user}:", self.rnd.choice((self.word(1, 4), self.word(1, 3).capitalize() + pick(DIGITS, 1, 4), pick(mixed, 5, 24), pick(LOW + DIGITS, 6, 20), *(pick(mixed, 4, 8) + self.rnd.choice("!!!!$%*#-_.") + x for x in (pick(mixed, 2, 6), pick(DIGITS, 1, 4)))))
+
+    def scheme(self) -> str:
+        return self.word(1, 3) + self.rnd.choice(("", "", "s", "+" + self.word(1, 2)))
+
+    def host(self) -> str:
+        """What stands behind the user in an address."""
+        word, rnd = self.word, self.rnd
+        name = rnd.choice((word(), "localhost", f"{word()}.{word()}.{rnd.choice(('com', 'org', 'net', 'io'))}", f"{word()}-{rnd.randint(1, 9)}", f"{rnd.randint(1, 255)}.{rnd.randint(0, 255)}.{rnd.randint(0, 255)}.{rnd.randint(1, 255)}"))
+        return name + rnd.choice(("", f":{rnd.randint(80, 65535)}")) + rnd.choice(("", f"/{word()}", f"/{word()}/{self.name()}", f"/{word()}?{word()}={word()}"))
 
     def likeness(self) -> str:
         """What looks like a secret and is none."""
@@ -463,9 +477,10 @@ class Made:
             lambda: f"{word()}_{word()}_{rnd.randint(1, 99)}", lambda: f"{rnd.randint(1, 255)}.{rnd.randint(0, 255)}.{rnd.randint(0, 255)}.{rnd.randint(1, 255)}", lambda: f"img_{pick(DIGITS, 8)}.jpeg", lambda: word(5, 11), lambda: word(5, 11).capitalize(), lambda: word(2, 5).upper(), lambda: f"{word(2, 4)}-{word(2, 4)}", lambda: f"{word()}_{word(2, 4)}_{word()}",
             lambda: "".join(word(1, 2).capitalize() for _ in range(rnd.randint(2, 4))), lambda: word() + "".join(word(1, 2).capitalize() for _ in range(rnd.randint(1, 3))), lambda: f"{word(2, 4)}.{word(1, 3)}", lambda: f"{pick(DIGITS, 1, 4)}{rnd.choice(('th', 'px', 'kg', 'ml', 'km'))}", lambda: f"{word().capitalize()}{pick(DIGITS, 1, 4)}", lambda: f"{word().upper()}-{pick(DIGITS, 2, 5)}",
             lambda: f"{rnd.choice(('the', 'a', 'my', 'every', 'this'))} {rnd.choice(('password', 'secret', 'token', 'key', 'session', 'bearer', 'auth'))} {rnd.choice(('is', 'was', 'of', 'for', 'to', 'and', 'must', word()))} {rnd.choice((word(1, 4), 'not ' + word()))}", lambda: f"{rnd.choice(('key', 'token', 'session', 'secret'))}: {word(1, 4)} {word()}",
+            # Addresses without a password.
+            lambda: f"{self.scheme()}://{self.host()}", lambda: f"https://{self.host()}", lambda: f"{self.scheme()}://{word()}@{self.host()}", lambda: f"mailto:{word()}@{self.host()}", lambda: f"git@{word()}.com:{word()}/{self.name()}", lambda: f"//{self.host()}", lambda: f"{word()}:{self.name()}@{self.host()}", lambda: f"@{word()}: {word()} @{self.name()}", lambda: f"{self.scheme()}://{word()}:{pick(DIGITS, 2, 5)}/{word()}@{rnd.randint(1, 9)}.{rnd.randint(0, 9)}",
         ))()
 
-
     def name(self) -> str:
         """An identifier as source code has them."""
         word, rnd = self.word, self.rnd
@@ -504,6 +519,9 @@ def planted(head: str, tail: str, made: Made) -> tuple[str, list[tuple[int, int]
     """A line with a secret between two parts of it, and the secret's place."""
     lead, s = made.secret()
     quote = made.rnd.choice(("", "", "", "'", '"')) if "\n" not in s else ""
+    if "://" in lead:  # the password of an address, its host behind it
+        before = f"{head}{made.rnd.choice((' ', ' ', chr(10), '=', chr(34)))}{lead}"
+        return f"{before}{s}@{made.host()}{made.rnd.choice((' ', chr(34), chr(39), chr(10)))}{tail}", [(len(before), len(before) + len(s))]
     close = "'" if lead.endswith("'") else '"' if lead.endswith('"') else quote
     before = f"{head}{made.rnd.choice((' ', ' ', chr(10)))}{lead}{quote if close == quote else ''}"
     return f"{before}{s}{close}{made.rnd.choice((' ', ' ', '. ', chr(10)))}{tail}", [(len(before), len(before) + len(s))]

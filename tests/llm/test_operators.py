@@ -197,6 +197,30 @@ def test_field_in_documents_it_has_not_seen(field):
     assert hit >= 0.9 * len(texts) and hit >= 0.9 * (hit + wrong)
 
 
+#: Addresses with a password, and passwords for them; the generator makes its schemes, users, hosts and passwords from syllables and random characters.
+ADDRESSES = (("DATABASE_URL=postgresql://app_user:", "@db.internal.example.com:5432/orders"), ("connect to mysql+pymysql://root:", "@10.0.3.7/shop?charset=utf8"), ("mongodb+srv://service:", "@cluster0.ab1cd.mongodb.net/test"), ("redis://:", "@cache-2:6379/0"), ("'amqp://guest:", "@localhost//'"), ("proxy https://joe.miller:", "@proxy:3128"))
+PASSWORDS = (lambda r: "dragon", lambda r: "Winter" + r(FIGURES, 4), lambda r: r(LETTERS + FIGURES, 16), lambda r: r(LETTERS.lower(), 9), lambda r: f"{r(LETTERS, 6)}-{r(FIGURES, 4)}", lambda r: f"{r(LETTERS, 8)}!{r(FIGURES, 2)}")
+
+
+def test_passwords_in_addresses(field):
+    """Nine in ten passwords are found, from their first character to their last, and addresses without one hold none."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE doc_id % 2 = 1 AND text LIKE '% %' ORDER BY doc_id").fetchall()]
+    rnd, scores = random.Random(5), secrets.Scores(field)
+    pick = lambda chars, k: "".join(rnd.choice(chars) for _ in range(k))
+    hit = wrong = 0
+    for k, t in enumerate(texts):
+        (lead, tail), s = ADDRESSES[k % len(ADDRESSES)], PASSWORDS[k // len(ADDRESSES) % len(PASSWORDS)](pick)
+        at = rnd.choice([m.start() for m in re.finditer(" ", t)])
+        put = lambda x: list(secrets.find([f"{t[:at]} {x} {t[at + 1:]}"], scores))[0][1]
+        a = at + 1 + len(lead)
+        hit += any(x[1:] == (a, a + len(s)) for x in put(lead + s + tail))
+        bare = lead.rpartition(":")[0] + tail if k % 2 else lead.partition("://")[0] + "://" + tail[1:]
+        wrong += len(put(bare)) > len(list(secrets.find([t], scores))[0][1])
+    assert hit >= 0.9 * len(texts) and wrong <= 0.02 * len(texts), (hit, wrong, len(texts))
+
+
 def test_source_code_holds_no_secrets(field):
     """Library modules, which are source code that training has not seen: under a false span in 100,000 characters."""
     import glob
