@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm.common import need
+from frameloom.llm.common import need, release
 
 #: Characters of text handled at once, token rows per recursive query, remembered words, decoded tokens per query.
 SLICE, ROWS, CACHE, TOKENS = 1_500_000, 150_000, 480_000, 300_000
@@ -265,6 +265,7 @@ def _mapped(df: DataFrame, column: str, empty: str | bytes, work: Callable[[list
                 yield pa.RecordBatch.from_arrays([*rest.slice(at.start, n).columns, *(pa.array(x, pa.binary()) for x in made)], [*keep, *names])
         if not remember:
             _CODECS.clear()
+            release()
 
     from pyspark.sql import types as T
 
