@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -118,31 +118,37 @@ class Codec:
         r[ends - 1] = -1
         return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lens), "pos": pos.astype(np.int64), "l": l, "r": r, "nxt": pos.astype(np.int64) + 1})
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words by the recursive query, ROWS bytes at a time."""
-        out: list[np.ndarray] = []
+    def _contracted(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words by the recursive query, ROWS bytes at a time, and where in them each word begins (and the end)."""
         for at in _slices(list(map(len, words)), ROWS):
             part = words[at]
             self.con.register("sym", self._symbols(part))
             got = self.con.sql(ENCODE_SQL).to_arrow_table()
             self.con.unregister("sym")
-            w, ids = got["w"].to_numpy(), got["l"].to_numpy().astype("<u4")
-            out += np.split(ids, np.searchsorted(w, np.arange(1, len(part))))
-        return out
+            yield got["l"].to_numpy().astype("<u4"), np.searchsorted(got["w"].to_numpy(), np.arange(len(part) + 1))
+
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word."""
+        return [ids[a:b] for ids, begins in self._contracted(words) for a, b in pairwise(begins.tolist())]
+
+    def _packed(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word."""
+        return [raw[a:b] for ids, begins in self._contracted(words) for raw in (ids.tobytes(),) for a, b in pairwise((4 * begins).tolist())]
 
     def _bytes(self, ids: np.ndarray) -> bytes:
         return b"".join([self.raw[i] for i in ids.tolist()])
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of words of any length."""
-        cut = [[w[i : i + PIECE] for i in range(0, len(w), PIECE)] for w in words]
+        far = [k for k, w in enumerate(words) if len(w) > PIECE]
+        if not far:
+            return self._packed(words)
+        near = [k for k, w in enumerate(words) if len(w) <= PIECE]
+        cut = [[words[k][i : i + PIECE] for i in range(0, len(words[k]), PIECE)] for k in far]
         got = iter(self._contract([p for c in cut for p in c]))
-        whole = [[next(got) for _ in c] for c in cut]
-        many = [k for k, x in enumerate(whole) if len(x) > 1]
-        if many:
-            for k, x in zip(many, self._sewn([whole[k] for k in many]), strict=True):
-                whole[k] = x
-        return [x[0].tobytes() if len(x) == 1 else np.concatenate(x).tobytes() for x in whole]
+        out = dict(zip(near, self._packed([words[k] for k in near]), strict=True))
+        out |= {k: np.concatenate(x).tobytes() for k, x in zip(far, self._sewn([[next(got) for _ in c] for c in cut]), strict=True)}
+        return [out[k] for k in range(len(words))]
 
     def _sewn(self, words: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
         """Ids of the pieces of each word to ids of parts that may stand side by side."""
@@ -176,20 +182,25 @@ class Codec:
         return self.pattern.findall(chunk)
 
     def learn(self, new: set[str | tuple[str]]) -> None:
-        """Encode the matches of the pattern in new chunks, and remember the chunks."""
-        split = {c: self._pieces(" " + c if isinstance(c, str) else c[0]) for c in new}
+        """Encode the matches of the pattern in new chunks, and remember the chunks. Letters are one match with the space before
+        them, so such a match is remembered as its chunk alone; `words` has the others."""
+        chunks, words = self.chunks, self.words
+        plain = {c for c in new if c.__class__ is str and c.isalpha()}
+        split = {c: self._pieces(" " + c if isinstance(c, str) else c[0]) for c in new.difference(plain)}
         every = set(chain.from_iterable(split.values()))
-        todo = sorted(every.difference(self.words))
+        spaced = {p for p in every if p[0] == " " and p[1:].isalpha()}
+        plain.update([c for p in spaced if (c := p[1:]) not in chunks])
         if len(self.fits) > CACHE:
             self.fits.clear()
-        if len(self.words) + len(todo) > CACHE:
-            self.words.clear()
-            todo = sorted(every)
-        raw = [p.encode() for p in todo]
-        self.words.update(zip(todo, self.ids(raw), strict=True))
-        words = self.words
+        todo = every.difference(spaced, words)
+        if len(words) + len(todo) > CACHE:
+            words.clear()
+            todo = every.difference(spaced)
+        got = iter(self.ids([*((" " + c).encode() for c in plain), *(p.encode() for p in todo)]))
+        chunks.update(zip(plain, got))
+        words.update(zip(todo, got, strict=True))
         for c, ps in split.items():
-            self.chunks[c] = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
+            chunks[c] = b"".join([chunks[p[1:]] if p in spaced else words[p] for p in ps])
 
     def split(self, text: str) -> list[str | tuple[str]]:
         """Chunks of a text such that no match of the pattern crosses a cut: a single space before a
@@ -205,14 +216,15 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.split(t) for t in texts]
-        got = [list(map(self.chunks.get, p)) for p in parts]
-        new = {c for p, g in zip(parts, got, strict=True) if None in g for c, x in zip(p, g, strict=True) if x is None}
+        met = set().union(*parts)
+        new = met.difference(self.chunks)
         if new:
             if len(self.chunks) + len(new) > CACHE:
-                self.chunks.clear()
+                # What these texts hold stays.
+                self.chunks = {c: self.chunks[c] for c in met.difference(new)}
             self.learn(new)
-            got = [[x if x is not None else self.chunks[c] for c, x in zip(p, g, strict=True)] if None in g else g for p, g in zip(parts, got, strict=True)]
-        return [b"".join(g) for g in got]
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, p)) for p in parts]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """Bytes of packed ids; TOKENS token rows go to a query, and a longer text takes several parts."""

@@ -1,14 +1,23 @@
 """What Python workers remember, and what they leave behind."""
 
+import random
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
+import pytest
+import tiktoken
 from pyspark.sql import types as T
 
 from frameloom.llm import bpe, queries
 from frameloom.llm.common import release
 
 
+def made_up(seed, texts, n):
+    rnd = random.Random(seed)
+    return [" ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(5, 11))) for _ in range(n)) for _ in range(texts)]
+
+
 class Frame:
     """Stands for a DataFrame, and gives the function over batches itself."""
 
@@ -29,3 +38,28 @@ def test_tokens_leave_no_memory_to_later_stages(monkeypatch):
     assert [b.num_rows for b in bpe.tokens(Frame(), Held, P.PATTERN, remember=False)(iter([batch]))] == [2]
     assert codecs == [0]  # when all is forgotten
     release()
+
+
+@pytest.fixture
+def codec():
+    with open(P.path(queries.RANKS), "rb") as f:
+        return bpe.Codec(f.read(), P.PATTERN)
+
+
+def test_a_word_is_encoded_and_remembered_once(codec):
+    seen, ids = [], codec.ids
+    codec.ids = lambda words: seen.extend(words) or ids(words)
+    codec.encode(["zebra zebras, (zebra) zebra\nzebra", "zebra, zebras zebras."])
+    codec.encode(["zebras zebra, zebra's"])
+    assert len(seen) == len(set(seen))
+    assert not {" " + c for c in codec.chunks if isinstance(c, str)} & codec.words.keys()
+
+
+def test_few_remembered_words_change_nothing(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    texts = [t.replace("a ", "a, ").replace("b ", "b  ") for t in made_up(2, 30, 25)] + ["", " x", "  y z", "é漢 字,"]
+    for k in range(0, len(texts), 3):
+        some = texts[k : k + 3] + texts[:1]
+        for t, got in zip(some, codec.encode(some), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == enc.encode_ordinary(t)
