@@ -170,16 +170,22 @@ class WordCache:
         return ids
 
     def _learn(self, new: list[str]) -> None:
-        odd: list[str] = []
+        known, met, odd = self.known, self.pieces.get, []
         for t in new:
             core = t.rstrip(PUNCTUATION)
-            low = core.lower()
             # Letters, then perhaps ASCII punctuation, are one piece each; words of any other form go through the library whole.
-            if core.isalpha() and (core.isascii() or (low.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", t))):
-                ids = self._piece(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS))
-                self.known[t] = ids if len(core) == len(t) else ids + self._piece(t[len(core) :])
-            else:
+            if not core.isalpha():
                 odd.append(t)
+                continue
+            low = core.lower()
+            if not core.isascii():
+                if not low.isalpha() or "\u03a3" in core or not unicodedata.is_normalized("NFC", t):
+                    odd.append(t)
+                    continue
+                if not low.isascii():
+                    low = low.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = met(low) or self._piece(low)
+            known[t] = ids if len(core) == len(t) else ids + (met(end := t[len(core) :]) or self._piece(end))
         for k in range(0, len(odd), 4000):
             some = odd[k : k + 4000]
             self.known.update(zip(some, self._whole(some), strict=True))
@@ -188,14 +194,14 @@ class WordCache:
         """The ids of all texts in a row (null: none), and how many each text has."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices
         new = [w for w in words if w not in self.known]
         if new:
             if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = words
+                # What these texts hold stays.
+                self.known = {w: self.known[w] for w in words if w in self.known}
             self._learn(new)
-        ids = [self.known[w] for w in words]
+        ids = list(map(self.known.__getitem__, words))
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         table = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4")))
         flat = table.take(at).flatten().to_numpy()

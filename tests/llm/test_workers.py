@@ -8,8 +8,9 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from frameloom.llm import bpe, queries
+from frameloom.llm import bpe, queries, simple8b
 from frameloom.llm.common import release
 
 
@@ -63,3 +64,18 @@ def test_few_remembered_words_change_nothing(codec, monkeypatch):
         some = texts[k : k + 3] + texts[:1]
         for t, got in zip(some, codec.encode(some), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == enc.encode_ordinary(t)
+
+
+def test_full_word_cache_keeps_what_its_texts_hold(monkeypatch):
+    with open(P.path(queries.WORD_PIECES)) as f:
+        raw = f.read()
+    cache, learnt, tok = simple8b.WordCache(raw.encode()), [], Tokenizer.from_str(raw)
+    learn = cache._learn
+    monkeypatch.setattr(cache, "_learn", lambda new: learnt.extend(new) or learn(new))
+    monkeypatch.setattr(simple8b, "CACHE", 30)
+    texts = ["the Zebra, " + t for t in made_up(3, 12, 9)] + [None, "", "ΣΑΣ Ünï, K é é. don't <b>!? ...", "the the"]
+    for k in range(0, len(texts), 2):
+        ids, n = cache.encode(pa.array(texts[k : k + 2], pa.string()))
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts[k : k + 2]]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    assert learnt.count("Zebra,") == 1
