@@ -43,6 +43,8 @@ from frameloom.llm.common import need, release
 SLICE, ROWS, CACHE, TOKENS = 1_500_000, 150_000, 480_000, 300_000
 #: Bytes of a piece of a word.
 PIECE = 128
+#: Remembered words of a codec that is to leave memory to other stages.
+FEW = 100_000
 #: Punctuation that is one match behind letters: ASCII without the apostrophe of contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -89,10 +91,11 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 class Codec:
     """The vocabulary inside one Python worker: a DuckDB connection and the words met so far."""
 
-    def __init__(self, raw: bytes, pattern: str) -> None:
+    def __init__(self, raw: bytes, pattern: str, most: int | None = None) -> None:
         import duckdb
         import regex
 
+        self.most = most
         self.ranks = read_ranks(raw)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         merges = merge_table(self.ranks)
@@ -190,10 +193,10 @@ class Codec:
         every = set(chain.from_iterable(split.values()))
         spaced = {p for p in every if p[0] == " " and p[1:].isalpha()}
         plain.update([c for p in spaced if (c := p[1:]) not in chunks])
-        if len(self.fits) > CACHE:
+        if len(self.fits) > (self.most or CACHE):
             self.fits.clear()
         todo = every.difference(spaced, words)
-        if len(words) + len(todo) > CACHE:
+        if len(words) + len(todo) > (self.most or CACHE):
             words.clear()
             todo = every.difference(spaced)
         got = iter(self.ids([*((" " + c).encode() for c in plain), *(p.encode() for p in todo)]))
@@ -219,7 +222,7 @@ class Codec:
         met = set().union(*parts)
         new = met.difference(self.chunks)
         if new:
-            if len(self.chunks) + len(new) > CACHE:
+            if len(self.chunks) + len(new) > (self.most or CACHE):
                 # What these texts hold stays.
                 self.chunks = {c: self.chunks[c] for c in met.difference(new)}
             self.learn(new)
@@ -244,11 +247,11 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def _codec(raw: Broadcast, pattern: str) -> Codec:
+def _codec(raw: Broadcast, pattern: str, most: int | None = None) -> Codec:
     """One codec for each vocabulary in a worker process."""
-    key = (hash(raw.value), pattern)
+    key = (hash(raw.value), pattern, most)
     if key not in _CODECS:
-        _CODECS[key] = Codec(raw.value, pattern)
+        _CODECS[key] = Codec(raw.value, pattern, most)
     return _CODECS[key]
 
 
@@ -301,10 +304,12 @@ def decode(df: DataFrame, vocabulary: Broadcast, pattern: str, ids: str = "ids",
 
 
 def tokens(df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), remember: bool = True) -> DataFrame:
-    """Round trip in one worker: keys, ids, decoded. Workers keep the words they met for later tasks, unless told to forget them at the end of each."""
+    """Round trip in one worker: keys, ids, decoded. Workers keep the words they met for later tasks, unless told to forget them at the end of each;
+    then they also hold FEW at once."""
+    most = None if remember else FEW
 
     def both(texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        codec = _codec(vocabulary, pattern)
+        codec = _codec(vocabulary, pattern, most)
         ids = codec.encode(texts)
         return ids, codec.decode(ids)
 

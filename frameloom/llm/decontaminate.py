@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameloom.llm.common import need
+from frameloom.llm.common import need, releasing
 from frameloom.llm.shingles import SIZE, WordHashes, multipliers, shingle_hashes, slices, words
 
 HASHES, RECALL, BLOCK, THRESHOLD = 64, 0.99999, 20_000, 0.8
@@ -148,7 +148,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text:
                     where = pa.array([at.start + i for i in index], pa.int64())
                     yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)).take(where) for k in keys), *(pa.array(c, t) for c, t in zip(columns, [item_type, pa.int32(), pa.int32()], strict=True))], [*keys, *names])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(releasing(run), schema)
 
     clash = {*keys} & {*names, "containment"}
     if clash:

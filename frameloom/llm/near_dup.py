@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import discard, keep, materialize, need, scratch_run
+from frameloom.llm.common import discard, keep, materialize, need, releasing, scratch_run
 from frameloom.llm.shingles import WordHashes, multipliers, shingle_hashes, slices, words
 
 #: At the threshold, where a fifth of the words is replaced at random, a pair shares a sketch with a chance of 0.91 (texts of 60 words) to
@@ -151,7 +151,7 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at.start, at.stop - at.start) for i in (0, 1)), keys], ["id", "same", "sketch"])
 
     given = rows.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("same"), text)
-    return given.mapInArrow(run, "id long, same binary, sketch array<long>")
+    return given.mapInArrow(releasing(run), "id long, same binary, sketch array<long>")
 
 
 def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str = "id", value: DataFrame | None = None) -> DataFrame:
@@ -211,7 +211,7 @@ def _of_wanted(docs: DataFrame, wanted: DataFrame, text: str, key: str, made: Ca
                 yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), *made(texts[part], hashes)], names)
 
     passed = docs.select(F.col(key).cast("long").alias("id"), F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"), text).filter("id IS NOT NULL")
-    return passed.mapInArrow(run, f"id long, {schema}")
+    return passed.mapInArrow(releasing(run), f"id long, {schema}")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -227,7 +227,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFra
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     both = salted_join(pairs.join(sequences, "id"), centres, "centre", value=held)
-    links = materialize(both.select("id", "centre", "seq", "other").mapInArrow(run, "id long, centre long"), "links")
+    links = materialize(both.select("id", "centre", "seq", "other").mapInArrow(releasing(run), "id long, centre long"), "links")
     discard(sequences)
     discard(wanted)
     return links

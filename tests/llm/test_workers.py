@@ -10,8 +10,8 @@ import tiktoken
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from frameloom.llm import bpe, queries, simple8b
-from frameloom.llm.common import release
+from frameloom.llm import bpe, common, decontaminate, near_dup, queries, simple8b
+from frameloom.llm.common import job_session, release
 
 
 def made_up(seed, texts, n):
@@ -41,6 +41,44 @@ def test_tokens_leave_no_memory_to_later_stages(monkeypatch):
     release()
 
 
+def test_tokens_that_forget_hold_few_words(monkeypatch):
+    most = []
+    made = bpe.Codec
+    monkeypatch.setattr(bpe, "Codec", lambda raw, pattern, *few: most.append(few) or made(raw, pattern, *few))
+    monkeypatch.setattr(bpe, "FEW", 20, raising=False)
+    monkeypatch.setattr(bpe, "release", lambda: None)
+    texts = made_up(4, 6, 15)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6), pa.int64()), "text": texts})
+    monkeypatch.setattr(bpe, "SLICE", 1)
+    got = [x for b in bpe.tokens(Frame(), Held, P.PATTERN, remember=False)(iter([batch])) for x in b.column(b.schema.get_field_index("decoded")).to_pylist()]
+    assert [x.decode() for x in got] == texts and most == [(20,)]
+
+
+def test_stages_before_tokens_leave_no_memory_either(spark, monkeypatch):
+    runs, frame = [], type(spark.range(1))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    near_dup.sketches(docs)
+    near_dup._sequences(docs, spark.range(2), "text", "doc_id")
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    for run in runs:
+        assert list(run(iter([]))) == []
+    assert len(runs) == len(calls) == 2
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    monkeypatch.setattr(frame, "withColumn", lambda self, *_: self)
+    decontaminate.find(docs, items)
+    assert list(runs[2](iter([]))) == [] and len(calls) == 3
+
+
+def test_long_rows_go_to_workers_in_small_batches(spark):
+    other = job_session(spark.newSession())
+    long = other.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) AS t")
+    assert max(r["b"] for r in long.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"b": [b.nbytes]}) for b in bs), "b long").collect()) < 10_000_000
+    other.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    assert job_session(other).conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "32m"
+
+
 @pytest.fixture
 def codec():
     with open(P.path(queries.RANKS), "rb") as f:
