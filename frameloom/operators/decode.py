@@ -47,14 +47,19 @@ def window_decode(pixels: DataFrame, fill: str = "ltavg") -> DataFrame:
 
 
 def diffuse_round(decoded: DataFrame) -> DataFrame:
-    """One synchronous round: an unfilled pixel becomes the weighted mean of the known ones among its 24 neighbours."""
+    """One synchronous round: an unfilled pixel becomes the weighted mean of the known ones among its 24 neighbours.
+
+    Known pixels tell their neighbours and unfilled ones ask at their place; both are summed by place before the shuffle.
+    Both sides of the join are pixels, which Spark takes for as small as the packed vectors they are made of, so it
+    is told to merge and not to broadcast.
+    """
     near = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(k).alias("k")) for dx, dy, k in OFFSETS))
-    asked = decoded.filter("is_fill").select("image_id", C("x").alias("tx"), C("y").alias("ty"), F.explode(near).alias("o"))
-    asked = asked.select("image_id", "tx", "ty", (C("tx") + C("o.dx")).alias("x"), (C("ty") + C("o.dy")).alias("y"), C("o.k").alias("k"))
-    known = decoded.filter("NOT is_fill").select("image_id", "x", "y", "r", "g", "b", "a")
-    mean = asked.join(known, ["image_id", "x", "y"]).groupBy("image_id", C("tx").alias("x"), C("ty").alias("y")).agg(
-        *(store(F.round(F.sum(C(c) * C("k")) / F.sum("k"), 6)).alias(f"m{c}") for c in "rgba"))
-    got = decoded.join(mean, ["image_id", "x", "y"], "left")
+    here = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(None).cast("double").alias("k")))
+    told = decoded.filter(C("image_id").isNotNull()).select("image_id", "x", "y", *"rgba", F.explode(F.when(C("is_fill"), here).when(~C("is_fill"), near)).alias("o"))
+    mean = told.groupBy("image_id", (C("x") + C("o.dx")).alias("x"), (C("y") + C("o.dy")).alias("y")).agg(
+        F.max(C("o.k").isNull()).alias("asked"), F.sum("o.k").alias("k"), *(F.sum(C(c) * C("o.k")).alias(c) for c in "rgba"))
+    mean = mean.filter("asked AND k IS NOT NULL").select("image_id", "x", "y", *(store(F.round(C(c) / C("k"), 6)).alias(f"m{c}") for c in "rgba"))
+    got = decoded.join(mean.hint("merge"), ["image_id", "x", "y"], "left")
     return got.select("image_id", "x", "y", *(F.coalesce(f"m{c}", c).alias(c) for c in "rgba"), (C("is_fill") & C("mr").isNull()).alias("is_fill"))
 
 

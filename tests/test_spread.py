@@ -6,7 +6,7 @@ import pytest
 from frameloom.jobs import pixel_queries
 from frameloom.operators import blend, container, decode, pixels
 from frameloom.functions import png
-from oracle import SF
+from oracle import SF, connection, rows_of
 from test_files import MOVING, PLAIN, SECOND, STATIC, THIRD, files, generic, idat_behind, picture
 
 
@@ -45,6 +45,27 @@ def test_diffusion_forms_agree(spark, rounds):
     assert sorted(map(tuple, decode.diffuse_pixels(decoded, rounds).collect())) == want
 
 
+def test_a_round_broadcasts_no_pixels(spark):
+    got = pixel_queries.QUERIES["diffuse_round"](spark, SF)
+    assert got.count() > 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_round_on_odd_pixels(spark):
+    """Repeated pixels, known and unknown at one place, and pixels without an image, a colour or a flag, beside the SQL."""
+    kind = "image_id long, x int, y int, r int, g int, b int, a int, is_fill boolean"
+    rows = [(1, x, 0, 10 * x, 20, 30, 255, x % 3 > 0) for x in range(9)] + [(1, 3, 0, 90, 80, 70, 6, False), (1, 4, 0, 1, 2, 3, 4, True), (1, 4, 0, 1, 2, 3, 4, True), (1, 7, 0, 9, 9, 9, 9, False)]
+    rows += [(None, 0, 0, 5, 5, 5, 5, False), (None, 1, 0, 6, 6, 6, 6, True), (1, 5, 0, 8, 8, 8, 8, None), (1, 9, 1, 8, 8, 8, 8, None), (2, 0, 0, 7, 7, 7, 7, True), (3, 0, 0, None, 1, 1, 1, False), (3, 0, 1, 2, 2, 2, 2, True), (3, 1, 1, 4, 4, 4, 4, False)]
+    con = connection()
+    con.execute(f"CREATE TABLE decoded ({kind.replace('long', 'bigint')})")
+    con.executemany("INSERT INTO decoded VALUES (?, ?, ?, ?, ?, ?, ?, ?)", rows)
+    cur = con.execute(pixel_queries._diffused("(SELECT * FROM decoded)"))
+    want = rows_of([c[0] for c in cur.description], cur.fetchall())
+    df = decode.diffuse_round(spark.createDataFrame(rows, kind))
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
+
+
 def test_no_join_by_image_alone(spark):
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
