@@ -18,14 +18,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour that is greater than a node is tied to the least node near it."""
     near = _both_ways(edges)
     least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return near.filter("b > a").join(least, "a").select(C("b").alias("a"), C("m").alias("b")).filter("a <> b").distinct()
+    return near.filter("b > a").join(least.hint("merge"), "a").select(C("b").alias("a"), C("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its lesser neighbours are tied to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least, "a").select(C("b").alias("a"), C("m").alias("b")).filter("a <> b")
+    tied = down.join(least.hint("merge"), "a").select(C("b").alias("a"), C("m").alias("b")).filter("a <> b")
     return tied.unionByName(least.select("a", C("m").alias("b"))).distinct()
 
 
@@ -34,8 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large and small stars alternate until all edges are stars, in some log^2 of the longest path many rounds. Each round is
     written to the shared folder, so a lost executor costs its running tasks only. A node near a third of all others is
-    a row for each task in the aggregates, and its join partition is split by adaptive execution. Nulls and loops give
-    no edge; an empty table gives an empty result.
+    a row for each task in the aggregates, and its join partition is split by adaptive execution. The joins are told to merge, as
+    written edges are much smaller than the nodes they would broadcast. Nulls and loops give no edge; an empty table gives an empty result.
     """
     spark = edges.sparkSession
     with scratch_run(spark, "components"):

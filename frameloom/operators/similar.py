@@ -8,7 +8,8 @@ Three channels give 192 bits, held as BANDS numbers of 16 bits.
 Join. Two hashes of BANDS bands that differ in at most BANDS - AGREE bits agree in AGREE whole bands, so every such pair
 meets under a key made of AGREE bands: nothing is missed and nothing is compared without a common key. Pictures of one hash
 collapse to one row first, keys that occur once are dropped before any pair is made, and a pair is taken at the
-first key at which it meets. Keys of more than SALT_ROWS hashes are dealt over tasks.
+first key at which it meets. Keys of more than SALT_ROWS hashes are dealt over tasks. Every join is told to merge: keys, hashes
+and links grow with the pictures, but as Parquet they are a fraction of what they take in memory, so Spark would broadcast them.
 """
 
 from __future__ import annotations
@@ -91,10 +92,10 @@ def hamming_pairs(hashes: DataFrame, within: int, agree: int = AGREE) -> DataFra
     # Keys that occur once go first, and only what is left of an id's keys is given its bands.
     often = materialize(keyed.groupBy("pick", "key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
     salts = F.least(F.lit(SALTS), F.ceil(C("n") / SALT_ROWS)).cast("int")
-    met = keyed.join(often, ["pick", "key"]).select("id", "pick", "key", salts.alias("salts")).join(hashes.select("id", "bands"), "id")
+    met = keyed.join(often.hint("merge"), ["pick", "key"]).select("id", "pick", "key", salts.alias("salts")).join(hashes.select("id", "bands").hint("merge"), "id")
     left = met.select("pick", "key", F.pmod(F.xxhash64("id"), C("salts")).cast("int").alias("salt"), C("id").alias("a"), C("bands").alias("p"))
     right = met.select("pick", "key", F.explode(F.sequence(F.lit(0), C("salts") - 1)).alias("salt"), C("id").alias("b"), C("bands").alias("q"))
-    pairs = left.join(right, ["pick", "key", "salt"]).filter("a < b").withColumn("distance", _distance(C("p"), C("q"))).filter(C("distance") <= within)
+    pairs = left.join(right.hint("merge"), ["pick", "key", "salt"]).filter("a < b").withColumn("distance", _distance(C("p"), C("q"))).filter(C("distance") <= within)
     # The first bands in which the two agree are the key at which the pair counts.
     equal = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.get(C("p"), k) == F.get(C("q"), k))
     first = F.array(*(F.array(*map(F.lit, pick)) for pick in picks))
@@ -114,8 +115,8 @@ def similar_pictures(hashes: DataFrame, within: int = BANDS - AGREE) -> DataFram
         pairs = materialize(hamming_pairs(groups.select("id", "bands"), within), "pairs")
         sizes = groups.select("id", "n")
         both = pairs.select("a", "b").unionByName(pairs.select(C("b").alias("a"), C("a").alias("b")))
-        near = both.join(sizes.withColumnRenamed("id", "b"), "b").groupBy(C("a").alias("id")).agg(F.sum("n").alias("near"))
+        near = both.join(sizes.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(C("a").alias("id")).agg(F.sum("n").alias("near"))
         classes = connected_components(pairs)
-        known = groups.join(near, "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left")
+        known = groups.join(near.hint("merge"), "id", "left").join(classes.withColumnRenamed("node", "id").hint("merge"), "id", "left")
         known = known.select("hash", F.coalesce("component", "id").alias("class_id"), (C("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-        return keep(named.join(known, "hash").select("image_id", "hash", "class_id", "links"), "similar")
+        return keep(named.join(known.hint("merge"), "hash").select("image_id", "hash", "class_id", "links"), "similar")

@@ -60,6 +60,25 @@ def test_hamming_pairs_equal_all_pairs(spark, monkeypatch):
         similar.hamming_pairs(df, 11)
 
 
+def test_no_join_broadcasts(spark, monkeypatch):
+    """However small the tables are: as Parquet they are always taken for small."""
+    written = []
+
+    def spied(write):
+        def run(df, name):
+            written.append((name, df._jdf.queryExecution().executedPlan().toString()))
+            return write(df, name)
+        return run
+
+    for module in (similar, components):
+        for name in ("materialize", "keep"):
+            monkeypatch.setattr(module, name, spied(getattr(module, name)))
+    hashes = spark.createDataFrame([(i, [i // 4 % 2, i % 4, *[7] * (similar.BANDS - 2)]) for i in range(40)], "image_id long, bands array<int>")
+    assert similar.similar_pictures(hashes).count() == 40
+    assert {"keys", "pairs", "edges", "large", "small", "components", "similar"} <= {name for name, _ in written}
+    assert any("SortMergeJoin" in plan for _, plan in written) and not [name for name, plan in written if "Broadcast" in plan]
+
+
 def test_every_jittered_copy_is_found(spark):
     rows = {r["image_id"]: r for r in pixel_queries.QUERIES["jitter_duplicates"](spark, SF).collect()}
     assert all(rows[k]["class_id"] == rows[k + 1]["class_id"] and rows[k]["links"] > 0 for k in rows if k % 2 == 0)
