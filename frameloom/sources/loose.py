@@ -1,22 +1,28 @@
 """Loose files as a Spark data source, in any store that Arrow knows (local and mounted folders, s3://, gs://, abfs://, hdfs://).
 
 Reading. The driver lists the folder, and partitions hold files up to `partitionBytes`, so small files share a task and
-large ones have their own. What a row holds is a choice: the whole content, a sampled fingerprint, or nothing.
+large ones have their own. The driver holds `listedAtOnce` files at a time: what a folder has beyond goes into listings in the shared
+folder, of which a partition names its part. What a row holds is a choice: the whole content, a sampled fingerprint, or nothing.
 A fingerprint needs bounded memory whatever a file's size, and of a very large file only the sampled bytes.
 
-Writing. Each task attempt writes into a folder of its own, in a hidden folder beside the target. The driver moves the files
-of those attempts that Spark names as finished; what failed or lost attempts left goes with the hidden folder. A write that
-fails leaves the target as it was.
+Writing. Each task attempt writes into a folder of its own, in a hidden folder beside the target, and the names into a file
+beside that. The driver moves the files of those attempts that Spark names as finished, and never holds more than one batch of
+names and MARKS marks of names; what failed or lost attempts left goes with the hidden folder. A write that fails leaves the
+target as it was.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import hashlib
+import os
+import stat
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
+from itertools import islice
 from urllib.parse import unquote, urlparse
 from weakref import WeakSet
 
@@ -29,14 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from frameloom.functions import fnv
+from frameloom.sources.scratch import run_folder
 
 NAME = "loosefiles"
 #: Bytes of a partition, of one Arrow batch, and of one read from a store.
 PARTITION_BYTES, BATCH_BYTES, WINDOW = 128 << 20, 16 << 20, 8 << 20
 #: Bytes between two samples from which on single bytes are read instead of the whole file.
 SEEK = 1 << 16
-#: Files that the driver moves at once when a write is committed.
-MOVES = 32
+#: Files that the driver moves at once when a write is committed, and names that it compares at once.
+MOVES, MARKS = 32, 1 << 20
+#: Files that the driver holds at once when it lists a folder.
+LISTED_AT_ONCE = 100_000
 LISTED = "path string, name string, length long, modified timestamp"
 HOLDS = {"whole": ", content binary", "fingerprint": ", fingerprint string", "nothing": ""}
 
@@ -68,11 +77,38 @@ def sampled_of(f: pa.NativeFile, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(picked) + f.read_at(fnv.TAIL, max(0, n - fnv.TAIL)), np.uint8)
 
 
+def entries_of(there: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int, object]]:
+    """(path, whether it is a folder, bytes, time of change) of the files and folders in a folder whose names have no leading dot
+    or underscore. Local ones are read one by one, as a folder may hold more than memory does."""
+    if not isinstance(there, fs.LocalFileSystem):
+        for f in there.get_file_info(fs.FileSelector(folder)):
+            if f.type in (fs.FileType.File, fs.FileType.Directory) and f.base_name[:1] not in ("", ".", "_"):
+                yield f.path, not f.is_file, f.size, f.mtime
+        return
+    with os.scandir(folder) as found:
+        for e in found:
+            try:
+                s = None if e.name[:1] in "._" else e.stat()
+            except FileNotFoundError:  # gone meanwhile, or a link to nothing
+                continue
+            if s and (stat.S_ISREG(s.st_mode) or stat.S_ISDIR(s.st_mode)):
+                yield e.path, stat.S_ISDIR(s.st_mode), s.st_size, datetime.fromtimestamp(0, UTC) + timedelta(microseconds=s.st_mtime_ns // 1000)
+
+
 @dataclass
 class Files(InputPartition):
-    """Files of one task: path in the store, bytes, time of change."""
+    """Files of one task: path in the store, bytes, time of change; or the listing that has them, and which batch of it."""
 
     files: list[tuple[str, int, object]]
+    listing: str | None = None
+    batch: int = 0
+
+    def held(self) -> list[tuple[str, int, object]]:
+        if self.listing is None:
+            return self.files
+        there, path, _ = store_of(self.listing)
+        with there.open_input_file(path) as f:
+            return list(zip(*(c.to_pylist() for c in pa.ipc.open_file(f).get_batch(self.batch).columns), strict=True))
 
 
 class LooseReader(DataSourceReader):
@@ -82,15 +118,22 @@ class LooseReader(DataSourceReader):
         self.recursive = options.get("recursive", "true").lower() == "true"
         self.skip = options.get("ignoreMissingFiles", "false").lower() == "true"
         self.most = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.at_once, self.listings = int(options.get("listedAtOnce", LISTED_AT_ONCE)), options.get("listings")
 
-    def partitions(self) -> list[Files]:
+    def _found(self) -> Iterator[tuple[str, int, object]]:
         there, path, _ = store_of(self.folder)
-        found = there.get_file_info(fs.FileSelector(path, recursive=self.recursive))
-        inner = lambda f: f.path[len(path) :].strip("/").split("/")
-        kept = [(f.path, f.size, f.mtime) for f in found if f.is_file and fnmatch.fnmatch(f.base_name, self.pattern) and not any(p[:1] in "._" for p in inner(f))]
+        folders = [path]
+        while folders:
+            for at, folder, size, changed in entries_of(there, folders.pop()):
+                if not folder and fnmatch.fnmatch(at.rpartition("/")[2], self.pattern):
+                    yield at, size, changed
+                elif folder and self.recursive:
+                    folders.append(at)
+
+    def _packed(self, files: list[tuple[str, int, object]]) -> list[Files]:
         out: list[Files] = []
         size = 0
-        for f in sorted(kept, key=lambda x: x[0]):
+        for f in files:
             if not out or size + f[1] > self.most:
                 out.append(Files([]))
                 size = 0
@@ -98,11 +141,30 @@ class LooseReader(DataSourceReader):
             size += f[1]
         return out
 
+    def _written(self, packed: list[Files]) -> list[Files]:
+        """The same partitions, with their files in a listing."""
+        uri = f"{self.listings}/{uuid.uuid4().hex}.arrow"
+        there, path, _ = store_of(uri)
+        there.create_dir(path.rpartition("/")[0], recursive=True)
+        kind = pa.schema({"path": pa.string(), "size": pa.int64(), "changed": pa.timestamp("us", "UTC")})
+        with there.open_output_stream(path) as out, pa.ipc.new_file(out, kind) as listing:
+            for p in packed:
+                listing.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p.files, strict=True), kind.types, strict=True)], schema=kind))
+        return [Files([], uri, k) for k in range(len(packed))]
+
+    def partitions(self) -> list[Files]:
+        found, out = self._found(), []
+        while files := sorted(islice(found, self.at_once), key=lambda f: f[0]):
+            packed = self._packed(files)
+            # A folder that fits needs no listing.
+            out += self._written(packed) if self.listings and (out or len(files) == self.at_once) else packed
+        return out
+
     def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
         there, _, prefix = store_of(self.folder)
         held: list[tuple] = []
         size = 0
-        for path, n, changed in partition.files if partition else ():
+        for path, n, changed in partition.held() if partition else ():
             made = None
             try:
                 if self.holds != "nothing":
@@ -132,10 +194,14 @@ class LooseReader(DataSourceReader):
 
 @dataclass
 class Attempt(WriterCommitMessage):
-    """A finished task's folder, and its files."""
+    """A finished task's folder, and how many files it has; their names are in a file beside it."""
 
     folder: str
-    names: list[str]
+    files: int
+
+
+#: Names of an attempt's files, with 128 bits that stand for each.
+NAMED = pa.schema({"name": pa.string(), "mark": pa.binary(16)})
 
 
 class LooseWriter(DataSourceArrowWriter):
@@ -155,34 +221,58 @@ class LooseWriter(DataSourceArrowWriter):
         task = TaskContext.get()
         mine = f"{hidden}/{task.partitionId()}-{task.taskAttemptId()}"
         there.create_dir(mine, recursive=True)
-        names: set[str] = set()
+        files = 0
         try:
-            for batch in iterator:
-                for name, content in zip(batch.column(self.name), batch.column(self.content), strict=True):
-                    last = (name.as_py() or "").rpartition("/")[2]
-                    if last in ("", ".", "..") or last in names:
-                        raise ValueError(f"a file needs a name of its own, not {name.as_py()!r}")
-                    names.add(last)
-                    with there.open_output_stream(f"{mine}/{last}") as out:
-                        if content.is_valid:
-                            out.write(content.as_buffer())
+            with there.open_output_stream(f"{mine}.names") as out, pa.ipc.new_stream(out, NAMED) as named:
+                for batch in iterator:
+                    names = [(n or "").rpartition("/")[2] for n in batch.column(self.name).to_pylist()]
+                    for last, content in zip(names, batch.column(self.content), strict=True):
+                        if last in ("", ".", ".."):
+                            raise ValueError("a file needs a name")
+                        with there.open_output_stream(f"{mine}/{last}") as file:
+                            if content.is_valid:
+                                file.write(content.as_buffer())
+                    marks = [hashlib.blake2b(n.encode(), digest_size=16).digest() for n in names]
+                    named.write_batch(pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(marks, pa.binary(16))], schema=NAMED))
+                    files += len(names)
         except BaseException:
             there.delete_dir(mine)
             raise
-        return Attempt(mine, sorted(names))
+        return Attempt(mine, files)
+
+    def _named(self, done: list[Attempt]) -> Iterator[tuple[str, pa.RecordBatch]]:
+        """The finished attempts' folders with the names in them, a batch at a time."""
+        there, _, _ = self._places()
+        for m in done:
+            with there.open_input_stream(f"{m.folder}.names") as f:
+                for batch in pa.ipc.open_stream(f):
+                    yield m.folder, batch
+
+    def _twice(self, done: list[Attempt]) -> int:
+        """How many files have the name of another: marks are compared in as many passes as keep MARKS or so in memory."""
+        passes, twice = sum(m.files for m in done) // MARKS + 1, 0
+        for k in range(passes):
+            held = [np.empty((0, 2), np.uint64)]
+            for _, batch in self._named(done):
+                marks = np.frombuffer(batch.column("mark").buffers()[1], np.uint64, 2 * len(batch)).reshape(-1, 2) if len(batch) else held[0]
+                held.append(marks[marks[:, 0] % passes == k])
+            marks = np.concatenate(held)
+            marks = marks[np.lexsort(marks.T)]
+            twice += int((marks[1:] == marks[:-1]).all(axis=1).sum())
+        return twice
 
     def commit(self, messages: list[Attempt | None]) -> None:
-        there, path, hidden = self._places()
-        done = [(m.folder, n) for m in messages if m is not None for n in m.names]
-        twice = len(done) - len({n for _, n in done})
-        if twice:
+        there, path, _ = self._places()
+        done = [m for m in messages if m is not None]
+        if twice := self._twice(done):
             self.abort(messages)
             raise ValueError(f"{twice} files share their names with others")
         there.create_dir(path, recursive=True)
         if self.overwrite:
             there.delete_dir_contents(path)
         with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda x: there.move(f"{x[0]}/{x[1]}", f"{path}/{x[1]}"), done))
+            for folder, batch in self._named(done):
+                list(pool.map(lambda n, at=folder: there.move(f"{at}/{n}", f"{path}/{n}"), batch.column("name").to_pylist()))
         self.abort(messages)
 
     def abort(self, messages: list[Attempt | None]) -> None:
@@ -193,7 +283,8 @@ class LooseWriter(DataSourceArrowWriter):
 
 class LooseFiles(DataSource):
     """format("loosefiles"); options of readers: pattern, recursive, holds (whole, fingerprint, nothing), partitionBytes,
-    ignoreMissingFiles; of writers: name, content (columns)."""
+    ignoreMissingFiles, listings (a folder that driver and executors share; without it partitions carry the names of all files),
+    listedAtOnce; of writers: name, content (columns)."""
 
     @classmethod
     def name(cls) -> str:
@@ -220,11 +311,21 @@ def register(spark: SparkSession) -> None:
         _KNOWN.add(spark)
 
 
+def _listings(spark: SparkSession) -> dict[str, str]:
+    """Where listings go, until the application ends; nowhere if no folder is shared or Arrow does not know its store."""
+    try:
+        folder = f"{run_folder(spark)}/listings"
+        store_of(folder)
+    except (ValueError, NotImplementedError):  # Arrow's error for schemes that it does not know is a ValueError
+        return {}
+    return {"listings": folder}
+
+
 def read_loose(spark: SparkSession, folder: str, pattern: str = "*", holds: str = "whole", **options) -> DataFrame:
     """files(path, name, length, modified) and content, fingerprint or nothing, below a folder. Names with a leading dot or
     underscore, and all below such folders, are left out; an empty folder gives no rows."""
     register(spark)
-    return spark.read.format(NAME).options(pattern=pattern, holds=holds, **options).load(folder)
+    return spark.read.format(NAME).options(pattern=pattern, holds=holds, **_listings(spark) | options).load(folder)
 
 
 def write_loose(df: DataFrame, folder: str, name: str = "name", content: str = "content", mode: str = "overwrite") -> None:

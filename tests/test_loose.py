@@ -2,10 +2,12 @@
 
 import hashlib
 import os
+import pickle
 import subprocess
 import sys
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,59 @@ def test_partitions_hold_files_by_bytes(spark, tmp_path):
     assert loose.read_loose(spark, folder, "none*").count() == 0
 
 
+def test_listings_hold_what_the_driver_does_not(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    contents = {f"{i:03}.bin": b"x" * (i % 7) for i in range(50)}
+    loose.write_loose(made(spark, contents), folder)
+    os.makedirs(f"{folder}/sub/.hidden")
+    for name in ("sub/more.bin", "sub/.hidden/no.bin", "sub/_no.bin", ".no.bin"):
+        open(f"{folder}/{name}", "w").close()
+    os.symlink(f"{folder}/nothing", f"{folder}/broken.bin")
+    options = {"path": folder, "partitionBytes": "20"}
+    plain = loose.LooseReader(options).partitions()
+    listed = loose.LooseReader(options | {"listedAtOnce": "8", "listings": str(tmp_path / "listings")})
+    parts = listed.partitions()
+    assert len(plain) < len(parts) and len(os.listdir(tmp_path / "listings")) == 7
+    assert not any(b".bin" in pickle.dumps(p) for p in parts) and all(b".bin" in pickle.dumps(p) for p in plain)
+    assert sorted(f for p in parts for f in p.held()) == sorted(f for p in plain for f in p.files)
+    assert all(len(h) <= 8 and (len(h) == 1 or sum(f[1] for f in h) <= 20) for h in (p.held() for p in parts))
+    want = {r["path"]: (r["length"], r["modified"], bytes(r["content"])) for r in loose.read_loose(spark, folder).collect()}
+    got = loose.read_loose(spark, folder, listedAtOnce="8", partitionBytes="20").collect()
+    assert {r["path"]: (r["length"], r["modified"], bytes(r["content"])) for r in got} == want and len(got) == len(want) == 51
+    assert loose.read_loose(spark, folder, holds="nothing", recursive="false", listedAtOnce="50").count() == 50
+    assert loose.read_loose(spark, folder, "none*", listedAtOnce="1").count() == 0
+
+
+def test_a_commit_holds_no_task_s_names(tmp_path, monkeypatch):
+    class Task:
+        def __init__(self, k):
+            self.partitionId = self.taskAttemptId = lambda: k
+
+    def wrote(writer, *tasks):
+        done = []
+        for k, names in enumerate(tasks):
+            monkeypatch.setattr(loose.TaskContext, "get", lambda k=k: Task(k))
+            done.append(writer.write(iter([pa.RecordBatch.from_pydict({"name": names[i : i + 100], "content": [n.encode() for n in names[i : i + 100]]}) for i in range(0, len(names), 100)])))
+        return done
+
+    target = tmp_path / "out"
+    target.mkdir()
+    (target / "before").write_bytes(b"")
+    names = [f"file {i}.bin" for i in range(500)]
+    monkeypatch.setattr(loose, "MARKS", 64)
+    writer = loose.LooseWriter({"path": str(target)}, True)
+    bad = wrote(writer, names, [], names[:3] + ["x/file 7.bin", "alone"])
+    assert max(len(pickle.dumps(m)) for m in bad) < 300
+    with pytest.raises(ValueError, match="^4 files"):
+        writer.commit([*bad, None])
+    assert os.listdir(target) == ["before"] and os.listdir(tmp_path) == ["out"]
+    with pytest.raises(ValueError, match="^1 files"):
+        writer.commit(wrote(writer, ["same", "other", "same"]))
+    writer.commit([None, *wrote(writer, names, ["one", "two"], [])])
+    assert {p.name: p.read_bytes().decode() for p in target.iterdir()} == {n: n for n in [*names, "one", "two"]}
+    assert os.listdir(tmp_path) == ["out"]
+
+
 def test_samples_of_large_files(tmp_path, monkeypatch):
     monkeypatch.setattr(loose, "WINDOW", 1000)
     from pyarrow import fs
